@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import substrdedup, suffixdedup
+from tallyfold.llm import bpe, decontam, substrdedup, suffixdedup
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,19 @@ def _span_sizes(spans: str):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = decontam.mark(_docs(spark, sf_dir).select("doc_id", "text"), items, length=10).select("doc_id", "hit.*")
+    n_hit = _span_sizes("spans")
+    return hit.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.concat_ws(",", "items"), "utf-8"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(_docs(spark, sf_dir).select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN)
+    both = bpe.decode(ids.select("doc_id", "ids"), VOCABULARY, public_tokenizers.PATTERN)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixdedup.remove_repeats(_docs(spark, sf_dir), length=50)
     return out.select("doc_id", "n_bytes", _span_sizes("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -29,7 +45,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_suffix_array_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op4_byte_level_bpe, op6_suffix_array_dedup, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -154,3 +154,13 @@ def written(df: DataFrame) -> DataFrame:
 
 def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def slices(batch: pa.RecordBatch | pa.Table, text: str, size: int = 4 << 20):
+    """Runs of rows of about `size` bytes of text, one row at least, so that arrays over bytes stay small."""
+    lengths = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
