@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontam, substrdedup, suffixdedup
+from tallyfold.llm import bpe, decontam, neardup, substrdedup, suffixdedup
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -28,6 +28,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return hit.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.concat_ws(",", "items"), "utf-8"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(_docs(spark, sf_dir), words=3, percent=85)
+
+
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(_docs(spark, sf_dir).select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN)
     both = bpe.decode(ids.select("doc_id", "ids"), VOCABULARY, public_tokenizers.PATTERN)
@@ -45,7 +49,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op4_byte_level_bpe, op6_suffix_array_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op4_byte_level_bpe, op6_suffix_array_dedup, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
