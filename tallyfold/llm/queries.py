@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontam, neardup, substrdedup, suffixdedup
+from tallyfold.llm import bpe, decontam, fingerprint, langid, neardup, sharding, substrdedup, suffixdedup
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -38,18 +38,43 @@ def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(_docs(spark, sf_dir), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixdedup.remove_repeats(_docs(spark, sf_dir), length=50)
     return out.select("doc_id", "n_bytes", _span_sizes("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    found = langid.identify(docs, langid.train(docs), declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", F.col("lang").alias("declared"), "language.lang", F.round("language.posterior", 9).alias("posterior"), "language.kept")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrdedup.remove_repeats(_docs(spark, sf_dir), length=20)
     return out.select("doc_id", "n_words", _span_sizes("removed").alias("n_removed"), F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op4_byte_level_bpe, op6_suffix_array_dedup, op9_substring_dedup)}
+    found = (
+        op1_benchmark_decontamination,
+        op2_minhash_near_dedup,
+        op4_byte_level_bpe,
+        op5_minimax_sharding,
+        op6_suffix_array_dedup,
+        op7_language_id,
+        op9_substring_dedup,
+        op10_document_fingerprints,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
