@@ -1,16 +1,65 @@
-"""The corpus pipeline: stages of the training-data operators, one after the other."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, tokenising.
+
+Each stage works on the whole table that its predecessor kept and returns the
+columns of documents, the last one tokens.  Documents go where their language
+isn't clear (1) or where they are not the least doc_id of their near-duplicates
+(3); lines go where they repeat an earlier one (2), words where they repeat a
+benchmark phrase (4).
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyfold.llm import bpe, decontam, langid, linededup, neardup
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """docs with this text and its length in characters in place of the old ones."""
+    new = {"text": F.col(text), "n_chars": F.char_length(text).cast("long")}
+    return docs.select(*(new.get(c, F.col(c)).alias(c) for c in columns))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.identify(docs, langid.train(docs), declared=F.col("lang"), host=F.col("source"))
+    return found.where("language.kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_text(linededup.remove_lines(docs), "lines.kept", docs.columns)
 
-STAGES: list = []
 
-ORACLE_SQL = None
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = neardup.link(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return with_text(decontam.mark(docs, items), "hit.clean", docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, public_tokenizers.PATTERN)
+    both = bpe.decode(ids, VOCABULARY, public_tokenizers.PATTERN)
+    same = F.col("bytes") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    return both.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("tokens", tokens)]
+
+ORACLE_SQL = None  # the stages use models, hashes and a tokeniser; tests hold them against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each from the rows that its predecessor wrote to the shared checkpoint folder."""
+    from tallyfold.llm.text import written
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

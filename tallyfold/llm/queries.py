@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontam, fingerprint, langid, neardup, sharding, substrdedup, suffixdedup
+from tallyfold.llm import bpe, decontam, fingerprint, langid, linededup, neardup, secretscan, sharding, substrdedup, suffixdedup
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -32,6 +32,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(_docs(spark, sf_dir), words=3, percent=85)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.remove_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2(F.encode(F.coalesce("lines.kept", F.lit("")), "utf-8"), 256).alias("kept_sha256"))
+
+
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(_docs(spark, sf_dir).select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN)
     both = bpe.decode(ids.select("doc_id", "ids"), VOCABULARY, public_tokenizers.PATTERN)
@@ -54,6 +59,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lang").alias("declared"), "language.lang", F.round("language.posterior", 9).alias("posterior"), "language.kept")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(_docs(spark, sf_dir), F.col("source"))
+    return found.select("doc_id", "nth", "part", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("probability", 9).alias("probability"), "secret")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrdedup.remove_repeats(_docs(spark, sf_dir), length=20)
     return out.select("doc_id", "n_words", _span_sizes("removed").alias("n_removed"), F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
@@ -67,10 +77,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_benchmark_decontamination,
         op2_minhash_near_dedup,
+        op3_line_dedup,
         op4_byte_level_bpe,
         op5_minimax_sharding,
         op6_suffix_array_dedup,
         op7_language_id,
+        op8_secret_scan,
         op9_substring_dedup,
         op10_document_fingerprints,
     )

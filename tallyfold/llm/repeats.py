@@ -2,72 +2,85 @@
 
 Units are the bytes or the words of a text, a window is L units in a row, and
 anchors are chosen places such that two equal windows always hold an anchor at
-the same offset.  Three rounds of "least document per key", each a shuffle of
-packed, sorted keys that every chunk of documents has combined beforehand, so a
-key shared by a third of all rows costs one entry per chunk:
+the same offset.  Four rounds ask for the least document per key:
 
 1. seeds: the units behind each anchor; keeps anchors whose seed is in two places;
 2. reaches: everything a window over the anchor may touch, extended both ways;
    equal reaches settle all their windows at once, seeds with different reaches
    are mixed;
-3. windows of mixed seeds, one by one.
-
-The documents are shuffled once, by chunk; the rounds share that exchange.
+3. short keys of the windows of mixed seeds; keeps those that are in two places;
+4. what is left, window by window.
+
+A round shuffles packed, sorted keys that each part of the documents has
+combined beforehand, so a key shared by a third of all rows costs one entry per
+part.  Parts and key ranges are proportional to the shuffle partitions; inside
+a part, documents are worked through in slices of bounded size.  What a round
+found is a table in the shared folder, and its shuffle files go with its job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.text import MUL, U, mix, parallelism
+from tallyfold.llm.text import MUL, U, mix, parallelism, powers, slices, written
 
-_SUB = 24  # bits of a seed's key within its bucket
+SLICE_BYTES = 3 << 20
+_SUB = 24  # bits of a key within its bucket, where a few chance hits do no harm
+_LOW = (1 << _SUB) - 1
 _STEP = 0xFFFF
-_PACKED = "bucket int, chunk int, keys binary, ends binary, docs binary"
-_BACK = "chunk int, kind int, keys binary, docs binary"
+_PACKED = "bucket int, part int, keys binary, ends binary, docs binary"
+_BACK = "part int, kind int, bucket int, keys binary, docs binary"
+_SEED, _REACH, _MIXED, _SHORT, _WINDOW = range(5)
+_FAR = np.iinfo(np.int64).max
 
 
-@dataclass
 class Units:
-    """A chunk's documents as units, in order of doc_id.
+    """A slice of documents as units, in order of doc_id.
 
-    first, last: unit range of each document; seed: hash of the seed behind each
-    anchor; anchor: the anchors' places, ascending; window: hash of the window
-    at each place, right where it fits into the document; behind: units that a
-    window may hold before the anchor.
+    values: a 64-bit value for each unit; first, last: unit range of each
+    document; anchor: the anchors' places, ascending; behind: units that a
+    window may hold before its anchor.
     """
 
-    first: np.ndarray
-    last: np.ndarray
-    anchor: np.ndarray
-    seed: np.ndarray
-    window: np.ndarray
-    length: int
-    behind: int
-
-    def __post_init__(self):
-        doc = np.searchsorted(self.first, self.anchor, "right") - 1 if len(self.first) else self.anchor
-        lo = np.maximum(self.anchor - self.behind, self.first[doc])
-        hi = np.minimum(self.anchor, self.last[doc] - self.length)
-        ok = lo <= hi
-        self.anchor, self.seed, self.doc, self.lo, self.hi = (x[ok] for x in (self.anchor, self.seed, doc, lo, hi))
+    def __init__(self, values: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
+        up, self.down = powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, U)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+        self.n, self.first, self.last, self.length = len(values), first, last, length
+
+    def hash(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n units from each of these places."""
+        return mix((self.sums[at + n] - self.sums[at]) * self.down[at])
+
+    def hashes(self, n: int) -> np.ndarray:
+        """The same from every place that has n units."""
+        k = max(0, self.n - n + 1)
+        return mix((self.sums[n : n + k] - self.sums[:k]) * self.down[:k])
+
+    def anchored(self, anchor: np.ndarray, seed: np.ndarray, behind: int) -> Units:
+        size = np.searchsorted(anchor, self.last) - np.searchsorted(anchor, self.first)
+        doc = np.repeat(np.arange(len(self.first)), size)
+        lo = np.maximum(anchor - behind, self.first[doc])
+        hi = np.minimum(anchor, self.last[doc] - self.length)
+        ok = np.flatnonzero(lo <= hi)
+        self.anchor, self.seed, self.doc, self.lo, self.hi, self.behind = anchor[ok], seed[ok], doc[ok], lo[ok], hi[ok], behind
+        return self
 
     def reach(self) -> np.ndarray:
         """Hash of all that windows over each anchor touch, and of where the anchor is in it."""
         shape = (self.anchor - self.lo) * (self.behind + 1) + (self.hi - self.anchor + self.behind)
-        return mix(self.window[self.lo] * MUL[0] + self.window[self.hi] * MUL[1] + (shape.astype(U) + self.seed) * MUL[2])
+        return mix(self.hash(self.lo, self.length) * MUL[0] + self.hash(self.hi, self.length) * MUL[1] + (shape.astype(U) + self.seed) * MUL[2])
 
 
-Reader = Callable[[pa.Table], tuple[Units, pa.Table]]
+Reader = Callable[[pa.Table], Units]
 
 
-def _pack(keys: np.ndarray) -> bytes:
+def pack(keys: np.ndarray) -> bytes:
     """Ascending distinct integers as 16-bit steps; a full step says that more follows."""
     if not len(keys):
         return b""
@@ -78,7 +91,7 @@ def _pack(keys: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _unpack(blob: bytes) -> np.ndarray:
+def unpack(blob: bytes) -> np.ndarray:
     step = np.frombuffer(blob, np.uint16).astype(np.int64)
     full = step == _STEP
     return (np.cumsum(step + ~full) - 1)[~full]
@@ -89,10 +102,6 @@ def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> U(16)) * U(buckets) >> U(48 - _SUB)).astype(np.int64)
 
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> U(16)) * U(buckets) >> U(48)).astype(np.int32)
-
-
 def _doc_bytes(ids: np.ndarray) -> bytes:
     return (ids.astype(np.uint32) if len(ids) and 0 <= ids.min() and ids.max() < 2**32 else ids.astype(np.int64)).tobytes()
 
@@ -103,18 +112,20 @@ def _doc_ids(blob: bytes, n: int) -> np.ndarray:
 
 def _table(schema: str, **columns) -> pa.Table:
     kinds = {"int": pa.int32(), "binary": pa.binary()}
-    return pa.table({n: pa.array(columns[n], kinds[k]) for n, k in (x.split() for x in schema.split(", "))})
+    return pa.table({n: pa.array(columns.get(n, []), kinds[k]) for n, k in (x.split() for x in schema.split(", "))})
 
 
-def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Buckets that have entries, with their slice; the entries are in bucket order."""
-    at = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(at[1:] > at[:-1]):
-        yield int(b), slice(at[b], at[b + 1])
+def _sent(part: int, codes: np.ndarray, buckets: int, keys: Callable[[slice], bytes], ends=None, docs=None) -> pa.Table:
+    """A row for each bucket that has entries; the entries are in the order of their codes."""
+    at = np.searchsorted(codes >> _SUB, np.arange(buckets + 1))
+    has = np.flatnonzero(at[1:] > at[:-1])
+    parts = [slice(at[b], at[b + 1]) for b in has]
+    blank = [b""] * len(parts)
+    return _table(_PACKED, bucket=has, part=[part] * len(parts), keys=[keys(s) for s in parts], ends=[ends(s) for s in parts] if ends else blank, docs=[docs(s) for s in parts] if docs else blank)
 
 
 def _first(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and where each is first."""
+    """Distinct keys, ascending, and where each is first."""
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     new = np.ones(len(s), bool)
@@ -122,202 +133,263 @@ def _first(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], order[new]
 
 
-def _sorted_docs(table: pa.Table) -> pa.Table:
-    return table.sort_by("doc_id")
+class Among:
+    """Membership in a set of integers: a table of a few bits of the key first, then the sorted keys."""
 
+    def __init__(self, keys: np.ndarray, values: np.ndarray | None = None):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], None if values is None else values[order]
+        self.bits = U(64 - max(8, min(24, int(8 * len(keys) + 1).bit_length())))
+        self.table = np.zeros(1 << (64 - int(self.bits)), bool)
+        self.table[self._slot(self.keys)] = True
 
-def _found(keys: np.ndarray, among: np.ndarray, values: np.ndarray | None = None, default: int = 0) -> np.ndarray:
-    """Whether each key is among the ascending keys, or the value there."""
-    if not len(among):
-        return np.zeros(len(keys), bool) if values is None else np.full(len(keys), default)
-    at = np.searchsorted(among, keys)
-    at[at == len(among)] = 0
-    hit = among[at] == keys
-    return hit if values is None else np.where(hit, values[at], default)
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(U) * MUL[7]) >> self.bits
 
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are in the set, and where in it."""
+        at = np.flatnonzero(self.table[self._slot(keys)])
+        if not len(at):
+            return at, at
+        own = keys[at]
+        found = np.searchsorted(self.keys, own)
+        found[found == len(self.keys)] = 0
+        ok = self.keys[found] == own
+        return at[ok], found[ok]
 
-_FAR = np.iinfo(np.int64).max
+
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Places of the keys that may be there twice; all that are, and few others."""
+    bits = U(64 - max(8, min(24, int(8 * len(keys) + 1).bit_length())))
+    slot = (keys.astype(U) * MUL[8]) >> bits
+    once = np.bincount(slot.astype(np.int64), minlength=1)
+    return np.flatnonzero(once[slot.astype(np.int64)] > 1)
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, where groups begin in it, and each entry's group."""
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    group = np.empty(len(s), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), group
+
+
+def _read_rows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Keys, ends (or nothing) and documents of a bucket's rows, and each row's entries."""
+    ends = rows["ends"].to_pylist()
+    hashes = [np.frombuffer(x, U) for x in ends]
+    size = np.array([len(x) for x in hashes])
+    ids = np.concatenate([_doc_ids(x, n) for x, n in zip(rows["docs"].to_pylist(), size, strict=True)])
+    low = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["keys"].to_pylist()])
+    return low, np.concatenate(hashes), ids, np.split(np.arange(size.sum()), np.cumsum(size)[:-1])
 
 
 class Search:
-    """The three rounds for one reader of chunks; docs has doc_id and what the reader needs."""
+    """The rounds for one reader of slices; docs has doc_id and what the reader needs."""
 
     def __init__(self, docs: DataFrame, read: Reader, within: bool):
         """within: a window also counts as earlier at a smaller place of the same document."""
-        spark = docs.sparkSession
-        self.n = 6 * parallelism(spark)
-        self.buckets = min(4 * parallelism(spark), 1 << 15)
+        self.spark = docs.sparkSession
+        self.p = parallelism(self.spark)
+        self.buckets = min(2 * self.p, 1 << 15)
         self.read, self.within = read, within
-        self.chunks = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(self.n)).cast("int")).repartition(parallelism(spark), "chunk")
+        self.docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(2 * self.p)).cast("int")).repartition(self.p, "part")
+
+    def _round(self, send, merge, back: DataFrame | None) -> DataFrame:
+        """One shuffle of the parts' keys to their buckets; what each part gets back, as a written table."""
+        parts = self.docs.groupBy("part")
+        sent = parts.applyInArrow(send, _PACKED) if back is None else parts.cogroup(back.repartition(self.p, "part").groupBy("part")).applyInArrow(send, _PACKED)
+        setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(setting, "false")
+        self.spark.conf.set(setting, "true")  # the job's shuffle files go when its table is written
+        try:
+            return written(sent.repartition(self.p, "bucket").groupBy("bucket").applyInArrow(merge, _BACK))
+        finally:
+            self.spark.conf.set(setting, before)
 
     def windows(self, finish: Callable[[Units, pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
-        """finish gets a chunk's units and documents and, for each place, whether a window that starts there is earlier too."""
+        """finish gets a slice's units and documents and, for each place, whether a window that starts there is earlier too."""
         read, buckets, within = self.read, self.buckets, self.within
 
+        def sliced(docs: pa.Table) -> Iterator[tuple[Units, pa.Table, np.ndarray]]:
+            docs = docs.drop_columns("part").sort_by("doc_id").combine_chunks()
+            for batch in docs.to_batches():
+                for part in slices(batch, "text", SLICE_BYTES):
+                    table = pa.Table.from_batches([part])
+                    yield read(table), table, table["doc_id"].to_numpy()
+
+        def pieces(back: pa.Table, kind: int) -> list[tuple[int, bytes, bytes]]:
+            kinds = back["kind"].to_numpy()
+            own = back.filter(pa.array(kinds == kind))
+            return list(zip(own["bucket"].to_pylist(), own["keys"].to_pylist(), own["docs"].to_pylist(), strict=True))
+
+        def known_codes(back: pa.Table, kind: int) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.int64), *(unpack(k) + (b << _SUB) for b, k, _ in pieces(back, kind))])
+
+        def known_docs(back: pa.Table, kind: int) -> tuple[Among, np.ndarray]:
+            got = pieces(back, kind)
+            keys = np.concatenate([np.zeros(0, U), *(np.frombuffer(k, U) for _, k, _ in got)])
+            ids = np.concatenate([np.zeros(0, np.int64), *(_doc_ids(d, len(k) // 8) for _, k, d in got)])
+            among = Among(keys, ids)
+            return among, among.values
+
         def seeds(key, docs):
-            units, _ = read(_sorted_docs(docs.drop_columns("chunk")))
-            codes = np.unique(_codes(units.seed, buckets))
-            parts = list(_by_bucket(codes >> _SUB, buckets))
-            empty = [b""] * len(parts)
-            return _table(_PACKED, bucket=[b for b, _ in parts], chunk=[key[0].as_py()] * len(parts), keys=[_pack(codes[s] & ((1 << _SUB) - 1)) for _, s in parts], ends=empty, docs=empty)
-
-        def shared(key, rows):
-            once, twice = np.zeros(1 << _SUB, bool), np.zeros(1 << _SUB, bool)
-            blobs = rows["keys"]
-            for blob in blobs:
-                k = _unpack(blob.as_py())
-                twice[k] |= once[k]
-                once[k] = True
-            out = [(k := _unpack(blob.as_py()))[twice[k]] for blob in blobs]
-            return _table(_BACK, chunk=rows["chunk"].to_pylist(), kind=[key[0].as_py()] * len(out), keys=[_pack(k) for k in out], docs=[b""] * len(out))
+            found = [np.unique(_codes(units.seed, buckets)) for units, _, _ in sliced(docs)]
+            codes = np.unique(np.concatenate(found))
+            return _sent(key[0].as_py(), codes, buckets, lambda s: pack(codes[s] & _LOW))
+
+        def shared(kind):
+            def merge(key, rows):
+                once, twice = np.zeros(1 << _SUB, bool), np.zeros(1 << _SUB, bool)
+                blobs = rows["keys"].to_pylist()
+                for blob in blobs:
+                    k = unpack(blob)
+                    twice[k] |= once[k]
+                    once[k] = True
+                out = [pack((k := unpack(blob))[twice[k]]) for blob in blobs]
+                keep = [i for i, x in enumerate(out) if x]
+                parts = rows["part"].to_pylist()
+                return _table(_BACK, part=[parts[i] for i in keep], kind=[kind] * len(keep), bucket=[key[0].as_py()] * len(keep), keys=[out[i] for i in keep], docs=[b""] * len(keep))
+
+            return merge
+
+        def kept_codes(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+            """Places of the codes that another part has, or that are here twice; and a few more."""
+            twice = np.zeros(len(codes), bool)
+            twice[_repeated(codes)] = True
+            among = Among(known)
+            return np.flatnonzero(twice | among.table[among._slot(codes)])
 
         def reaches(key, docs, back):
             if not docs.num_rows:
-                return _table(_PACKED, bucket=[], chunk=[], keys=[], ends=[], docs=[])
-            docs = _sorted_docs(docs.drop_columns("chunk"))
-            units, _ = read(docs)
-            codes = _codes(units.seed, buckets)
-            known = [_unpack(k) + (b << _SUB) for b, k in zip(back["kind"].to_pylist(), back["keys"].to_pylist(), strict=True)]
-            s = np.sort(codes)
-            marked = np.zeros(1 << _SUB, bool)  # by hash: a few more anchors than are shared do no harm
-            for k in [*known, s[1:][s[1:] == s[:-1]]]:
-                marked[(k * 0x9E3779B1 >> 7) & ((1 << _SUB) - 1)] = True
-            keep = np.flatnonzero(marked[(codes * 0x9E3779B1 >> 7) & ((1 << _SUB) - 1)])
-            reach = units.reach()[keep]
-            reach, at = _first(reach)
-            codes, ids = codes[keep][at], docs["doc_id"].to_numpy()[units.doc[keep][at]]
+                return _table(_PACKED)
+            found = [(_codes(u.seed, buckets), u.reach(), ids[u.doc]) for u, _, ids in sliced(docs)]
+            codes, reach, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+            keep = kept_codes(codes, known_codes(back, _SEED))
+            reach, at = _first(reach[keep])
+            codes, ids = codes[keep][at], ids[keep][at]
             order = np.argsort(codes, kind="stable")
             codes, reach, ids = codes[order], reach[order], ids[order]
-            parts = list(_by_bucket(codes >> _SUB, buckets))
-            low = (codes & ((1 << _SUB) - 1)).astype(np.uint32)
-            return _table(_PACKED, bucket=[b for b, _ in parts], chunk=[key[0].as_py()] * len(parts), keys=[low[s].tobytes() for _, s in parts], ends=[reach[s].tobytes() for _, s in parts], docs=[_doc_bytes(ids[s]) for _, s in parts])
+            low = (codes & _LOW).astype(np.uint32)
+            return _sent(key[0].as_py(), codes, buckets, lambda s: low[s].tobytes(), lambda s: reach[s].tobytes(), lambda s: _doc_bytes(ids[s]))
 
         def settle(key, rows):
-            """kind 1: reaches that another chunk has, with their least document; kind 0: codes of mixed seeds."""
-            chunks = rows["chunk"].to_pylist()
-            low = [np.frombuffer(x, np.uint32) for x in rows["keys"].to_pylist()]
-            size = np.array([len(x) for x in low])
-            row = np.repeat(np.arange(len(low)), size)
-            low = np.concatenate(low)
-            reach = np.concatenate([np.frombuffer(x, U) for x in rows["ends"].to_pylist()])
-            ids = np.concatenate([_doc_ids(x, n) for x, n in zip(rows["docs"].to_pylist(), size, strict=True)])
-            order = np.argsort(reach, kind="stable")
-            s, new = reach[order], np.ones(len(reach), bool)
-            new[1:] = s[1:] != s[:-1]
-            at = np.flatnonzero(new)
-            group = np.empty(len(s), np.int64)
-            group[order] = np.cumsum(new) - 1
-            least = np.minimum.reduceat(ids[order], at)[group] if len(at) else ids
-            several = (np.diff(at, append=len(s)) > 1)[group] if len(at) else new
-            head = order[at]  # one entry of each distinct reach
-            heads = np.sort(low[head])
-            mixed = np.unique(heads[1:][heads[1:] == heads[:-1]])
-            blurred = _found(low, mixed)
-            out = {n: [] for n in ("chunk", "kind", "keys", "docs")}
-            base = key[0].as_py() << _SUB
-            for i, to in enumerate(np.split(np.arange(len(row)), np.cumsum(size)[:-1])):
-                e = to[several[to] & (least[to] < ids[to])]
-                e = e[np.argsort(reach[e])]
-                out["chunk"] += [chunks[i]] * 2
-                out["kind"] += [1, 0]
-                out["keys"] += [reach[e].tobytes(), (np.unique(low[to[blurred[to]]]).astype(np.int64) + base).tobytes()]
+            """Reaches that another part has in a smaller document, with the least one; and codes of mixed seeds."""
+            low, reach, ids, entries = _read_rows(rows)
+            order, at, group = _grouped(reach)
+            least = np.minimum.reduceat(ids[order], at)[group]
+            heads = np.sort(low[order[at]])  # one entry of each distinct reach
+            blurred = np.zeros(1 << _SUB, bool)
+            blurred[heads[1:][heads[1:] == heads[:-1]]] = True
+            out = {n: [] for n in ("part", "kind", "bucket", "keys", "docs")}
+            for part, to in zip(rows["part"].to_pylist(), entries, strict=True):
+                e = to[least[to] < ids[to]]
+                out["part"] += [part] * 2
+                out["kind"] += [_REACH, _MIXED]
+                out["bucket"] += [key[0].as_py()] * 2
+                out["keys"] += [reach[e].tobytes(), pack(np.unique(low[to[blurred[low[to]]]]))]
                 out["docs"] += [_doc_bytes(least[e]), b""]
             return _table(_BACK, **out)
 
-        def marks(docs: pa.Table, back: pa.Table):
-            """Units; for each place whether it starts an earlier window so far; and the places that wait for round 3."""
-            units, docs = read(docs)
-            ids = docs["doc_id"].to_numpy()
-            reach, codes = units.reach(), _codes(units.seed, buckets)
-            kinds, keys, found = back["kind"].to_pylist(), back["keys"].to_pylist(), back["docs"].to_pylist()
-            known = [np.frombuffer(k, U) for x, k in zip(kinds, keys, strict=True) if x == 1]
-            least = [_doc_ids(d, len(k) // 8) for x, k, d in zip(kinds, keys, found, strict=True) if x == 1]
-            known, least = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((known, U), (least, np.int64)))
-            order = np.argsort(known)
-            known, least = known[order], least[order]
-            mixed = [np.frombuffer(k, np.int64) for x, k in zip(kinds, keys, strict=True) if x == 0]
-            mixed = np.unique(np.concatenate(mixed)) if mixed else np.zeros(0, np.int64)
-            earlier = _found(reach, known, least, _FAR) < ids[units.doc]
-            order = np.argsort(reach, kind="stable")
-            new = np.ones(len(order), bool)
-            new[1:] = reach[order][1:] != reach[order][:-1]
-            first = order[new][np.cumsum(new) - 1] if len(order) else order
-            local = np.empty(len(order), np.int64)
-            local[order] = first  # the first anchor of the chunk with the same reach
-            own = np.arange(len(order))
-            earlier |= (local < own) if within else ids[units.doc[local]] < ids[units.doc]
-            width = len(units.window) + 1
-
-            def spread(which):
-                d = np.zeros(width + 1, np.int32)
-                np.add.at(d, units.lo[which], 1)
-                np.add.at(d, units.hi[which] + 1, -1)
-                return np.cumsum(d)[: width - 1] > 0
-
-            done = spread(earlier)
-            waits = np.flatnonzero(spread(_found(codes, mixed)) & ~done)
-            return units, docs, done, waits
+        def marked(docs: pa.Table, back: pa.Table) -> Iterator[tuple[Units, pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+            """Slices with, for each place, whether it starts an earlier window so far; the places that wait; and ids."""
+            known, least = known_docs(back, _REACH)
+            mixed = Among(known_codes(back, _MIXED))
+            seen, seen_ids = np.zeros(0, U), np.zeros(0, np.int64)  # reaches of the part's slices before
+            for units, table, ids in sliced(docs):
+                reach, own = units.reach(), ids[units.doc]
+                earlier = np.zeros(len(reach), bool)
+                at, where = known.places(reach)
+                earlier[at] = least[where] < own[at]
+                at, where = Among(seen).places(reach)
+                earlier[at] |= within or seen_ids[where] < own[at]
+                at = _repeated(reach)
+                order, start, group = _grouped(reach[at])
+                first = at[order[start]][group] if len(at) else at
+                earlier[at] |= (first < at) if within else own[first] < own[at]
+
+                def spread(which, units=units):
+                    d = np.bincount(units.lo[which], minlength=units.n + 2)
+                    d -= np.bincount(units.hi[which] + 1, minlength=units.n + 2)
+                    return np.cumsum(d)[: units.n] > 0
+
+                done = spread(np.flatnonzero(earlier))
+                at, _ = mixed.places(_codes(units.seed, buckets))
+                yield units, table, done, np.flatnonzero(spread(at) & ~done), ids
+                both, both_ids = np.concatenate([seen, reach]), np.concatenate([seen_ids, own])
+                seen, at = _first(both)
+                seen_ids = both_ids[at]
+
+        def waiting(docs: pa.Table, back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            found = [(u.hash(w, u.length), ids[np.searchsorted(u.first, w, "right") - 1]) for u, _, _, w, ids in marked(docs, back)]
+            return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+        def shorts(key, docs, back):
+            if not docs.num_rows:
+                return _table(_PACKED)
+            hashes, _ = waiting(docs, back)
+            codes = np.unique(_codes(hashes, buckets))
+            return _sent(key[0].as_py(), codes, buckets, lambda s: pack(codes[s] & _LOW))
 
         def singles(key, docs, back):
             if not docs.num_rows:
-                return _table(_PACKED, bucket=[], chunk=[], keys=[], ends=[], docs=[])
-            units, docs, _, waits = marks(_sorted_docs(docs.drop_columns("chunk")), back)
-            keys, at = _first(units.window[waits])
-            ids = docs["doc_id"].to_numpy()[np.searchsorted(units.first, waits[at], "right") - 1]
-            parts = list(_by_bucket(_bucket(keys, buckets), buckets))
-            return _table(_PACKED, bucket=[b for b, _ in parts], chunk=[key[0].as_py()] * len(parts), keys=[keys[s].tobytes() for _, s in parts], ends=[b""] * len(parts), docs=[_doc_bytes(ids[s]) for _, s in parts])
+                return _table(_PACKED)
+            hashes, ids = waiting(docs, back)
+            keep = kept_codes(_codes(hashes, buckets), known_codes(back, _SHORT))
+            hashes, at = _first(hashes[keep])
+            ids, codes = ids[keep][at], _codes(hashes, buckets)
+            return _sent(key[0].as_py(), codes, buckets, lambda s: b"", lambda s: hashes[s].tobytes(), lambda s: _doc_bytes(ids[s]))
 
         def least_of(key, rows):
-            """kind 2: windows that another chunk has in a smaller document, with the least one."""
-            keys = [np.frombuffer(x, U) for x in rows["keys"].to_pylist()]
-            size = np.array([len(x) for x in keys])
-            ids = np.concatenate([_doc_ids(x, n) for x, n in zip(rows["docs"].to_pylist(), size, strict=True)])
-            keys = np.concatenate(keys)
-            order = np.argsort(keys, kind="stable")
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[order][1:] != keys[order][:-1]
-            group = np.empty(len(keys), np.int64)
-            group[order] = np.cumsum(new) - 1
-            least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[group]
-            send = [to[least[to] < ids[to]] for to in np.split(np.arange(len(keys)), np.cumsum(size)[:-1])]
-            return _table(_BACK, chunk=rows["chunk"].to_pylist(), kind=[2] * len(send), keys=[keys[e].tobytes() for e in send], docs=[_doc_bytes(least[e]) for e in send])
+            """Windows that another part has in a smaller document, with the least one."""
+            _, hashes, ids, entries = _read_rows(rows)
+            order, at, group = _grouped(hashes)
+            least = np.minimum.reduceat(ids[order], at)[group]
+            send = [e[least[e] < ids[e]] for e in entries]
+            n = len(send)
+            return _table(_BACK, part=rows["part"].to_pylist(), kind=[_WINDOW] * n, bucket=[key[0].as_py()] * n, keys=[hashes[e].tobytes() for e in send], docs=[_doc_bytes(least[e]) for e in send])
 
         def finished(key, docs, back):
             if not docs.num_rows:
                 return empty_out
-            units, docs, done, waits = marks(_sorted_docs(docs.drop_columns("chunk")), back)
-            two = [(np.frombuffer(k, U), d) for x, k, d in zip(back["kind"].to_pylist(), back["keys"].to_pylist(), back["docs"].to_pylist(), strict=True) if x == 2]
-            known = np.concatenate([k for k, _ in two]) if two else np.zeros(0, U)
-            least = np.concatenate([_doc_ids(d, len(k)) for k, d in two]) if two else np.zeros(0, np.int64)
-            order = np.argsort(known)
-            keys = units.window[waits]
-            ids = docs["doc_id"].to_numpy()[np.searchsorted(units.first, waits, "right") - 1]
-            hit = _found(keys, known[order], least[order], _FAR) < ids
-            order = np.argsort(keys, kind="stable")
-            if len(order):
-                new = np.ones(len(order), bool)
-                new[1:] = keys[order][1:] != keys[order][:-1]
-                first = order[new][np.cumsum(new) - 1]
-                hit[order] |= (first < order) if within else ids[first] < ids[order]
-            done[waits[hit]] = True
-            return finish(units, docs, done)
+            known, least = known_docs(back, _WINDOW)
+            seen, seen_ids, out = np.zeros(0, U), np.zeros(0, np.int64), []
+            for units, table, done, waits, ids in marked(docs, back):
+                hashes, own = units.hash(waits, units.length), ids[np.searchsorted(units.first, waits, "right") - 1]
+                hit = np.zeros(len(waits), bool)
+                at, where = known.places(hashes)
+                hit[at] = least[where] < own[at]
+                at, where = Among(seen).places(hashes)
+                hit[at] |= within or seen_ids[where] < own[at]
+                at = _repeated(hashes)
+                order, start, group = _grouped(hashes[at])
+                first = at[order[start]][group] if len(at) else at
+                hit[at] |= (first < at) if within else own[first] < own[at]
+                done[waits[hit]] = True
+                out.append(finish(units, table, done))
+                both, both_ids = np.concatenate([seen, hashes]), np.concatenate([seen_ids, own])
+                seen, at = _first(both)
+                seen_ids = both_ids[at]
+            return pa.concat_tables(out)
 
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import _parse_datatype_string
 
         empty_out = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
-        chunks, p = self.chunks, parallelism(self.chunks.sparkSession)
-        of = lambda df, by: df.repartition(p, by).groupBy(by)
-        first = of(chunks.groupBy("chunk").applyInArrow(seeds, _PACKED), "bucket").applyInArrow(shared, _BACK)
-        second = of(chunks.groupBy("chunk").cogroup(of(first, "chunk")).applyInArrow(reaches, _PACKED), "bucket").applyInArrow(settle, _BACK)
-        third = of(chunks.groupBy("chunk").cogroup(of(second, "chunk")).applyInArrow(singles, _PACKED), "bucket").applyInArrow(least_of, _BACK)
-        return chunks.groupBy("chunk").cogroup(of(second.union(third), "chunk")).applyInArrow(finished, schema)
+        first = self._round(seeds, shared(_SEED), None)
+        second = self._round(reaches, settle, first)
+        third = self._round(shorts, shared(_SHORT), second)
+        fourth = self._round(singles, least_of, second.union(third))
+        back = second.union(fourth).repartition(self.p, "part").groupBy("part")
+        return self.docs.groupBy("part").cogroup(back).applyInArrow(finished, schema)
 
 
 def covered(done: np.ndarray, length: int) -> np.ndarray:
     """Units that some marked window covers; done marks the places where windows start."""
-    d = np.zeros(len(done) + length + 1, np.int32)
     at = np.flatnonzero(done)
-    d[at] += 1
-    np.add.at(d, at + length, -1)
+    d = np.bincount(at, minlength=len(done) + length + 1)
+    d -= np.bincount(at + length, minlength=len(done) + length + 1)
     return np.cumsum(d)[: len(done)] > 0

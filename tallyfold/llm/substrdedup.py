@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.repeats import Search, Units, covered
-from tallyfold.llm.text import PLAIN, Texts, U, grams, combine
+from tallyfold.llm.text import PLAIN, Texts, U
 
 
 def rolling(x: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
@@ -53,19 +53,15 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     span = length // 2 + 1
     seed = length - span + 1
 
-    def read(table: pa.Table) -> tuple[Units, pa.Table]:
+    def read(table: pa.Table) -> Units:
         words = Texts(table["text"]).words(PLAIN, fold=False)
-        half = grams(words.hash, seed)
-        at = winnowed(half, words.first, words.last, span, length)
-        n = max(0, len(words.hash) - length + 1)
-        window = combine(half[:n], half[span - 1 : span - 1 + n])
-        units = Units(words.first, words.last, at, half[at], window, length, length - seed)
-        units.words = words
-        return units, table
+        units = Units(words.hash, words.first, words.last, length)
+        seeds = units.hashes(seed)
+        at = winnowed(seeds, words.first, words.last, span, length)
+        return units.anchored(at, seeds[at], length - seed)
 
     def finish(units: Units, table: pa.Table, done: np.ndarray) -> pa.Table:
-        n = len(units.words.hash)
-        gone = covered(np.concatenate([done, np.zeros(n + 1, bool)])[:n], length)
+        gone = covered(done, length)
         texts = table["text"].to_pylist()
         total = np.concatenate([[0], np.cumsum(gone)])
         spans, kept = [], []

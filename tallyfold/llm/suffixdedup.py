@@ -8,36 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.repeats import Search, Units, covered
-from tallyfold.llm.text import _BYTE, Texts, combine
+from tallyfold.llm.text import _BYTE, Texts
 
 #: A perfect difference set: every difference modulo 21 is that of two members.
 PERIOD, COVER = 21, np.array([0, 1, 6, 8, 18])
 
 
-def prefix_names(data: np.ndarray, length: int) -> np.ndarray:
-    """Name of the `length`-byte prefix of each suffix: names of triples, then of triples of names, and so on."""
-    names, have = _BYTE[data], 1
-    while have * 3 <= length:
-        n = len(names) - 2 * have
-        if n <= 0:
-            return names[:0]
-        names, have = combine(names[:n], names[have : have + n], names[2 * have : 2 * have + n]), have * 3
-    if have < length:
-        n = max(0, len(names) - (length - have))
-        middle = (length - have) // 2
-        names = combine(names[:n], names[middle : middle + n], names[length - have : length - have + n])
-    return names
-
-
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """Marks bytes covered by a `length`-byte string that also starts in a document with a smaller doc_id.
 
     Sampled suffixes are those at places that a difference cover of the text
-    selects; their prefixes get names by triples and triples of names, and a
-    shuffle in name order brings equal names side by side.  Any two equal
-    strings of `length` bytes have a sampled suffix at one common offset, so the
-    remaining suffixes are merged in by the bytes up to it, and neighbours in
-    that order are compared on all `length` bytes.
+    selects.  Only their first `length` bytes matter, so a prefix is named by a
+    hash instead of by sorting triples and recursing on their ranks; a shuffle in
+    name order brings equal names side by side.  Any two equal strings of
+    `length` bytes have a sampled suffix at one common offset, so the remaining
+    suffixes are merged in by the bytes up to it, and those next to each other
+    in that order are compared on all `length` bytes, by hash.
 
     docs: doc_id (long) and text, taken as UTF-8; null counts as empty.  Strings
     do not cross documents.  Judged on the input, not on what is left.
@@ -50,24 +36,20 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"length must be {2 * PERIOD} at least")
     seed = length - PERIOD + 1
 
-    def read(table: pa.Table) -> tuple[Units, pa.Table]:
+    def read(table: pa.Table) -> Units:
         texts = Texts(table["text"])
-        names = prefix_names(texts.data, seed)
         size = np.maximum(texts.end - texts.start - seed + 1, 0)
         # the sampled places of all texts: whole periods first, then those past the end are dropped
         blocks = -(-size // PERIOD)
         block = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         at = ((np.repeat(texts.start, blocks) + block * PERIOD)[:, None] + COVER).ravel()
         at = at[at < np.repeat(texts.start + size, blocks * len(COVER))]
-        n = max(0, len(names) - PERIOD + 1)
-        window = combine(names[:n], names[PERIOD - 1 : PERIOD - 1 + n])
-        units = Units(texts.start, texts.end, at, names[at], window, length, length - seed)
-        units.texts = texts
-        return units, table
+        units = Units(_BYTE[texts.data], texts.start, texts.end, length)
+        units.data = texts.data
+        return units.anchored(at, units.hash(at, seed), length - seed)
 
     def finish(units: Units, table: pa.Table, done: np.ndarray) -> pa.Table:
-        data = units.texts.data
-        gone = covered(np.concatenate([done, np.zeros(len(data) + 1, bool)])[: len(data)], length)
+        data, gone = units.data, covered(done, length)
         total = np.concatenate([[0], np.cumsum(gone)])
         spans, kept = [], []
         for f, t in zip(units.first.tolist(), units.last.tolist(), strict=True):
