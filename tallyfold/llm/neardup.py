@@ -8,8 +8,9 @@ the remaining candidates are read again and their sets compared in full.
 
 Copies are one node from the start.  Candidates come in two passes: first the
 edges of a spanning forest of the most similar sketches in each block, whose
-confirmed links give components; then every remaining candidate between
-different components, so that no link that could join two is left unchecked.
+confirmed links give components; then, where such a forest still holds several
+components, all documents of different ones against each other on whole sets,
+so that no link that could join two is left unchecked.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ ROWS = 4  # samples of a band
 MISSED = 1e-7  # chance that a link at the threshold shares no band
 SKETCH_BITS = 512
 SLACK_SIGMA = 6.5  # a sketch rejects only what is further from the threshold
-BLOCK = 512  # documents of a band that are compared at once
+BLOCK = 512  # documents that are compared at once
+PURE = 128  # documents of a component that get blocks of their own
 _FILTER_BITS = 1 << 25
 
 
@@ -130,21 +132,18 @@ def _forest(sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
     return edges
 
 
-def candidates(members: DataFrame, most: int, across: bool) -> DataFrame:
-    """Pairs a < b of members (key, m, rep, sketch, comp) of one band, at most `most` flips apart.
-
-    Without across: a spanning forest in each block; with it: every pair of different comp.
-    """
+def candidates(members: DataFrame, most: int) -> DataFrame:
+    """Pairs a < b of members (key, m, rep, sketch) of one band, at most `most` flips apart: a spanning forest in each block."""
     p = parallelism(members.sparkSession)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = members.withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
     rows = rows.withColumn("o", F.explode(F.expr("if(nb = 1, array(0), filter(sequence(0, nb - 1), x -> x <> b))")))
     rows = rows.withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o"))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(16 * p)).cast("int")).select("g", "key", "lo", "hi", "rep", "sketch", "comp")
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(16 * p)).cast("int")).select("g", "key", "lo", "hi", "rep", "sketch")
 
     def pairs(key, table):
         table = table.sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("rep", "ascending")])
-        rep, comp = table["rep"].to_numpy(), table["comp"].to_numpy()
+        rep = table["rep"].to_numpy()
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), U).reshape(-1, SKETCH_BITS // 64)
         same = np.ones(len(rep), bool)
         same[0] = False
@@ -155,17 +154,11 @@ def candidates(members: DataFrame, most: int, across: bool) -> DataFrame:
         end = np.append(start[1:], len(rep))
         two = start[end - start == 2]
         ok = np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1, dtype=np.int64) <= most
-        if across:
-            ok &= comp[two] != comp[two + 1]
         found = [np.stack([two[ok], two[ok] + 1], 1)]
         for a, b in zip(start.tolist(), end.tolist(), strict=True):
             if b - a < 3:
                 continue
-            if across:
-                for i in range(a, b - 1):
-                    j = i + 1 + np.flatnonzero((comp[i + 1 : b] != comp[i]) & (_flips(sketch[i:b], 0)[1:] <= most))
-                    found.append(np.stack([np.full(len(j), i), j], 1))
-            elif edges := _forest(sketch[a:b], most):
+            if edges := _forest(sketch[a:b], most):
                 found.append(np.array(edges) + a)
         at = np.concatenate(found)
         a, b = rep[at[:, 0]], rep[at[:, 1]]
@@ -176,17 +169,14 @@ def candidates(members: DataFrame, most: int, across: bool) -> DataFrame:
     return rows.repartition(p, "g").groupBy("g").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole shingle sets meet the threshold; pairs is a written table, read a few times."""
-    spark = docs.sparkSession
-    p = parallelism(spark)
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and text of these documents, and of a few others: a filter of fixed size keeps most out of the shuffle."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     words_of = ids.select((place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), {_FILTER_BITS}), 64) as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
     bitmap = np.zeros(_FILTER_BITS // 64, np.int64)
-    for r in words_of.toLocalIterator():  # a filter of fixed size, 4 MB
+    for r in words_of.toLocalIterator():  # 4 MB at most
         bitmap[r["w"]] = r["bits"]
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +184,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             hit = (shared.value[at // 64].view(U) >> (at % 64).astype(U) & U(1)).astype(bool)
             yield batch.filter(pa.array(hit)).select(["doc_id", "text"])
 
-    texts = docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(wanted, "doc_id long, text string")
+    return docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(wanted, "doc_id long, text string")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose whole shingle sets meet the threshold; pairs is a written table, read a few times."""
+    p = parallelism(docs.sparkSession)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
     members = salted.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
     hubs = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
@@ -224,6 +220,67 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return rows.repartition(p, "g").groupBy("g").applyInArrow(compare, "a long, b long")
 
 
+def across(tried: DataFrame, comps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b as components) between the components of each family, a family being what the tried pairs hang together.
+
+    Families of one component are done.  In the others, components of many
+    documents fill blocks of their own and the rest share blocks; each pair of
+    blocks that isn't of one component is compared in full, all sets at once, as
+    products of their incidence matrices.  A task gives one row for each pair of
+    components that it joins, not for each pair of documents.
+    """
+    spark = docs.sparkSession
+    p = parallelism(spark)
+    families = components(tried).withColumnRenamed("node", "rep").withColumnRenamed("comp", "family")
+    members = families.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = members.groupBy("family").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("family")
+    members = written(members.join(mixed, "family", "left_semi"))
+    sizes = members.groupBy("family", "comp").agg(F.count("*").alias("s"))
+    small = F.when(F.col("s") < PURE, F.col("s"))
+    rest = written(sizes.groupBy("family").agg(F.coalesce(F.sum(small), F.lit(0)).alias("rest")))
+    big = F.col("s") >= PURE
+    of = F.when(big, F.pmod(F.xxhash64("rep"), F.ceil(F.col("s") / BLOCK))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("rest") / BLOCK)))
+    blocked = members.join(written(sizes), ["family", "comp"]).join(rest, "family").select("rep", "comp", "family", F.when(big, F.col("comp")).alias("pure"), of.alias("no"))
+    blocked = blocked.withColumn("block", F.xxhash64("family", F.coalesce("pure", F.lit(-1)), F.col("pure").isNull(), "no"))
+    blocked = written(blocked)
+    blocks = written(blocked.select("family", "pure", "block").distinct())
+    x, y = blocks.alias("x"), blocks.alias("y")
+    met = x.join(y, F.col("x.family") == F.col("y.family")).where("x.block <= y.block and not (x.pure <=> y.pure and x.pure is not null)")
+    met = met.select(F.col("x.block").alias("lo"), F.col("y.block").alias("hi"))
+    sides = written(met.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block")))
+    rows = sides.join(blocked.select("block", "rep", "comp"), "block").select("lo", "hi", "rep", "comp")
+    texts = texts_of(blocked.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep")
+    rows = rows.join(texts, "rep").withColumn("g", F.pmod(F.xxhash64("lo", "hi"), F.lit(64 * p)).cast("int")).select("g", "lo", "hi", "comp", "text")
+
+    def compare(key, table):
+        table = table.sort_by([("lo", "ascending"), ("hi", "ascending")]).combine_chunks()
+        lo, hi, comp = (table[c].to_numpy() for c in ("lo", "hi", "comp"))
+        edge = np.flatnonzero(np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))) if len(lo) else []
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(edge, [*edge[1:], len(lo)], strict=True):
+            own = table.slice(a, b - a)
+            sets = [s for batch in own.to_batches() for part in slices(batch, "text", 2 << 20) for s in shingle_sets(part["text"], words)]
+            size = np.array([len(s) for s in sets])
+            ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            row = np.repeat(np.arange(len(sets)), size)
+            meet = np.zeros((len(sets), len(sets)))
+            order = np.argsort(ids, kind="stable")
+            ids, row = ids[order], row[order]
+            for start in range(0, int(ids[-1]) + 1 if len(ids) else 0, 4096):
+                u, v = np.searchsorted(ids, [start, start + 4096])
+                part = np.zeros((len(sets), 4096), np.float32)
+                part[row[u:v], ids[u:v] - start] = 1
+                meet += part @ part.T
+            c = comp[a:b]
+            linked = (meet > 0) & (100 * meet >= percent * (size[:, None] + size[None, :] - meet)) & (c[:, None] < c[None, :])
+            i, j = np.nonzero(linked)
+            found.append(np.unique(np.stack([c[i], c[j]], 1), axis=0))
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+    return rows.repartition(p, "g").groupBy("g").applyInArrow(compare, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (least node reachable) of the edges a, b, by label spreading and pointer jumping; labels are cut to files each round."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -261,13 +318,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     shared = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = bands.join(shared, "key").join(own.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
     members = written(members.select("key", "m", "rep", "sketch"))
-    tried = written(candidates(members.withColumn("comp", F.lit(0).cast("long")), most, across=False))
+    tried = written(candidates(members, most))
     links = written(confirmed(tried, docs, words, percent))
     comps = components(links)
-    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    rest = candidates(placed.join(mixed, "key", "left_semi"), most, across=True).join(tried, ["a", "b"], "left_anti")
-    more = written(confirmed(written(rest), docs, words, percent))
+    more = written(across(tried, comps, docs, words, percent))
     final = components(links.union(more)) if more.limit(1).count() else comps
     reps = nodes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("component"))
     out = sig.drop("bands", "sketch").join(reps, ["d1", "d2", "n"], "left")
