@@ -14,12 +14,11 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.text import parallelism, written
+from tallyfold.llm.text import likely_in, parallelism, written
 
 MIN_CHARS = 10
 FUZZY_CHARS = 40
 EDITS = 2
-_FILTER_BITS = 1 << 22
 
 
 @contextmanager
@@ -101,12 +100,7 @@ def links(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     # only keys that two lines have are of use
     pairs = index.select("key", F.col("id").alias("a")).join(probes.select("key", F.col("id").alias("b")), "key").where("a <> b")
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    bits = F.pmod(F.xxhash64("h1"), F.lit(_FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h1"))
-    wanted = ids.groupBy((bits / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(h1), {_FILTER_BITS}), 64) as int))")).alias("bits"))
-    wanted = written(wanted)
-    # a filter of fixed size keeps the lines that no pair has out of the shuffle
-    texts = fuzzy.withColumn("w", (bits / 64).cast("int")).join(F.broadcast(wanted), "w").where(F.call_function("getbit", F.col("bits"), F.pmod(bits, F.lit(64)).cast("int")) == 1)
+    texts = likely_in(fuzzy, "h1", pairs.select(F.explode(F.array("a", "b")).alias("h1")))
     texts = written(texts.join(firsts, ["h1", "h2", "doc_id", "no"], "left_semi").select("h1", F.split("line", "").alias("c")))
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("c").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("c").alias("y")), "b")
     return both.repartition(parallelism(spark), "a", "b").where(within_edits(F.col("x"), F.col("y"), edits)).select("a", "b")

@@ -164,3 +164,19 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str, size: int = 4 << 20):
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+FILTER_BITS = 1 << 22
+
+
+def likely_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is among the wanted ones (a column of that name), and a few others; no row is shuffled.
+
+    The wanted keys become a bit table of fixed size, FILTER_BITS / 64 rows at
+    most, which is broadcast.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(`{key}`), {FILTER_BITS}), 64) as int))")
+    table = wanted.groupBy(F.floor(place / 64).cast("int").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    hit = rows.withColumn("_word", F.floor(place / 64).cast("int")).join(F.broadcast(written(table)), "_word")
+    return hit.where(F.call_function("getbit", F.col("_bits"), F.pmod(place, F.lit(64)).cast("int")) == 1).drop("_word", "_bits")
