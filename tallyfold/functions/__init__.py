@@ -1 +1 @@
-"""."""
+"""Column functions: content digests and Student t."""

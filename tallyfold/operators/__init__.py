@@ -1 +1 @@
-"""."""
+"""Operators on ledgers, state tables and run tables."""

@@ -1 +1 @@
-"""."""
+"""Readers and writers of ledgers, records, blobs and result bundles."""

@@ -1 +1 @@
-"""."""
+"""Jobs that follow growing ledgers."""
