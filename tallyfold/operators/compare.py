@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.digest import draw
 from tallyfold.functions.student import t_critical
+from tallyfold.operators.lineage import kept
 
 KEY = ["ledger_id", "protocol_id", "comparison_id"]
 #: Values of a comparison that the bootstrap holds in one array; more go by rows and a shuffle.
@@ -162,7 +163,7 @@ def compare(runs: DataFrame, comparisons: DataFrame, intervals: bool = True) ->
     registered = comparisons.withColumn("effective", effective_level(F.col("level"), F.col("policy"), F.count("*").over(Window.partitionBy("ledger_id", "protocol_id"))))
     values = observations(runs, registered)
     rows = registered.join(_arms(values), KEY, "left").join(_paired(values.join(registered.where("pairing = 'paired'").select(*KEY), KEY)), KEY, "left")
-    rows = rows.na.fill(0, ["n_t", "n_c", "n_d", "bad_values", "bad_pairs"])
+    rows = kept(rows.na.fill(0, ["n_t", "n_c", "n_d", "bad_values", "bad_pairs"]))  # a row for each comparison
     paired = F.col("pairing") == "paired"
     problem = F.when((F.col("n_t") == 0) | (F.col("n_c") == 0), "an arm has no runs that count").when(F.col("bad_values") > 0, "a value is missing or not finite").when(paired & (F.col("bad_pairs") > 0), "arms don't have the same unique seeds")
     rows = rows.withColumn("problem", problem)
@@ -193,8 +194,11 @@ def compare(runs: DataFrame, comparisons: DataFrame, intervals: bool = True) ->
     if intervals:
         # one row per comparison reaches the solver
         rows = rows.withColumn("margin", F.when(F.col("se") > 0, t_critical(F.col("effective_level"), F.col("df")) * F.col("se")).when(F.col("se") == 0, 0.0))
-        boot = bootstrap(values, rows.where("unc_method = 'bootstrap'").withColumn("effective", F.col("effective_level")))
-        rows = rows.join(boot, KEY, "left")
+        wanted = rows.where("unc_method = 'bootstrap'").withColumn("effective", F.col("effective_level"))
+        if wanted.isEmpty():
+            rows = rows.withColumn("lower", F.lit(None).cast("double")).withColumn("upper", F.lit(None).cast("double"))
+        else:
+            rows = rows.join(bootstrap(values, wanted), KEY, "left")
         rows = rows.withColumn("lower", F.coalesce(F.col("estimate") - F.col("margin"), F.col("lower"))).withColumn("upper", F.coalesce(F.col("estimate") + F.col("margin"), F.col("upper")))
     else:
         rows = rows.withColumn("lower", F.lit(None).cast("double")).withColumn("upper", F.lit(None).cast("double"))
@@ -247,7 +251,7 @@ def recheck(recorded: DataFrame, runs: DataFrame, comparisons: DataFrame, tolera
     tag = F.concat_ws("@", "protocol_id", "as_of")
     then = before.withColumn("protocol_id", tag).drop("as_of", "sequence")
     spec = comparisons.join(at, ["ledger_id", "protocol_id"]).withColumn("protocol_id", tag).drop("as_of")
-    rebuilt = compare(then, spec).select(*KEY, *(F.col(c).alias(f"new_{c}") for c in ("estimate", "lower", "upper")))
+    rebuilt = kept(compare(then, spec)).select(*KEY, *(F.col(c).alias(f"new_{c}") for c in ("estimate", "lower", "upper")))
     old = recorded.withColumn("own_protocol", F.col("protocol_id")).withColumn("protocol_id", F.concat_ws("@", "protocol_id", "sequence"))
     differs = lambda a, b: ~F.coalesce(F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(b)), a.isNull() & b.isNull())
     both = old.join(rebuilt, KEY, "left")
