@@ -576,3 +576,112 @@ select user_id as ledger_id, "check", n::bigint n, case when n = 0 then 'PASS' e
 def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tampered(spark, sf_dir)
     return reads.health(rows, {"links": chain.broken_links(rows), "digests": chain.wrong_digests(rows, views.body())})
+
+
+def _study_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ledger per nation: a customer is a program, an open order evidence, a pending one a run, a finished one an assessment."""
+    from tallyfold.plans.views import table as t
+
+    customers, orders = t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders")
+    json = lambda *c: F.to_json(F.struct(*c))
+    program = F.concat(F.lit("RP-"), F.col("c_custkey").cast("string"))
+    made = customers.select(F.col("c_nationkey").cast("string").alias("ledger_id"), F.col("c_custkey").alias("sequence"), F.lit("program.created").alias("type"), program.alias("object_id"), json(F.lower("c_mktsegment").alias("slug"), F.col("c_name").alias("title")).alias("payload"))
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    kind = F.create_map(F.lit("O"), F.lit("evidence.recorded"), F.lit("P"), F.lit("run.recorded"), F.lit("F"), F.lit("assessment.recorded"))[F.col("o_orderstatus")]
+    # every 40th order names a program that doesn't exist, every 60th has the id of the order before it
+    of = F.when(F.col("o_orderkey") % 40 == 0, F.lit("RP-none")).otherwise(program)
+    own = F.concat(F.lit("X-"), F.when(F.col("o_orderkey") % 60 == 7, F.col("c_custkey") * 0 - 1).otherwise(F.col("o_orderkey")).cast("string"))
+    later = rows.select(F.col("c_nationkey").cast("string").alias("ledger_id"), (F.col("o_orderkey") + 10_000_000).alias("sequence"), kind.alias("type"), own.alias("object_id"), json(of.alias("program_id"), F.lit("FORMAL").alias("phase"), F.col("o_orderpriority").alias("source"), F.lit("seen").alias("observation")).alias("payload"))
+    both = made.unionByName(later)
+    return both.select("*", F.concat(F.lit("CE-"), F.col("sequence").cast("string")).alias("event_id"), F.lit("t").alias("occurred_at"))
+
+
+@query(
+    """with r as (select c_custkey k, max(case o_orderstatus when 'F' then 3 when 'P' then 2 when 'O' then 1 else 0 end) filter (o_orderkey is null or o_orderkey % 40 <> 0) r
+from customer left join orders on o_custkey = c_custkey group by 1),
+n as (select c_nationkey::varchar ledger_id, 'RP-none' program_id, max(case o_orderstatus when 'F' then 3 when 'P' then 2 else 1 end) r from customer join orders on o_custkey = c_custkey where o_orderkey % 40 = 0 group by 1),
+a as (select c_nationkey::varchar ledger_id, 'RP-' || k program_id, coalesce(r, 0) r from r join customer on c_custkey = k union all select * from n)
+select ledger_id, program_id, case r when 3 then 'EVALUATED' when 2 then 'RUNNING' when 1 then 'EVIDENCE_RECORDED' else 'IDEA' end status from a"""
+)
+def program_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Furthest state of every program of the study ledgers."""
+    from tallyfold.operators import state
+
+    return state.program_status(_study_log(spark, sf_dir))
+
+
+@query(
+    """with o as (select c_nationkey::varchar l, o_orderkey k, o_orderstatus s, row_number() over (partition by c_nationkey, o_orderstatus order by o_orderkey) n from customer join orders on o_custkey = c_custkey where o_orderkey % 60 = 7)
+select l as ledger_id, k + 10000000 as sequence, 'duplicate id' as rule from o where n > 1
+union all select c_nationkey::varchar, o_orderkey + 10000000, 'unknown reference' from customer join orders on o_custkey = c_custkey where o_orderkey % 40 = 0"""
+)
+def state_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What breaks a rule across objects in the study ledgers."""
+    from tallyfold.operators import state
+
+    return state.audit(_study_log(spark, sf_dir)).select("ledger_id", "sequence", "rule")
+
+
+@query(
+    """with o as (select o_orderkey, o_orderstatus s, o_totalprice p, o_orderpriority y, o_orderdate d from orders),
+v as (select o_orderkey, 'o_orderstatus: not one of its values' r, s not in ('O', 'F') b from o union all select o_orderkey, 'o_totalprice: out of bounds', p < 1000 or p > 400000 from o
+union all select o_orderkey, 'o_orderpriority: pattern', not regexp_matches(y, '^[1-3]-') from o union all select o_orderkey, 'finished: urgent', s = 'F' and y <> '1-URGENT' from o
+union all select o_orderkey, 'o_orderpriority: too short', length(y) < 6 from o)
+select o_orderkey, r as rule from v where b"""
+)
+def record_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule table over orders, evaluated in one pass."""
+    from tallyfold.operators import contracts as k
+
+    table_ = [k.one_of("o_orderstatus", ["O", "F"]), k.between("o_totalprice", 1000, 400000), k.pattern("o_orderpriority", "^[1-3]-"), k.filled("o_orderpriority", 6), k.implies("finished: urgent", F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "1-URGENT")]
+    return k.breaches(table(spark, sf_dir, "orders"), table_, ["o_orderkey"])
+
+
+@query("select event_id, 'sha256:' || sha256('{\"k\":' || json_extract_string(props, '$.k') || '}') as digest from events")
+def canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content digests of canonical JSON."""
+    from tallyfold.functions.digest import json_digest
+
+    return table(spark, sf_dir, "events").select("event_id", json_digest(F.col("props")).alias("digest"))
+
+
+@query(
+    """with v as (select user_id, count(*) filter (event_type = 'purchase' and event_id % 3 <> 0) t, count(*) filter (event_type = 'error' and event_id % 3 <> 1) c from events group by 1)
+select user_id as seed, (t > 1 or c > 1 or t = 0 or c = 0) faulty from v where t + c > 0"""
+)
+def pair_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds at which treatment and control don't meet one to one."""
+    rows = table(spark, sf_dir, "events")
+    t, c = "event_type = 'purchase' and event_id % 3 <> 0", "event_type = 'error' and event_id % 3 <> 1"
+    values = rows.select(F.lit("L").alias("ledger_id"), F.lit("P").alias("protocol_id"), F.lit("c").alias("comparison_id"), F.expr(f"case when {t} then 't' when {c} then 'c' end").alias("side"), F.col("event_id").cast("string").alias("run_id"), F.col("user_id").alias("seed"), "value").where("side is not null")
+    return compare.pairs(values).select("seed", "faulty")
+
+
+@query(
+    """with n as (select c_custkey k, p from customer, (values ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM')) v(p) where c_custkey % 3 = 0)
+select k::varchar as experiment_id, p as need from n where not exists (select 1 from orders where o_custkey = k and o_orderpriority = p)"""
+)
+def pilot_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required arms that no recorded pilot run has."""
+    key = F.col("c_custkey").cast("string").alias("experiment_id")
+    experiments = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.lit("L").alias("ledger_id"), key)
+    required = experiments.withColumn("need", F.explode(F.array(*(F.lit(p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM")))))
+    recorded = table(spark, sf_dir, "orders").select(F.lit("L").alias("ledger_id"), F.col("o_custkey").cast("string").alias("experiment_id"), F.col("o_orderpriority").alias("need"))
+    return rules.pilot_gaps(experiments, required, recorded).select("experiment_id", "need")
+
+
+@query("select o_custkey, case when count(*) = 1 then min(o_orderkey) end o_orderkey, count(*) n from orders where o_orderstatus = 'P' group by 1")
+def sole_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one pending order of a customer, or how many there are."""
+    return rules.sole_active(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), ["o_custkey"], "o_orderkey")
+
+
+@query(
+    """with f as (select o_orderkey q, l_linenumber i, l_partkey id, l_returnflag s from lineitem join orders on o_orderkey = l_orderkey where l_linenumber <= 3 and o_orderkey % 2 = 0)
+select p_partkey as id, coalesce(arg_max(s, (q, i, s)), 'PROPOSED') status from part left join f on f.id = p_partkey group by 1"""
+)
+def last_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the status of the last finding on each."""
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3 and l_orderkey % 2 = 0").select(F.lit("L").alias("ledger_id"), F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("sequence"), F.struct("l_linenumber", "l_returnflag").alias("position"), F.col("l_returnflag").alias("status"))
+    objects = table(spark, sf_dir, "part").select(F.lit("L").alias("ledger_id"), F.col("p_partkey").alias("id"), F.lit("PROPOSED").alias("status"))
+    return rules.last_findings(rows, objects).select("id", "status")
