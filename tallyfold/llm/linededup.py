@@ -75,8 +75,8 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start, size + F.when(F.lit(i) >= edits + 1 - longer, 1).otherwise(0)
 
 
-def _entries(distinct: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    """Index and probe rows (key, id, a sample of the line's length) of distinct lines."""
+def _entries(distinct: DataFrame, edits: int) -> DataFrame:
+    """key, id, probe of distinct lines: what indexes a line, and what it looks for (probe)."""
     n = F.char_length("line")
     key = lambda length, i, start, size: F.xxhash64(length, F.lit(i), F.substring(F.col("line"), start + 1, size))
     index, probes = [], []
@@ -87,23 +87,43 @@ def _entries(distinct: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
             start, size = _segment(n - shorter, i, edits)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
                 probes.append(key(n - shorter, i, start + shift, size))
-    pick = lambda keys: distinct.select(F.col("h1").alias("id"), F.explode(F.array_distinct(F.array(*keys))).alias("key"))
-    return pick(index), pick(probes)
+    both = F.array(*(F.struct(k.alias("key"), F.lit(probe).alias("probe")) for keys, probe in ((index, False), (probes, True)) for k in keys))
+    return distinct.select(F.col("h1").alias("id"), F.explode(F.array_distinct(both)).alias("e")).select("e.key", "id", "e.probe")
+
+
+def parities(chars: Column) -> Column:
+    """Two 64-bit words for a line's characters and its pairs of neighbours: the parity of how many fall on each bit."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    start = F.struct(F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"), F.lit("").alias("last"))
+    step = lambda a, x: F.struct(a["one"].bitwiseXOR(bit(x)).alias("one"), a["two"].bitwiseXOR(bit(F.concat(a["last"], x))).alias("two"), x.alias("last"))
+    return F.aggregate(chars, start, step)
 
 
 def links(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
-    """Pairs of distinct lines (a, b by h1) within the edits; firsts: h1, h2, doc_id, no of each distinct line."""
-    spark = docs.sparkSession
+    """Pairs of distinct lines (a, b by h1) within the edits; firsts: h1, h2, doc_id, no of each distinct line.
+
+    An edit changes two characters' parities and four pairs' at most, so lines
+    of one segment whose parities are further apart are no pair; that is part
+    of the join's condition and keeps many variants of one line from being
+    written out against each other.
+    """
+    p = parallelism(docs.sparkSession)
     fuzzy = lines(docs).where(F.char_length("line") >= FUZZY_CHARS)
     distinct = fuzzy.join(firsts, ["h1", "h2", "doc_id", "no"], "left_semi").select("h1", "line")
-    index, probes = _entries(distinct, edits)
-    # only keys that two lines have are of use
-    pairs = index.select("key", F.col("id").alias("a")).join(probes.select("key", F.col("id").alias("b")), "key").where("a <> b")
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    texts = likely_in(fuzzy, "h1", pairs.select(F.explode(F.array("a", "b")).alias("h1")))
-    texts = written(texts.join(firsts, ["h1", "h2", "doc_id", "no"], "left_semi").select("h1", F.split("line", "").alias("c")))
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("c").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("c").alias("y")), "b")
-    return both.repartition(parallelism(spark), "a", "b").where(within_edits(F.col("x"), F.col("y"), edits)).select("a", "b")
+    entries = _entries(distinct, edits).repartition(p, "key")
+    met = entries.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.min("probe").alias("i"), F.max("probe").alias("o")).where("x < y and not i and o").select("key")
+    met = written(entries.join(met, "key", "left_semi"))
+    texts = likely_in(fuzzy, "h1", met.select(F.col("id").alias("h1")))
+    texts = texts.join(firsts, ["h1", "h2", "doc_id", "no"], "left_semi").select(F.col("h1").alias("id"), F.split("line", "").alias("c"))
+    texts = written(texts.withColumn("s", parities(F.col("c"))).select("id", "c", "s.one", "s.two"))
+    signed = met.join(texts.select("id", "one", "two"), "id")
+    a = signed.where("not probe").select("key", F.col("id").alias("a"), F.col("one").alias("a1"), F.col("two").alias("a2"))
+    b = signed.where("probe").select("key", F.col("id").alias("b"), F.col("one").alias("b1"), F.col("two").alias("b2"))
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    near = (a["key"] == b["key"]) & (F.col("a") != F.col("b")) & (apart("a1", "b1") <= 2 * edits) & (apart("a2", "b2") <= 4 * edits)
+    pairs = a.join(b, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("c").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("c").alias("y")), "b")
+    return both.repartition(p, "a", "b").where(within_edits(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
 def remove_lines(docs: DataFrame, edits: int = EDITS, out: str = "lines") -> DataFrame:
