@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.text import written
+
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Labelled findings that the forest is trained on: those of least hash.
 TRAIN_FINDINGS = 20_000
@@ -104,7 +106,7 @@ def scan(docs: DataFrame, path: Column, labelled: DataFrame | None = None, words
     Repeated rows are repeated findings.  An empty table gives none.
     """
     docs = docs.select("doc_id", "text", path.alias("_path"))
-    found = features(candidates(docs, F.col("_path")), dictionary(docs) if words is None else words)
+    found = written(features(candidates(docs, F.col("_path")), dictionary(docs) if words is None else words))  # read again by each pass of the training
     model = train(labelled) if labelled is not None else None
     model = model or train(weak_labels(found))
     if model is None:
