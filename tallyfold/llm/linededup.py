@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.text import likely_in, parallelism, written
@@ -76,19 +76,17 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
 
 
 def _entries(distinct: DataFrame, edits: int) -> DataFrame:
-    """key, id, probe of distinct lines: what indexes a line, and what it looks for (probe)."""
+    """key, id, index of distinct lines: what each looks for, and whether it is also found by it."""
     n = F.char_length("line")
     key = lambda length, i, start, size: F.xxhash64(length, F.lit(i), F.substring(F.col("line"), start + 1, size))
-    index, probes = [], []
+    keys = []
     for i in range(edits + 1):
-        start, size = _segment(n, i, edits)
-        index.append(key(n, i, start, size))
         for shorter in range(edits + 1):
             start, size = _segment(n - shorter, i, edits)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                probes.append(key(n - shorter, i, start + shift, size))
-    both = F.array(*(F.struct(k.alias("key"), F.lit(probe).alias("probe")) for keys, probe in ((index, False), (probes, True)) for k in keys))
-    return distinct.select(F.col("h1").alias("id"), F.explode(F.array_distinct(both)).alias("e")).select("e.key", "id", "e.probe")
+                own = shorter == 0 and shift == 0  # the line's own segment, by which it is indexed
+                keys.append(F.struct(key(n - shorter, i, start + shift, size).alias("key"), F.lit(own).alias("index")))
+    return distinct.select(F.col("h1").alias("id"), F.explode(F.array(*keys)).alias("e")).select("e.key", "id", "e.index")
 
 
 def parities(chars: Column) -> Column:
@@ -110,15 +108,15 @@ def links(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     p = parallelism(docs.sparkSession)
     fuzzy = lines(docs).where(F.char_length("line") >= FUZZY_CHARS)
     distinct = fuzzy.join(firsts, ["h1", "h2", "doc_id", "no"], "left_semi").select("h1", "line")
-    entries = _entries(distinct, edits).repartition(p, "key")
-    met = entries.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.min("probe").alias("i"), F.max("probe").alias("o")).where("x < y and not i and o").select("key")
-    met = written(entries.join(met, "key", "left_semi"))
+    of = Window.partitionBy("key")
+    entries = _entries(distinct, edits).select("key", "id", "index", F.min("id").over(of).alias("x"), F.max("id").over(of).alias("y"), F.max("index").over(of).alias("i"))
+    met = written(entries.where("x < y and i").select("key", "id", "index"))  # one shuffle of the entries; what no other line meets goes
     texts = likely_in(fuzzy, "h1", met.select(F.col("id").alias("h1")))
     texts = texts.join(firsts, ["h1", "h2", "doc_id", "no"], "left_semi").select(F.col("h1").alias("id"), F.split("line", "").alias("c"))
     texts = written(texts.withColumn("s", parities(F.col("c"))).select("id", "c", "s.one", "s.two"))
     signed = met.join(texts.select("id", "one", "two"), "id")
-    a = signed.where("not probe").select("key", F.col("id").alias("a"), F.col("one").alias("a1"), F.col("two").alias("a2"))
-    b = signed.where("probe").select("key", F.col("id").alias("b"), F.col("one").alias("b1"), F.col("two").alias("b2"))
+    a = signed.where("index").select("key", F.col("id").alias("a"), F.col("one").alias("a1"), F.col("two").alias("a2"))
+    b = signed.select("key", F.col("id").alias("b"), F.col("one").alias("b1"), F.col("two").alias("b2"))
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     near = (a["key"] == b["key"]) & (F.col("a") != F.col("b")) & (apart("a1", "b1") <= 2 * edits) & (apart("a2", "b2") <= 4 * edits)
     pairs = a.join(b, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
