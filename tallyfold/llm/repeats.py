@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.text import MUL, U, mix, parallelism, powers, slices, written
+from tallyfold.llm.text import MUL, U, discard, mix, parallelism, powers, slices, written
 
-SLICE_BYTES = 3 << 20
-_SUB = 24  # bits of a key within its bucket, where a few chance hits do no harm
+SLICE_BYTES = 1 << 20
+_SUB = 28  # bits of a key within its bucket, where a few chance hits do no harm
 _LOW = (1 << _SUB) - 1
 _STEP = 0xFFFF
 _PACKED = "bucket int, part int, keys binary, ends binary, docs binary"
@@ -71,6 +71,12 @@ class Units:
         self.anchor, self.seed, self.doc, self.lo, self.hi, self.behind = anchor[ok], seed[ok], doc[ok], lo[ok], hi[ok], behind
         return self
 
+    def spread(self, which: np.ndarray) -> np.ndarray:
+        """Places where the windows over these anchors start."""
+        d = np.bincount(self.lo[which], minlength=self.n + 2)
+        d -= np.bincount(self.hi[which] + 1, minlength=self.n + 2)
+        return np.cumsum(d)[: self.n] > 0
+
     def reach(self) -> np.ndarray:
         """Hash of all that windows over each anchor touch, and of where the anchor is in it."""
         shape = (self.anchor - self.lo) * (self.behind + 1) + (self.hi - self.anchor + self.behind)
@@ -98,7 +104,7 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and key within it, as bucket << 24 | key, in the order of the hashes."""
+    """Bucket and key within it, as bucket << 28 | key, in the order of the hashes."""
     return ((hashes >> U(16)) * U(buckets) >> U(48 - _SUB)).astype(np.int64)
 
 
@@ -159,11 +165,18 @@ class Among:
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
-    """Places of the keys that may be there twice; all that are, and few others."""
-    bits = U(64 - max(8, min(24, int(8 * len(keys) + 1).bit_length())))
+    """Places of the keys that are there twice or more, ascending."""
+    bits = U(64 - max(8, min(23, int(4 * len(keys) + 1).bit_length())))
     slot = (keys.astype(U) * MUL[8]) >> bits
-    once = np.bincount(slot.astype(np.int64), minlength=1)
-    return np.flatnonzero(once[slot.astype(np.int64)] > 1)
+    last = np.zeros(1 << (64 - int(bits)), np.int32)
+    place = np.arange(len(keys), dtype=np.int32)
+    last[slot] = place
+    met = np.zeros(len(last), bool)
+    met[slot[last[slot] != place]] = True
+    at = np.flatnonzero(met[slot])  # those that share a slot, then those that share a key
+    s = np.sort(keys[at])
+    twice = Among(np.unique(s[1:][s[1:] == s[:-1]]))
+    return at[twice.places(keys[at])[0]]
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,13 +256,10 @@ class Search:
 
         def shared(kind):
             def merge(key, rows):
-                once, twice = np.zeros(1 << _SUB, bool), np.zeros(1 << _SUB, bool)
-                blobs = rows["keys"].to_pylist()
-                for blob in blobs:
-                    k = unpack(blob)
-                    twice[k] |= once[k]
-                    once[k] = True
-                out = [pack((k := unpack(blob))[twice[k]]) for blob in blobs]
+                keys = [unpack(blob) for blob in rows["keys"].to_pylist()]
+                every = np.sort(np.concatenate(keys).astype(np.uint32))
+                twice = Among(np.unique(every[1:][every[1:] == every[:-1]]).astype(np.int64))
+                out = [pack(k[twice.places(k)[0]]) for k in keys]
                 keep = [i for i, x in enumerate(out) if x]
                 parts = rows["part"].to_pylist()
                 return _table(_BACK, part=[parts[i] for i in keep], kind=[kind] * len(keep), bucket=[key[0].as_py()] * len(keep), keys=[out[i] for i in keep], docs=[b""] * len(keep))
@@ -257,11 +267,11 @@ class Search:
             return merge
 
         def kept_codes(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
-            """Places of the codes that another part has, or that are here twice; and a few more."""
-            twice = np.zeros(len(codes), bool)
-            twice[_repeated(codes)] = True
-            among = Among(known)
-            return np.flatnonzero(twice | among.table[among._slot(codes)])
+            """Places of the codes that another part has, or that are here twice."""
+            keep = np.zeros(len(codes), bool)
+            keep[_repeated(codes)] = True
+            keep[Among(known).places(codes)[0]] = True
+            return np.flatnonzero(keep)
 
         def reaches(key, docs, back):
             if not docs.num_rows:
@@ -282,62 +292,60 @@ class Search:
             order, at, group = _grouped(reach)
             least = np.minimum.reduceat(ids[order], at)[group]
             heads = np.sort(low[order[at]])  # one entry of each distinct reach
-            blurred = np.zeros(1 << _SUB, bool)
-            blurred[heads[1:][heads[1:] == heads[:-1]]] = True
+            blurred = np.zeros(len(low), bool)
+            blurred[Among(np.unique(heads[1:][heads[1:] == heads[:-1]])).places(low)[0]] = True
             out = {n: [] for n in ("part", "kind", "bucket", "keys", "docs")}
             for part, to in zip(rows["part"].to_pylist(), entries, strict=True):
                 e = to[least[to] < ids[to]]
                 out["part"] += [part] * 2
                 out["kind"] += [_REACH, _MIXED]
                 out["bucket"] += [key[0].as_py()] * 2
-                out["keys"] += [reach[e].tobytes(), pack(np.unique(low[to[blurred[low[to]]]]))]
+                out["keys"] += [reach[e].tobytes(), pack(np.unique(low[to[blurred[to]]]))]
                 out["docs"] += [_doc_bytes(least[e]), b""]
             return _table(_BACK, **out)
 
-        def marked(docs: pa.Table, back: pa.Table) -> Iterator[tuple[Units, pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
-            """Slices with, for each place, whether it starts an earlier window so far; the places that wait; and ids."""
+        def earlier_here(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
+            """Whether a key is in the part before: at an earlier place, or only if in a smaller document."""
+            out = np.zeros(len(keys), bool)
+            at = _repeated(keys)
+            order, start, group = _grouped(keys[at])
+            first = at[order[start]][group] if len(at) else at
+            out[at] = (first < at) if within else own[first] < own[at]
+            return out
+
+        def marked(docs: pa.Table, back: pa.Table) -> list[tuple[Units, pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+            """Slices with, for each place, whether it starts an earlier window so far; the places that wait; and their hashes and documents."""
+            parts = list(sliced(docs))
+            reach = np.concatenate([u.reach() for u, _, _ in parts])
+            own = np.concatenate([ids[u.doc] for u, _, ids in parts])
+            earlier = earlier_here(reach, own)
             known, least = known_docs(back, _REACH)
+            at, where = known.places(reach)
+            earlier[at] |= least[where] < own[at]
             mixed = Among(known_codes(back, _MIXED))
-            seen, seen_ids = np.zeros(0, U), np.zeros(0, np.int64)  # reaches of the part's slices before
-            for units, table, ids in sliced(docs):
-                reach, own = units.reach(), ids[units.doc]
-                earlier = np.zeros(len(reach), bool)
-                at, where = known.places(reach)
-                earlier[at] = least[where] < own[at]
-                at, where = Among(seen).places(reach)
-                earlier[at] |= within or seen_ids[where] < own[at]
-                at = _repeated(reach)
-                order, start, group = _grouped(reach[at])
-                first = at[order[start]][group] if len(at) else at
-                earlier[at] |= (first < at) if within else own[first] < own[at]
-
-                def spread(which, units=units):
-                    d = np.bincount(units.lo[which], minlength=units.n + 2)
-                    d -= np.bincount(units.hi[which] + 1, minlength=units.n + 2)
-                    return np.cumsum(d)[: units.n] > 0
-
-                done = spread(np.flatnonzero(earlier))
-                at, _ = mixed.places(_codes(units.seed, buckets))
-                yield units, table, done, np.flatnonzero(spread(at) & ~done), ids
-                both, both_ids = np.concatenate([seen, reach]), np.concatenate([seen_ids, own])
-                seen, at = _first(both)
-                seen_ids = both_ids[at]
-
-        def waiting(docs: pa.Table, back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            found = [(u.hash(w, u.length), ids[np.searchsorted(u.first, w, "right") - 1]) for u, _, _, w, ids in marked(docs, back)]
-            return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            out, done_so_far = [], 0
+            for units, table, ids in parts:
+                n = len(units.anchor)
+                done = units.spread(np.flatnonzero(earlier[done_so_far : done_so_far + n]))
+                waits = np.flatnonzero(units.spread(mixed.places(_codes(units.seed, buckets))[0]) & ~done)
+                out.append((units, table, done, waits, ids[np.searchsorted(units.first, waits, "right") - 1]))
+                done_so_far += n
+            return out
+
+        def waiting(slices_: list) -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([u.hash(w, u.length) for u, _, _, w, _ in slices_]), np.concatenate([own for *_, own in slices_])
 
         def shorts(key, docs, back):
             if not docs.num_rows:
                 return _table(_PACKED)
-            hashes, _ = waiting(docs, back)
+            hashes, _ = waiting(marked(docs, back))
             codes = np.unique(_codes(hashes, buckets))
             return _sent(key[0].as_py(), codes, buckets, lambda s: pack(codes[s] & _LOW))
 
         def singles(key, docs, back):
             if not docs.num_rows:
                 return _table(_PACKED)
-            hashes, ids = waiting(docs, back)
+            hashes, ids = waiting(marked(docs, back))
             keep = kept_codes(_codes(hashes, buckets), known_codes(back, _SHORT))
             hashes, at = _first(hashes[keep])
             ids, codes = ids[keep][at], _codes(hashes, buckets)
@@ -355,24 +363,17 @@ class Search:
         def finished(key, docs, back):
             if not docs.num_rows:
                 return empty_out
+            parts = marked(docs, back)
+            hashes, own = waiting(parts)
+            hit = earlier_here(hashes, own)
             known, least = known_docs(back, _WINDOW)
-            seen, seen_ids, out = np.zeros(0, U), np.zeros(0, np.int64), []
-            for units, table, done, waits, ids in marked(docs, back):
-                hashes, own = units.hash(waits, units.length), ids[np.searchsorted(units.first, waits, "right") - 1]
-                hit = np.zeros(len(waits), bool)
-                at, where = known.places(hashes)
-                hit[at] = least[where] < own[at]
-                at, where = Among(seen).places(hashes)
-                hit[at] |= within or seen_ids[where] < own[at]
-                at = _repeated(hashes)
-                order, start, group = _grouped(hashes[at])
-                first = at[order[start]][group] if len(at) else at
-                hit[at] |= (first < at) if within else own[first] < own[at]
-                done[waits[hit]] = True
+            at, where = known.places(hashes)
+            hit[at] |= least[where] < own[at]
+            out, n = [], 0
+            for units, table, done, waits, _ in parts:
+                done[waits[hit[n : n + len(waits)]]] = True
+                n += len(waits)
                 out.append(finish(units, table, done))
-                both, both_ids = np.concatenate([seen, hashes]), np.concatenate([seen_ids, own])
-                seen, at = _first(both)
-                seen_ids = both_ids[at]
             return pa.concat_tables(out)
 
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -381,8 +382,10 @@ class Search:
         empty_out = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
         first = self._round(seeds, shared(_SEED), None)
         second = self._round(reaches, settle, first)
+        discard(first)
         third = self._round(shorts, shared(_SHORT), second)
         fourth = self._round(singles, least_of, second.union(third))
+        discard(third)
         back = second.union(fourth).repartition(self.p, "part").groupBy("part")
         return self.docs.groupBy("part").cogroup(back).applyInArrow(finished, schema)
 
