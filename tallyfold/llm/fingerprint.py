@@ -93,8 +93,6 @@ def with_edits(docs: DataFrame) -> DataFrame:
     several = rows.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     # the shared hashes' texts once more, byte by byte
     again = docs.select(canonical(text_or_empty("text")).alias("canon"))
-    several = written(several)
-    again = likely_in(again.select("canon", wide_hash(F.col("canon")).alias("fp")), "fp", several).join(several, "fp", "left_semi")
-    collided = written(collisions(again))
+    collided = written(collisions(likely_in(again.select("canon", wide_hash(F.col("canon")).alias("fp")), "fp", several)))
     rows = told_apart(told_apart(rows, "fp", "cd", collided), "efp", "ed", collided)
     return rows.select("doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), "near_edited", "near_next")
