@@ -112,7 +112,8 @@ def links(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     entries = _entries(distinct, edits).select("key", "id", "index", F.min("id").over(of).alias("x"), F.max("id").over(of).alias("y"), F.max("index").over(of).alias("i"))
     met = written(entries.where("x < y and i").select("key", "id", "index"))  # one shuffle of the entries; what no other line meets goes
     texts = likely_in(fuzzy, "h1", met.select(F.col("id").alias("h1")))
-    texts = texts.join(firsts, ["h1", "h2", "doc_id", "no"], "left_semi").select(F.col("h1").alias("id"), F.split("line", "").alias("c"))
+    # an inner join (firsts are distinct): a semi-join would be pushed below the bit table
+    texts = texts.join(firsts, ["h1", "h2", "doc_id", "no"]).select(F.col("h1").alias("id"), F.split("line", "").alias("c"))
     texts = written(texts.withColumn("s", parities(F.col("c"))).select("id", "c", "s.one", "s.two"))
     signed = met.join(texts.select("id", "one", "two"), "id")
     a = signed.where("index").select("key", F.col("id").alias("a"), F.col("one").alias("a1"), F.col("two").alias("a2"))
