@@ -104,8 +104,10 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
 
         enc = encoding(path, pattern)
         for batch in batches:
-            raw = [enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) if x else b"" for x in batch[ids].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, out])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                raw = [enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) if x else b"" for x in part[ids].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*part.schema.names, out])
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 
