@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.text import likely_in, parallelism, written
 
-MIN_CHARS = 10
-FUZZY_CHARS = 40
 EDITS = 2
+#: Only blank lines aren't compared.
+MIN_CHARS = 1
+#: With fewer characters than segments, a line has no segment to be found by.
+FUZZY_CHARS = EDITS + 1
 
 
 @contextmanager
@@ -61,7 +63,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, no, line (trimmed), h1, h2 of the lines long enough to be compared."""
+    """doc_id, no, line (trimmed), h1, h2 of the lines that aren't blank."""
     rows = docs.where("text is not null and doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("line", F.trim("line"))
     rows = rows.where(F.char_length("line") >= MIN_CHARS)
     return rows.withColumn("h1", F.xxhash64(F.lit(1), "line")).withColumn("h2", F.xxhash64(F.lit(2), "line"))
@@ -76,7 +78,11 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
 
 
 def _entries(distinct: DataFrame, edits: int) -> DataFrame:
-    """key, id, index of distinct lines: what each looks for, and whether it is also found by it."""
+    """key, id, index of distinct lines: what each looks for, and whether it is also found by it.
+
+    Lines have edits + 1 characters at least, so no segment is empty; nothing is
+    looked for among shorter ones.
+    """
     n = F.char_length("line")
     key = lambda length, i, start, size: F.xxhash64(length, F.lit(i), F.substring(F.col("line"), start + 1, size))
     keys = []
@@ -85,8 +91,9 @@ def _entries(distinct: DataFrame, edits: int) -> DataFrame:
             start, size = _segment(n - shorter, i, edits)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
                 own = shorter == 0 and shift == 0  # the line's own segment, by which it is indexed
-                keys.append(F.struct(key(n - shorter, i, start + shift, size).alias("key"), F.lit(own).alias("index")))
-    return distinct.select(F.col("h1").alias("id"), F.explode(F.array(*keys)).alias("e")).select("e.key", "id", "e.index")
+                entry = F.struct(key(n - shorter, i, start + shift, size).alias("key"), F.lit(own).alias("index"))
+                keys.append(entry if shorter == 0 else F.when(n - shorter > edits, entry))
+    return distinct.select(F.col("h1").alias("id"), F.explode(F.array(*keys)).alias("e")).where("e is not null").select("e.key", "id", "e.index")
 
 
 def parities(chars: Column) -> Column:
@@ -106,7 +113,7 @@ def links(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     written out against each other.
     """
     p = parallelism(docs.sparkSession)
-    fuzzy = lines(docs).where(F.char_length("line") >= FUZZY_CHARS)
+    fuzzy = lines(docs).where(F.char_length("line") > edits)
     distinct = fuzzy.join(firsts, ["h1", "h2", "doc_id", "no"], "left_semi").select("h1", "line")
     of = Window.partitionBy("key")
     entries = _entries(distinct, edits).select("key", "id", "index", F.min("id").over(of).alias("x"), F.max("id").over(of).alias("y"), F.max("index").over(of).alias("i"))
@@ -132,8 +139,8 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, out: str = "lines") -> Dat
     line goes if the same line, or one within `edits` edits (insertions,
     deletions, substitutions of a character), is earlier: in a smaller doc_id,
     or above it in the same document.  Judged on the input, not on what is
-    left.  Lines of fewer than MIN_CHARS characters always stay, and those of
-    fewer than FUZZY_CHARS go only for the same line.
+    left.  Blank lines always stay, and lines of `edits` characters or fewer,
+    which any other such line is within the edits of, go only for the same line.
 
     docs keeps its rows and columns; one named `out` is replaced.  Null text
     has no lines and null kept; an empty text is one empty line.  Rows of null

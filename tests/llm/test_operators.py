@@ -171,6 +171,16 @@ def test_lines(spark, empty):
     assert all(r.lines.n_removed == 0 for r in linededup.remove_lines(alone).collect())
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_short_lines(spark, edits):
+    rng = random.Random(12)
+    line = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 39])))
+    menu = ["Read more", "Read more »", "Home | About", "Home | About us", "12 May 2024", "13 May 2024", "Share", "", " ", "ok"]
+    rows = [(i, "\n".join([line() for _ in range(3)] + rng.sample(menu, 3))) for i in range(40)]
+    got = {r.doc_id: r.lines.kept for r in linededup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits).collect()}
+    assert got == brute.deduped_lines(rows, edits, 1, edits + 1)
+
+
 def test_edit_distance_in_bits(spark):
     rng = random.Random(4)
     rows = []
