@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +24,22 @@ def edges(tables: dict[str, tuple[DataFrame, str, dict[str, str]]]) -> DataFrame
     return union(out)
 
 
-def closure(links: DataFrame, start: DataFrame, up: bool = False, most: int = 64) -> DataFrame:
+def closure(links: DataFrame, start: DataFrame, up: bool = False) -> DataFrame:
     """ledger_id, root, node, depth: all that the start ids (ledger_id, id) lead to; with up, all that leads to them.
 
-    One join with the edges for each step, on the nodes that are new; each step
-    is cut to files, so a lost executor repeats one step alone.
+    One join with the edges for each step, on the nodes that are new, until
+    there are none; each step is cut to files, so a lost executor repeats one
+    step alone.
     """
     step = links.select("ledger_id", F.col("dst" if up else "src").alias("node"), F.col("src" if up else "dst").alias("next")).distinct()
     frontier = start.select("ledger_id", F.col("id").alias("root"), F.col("id").alias("node")).distinct().withColumn("depth", F.lit(0))
     seen = frontier = kept(frontier)
-    for depth in range(1, most + 1):
+    for depth in count(1):
         new = frontier.join(step, ["ledger_id", "node"]).select("ledger_id", "root", F.col("next").alias("node")).distinct().join(seen, ["ledger_id", "root", "node"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = kept(new)
         if frontier.isEmpty():
-            break
+            return seen
         seen = kept(seen.unionByName(frontier))
-    return seen
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -65,15 +67,15 @@ def roots(parents: DataFrame) -> DataFrame:
             return now
 
 
-def references(events: DataFrame, most: int = 32) -> DataFrame:
+def references(events: DataFrame) -> DataFrame:
     """ledger_id, sequence, value: every string value at any depth of the payload (JSON text), and the event's own object.
 
-    Built once for all look-ups; each round opens one level of what is still nested.
+    Built once for all look-ups; each round opens one level of what is still nested, until nothing is.
     """
     own = events.select("ledger_id", "sequence", F.col("object_id").alias("value"))
     level = kept(events.select("ledger_id", "sequence", F.try_parse_json("payload").cast("string").alias("j")).where("j is not null"))
     found = [own]
-    for _ in range(most):
+    while True:
         level.createOrReplaceTempView("_open_payloads")
         parts = kept(level.sparkSession.sql("select ledger_id, sequence, to_json(value) as j, schema_of_variant(value) as t from _open_payloads, lateral variant_explode(parse_json(j))"))
         found.append(parts.where("t = 'STRING'").select("ledger_id", "sequence", F.from_json(F.concat(F.lit('{"v":'), F.col("j"), F.lit("}")), "v string")["v"].alias("value")))

@@ -209,6 +209,15 @@ def test_lineage_and_trace(spark):
     assert {(r.object_id, r.change) for r in changed.collect()} == {("1", "REMOVED"), ("2", "CHANGED"), ("3", "ADDED")}
 
 
+def test_lineage_and_trace_have_no_last_step(spark):
+    links = spark.createDataFrame([("L", str(i), str(i + 1), "k") for i in range(66)], "ledger_id string, src string, dst string, kind string").coalesce(1)
+    start = spark.createDataFrame([("L", "0")], "ledger_id string, id string").coalesce(1)
+    assert {(r.node, r.depth) for r in lineage.closure(links, start).collect()} == {(str(i), i) for i in range(67)}
+    payload = '{"a":' * 20 + "[" * 20 + '"deep"' + "]" * 20 + "}" * 20
+    events = spark.createDataFrame([("L", 1, "own", payload)], "ledger_id string, sequence long, object_id string, payload string").coalesce(1)
+    assert {r.value for r in lineage.references(events).collect()} == {"own", "deep"}
+
+
 def test_contracts(spark):
     schema = "run_id string, experiment_id string, protocol_id string, status string, phase string, disposition struct<included:boolean,reason:string,policy_reference:string>, metrics map<string,double>"
     rows = [("ok", "E", "P", "COMPLETED", None, (True, None, "P#1"), {"m": 1.0}), ("bad", "E", "P", "FAILED", "X", (True, "why", "Q#1"), {}), ("nan", None, "P", "COMPLETED", "PILOT", (False, None, None), {"m": float("nan")})]
