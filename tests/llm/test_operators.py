@@ -213,6 +213,22 @@ def test_shards(spark, docs, empty, shards):
     assert sharding.assign(empty, shards).count() == 0
 
 
+@pytest.mark.parametrize(("copies", "alike"), [((900,), 0), ((300, 120), 0), ((), 60)])
+def test_shards_beside_large_groups_are_near_equal(spark, copies, alike):
+    rows = [f"text {i}" for i in range(alike)] if alike else [f"{i:04d}" for i in range(1800)] + [f"hot{k}" for k, n in enumerate(copies) for _ in range(n)]
+    load, where = Counter(), {}
+    for r in sharding.assign(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 40).collect():
+        load[r.shard] += r["size"]
+        where[rows[r.doc_id]] = r.shard
+    groups = Counter()
+    for t in rows:
+        groups[brute.sha(t)[:32]] += len(t) + 16
+    assert len(load) == 40 and max(load.values()) == brute.smallest_capacity([groups[k] for k in sorted(groups)], 40)
+    hot = {where[f"hot{k}"] for k in range(len(copies))}
+    others = [n for k, n in load.items() if k not in hot]
+    assert max(others) <= 2.1 * min(others) and max(others) <= (2.1 if alike else 1.1) * sum(others) / len(others)
+
+
 def canonical(t):
     nfkc = lambda x: unicodedata.normalize("NFKC", x)
     return re.sub(r"\s+", " ", nfkc(nfkc(t).casefold())).strip()
