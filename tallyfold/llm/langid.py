@@ -23,7 +23,6 @@ from tallyfold.llm.text import _FOLDED, Texts, slices
 GRAMS = 1 << 16
 #: Labelled rows that the trigram model is fitted on: those of least text hash.
 TRAIN_ROWS = 4_000
-MAX_LANGUAGES = 64
 #: Rows' worth of the parent's share that a host's or suffix's own counts are smoothed with.
 STRENGTH = 20.0
 #: Least posterior of a language for a text to be kept.
@@ -42,6 +41,7 @@ def _grams(texts: Texts) -> np.ndarray:
 class Model:
     languages: list[str]
     logp: np.ndarray  # trigram, language
+    bytes_logp: np.ndarray  # byte, whatever the language
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS) -> Model:
@@ -58,30 +58,42 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", rows: in
                 texts = Texts(part["text"])
                 grams = _grams(texts)
                 for lang, a, b in zip(part["label"].to_pylist(), texts.start.tolist(), texts.end.tolist(), strict=True):
-                    sums.setdefault(lang, np.zeros(GRAMS, np.int64))
-                    sums[lang] += np.bincount(grams[a : max(a, b - 2)], minlength=GRAMS)
+                    sums.setdefault(lang, np.zeros(GRAMS + 256, np.int64))
+                    sums[lang][:GRAMS] += np.bincount(grams[a : max(a, b - 2)], minlength=GRAMS)
+                    sums[lang][GRAMS:] += np.bincount(_FOLD[texts.data[a:b]], minlength=256)
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["label", "gram", "n"])
 
     counts = sample.select("text", "label").mapInArrow(counted, "label string, gram int, n long")
-    top = [r["label"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()]
-    table = np.full((GRAMS, len(top)), 0.5)
-    for r in counts.where(F.col("label").isin(top)).groupBy("label", "gram").agg(F.sum("n").alias("n")).toLocalIterator():  # up to GRAMS * MAX_LANGUAGES rows
-        table[r["gram"], top.index(r["label"])] += r["n"]
-    order = np.argsort(top)
-    table = table[:, order]
-    return Model([top[i] for i in order], np.log(table / table.sum(0)).astype(np.float32) if top else table.astype(np.float32))
+    names = sorted(r["label"] for r in counts.select("label").distinct().collect())
+    place = {lang: i for i, lang in enumerate(names)}
+    table, alone = np.full((GRAMS, len(names)), 0.5, np.float32), np.full(256, 0.5)
+    for r in counts.groupBy("label", "gram").agg(F.sum("n").alias("n")).toLocalIterator():  # up to GRAMS + 256 rows for each language
+        if r["gram"] < GRAMS:
+            table[r["gram"], place[r["label"]]] += r["n"]
+        else:
+            alone[r["gram"] - GRAMS] += r["n"]
+    for i in range(len(names)):
+        table[:, i] = np.log(table[:, i] / table[:, i].sum(dtype=np.float64))
+    return Model(names, table, np.log(alone / alone.sum()))
 
 
 def likelihoods(docs: DataFrame, model: Model, text: str, out: str) -> DataFrame:
-    """Adds log-likelihoods by language, all zero for a text without letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS * MAX_LANGUAGES floats at most
+    """Adds log-likelihoods by language, all zero for a text without letters, and whether each language fits the text.
+
+    A language fits if the trigrams of letters and spaces are at least as likely
+    in it as by chance: as three bytes drawn alone, or as any trigram.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS floats for each language
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = shared.value.logp
         letters = np.zeros(256, np.int8)
         letters[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+        prose = letters.astype(bool)
+        prose[[9, 10, 13, 32]] = True
+        single = shared.value.bytes_logp
         for batch in batches:
             for part in slices(batch, text):
                 texts = Texts(part[text])
@@ -91,15 +103,25 @@ def likelihoods(docs: DataFrame, model: Model, text: str, out: str) -> DataFrame
                 last = np.maximum(texts.start, texts.end - 2)
                 seen = np.concatenate([[0], np.cumsum(letters[texts.data], dtype=np.int64)])
                 some = seen[texts.end] > seen[texts.start]
+                n = len(grams)
+                first, last = np.minimum(texts.start, n), np.minimum(last, n)
+                chance, told = single[_FOLD[texts.data]], prose[texts.data]
+                chance = np.maximum(chance[:n] + chance[1 : n + 1] + chance[2 : n + 2], -np.log(GRAMS))
+                told = told[:n] & told[1 : n + 1] & told[2 : n + 2]
+                fits = np.zeros(ll.shape, bool)
                 for j in range(logp.shape[1]):
-                    np.cumsum(logp[grams, j], out=sums[1:], dtype=np.float64)
-                    ll[:, j] = np.where(some, (sums[np.minimum(last, len(grams))] - sums[np.minimum(texts.start, len(grams))]) / _OVERLAP, 0)
+                    own = logp[grams, j]
+                    np.cumsum(own, out=sums[1:], dtype=np.float64)
+                    ll[:, j] = np.where(some, (sums[last] - sums[first]) / _OVERLAP, 0)
+                    np.cumsum(np.where(told, own - chance, 0), out=sums[1:])
+                    fits[:, j] = sums[last] - sums[first] >= -1e-6
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * logp.shape[1], pa.int32()), pa.array(ll.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(some), lists], [*part.schema.names, f"{out}_some", out])
+                fit = pa.ListArray.from_arrays(lists.offsets, pa.array(fits.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(some), lists, fit], [*part.schema.names, f"{out}_some", out, f"{out}_fits"])
 
     from pyspark.sql.types import BooleanType
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(f"{out}_some", BooleanType()), StructField(out, ArrayType(DoubleType()))]))
+    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(f"{out}_some", BooleanType()), StructField(out, ArrayType(DoubleType())), StructField(f"{out}_fits", ArrayType(BooleanType()))]))
 
 
 def posterior(logs: Column) -> Column:
@@ -122,8 +144,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
     """Adds to docs a struct column `out`: lang, posterior, kept.
 
     declared, suffix, host: columns of evidence; a null value, or one that no
-    language is known by, says nothing.  kept: the text has a letter and the
-    best language's posterior is MIN_POSTERIOR at least.  Null, empty and
+    language is known by, says nothing.  kept: the text has a letter, the
+    best language's posterior is MIN_POSTERIOR at least, and that language fits
+    the text better than chance does (see likelihoods()).  Null, empty and
     letterless texts get the language that the other evidence favours, and are
     not kept.  Ties go to the language that is first by name.  docs keeps its
     columns and rows; one named `out` is replaced.  Without languages in the
@@ -166,7 +189,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", declared: Column
     fused = rows.join(priors, "_key", "left")
     evidence = F.when(F.col("_said") < 0, F.lit([0.0] * n).cast("array<double>")).otherwise(F.element_at(F.lit(chance).cast("array<array<double>>"), F.col("_said") + 1))
     logs = F.zip_with(F.zip_with("_ll", evidence, lambda a, b: a + b), F.coalesce("_prior", F.lit(world.tolist()).cast("array<double>")), lambda a, b: a + F.log(b))
-    fused = fused.select("_row", "_ll_some", posterior(logs).alias("_p"))
+    fused = fused.select("_row", "_ll_some", "_ll_fits", posterior(logs).alias("_p"))
     best = F.array_max("_p")
-    fused = fused.select("_row", F.struct(F.element_at(F.lit(model.languages), F.array_position("_p", best).cast("int")).alias("lang"), best.alias("posterior"), (F.col("_ll_some") & (best >= MIN_POSTERIOR)).alias("kept")).alias(out))
+    at = F.array_position("_p", best).cast("int")
+    kept = F.col("_ll_some") & (best >= MIN_POSTERIOR) & F.element_at("_ll_fits", at)
+    fused = fused.select("_row", F.struct(F.element_at(F.lit(model.languages), at).alias("lang"), best.alias("posterior"), kept.alias("kept")).alias(out))
     return fused.select("_row.*", out)

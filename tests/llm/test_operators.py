@@ -272,6 +272,21 @@ def test_language_of_held_out_texts(spark):
     assert not langid.identify(odd, langid.train(odd.where("false")), declared=F.col("lang")).where("language.kept").count()
 
 
+def test_texts_of_no_known_language(spark):
+    rng = random.Random(7)
+    syllables = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)] for k in range(70)}
+    say = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    lacks = "l69"
+    rows = [(f"{lang} {i}", say(lang, 60), lang) for lang in syllables for i in range(4) if lang != lacks]
+    model = langid.train(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+    assert model.languages == sorted(set(syllables) - {lacks})
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n))
+    held = [(lang, say(lang, 60), None) for lang in syllables] + [("noise", noise(n), None) for n in (60, 400, 3000)]
+    got = langid.identify(spark.createDataFrame(held, "doc_id string, text string, lang string"), model).collect()
+    assert {r.doc_id for r in got if not r.language.kept} == {lacks, "noise"}
+    assert all(r.language.lang == r.doc_id and r.language.kept for r in got if r.doc_id not in (lacks, "noise")) and not any(r.language.kept for r in got if r.doc_id == "noise")
+
+
 def test_evidence_columns(spark):
     rows = spark.createDataFrame([('<!DOCTYPE html><html lang="fr-CA"><p>', "https://a.b.de:80/x"), ("<p>", "nothing")], "html string, url string")
     got = rows.select(langid.markup_language(F.col("html")).alias("l"), langid.suffix_of(F.col("url")).alias("s")).collect()
