@@ -74,8 +74,14 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """Labels where a rule is sure: 1 for a named, assigned, quoted string of mixed letters and digits; 0 for words of letters alone."""
-    sure = F.when((F.col("named") > 0) & (F.col("assigned") > 0) & (F.col("digits") > 0.1), 1.0).when((F.col("digits") == 0) & (F.col("assigned") == 0), 0.0)
+    """Labels where a rule is sure.
+
+    1: a named, assigned, quoted string with digits, in no example's path.
+    0: what is neither named nor assigned, such as hashes and UUIDs in prose;
+    words of letters alone that aren't assigned; anything in an example's path.
+    """
+    named, assigned = F.col("named") > 0, F.col("assigned") > 0
+    sure = F.when((F.col("example_path") > 0) | (~assigned & (~named | (F.col("digits") == 0))), 0.0).when(named & assigned & (F.col("quoted") > 0) & (F.col("digits") > 0.1), 1.0)
     return found.withColumn("label", sure).where("label is not null")
 
 

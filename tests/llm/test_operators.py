@@ -313,3 +313,16 @@ def test_secrets(spark):
     assert all(re.fullmatch("[0-9a-f]{40}", r.candidate) for r in got if r.secret) and any(not r.secret for r in got)
     assert secretscan.scan(frame.where("false"), F.col("source")).count() == 0
     assert secretscan.scan(spark.createDataFrame([(1, 'password="Abc123Abc123Abc123Abc1"', "")], "doc_id long, text string, source string"), F.col("source")).count() == 1
+
+
+def test_hashes_and_uuids_are_no_secrets(spark):
+    rng = random.Random(10)
+    key = lambda n=40: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    uuid = lambda: "-".join(key(n) for n in (8, 4, 4, 4, 12))
+    kinds = [lambda: f"see commit {key()} for that", lambda: f"the row {uuid()} is gone", lambda: f'token = "{key()}" here', lambda: f"token = {key()} bare"]
+    rows = [(i, kinds[i % 4](), "docs/example" if i % 12 == 2 else "src/app") for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = {r.doc_id: r.label for r in secretscan.weak_labels(secretscan.features(secretscan.candidates(frame, F.col("source")), ["the"])).collect()}
+    assert labels == {i: float(i % 4 == 2 and i % 12 != 2) for i in range(120) if i % 4 != 3}
+    got = {r.doc_id: r.secret for r in secretscan.scan(frame, F.col("source"), words=["the"]).collect()}
+    assert len(got) == 120 and all(got[i] == (i % 4 == 2 and i % 12 != 2) for i in got if i % 4 != 3)
