@@ -1,4 +1,4 @@
-"""Suffix-array dedup over bytes: difference-cover samples, sorted by the names of their prefixes."""
+"""Suffix-array dedup over bytes: difference-cover samples, grouped by hashes of their prefixes instead of sorted."""
 
 from __future__ import annotations
 
@@ -18,12 +18,11 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """Marks bytes covered by a `length`-byte string that also starts in a document with a smaller doc_id.
 
     Sampled suffixes are those at places that a difference cover of the text
-    selects.  Only their first `length` bytes matter, so a prefix is named by a
-    hash instead of by sorting triples and recursing on their ranks; a shuffle in
-    name order brings equal names side by side.  Any two equal strings of
-    `length` bytes have a sampled suffix at one common offset, so the remaining
-    suffixes are merged in by the bytes up to it, and those next to each other
-    in that order are compared on all `length` bytes, by hash.
+    selects.  No suffix array is built: hash grouping stands in for sorting
+    triples, recursing on their ranks, merging the other suffixes and comparing
+    neighbours.  Any two equal strings of `length` bytes have a sampled place at
+    one common offset, so strings are found by hashes of the bytes around it and
+    compared by a hash of all `length` bytes.
 
     docs: doc_id (long) and text, taken as UTF-8; null counts as empty.  Strings
     do not cross documents.  Judged on the input, not on what is left.
