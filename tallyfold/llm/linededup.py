@@ -9,12 +9,10 @@ distance on a band of 2 * edits + 1 diagonals.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.text import likely_in, parallelism, written
+from tallyfold.llm.text import likely_in, parallelism, shuffle_files_cleaned, unused, written
 
 EDITS = 2
 #: Only blank lines aren't compared.
@@ -23,18 +21,6 @@ MIN_CHARS = 1
 FUZZY_CHARS = EDITS + 1
 
 
-@contextmanager
-def files_cleaned(spark: SparkSession):
-    """Jobs within remove their shuffle files when they end; what they leave is in written tables."""
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting, "false")
-    spark.conf.set(setting, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether two lines are within this many edits of single characters, for arrays of their characters.
 
@@ -69,31 +55,27 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("h1", F.xxhash64(F.lit(1), "line")).withColumn("h2", F.xxhash64(F.lit(2), "line"))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Place and size of segment i of a line of this length: equal sizes, the rest to the last ones."""
-    size = F.floor(length / (edits + 1)).cast("int")
-    longer = (length % (edits + 1)).cast("int")
-    start = size * i + F.greatest(longer - (edits + 1 - i), F.lit(0))
-    return start, size + F.when(F.lit(i) >= edits + 1 - longer, 1).otherwise(0)
-
-
 def _entries(distinct: DataFrame, edits: int) -> DataFrame:
     """key, id, index of distinct lines: what each looks for, and whether it is also found by it.
 
-    Lines have edits + 1 characters at least, so no segment is empty; nothing is
-    looked for among shorter ones.
+    Segments have equal sizes, with the rest in the last ones.  Lines have
+    edits + 1 characters at least, so no segment is empty; nothing is looked for
+    among shorter ones.  The probes are rows before the keys are computed, which
+    keeps that to one short expression.
     """
-    n = F.char_length("line")
-    key = lambda length, i, start, size: F.xxhash64(length, F.lit(i), F.substring(F.col("line"), start + 1, size))
-    keys = []
-    for i in range(edits + 1):
-        for shorter in range(edits + 1):
-            start, size = _segment(n - shorter, i, edits)
+    k = edits + 1
+    probes = []
+    for i in range(k):
+        for shorter in range(k):
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                own = shorter == 0 and shift == 0  # the line's own segment, by which it is indexed
-                entry = F.struct(key(n - shorter, i, start + shift, size).alias("key"), F.lit(own).alias("index"))
-                keys.append(entry if shorter == 0 else F.when(n - shorter > edits, entry))
-    return distinct.select(F.col("h1").alias("id"), F.explode(F.array(*keys)).alias("e")).where("e is not null").select("e.key", "id", "e.index")
+                probes.append(F.struct(F.lit(i).alias("i"), F.lit(shorter).alias("shorter"), F.lit(shift).alias("shift")))
+    rows = distinct.select(F.col("h1").alias("id"), "line", F.char_length("line").alias("n"), F.explode(F.array(*probes)).alias("e"))
+    rows = rows.select("id", "line", "e.i", "e.shift", (F.col("n") - F.col("e.shorter")).alias("n"), (F.col("e.shorter") == 0).alias("own")).where(F.col("n") > edits)
+    rows = rows.select("*", F.expr(f"n div {k}").cast("int").alias("size"), (F.col("n") % k).alias("rest"))
+    start = F.col("size") * F.col("i") + F.greatest(F.col("rest") - (F.lit(k) - F.col("i")), F.lit(0))
+    size = F.col("size") + (F.col("i") >= k - F.col("rest")).cast("int")
+    key = F.xxhash64("n", "i", F.substring(F.col("line"), start + F.col("shift") + 1, size))
+    return rows.select(key.alias("key"), "id", (F.col("own") & (F.col("shift") == 0)).alias("index"))
 
 
 def parities(chars: Column) -> Column:
@@ -150,7 +132,7 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, out: str = "lines") -> Dat
     """
     spark = docs.sparkSession
     docs = docs.drop(out)
-    with files_cleaned(spark):
+    with shuffle_files_cleaned(spark):
         place = F.struct("doc_id", "no")
         firsts = written(lines(docs).groupBy("h1", "h2").agg(F.min(place).alias("f")).select("h1", "h2", "f.doc_id", "f.no"))
         near = written(links(docs, firsts, edits))
@@ -158,14 +140,15 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, out: str = "lines") -> Dat
         both = near.join(own.select(F.col("h1").alias("a"), F.col("f").alias("fa")), "a").join(own.select(F.col("h1").alias("b"), F.col("f").alias("fb")), "b")
         late = both.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h1")).distinct()
         keep = written(firsts.join(late, "h1", "left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("no", "h1")).alias("keep")))
-    stay = docs.join(keep.select(F.col("doc_id").alias("_line_doc"), F.col("keep").alias("_line_keep")), docs["doc_id"] == F.col("_line_doc"), "left")
+    doc, stays, kept_lines = unused(docs.columns, "_line_doc", "_line_keep", "_line_kept")
+    stay = docs.join(keep.select(F.col("doc_id").alias(doc), F.col("keep").alias(stays)), docs["doc_id"] == F.col(doc), "left")
     all_lines = F.split("text", "\n")
     kept = F.filter(
         all_lines,
-        lambda x, i: (F.char_length(F.trim(x)) < MIN_CHARS) | F.col("doc_id").isNull() | F.coalesce(F.array_contains(F.col("_line_keep"), F.struct(i.alias("no"), F.xxhash64(F.lit(1), F.trim(x)).alias("h1"))), F.lit(False)),
+        lambda x, i: (F.char_length(F.trim(x)) < MIN_CHARS) | F.col("doc_id").isNull() | F.coalesce(F.array_contains(F.col(stays), F.struct(i.alias("no"), F.xxhash64(F.lit(1), F.trim(x)).alias("h1"))), F.lit(False)),
     )
     n = F.coalesce(F.size(all_lines), F.lit(0))
     n = F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
-    stay = stay.withColumn("_line_kept", kept)
-    left = F.when(F.col("text").isNull(), 0).otherwise(F.size("_line_kept")).cast("long")
-    return stay.select(*(docs[c] for c in docs.columns), F.struct(n.alias("n_lines"), (n - left).alias("n_removed"), F.array_join("_line_kept", "\n").alias("kept")).alias(out))
+    stay = stay.withColumn(kept_lines, kept)
+    left = F.when(F.col("text").isNull(), 0).otherwise(F.size(kept_lines)).cast("long")
+    return stay.select(*(docs[c] for c in docs.columns), F.struct(n.alias("n_lines"), (n - left).alias("n_removed"), F.array_join(kept_lines, "\n").alias("kept")).alias(out))

@@ -7,6 +7,9 @@ modulo 2**64 over a random byte table, then an avalanche step.
 
 from __future__ import annotations
 
+import threading
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -120,14 +123,15 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where it is unset, as in tests."""
-    found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            import tempfile
-
-            found = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    """The shared folder of spark.checkpoint.dir; on one machine, as in tests, a local one where it is unset."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        import tempfile
+
+        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -139,10 +143,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession) -> str:
-    """An unused path in the shared checkpoint folder."""
+    """An unused path in the application's folder below the shared checkpoint folder; the folder goes when the driver ends."""
     import uuid
 
-    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -160,6 +167,40 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning = {"lock": threading.Lock(), "users": 0, "before": "false"}
+
+
+@contextmanager
+def shuffle_files_cleaned(spark: SparkSession):
+    """Jobs within remove their shuffle files when they end; what they leave is in written tables.
+
+    The setting is put back when the last of several threads leaves.
+    """
+    with _cleaning["lock"]:
+        if not _cleaning["users"]:
+            _cleaning["before"] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _cleaning["users"] += 1
+    try:
+        yield
+    finally:
+        with _cleaning["lock"]:
+            _cleaning["users"] -= 1
+            if not _cleaning["users"]:
+                spark.conf.set(_CLEANUP, _cleaning["before"])
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name, with as many underscores added as keep it apart from the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
