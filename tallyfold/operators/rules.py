@@ -88,8 +88,8 @@ def decision_gates(decisions: DataFrame, issues: DataFrame, limitations: DataFra
             "REPAIR without actions": (o == "REPAIR") & (F.size("required_actions") == 0),
             "PIVOT without its own parent": (o == "PIVOT") & ~F.col("parent_program_id").eqNullSafe(F.col("program_id")),
             "REVIEW_REQUIRED without two assessments": (o == "REVIEW_REQUIRED") & (F.size("assessment_ids") < 2),
-            "open issues differ": F.array_sort("unresolved_issue_ids") != F.col("open_ids"),
-            "uncertainties differ": F.array_sort("unresolved_uncertainties") != F.col("told"),
+            "open issues differ": F.col("unresolved_issue_ids") != F.col("open_ids"),
+            "uncertainties differ": F.col("unresolved_uncertainties") != F.col("told"),
         },
         "decision_id",
     )

@@ -12,26 +12,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.functions.digest import json_digest
 from tallyfold.operators import rules
 from tallyfold.operators.chain import union, violations
+from tallyfold.operators.lineage import kept
 
-# Fixed values of the ledger: object kinds by the event that creates one, with id prefix-free names and payload fields.
-_FINDING = "array<struct<id:string,status:string>>"
+# Fixed values of the ledger: object kinds by the event that creates one, with payload fields.
+_CLAIM_FINDING, _HYPOTHESIS_FINDING = "array<struct<claim_id:string,status:string>>", "array<struct<hypothesis_id:string,status:string>>"
 CREATED = {
     "program.created": ("programs", "slug string, title string, problem string"),
     "evidence.recorded": ("evidence", "program_id string, source string, observation string, verification struct<source_resolved:boolean,content_inspected:boolean>"),
     "claim.created": ("claims", "program_id string, type string, statement string, evidence_relations array<struct<evidence_id:string,relation:string>>"),
     "hypothesis.created": ("hypotheses", "program_id string, claim_ids array<string>, statement string, prediction string"),
     "protocol.drafted": ("protocols", "program_id string, title string, analysis_plan string, hypothesis_ids array<string>, study_mode string, analysis_spec string"),
-    "approval.granted": ("approvals", "program_id string, capsule_sigil string, bindings string"),
-    "review.requested": ("review_requests", "program_id string, type string, target string, scope string, disclosure string, destination string, status string"),
-    "review.completed": ("review_artifacts", "program_id string, reviewer string, result string"),
-    "agent-result.accepted": ("task_results", "program_id string, capability string, host string, snapshot string, capsule_sigil string"),
-    "working.created": ("workings", "program_id string, protocol_id string, rite_id string, rite_sigil string"),
+    "approval.granted": ("approvals", "program_id string, capsule_sigil string, capability string, capability_contract_sigil string, circle string, bindings string"),
+    "review.requested": ("review_requests", "program_id string, type string, target string, scope string, disclosure string, destination string, approval string, status string"),
+    "review.completed": ("review_artifacts", "program_id string, task_id string, source string, reviewer string, result string"),
+    "agent-result.accepted": ("task_results", "program_id string, capability string, host string, snapshot string, capsule_sigil string, input_sigil string, result string, bindings string"),
+    "working.created": ("workings", "program_id string, protocol_id string, rite_id string, rite_sigil string, rite string"),
     "experiment.planned": ("experiments", "program_id string, protocol_id string, hypothesis_id string, question string, working_id string"),
     "run.recorded": ("runs", "program_id string, protocol_id string, experiment_id string, status string, seed long, arm string, phase string, metrics map<string,double>, analysis_included boolean, analysis_disposition struct<included:boolean,reason:string,policy_reference:string>"),
     "analysis.computed": ("result_bundles", "program_id string, protocol_id string, bundle string, bundle_sigil string"),
-    "assessment.recorded": ("assessments", f"program_id string, protocol_id string, result_bundle_id string, study_mode string, summary string, limitations array<string>, claim_findings {_FINDING}, hypothesis_findings {_FINDING}"),
+    "assessment.recorded": ("assessments", f"program_id string, protocol_id string, result_bundle_id string, study_mode string, summary string, limitations array<string>, claim_findings {_CLAIM_FINDING}, hypothesis_findings {_HYPOTHESIS_FINDING}"),
     "reproduction.assessed": ("reproductions", "program_id string, evidence_id string, run_ids array<string>, result_bundle_id string, artifact_ids array<string>, assessment_id string, status string"),
     "decision.sealed": ("decisions", "program_id string, outcome string, assessment_ids array<string>, rationale string, required_actions array<string>, unresolved_issue_ids array<string>, unresolved_uncertainties array<string>, lineage struct<parent_program_id:string>"),
     "artifact.registered": ("artifacts", "program_id string, kind string, location struct<uri:string,sigil:string>, producer_id string, input_ids array<string>"),
@@ -39,12 +41,13 @@ CREATED = {
     "deviation.recorded": ("deviations", "program_id string, protocol_id string, kind string, summary string, rationale string, impact string, affected_object_ids array<string>"),
 }
 ALIASES = {"experiment.created": "experiment.planned"}
+WAITS = "WAITING_FOR_DISCLOSURE_AUTHORIZATION"
 # States that later events lead to, as (event type, collection, states it starts from, state).
 STEPS = [
     ("protocol.sealed", "protocols", ["DRAFT"], "FROZEN"),
     ("issue.resolved", "issues", ["OPEN"], "RESOLVED"),
-    ("review.approved", "review_requests", ["WAITING_FOR_APPROVAL"], "APPROVED"),
-    ("review.completed", "review_requests", ["APPROVED", "READY"], "COMPLETED"),
+    ("review.approved", "review_requests", [WAITS], "APPROVED"),
+    ("review.completed", "review_requests", ["PREPARED", "APPROVED"], "COMPLETED"),
     ("review.accepted", "review_requests", ["COMPLETED"], "ACCEPTED"),
     ("experiment.implemented", "experiments", ["PLANNED"], "IMPLEMENTED"),
     ("experiment.pilot_started", "experiments", ["IMPLEMENTED"], "PILOT_RUNNING"),
@@ -54,20 +57,50 @@ STEPS = [
     ("experiment.cancelled", "experiments", ["PLANNED", "IMPLEMENTED", "PILOT_RUNNING", "PILOT_COMPLETED", "FORMAL_RUNNING"], "CANCELLED"),
 ]
 START = {"protocols": "DRAFT", "issues": "OPEN", "experiments": "PLANNED"}
-OTHER = ["evidence.verified", "evidence.source_resolved", "evidence.content_inspected", "claim_relation.proposed", "claim_relation.verified", "research_question.sealed", "working.advanced", "program.closed"]
+# Fixed: events about an object that must be there, and its collection.
+ABOUT = {
+    "evidence.verified": "evidence", "evidence.source_resolved": "evidence", "evidence.content_inspected": "evidence", "claim_relation.proposed": "claims", "claim_relation.verified": "claims",
+    "research_question.sealed": "programs", "working.advanced": "workings", "program.closed": "programs",
+}
 # Fixed order of a program's states; it only ever moves on.
 PROGRAM_STATES = ["IDEA", "EVIDENCE_RECORDED", "CLAIMS_REGISTERED", "HYPOTHESES_REGISTERED", "RQ_FROZEN", "DESIGN_FROZEN", "IMPLEMENTED", "PILOTED", "RUNNING", "RESULT_READY", "EVALUATED", "CLOSED"]
 REACHED = {
     "program.created": "IDEA", "evidence.recorded": "EVIDENCE_RECORDED", "claim.created": "CLAIMS_REGISTERED", "hypothesis.created": "HYPOTHESES_REGISTERED", "research_question.sealed": "RQ_FROZEN",
     "protocol.sealed": "DESIGN_FROZEN", "experiment.implemented": "IMPLEMENTED", "experiment.pilot_completed": "PILOTED", "experiment.formal_started": "RUNNING", "analysis.computed": "RESULT_READY", "assessment.recorded": "EVALUATED", "program.closed": "CLOSED",
 }
-# Fixed: id columns of each collection and what they must refer to (null: an object of any kind).
+# Fixed: payload fields that hold ids, as (collection, or null for an object of any kind; events that have the field).
 REFERENCES = {
-    "hypotheses": {"claim_ids": "claims"}, "protocols": {"hypothesis_ids": "hypotheses"}, "workings": {"protocol_id": "protocols"}, "experiments": {"protocol_id": "protocols", "hypothesis_id": "hypotheses", "working_id": "workings"},
-    "runs": {"experiment_id": "experiments", "protocol_id": "protocols"}, "result_bundles": {"protocol_id": "protocols"}, "assessments": {"result_bundle_id": "result_bundles", "protocol_id": "protocols"},
-    "reproductions": {"evidence_id": "evidence", "run_ids": "runs", "result_bundle_id": "result_bundles", "artifact_ids": "artifacts", "assessment_id": "assessments"}, "decisions": {"assessment_ids": "assessments"},
-    "artifacts": {"producer_id": None, "input_ids": None}, "issues": {"subject_ids": None}, "deviations": {"protocol_id": "protocols", "affected_object_ids": None},
-}
+    "program_id": ("programs", [k for k in CREATED if k != "program.created"]),
+    "claim_ids": ("claims", ["hypothesis.created"]),
+    "hypothesis_ids": ("hypotheses", ["protocol.drafted"]),
+    "evidence_relations.evidence_id": ("evidence", ["claim.created"]),
+    "evidence_id": ("evidence", ["reproduction.assessed", "claim_relation.proposed", "claim_relation.verified"]),
+    "protocol_id": ("protocols", ["working.created", "experiment.planned", "run.recorded", "analysis.computed", "assessment.recorded", "deviation.recorded"]),
+    "hypothesis_id": ("hypotheses", ["experiment.planned"]),
+    "working_id": ("workings", ["experiment.planned"]),
+    "experiment_id": ("experiments", ["run.recorded"]),
+    "result_bundle_id": ("result_bundles", ["assessment.recorded", "reproduction.assessed"]),
+    "claim_findings.claim_id": ("claims", ["assessment.recorded"]),
+    "hypothesis_findings.hypothesis_id": ("hypotheses", ["assessment.recorded"]),
+    "run_ids": ("runs", ["reproduction.assessed"]),
+    "artifact_ids": ("artifacts", ["reproduction.assessed"]),
+    "assessment_id": ("assessments", ["reproduction.assessed"]),
+    "assessment_ids": ("assessments", ["decision.sealed"]),
+    "producer_id": (None, ["artifact.registered"]),
+    "input_ids": (None, ["artifact.registered"]),
+    "subject_ids": (None, ["issue.opened"]),
+    "affected_object_ids": (None, ["deviation.recorded"]),
+}
+#: Payload fields that rules look at; objects that differ by event stay JSON text.
+PAYLOAD = (
+    "program_id string, slug string, type string, claim_ids array<string>, hypothesis_ids array<string>, study_mode string, protocol_id string, hypothesis_id string, working_id string, experiment_id string, result_bundle_id string, evidence_id string, "
+    "evidence_relations array<struct<evidence_id:string,relation:string>>, relation string, run_ids array<string>, artifact_ids array<string>, assessment_id string, assessment_ids array<string>, producer_id string, input_ids array<string>, subject_ids array<string>, "
+    f"affected_object_ids array<string>, claim_findings {_CLAIM_FINDING}, hypothesis_findings {_HYPOTHESIS_FINDING}, status string, phase string, kind string, arm string, severity string, outcome string, required_actions array<string>, unresolved_issue_ids array<string>, "
+    "unresolved_uncertainties array<string>, limitations array<string>, lineage struct<parent_program_id:string>, verification struct<source_resolved:boolean,content_inspected:boolean>, destination struct<execution:string,provider:string>, "
+    "disclosure struct<includes_credentials:boolean>, approval struct<required:boolean,status:string,approved_by:string,approved_at:string,rationale:string>, approved_by string, source string, task_id string, rite_sigil string, rite string, from_stage string, to_stage string, "
+    "analysis_spec string, bundle string, bundle_sigil string, result string, capability string, snapshot string, input_sigil string, bindings struct<review_id:string>, analysis_included boolean, analysis_disposition struct<included:boolean>"
+)
+_ACTOR = "struct<actor_id:string,actor_type:string>"
 
 
 def _type(events: DataFrame) -> DataFrame:
@@ -77,6 +110,15 @@ def _type(events: DataFrame) -> DataFrame:
     return events.withColumn("type", kind)
 
 
+def parsed(events: DataFrame) -> DataFrame:
+    """Events with their payload fields as p, their type in its newer name, and the program they belong to; one row each."""
+    actor = F.struct(F.col("actor.actor_id").alias("actor_id"), F.col("actor.actor_type").alias("actor_type")) if "actor" in events.columns else F.lit(None).cast(_ACTOR)
+    rows = _type(events.withColumn("written_type", F.col("type"))).select("ledger_id", "sequence", "event_id", "type", "written_type", F.col("object_id").alias("id"), F.col("occurred_at").alias("at"), actor.alias("actor"), F.from_json("payload", PAYLOAD).alias("p"))
+    bundle = lambda c: F.coalesce(F.col(f"p.{c}"), F.when(F.col("type") == "analysis.computed", F.get_json_object("p.bundle", f"$.{c}")))
+    p = F.col("p").withField("program_id", bundle("program_id")).withField("protocol_id", bundle("protocol_id"))
+    return rows.withColumn("p", p)
+
+
 def created(events: DataFrame, kind: str) -> DataFrame:
     """Objects as their creating events have them: ledger_id, id, sequence, at, payload fields; of one id, the first."""
     rows = _type(events).where(F.col("type") == kind)
@@ -84,108 +126,175 @@ def created(events: DataFrame, kind: str) -> DataFrame:
     return first.select("ledger_id", "id", "e.sequence", "e.at", F.from_json("e.payload", CREATED[kind][1]).alias("p")).select("ledger_id", "id", "sequence", "at", "p.*")
 
 
-def every_object(events: DataFrame) -> DataFrame:
-    """ledger_id, id, collection, program_id, sequence of each object when it was created."""
+def every_object(rows: DataFrame) -> DataFrame:
+    """ledger_id, id, collection, program_id, sequence of each object when it was created; rows: parsed() events."""
     kinds = F.create_map(*(x for k, (c, _) in CREATED.items() for x in (F.lit(k), F.lit(c))))
-    rows = _type(events).where(F.col("type").isin(list(CREATED)))
-    program = F.when(F.col("type") == "program.created", F.col("object_id")).otherwise(F.get_json_object("payload", "$.program_id"))
-    return rows.select("ledger_id", F.col("object_id").alias("id"), F.try_element_at(kinds, F.col("type")).alias("collection"), program.alias("program_id"), "sequence")
+    program = F.when(F.col("type") == "program.created", F.col("id")).otherwise(F.col("p.program_id"))
+    return rows.where(F.col("type").isin(list(CREATED))).select("ledger_id", "id", F.try_element_at(kinds, F.col("type")).alias("collection"), program.alias("program_id"), "sequence")
 
 
-def transitions(events: DataFrame) -> DataFrame:
-    """ledger_id, collection, id, sequence, type, state: what each event of an object's life leads to, its creation first."""
-    to = F.create_map(*(x for t, c, _, s in STEPS for x in (F.lit(f"{c}/{t}"), F.lit(s))))
-    rows = _type(events)
-    moved = union([rows.where(F.col("type").isin([t for t, c, _, _ in STEPS if c == name])).select("ledger_id", F.lit(name).alias("collection"), F.col("object_id").alias("id"), "sequence", "type", F.try_element_at(to, F.concat(F.lit(f"{name}/"), "type")).alias("state")) for name in sorted({c for _, c, _, _ in STEPS})])
-    status = F.get_json_object("payload", "$.status")
-    made = union([rows.where(F.col("type") == k).select("ledger_id", F.lit(c).alias("collection"), F.col("object_id").alias("id"), "sequence", "type", (F.lit(START[c]) if c in START else F.coalesce(status, F.lit("READY"))).alias("state")) for k, (c, _) in CREATED.items() if c in START or c == "review_requests"])
-    return made.unionByName(moved)
+def transitions(rows: DataFrame) -> DataFrame:
+    """ledger_id, collection, id, sequence, type, state: what each event of an object's life leads to, its creation first; rows: parsed() events."""
+    made = {k: (c, START.get(c)) for k, (c, _) in CREATED.items() if c in START or c == "review_requests"}
+    steps = made | {t: (c, to) for t, c, _, to in STEPS}
+    of = F.create_map(*(x for t, (c, _) in steps.items() for x in (F.lit(t), F.lit(c))))
+    to = F.create_map(*(x for t, (_, s) in steps.items() if s for x in (F.lit(t), F.lit(s))))
+    own = rows.where(F.col("type").isin(list(steps)))
+    state = F.coalesce(F.try_element_at(to, F.col("type")), F.col("p.status"), F.lit("PREPARED"))
+    return own.select("ledger_id", F.try_element_at(of, F.col("type")).alias("collection"), "id", "sequence", "type", state.alias("state"))
 
 
-def with_state(objects: DataFrame, events: DataFrame, collection: str) -> DataFrame:
-    steps = transitions(events).where(F.col("collection") == collection)
-    now = rules.current_state(steps, ["ledger_id", "id"], "state", "sequence").withColumnRenamed("state", "current_status")
+def with_state(objects: DataFrame, steps: DataFrame, collection: str) -> DataFrame:
+    now = rules.current_state(steps.where(F.col("collection") == collection), ["ledger_id", "id"], "state", "sequence").withColumnRenamed("state", "current_status")
     return objects.join(now, ["ledger_id", "id"], "left")
 
 
-def program_status(events: DataFrame) -> DataFrame:
-    """ledger_id, program_id, status: the furthest state reached; runs that aren't pilots and implementation artifacts count too."""
-    rows = _type(events)
+def _reached(rows: DataFrame) -> Column:
     state = F.try_element_at(F.create_map(*(x for k, v in REACHED.items() for x in (F.lit(k), F.lit(v)))), F.col("type"))
-    state = F.when((F.col("type") == "run.recorded") & ~F.get_json_object("payload", "$.phase").eqNullSafe(F.lit("PILOT")), "RUNNING").otherwise(state)
-    state = F.when((F.col("type") == "artifact.registered") & (F.get_json_object("payload", "$.kind") == "implementation"), "IMPLEMENTED").otherwise(state)
-    own = every_object(events).select("ledger_id", F.col("id").alias("object_id"), F.col("program_id").alias("_program")).distinct()
-    told = F.coalesce(F.get_json_object("payload", "$.program_id"), F.when(F.col("type").startswith("program.") | F.col("type").startswith("research_question."), F.col("object_id")))
-    reached = rows.withColumn("state", state).where("state is not null").withColumn("_told", told).join(own, ["ledger_id", "object_id"], "left").withColumn("program_id", F.coalesce("_told", "_program"))
-    return rules.highest_status(reached, ["ledger_id", "program_id"], "state", PROGRAM_STATES).drop("rank")
+    state = F.when((F.col("type") == "run.recorded") & ~F.col("p.phase").eqNullSafe(F.lit("PILOT")), "RUNNING").otherwise(state)
+    return F.when((F.col("type") == "artifact.registered") & (F.col("p.kind") == "implementation"), "IMPLEMENTED").otherwise(state)
+
 
+def reached(rows: DataFrame) -> DataFrame:
+    """ledger_id, program_id, sequence, type, state: each event that lifts its program; runs that aren't pilots and implementation artifacts do too."""
+    own = every_object(rows).select("ledger_id", "id", F.col("program_id").alias("_program")).distinct()
+    about = F.when(F.col("type").startswith("program.") | F.col("type").startswith("research_question."), F.col("id"))
+    told = rows.withColumn("state", _reached(rows)).where("state is not null or type = 'decision.sealed'").withColumn("_told", F.coalesce("p.program_id", about)).join(own, ["ledger_id", "id"], "left")
+    return told.select("ledger_id", F.coalesce("_told", "_program").alias("program_id"), "sequence", "type", "state")
 
-def evidence_flags(events: DataFrame) -> DataFrame:
-    """ledger_id, sequence, id, source_resolved, content_inspected as each event sets them (null: doesn't)."""
+
+def program_status(events: DataFrame) -> DataFrame:
+    """ledger_id, program_id, status: the furthest state reached."""
+    return rules.highest_status(reached(parsed(events)).where("state is not null"), ["ledger_id", "program_id"], "state", PROGRAM_STATES).drop("rank")
+
+
+def evidence_flags(rows: DataFrame) -> DataFrame:
+    """ledger_id, sequence, id, type, source_resolved, content_inspected as each event sets them (null: doesn't); rows: parsed() events."""
     t = F.col("type")
-    flag = lambda name, own: F.when(t == own, True).when(t.isin("evidence.recorded", "evidence.verified"), F.coalesce(F.get_json_object("payload", f"$.verification.{name}") == "true", F.lit(False)))
-    rows = events.where(t.startswith("evidence."))
-    return rows.select("ledger_id", "sequence", F.col("object_id").alias("id"), "type", flag("source_resolved", "evidence.source_resolved").alias("source_resolved"), flag("content_inspected", "evidence.content_inspected").alias("content_inspected"))
+    flag = lambda name, own: F.when(t == own, True).when(t.isin("evidence.recorded", "evidence.verified"), F.coalesce(F.col(f"p.verification.{name}"), F.lit(False)))
+    return rows.where(t.startswith("evidence.")).select("ledger_id", "sequence", "id", "type", flag("source_resolved", "evidence.source_resolved").alias("source_resolved"), flag("content_inspected", "evidence.content_inspected").alias("content_inspected"))
+
+
+def relations(rows: DataFrame) -> DataFrame:
+    """ledger_id, claim_id, evidence_id, sequence, step (PROPOSED or VERIFIED), relation: one row for each step of a relation."""
+    pair = rows.where(F.col("type").isin("claim.created", "claim_relation.proposed", "claim_relation.verified"))
+    one = F.array(F.struct(F.col("p.evidence_id").alias("evidence_id"), F.col("p.relation").alias("relation")))
+    many = F.when(F.col("type") == "claim.created", F.coalesce("p.evidence_relations", F.array().cast("array<struct<evidence_id:string,relation:string>>"))).otherwise(one)
+    step = F.when(F.col("type") == "claim_relation.verified", "VERIFIED").otherwise("PROPOSED")
+    return pair.select("ledger_id", F.col("id").alias("claim_id"), "sequence", step.alias("step"), F.posexplode(many).alias("place", "r")).select("ledger_id", "claim_id", "r.evidence_id", "sequence", "step", "place", "r.relation")
+
+
+def claim_relations(rows: DataFrame) -> DataFrame:
+    """ledger_id, claim_id, evidence_id, relation, status of each pair."""
+    return relations(rows).groupBy("ledger_id", "claim_id", "evidence_id").agg(F.min_by("relation", "sequence").alias("relation"), F.when(F.bool_or(F.col("step") == "VERIFIED"), "VERIFIED").otherwise("PROPOSED").alias("status"))
+
+
+def findings(rows: DataFrame, kind: str) -> DataFrame:
+    """ledger_id, id, sequence, position, status that assessments give to claims or hypotheses; an experiment makes its hypothesis ACTIVE."""
+    own = rows.where("type = 'assessment.recorded'").select("ledger_id", "sequence", F.posexplode(f"p.{kind}_findings").alias("position", "f")).select("ledger_id", F.col(f"f.{kind}_id").alias("id"), "sequence", "position", F.col("f.status").alias("status"))
+    if kind != "hypothesis":
+        return own
+    started = rows.where("type = 'experiment.planned' and p.hypothesis_id is not null")
+    return own.unionByName(started.select("ledger_id", F.col("p.hypothesis_id").alias("id"), "sequence", F.lit(0).alias("position"), F.lit("ACTIVE").alias("status")))
 
 
 def tables(events: DataFrame) -> dict[str, DataFrame]:
     """All current-state tables by collection."""
+    rows = parsed(events)
+    ids = lambda of: F.transform(F.array_sort(F.collect_list(F.struct("sequence", "id"))), lambda x: x["id"]).alias(of)
     out = {c: created(events, k) for k, (c, _) in CREATED.items()}
-    out["programs"] = out["programs"].join(program_status(events).withColumnRenamed("program_id", "id"), ["ledger_id", "id"], "left")
-    children = every_object(events).where("collection <> 'programs'").groupBy("ledger_id", "program_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "id"))), lambda x: x["id"]).alias("children"))
-    out["programs"] = out["programs"].join(children.withColumnRenamed("program_id", "id"), ["ledger_id", "id"], "left")
-    flags = evidence_flags(events).groupBy("ledger_id", "id").agg(F.coalesce(F.bool_or("source_resolved"), F.lit(False)).alias("resolved"), F.coalesce(F.bool_or("content_inspected"), F.lit(False)).alias("inspected"))
+    children = every_object(rows).where("collection <> 'programs'").groupBy("ledger_id", "program_id").agg(ids("children"))
+    question = rows.where("type = 'research_question.sealed'").groupBy("ledger_id", "id").agg(F.min("at").alias("question_sealed_at"))
+    out["programs"] = out["programs"].join(program_status(events).withColumnRenamed("program_id", "id"), ["ledger_id", "id"], "left").join(children.withColumnRenamed("program_id", "id"), ["ledger_id", "id"], "left").join(question, ["ledger_id", "id"], "left")
+    flags = evidence_flags(rows).groupBy("ledger_id", "id").agg(F.coalesce(F.bool_or("source_resolved"), F.lit(False)).alias("resolved"), F.coalesce(F.bool_or("content_inspected"), F.lit(False)).alias("inspected"))
     out["evidence"] = out["evidence"].join(flags, ["ledger_id", "id"], "left")
+    steps = transitions(rows)
     for c in ("protocols", "issues", "experiments", "review_requests"):
-        out[c] = with_state(out[c], events, c)
-    for c, column in (("claims", "claim_findings"), ("hypotheses", "hypothesis_findings")):
-        found = out["assessments"].select("ledger_id", "sequence", F.posexplode(column).alias("position", "f")).select("ledger_id", "sequence", "position", F.col("f.id").alias("id"), F.col("f.status").alias("status"))
-        out[c] = rules.last_findings(found, out[c].withColumn("status", F.lit("PROPOSED")))
-    by_protocol = out["deviations"].groupBy("ledger_id", F.col("protocol_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "id"))), lambda x: x["id"]).alias("deviations"))
+        out[c] = with_state(out[c], steps, c)
+    for c, kind in (("claims", "claim"), ("hypotheses", "hypothesis")):
+        out[c] = rules.last_findings(findings(rows, kind), out[c].withColumn("status", F.lit("PROPOSED")))
+    related = claim_relations(rows).groupBy("ledger_id", F.col("claim_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("evidence_id", "relation", "status"))).alias("relations"))
+    out["claims"] = out["claims"].join(related, ["ledger_id", "id"], "left")
+    by_protocol = out["deviations"].groupBy("ledger_id", F.col("protocol_id").alias("of")).agg(ids("deviations")).withColumnRenamed("of", "id")
     out["protocols"] = out["protocols"].join(by_protocol, ["ledger_id", "id"], "left")
     return out
 
 
-def reference_uses(events: DataFrame) -> DataFrame:
-    """ledger_id, sequence, id, program_id, ref, kind (collection it must be in, or null) of every id field."""
-    out = []
-    for k, (c, schema) in CREATED.items():
-        for column, kind in REFERENCES.get(c, {}).items():
-            p = _type(events).where(F.col("type") == k).select("ledger_id", "sequence", F.col("object_id").alias("id"), F.from_json("payload", schema).alias("p"))
-            ref = F.explode(f"p.{column}") if f"{column} array" in schema else F.col(f"p.{column}")
-            out.append(p.select("ledger_id", "sequence", "id", F.col("p.program_id").alias("program_id"), ref.alias("ref"), F.lit(kind).cast("string").alias("kind")).where("ref is not null"))
-        if c != "programs":
-            p = _type(events).where(F.col("type") == k)
-            out.append(p.select("ledger_id", "sequence", F.col("object_id").alias("id"), F.get_json_object("payload", "$.program_id").alias("program_id"), F.get_json_object("payload", "$.program_id").alias("ref"), F.lit("programs").alias("kind")).where("ref is not null"))
-    return union(out)
+def reference_uses(rows: DataFrame) -> DataFrame:
+    """ledger_id, sequence, id, type, program_id, ref, kind (collection it must be in, or null) of every id field; one pass over parsed() events."""
+    kinds = dict(x.strip().split(" ", 1) for x in PAYLOAD.split(", ") if " " in x.strip())
+    t, fields = F.col("type"), []
+    for field, (kind, types) in REFERENCES.items():
+        many = "." in field or kinds[field].startswith("array")
+        held = F.coalesce(F.col(f"p.{field}"), F.array().cast("array<string>")) if many else F.array(f"p.{field}")
+        of = F.lit(kind).cast("string").alias("kind")
+        fields.append(F.when(t.isin(types), F.transform(held, lambda x: F.struct(x.alias("ref"), of))))  # noqa: B023  used at once
+    about = F.try_element_at(F.create_map(*(F.lit(x) for pair in ABOUT.items() for x in pair)), t)
+    fields.append(F.when(about.isNotNull(), F.array(F.struct(F.col("id").alias("ref"), about.alias("kind")))))
+    none = F.array().cast("array<struct<ref:string,kind:string>>")
+    uses = rows.select("ledger_id", "sequence", "id", "type", F.col("p.program_id").alias("program_id"), F.explode(F.concat(*(F.coalesce(f, none) for f in fields))).alias("u"))
+    return uses.select("ledger_id", "sequence", "id", "type", "program_id", "u.ref", "u.kind").where("ref is not null")
 
 
 def audit(events: DataFrame) -> DataFrame:
-    """ledger_id, sequence, object_id, rule of every event that breaks a rule across objects."""
-    known = [*CREATED, *ALIASES, *(t for t, *_ in STEPS), *OTHER]
-    types = violations(events, {"unknown type": ~F.col("type").isin(known)}, "object_id")
-    objects = every_object(events).where("collection <> 'review_artifacts'")
-    again = rules.duplicates(objects, ["ledger_id", "collection", "id"])
-    twice = violations(again, {"duplicate id": F.lit(True)}, "id")
-    uses = reference_uses(events)
+    """ledger_id, sequence, object_id, rule of every event that breaks a rule across objects.
+
+    Events are parsed once and cut to files; each family of rules reads what it
+    needs of them.  A field that is missing is a matter of the records' contracts.
+    """
+    rows = kept(parsed(events))
+    objects = every_object(rows)
+    return union([
+        references(rows, objects), steps(rows), evidence(rows), claims(rows), studies(rows), pilots(rows), reviews(rows), results(rows), workings(rows), decisions(rows), closing(rows),
+    ]).distinct()
+
+
+def references(rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """Unknown types, repeated ids and slugs, repeated elements, and references that aren't there before or are of another program."""
+    known = [*CREATED, *(t for t, *_ in STEPS), *ABOUT]
+    types = violations(rows, {"unknown type": ~F.col("type").isin(known)}, "id")
+    # a completed review has its request's id; it can be completed once by its states
+    twice = violations(rules.duplicates(objects.where("collection <> 'review_artifacts'"), ["ledger_id", "collection", "id"]), {"duplicate id": F.lit(True)}, "id")
+    slugs = rows.where("type = 'program.created' and p.slug is not null").select("ledger_id", "sequence", "id", F.col("p.slug").alias("slug"))
+    slugs = violations(rules.duplicates(slugs, ["ledger_id", "slug"]), {"duplicate slug": F.lit(True)}, "id")
+    again = F.lit(False)
+    for c in ("claim_ids", "hypothesis_ids", "assessment_ids", "input_ids", "subject_ids", "affected_object_ids", "evidence_relations.evidence_id", "claim_findings.claim_id", "hypothesis_findings.hypothesis_id"):
+        again = again | F.coalesce(rules.repeated_elements(F.col(f"p.{c}")), F.lit(False))
+    repeated = violations(rows, {"repeated element": again}, "id")
+    uses = reference_uses(rows)
     typed = uses.where("kind is not null").withColumn("ref", F.concat_ws("/", "kind", "ref"))
     missing = rules.unknown_references(typed, objects.withColumn("id", F.concat_ws("/", "collection", "id")).select("ledger_id", "id", "sequence"))
     free = rules.unknown_references(uses.where("kind is null"), objects.select("ledger_id", "id", "sequence"))
-    unknown = violations(missing.unionByName(free, allowMissingColumns=True), {"unknown reference": F.lit(True)}, "id")
-    foreign = violations(rules.foreign_references(uses.where("not (kind <=> 'programs')"), objects), {"reference to another program": F.lit(True)}, "id")
-    steps = transitions(events)
-    allowed = [(s, t) for t, _, sources, _ in STEPS for s in sources]
+    unknown = violations(missing.unionByName(free), {"unknown reference": F.lit(True)}, "id")
+    inner = uses.where("not (kind <=> 'programs') and program_id is not null")
+    foreign = violations(rules.foreign_references(inner, objects.where("collection <> 'review_artifacts'")), {"reference to another program": F.lit(True)}, "id")
+    return union([types, twice, slugs, repeated, unknown, foreign])
+
+
+def steps(rows: DataFrame) -> DataFrame:
+    """Events that don't start from the state they need, and changes of experiments under another lineage than they were planned under."""
     w = Window.partitionBy("ledger_id", "collection", "id").orderBy("sequence")
-    moves = steps.withColumn("source", F.lag("state").over(w))
-    right = F.array([F.lit(f"{s}>{t}") for s, t in allowed])
-    made = F.col("type").isin(list(CREATED)) & ~((F.col("type") == "review.completed") & (F.col("collection") == "review_requests"))
-    order = violations(moves, {"transition": ~made & ~F.coalesce(F.array_contains(right, F.concat_ws(">", "source", "type")), F.lit(False)) | ~made & F.col("source").isNull()}, "id")
-    flags = evidence_flags(events)
+    moves = transitions(rows).withColumn("source", F.lag("state").over(w))
+    right = F.array([F.lit(f"{s}>{t}") for t, _, sources, _ in STEPS for s in sources])
+    step = F.col("type").isin([t for t, *_ in STEPS])
+    order = violations(moves, {"transition": step & ~F.coalesce(F.array_contains(right, F.concat_ws(">", "source", "type")), F.lit(False))}, "id")
+    own = F.struct("p.program_id", "p.protocol_id", "p.working_id", F.col("written_type").alias("kind"))
+    planned = rows.where("type = 'experiment.planned'").groupBy("ledger_id", "id").agg(F.min_by(own, "sequence").alias("o"))
+    later = rows.where("type like 'experiment.%' and type <> 'experiment.planned'").join(planned, ["ledger_id", "id"])
+    differs = lambda c: ~F.col(f"p.{c}").eqNullSafe(F.col(f"o.{c}"))
+    lineage = violations(later, {"other lineage": differs("program_id") | differs("protocol_id") | (F.col("o.working_id").isNotNull() & differs("working_id")), "experiment of the old kind": F.col("o.kind") == "experiment.created"}, "id")
+    opened = rows.where("type = 'issue.opened'").groupBy("ledger_id", "id").agg(F.min_by("p.program_id", "sequence").alias("_program"))
+    solved = rows.where("type = 'issue.resolved'").join(opened, ["ledger_id", "id"])
+    return union([order, lineage, violations(solved, {"other lineage": ~F.col("p.program_id").eqNullSafe(F.col("_program"))}, "id")])
+
+
+def evidence(rows: DataFrame) -> DataFrame:
+    """Flags of evidence that are lowered, set twice or set too early."""
     wf = Window.partitionBy("ledger_id", "id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.max(F.coalesce(F.col(c), F.lit(False))).over(wf), F.lit(False))
-    flags = flags.withColumn("_r", before("source_resolved")).withColumn("_i", before("content_inspected"))
+    flags = evidence_flags(rows).withColumn("_r", before("source_resolved")).withColumn("_i", before("content_inspected"))
     t = F.col("type")
-    seen = violations(
+    return violations(
         flags,
         {
             "flag lowered": (t == "evidence.verified") & ((F.col("_r") & ~F.col("source_resolved")) | (F.col("_i") & ~F.col("content_inspected"))),
@@ -194,28 +303,181 @@ def audit(events: DataFrame) -> DataFrame:
         },
         "id",
     )
-    return union([types, twice, unknown, foreign, order, seen, closing(events)]).distinct()
 
 
-def closing(events: DataFrame) -> DataFrame:
+def claims(rows: DataFrame) -> DataFrame:
+    """Relations of claims to evidence that isn't inspected yet, that are proposed twice, or verified without or before a proposal; questions sealed twice."""
+    ready = evidence_flags(rows).groupBy("ledger_id", F.col("id").alias("evidence_id")).agg(F.min(F.when(F.col("source_resolved"), F.col("sequence"))).alias("_r"), F.min(F.when(F.col("content_inspected"), F.col("sequence"))).alias("_i"))
+    w = Window.partitionBy("ledger_id", "claim_id", "evidence_id").orderBy("sequence", "place").rowsBetween(Window.unboundedPreceding, -1)
+    had = lambda step: F.count_if(F.col("step") == step).over(w)
+    made = rows.where("type = 'claim.created'").select("ledger_id", F.col("id").alias("claim_id"), "sequence", F.lit(True).alias("_made"))
+    found = relations(rows).withColumn("_proposed", had("PROPOSED")).withColumn("_verified", had("VERIFIED")).join(ready, ["ledger_id", "evidence_id"], "left").join(made, ["ledger_id", "claim_id", "sequence"], "left")
+    seen = F.coalesce((F.col("_r") < F.col("sequence")) & (F.col("_i") < F.col("sequence")), F.lit(False))
+    verified = F.col("step") == "VERIFIED"
+    out = violations(
+        found,
+        {
+            "evidence not inspected": ~seen & (verified | F.coalesce(F.col("_made"), F.lit(False))),
+            "relation proposed twice": ~verified & (F.col("_proposed") > 0),
+            "relation not proposed": verified & (F.col("_proposed") == 0),
+            "relation verified twice": verified & (F.col("_verified") > 0),
+        },
+        "claim_id",
+    )
+    sealed = rows.where("type = 'research_question.sealed'").select("ledger_id", "id", "sequence")
+    return out.unionByName(violations(rules.duplicates(sealed, ["ledger_id", "id"]), {"question sealed twice": F.lit(True)}, "id"))
+
+
+def _protocols(rows: DataFrame) -> DataFrame:
+    """ledger_id, protocol_id, _frozen (sequence of its seal), _hypotheses, _spec."""
+    frozen = F.min(F.when(F.col("type") == "protocol.sealed", F.col("sequence"))).alias("_frozen")
+    drafted = F.when(F.col("type") == "protocol.drafted", F.col("sequence"))
+    return rows.where("type in ('protocol.sealed', 'protocol.drafted')").groupBy("ledger_id", F.col("id").alias("protocol_id")).agg(frozen, F.min_by("p.hypothesis_ids", drafted).alias("_hypotheses"), F.min_by("p.analysis_spec", drafted).alias("_spec"))
+
+
+def studies(rows: DataFrame) -> DataFrame:
+    """Work under a protocol that isn't frozen, hypotheses that the protocol doesn't register, runs under another lineage than their experiment, and assessments."""
+    protocols = _protocols(rows)
+    none = F.array().cast("array<string>")
+    used = F.when(F.col("type") == "experiment.planned", F.array_compact(F.array("p.hypothesis_id"))).when(F.col("type") == "assessment.recorded", F.col("p.hypothesis_findings.hypothesis_id"))
+    under = rows.where("type in ('working.created', 'experiment.planned', 'deviation.recorded', 'assessment.recorded') and p.protocol_id is not null").withColumn("protocol_id", F.col("p.protocol_id")).join(protocols, ["ledger_id", "protocol_id"])
+    frozen = F.coalesce(F.col("_frozen") < F.col("sequence"), F.lit(False))
+    first = violations(
+        under,
+        {
+            "protocol not frozen": (F.col("type") != "assessment.recorded") & ~frozen,
+            "hypothesis not of the protocol": F.size(F.array_except(F.coalesce(used, none), F.coalesce("_hypotheses", none))) > 0,
+            "confirmatory without finding": (F.col("p.study_mode") == "confirmatory") & (F.col("type") == "assessment.recorded") & (F.size(F.coalesce("p.hypothesis_findings.hypothesis_id", none)) == 0),
+        },
+        "id",
+    )
+    drafts = violations(rows.where("type = 'protocol.drafted'"), {"confirmatory without hypothesis": (F.col("p.study_mode") == "confirmatory") & (F.size(F.coalesce("p.hypothesis_ids", none)) == 0)}, "id")
+    own = lambda t, name: rows.where(F.col("type") == t).groupBy("ledger_id", F.col("id").alias(name)).agg(F.min_by(F.struct("p.program_id", "p.protocol_id"), "sequence").alias("o"))
+    other = (~F.col("p.program_id").eqNullSafe(F.col("o.program_id"))) | (~F.col("p.protocol_id").eqNullSafe(F.col("o.protocol_id")))
+    runs = rows.where("type = 'run.recorded'").withColumn("experiment_id", F.col("p.experiment_id"))
+    included = F.coalesce(F.col("p.analysis_disposition.included"), F.col("p.analysis_included"), F.lit(False))
+    kept_runs = violations(runs, {"included run not completed": included & ~F.col("p.status").eqNullSafe(F.lit("COMPLETED"))}, "id")
+    of_experiment = violations(runs.join(own("experiment.planned", "experiment_id"), ["ledger_id", "experiment_id"]), {"other lineage": other}, "id")
+    assessed = rows.where("type = 'assessment.recorded'").withColumn("bundle_id", F.col("p.result_bundle_id"))
+    of_bundle = violations(assessed.join(own("analysis.computed", "bundle_id"), ["ledger_id", "bundle_id"]), {"other lineage": other}, "id")
+    pinned = rows.where("type = 'analysis.computed' and p.bundle_sigil is not null").withColumn("_own", json_digest(F.col("p.bundle")))
+    return union([first, drafts, kept_runs, of_experiment, of_bundle, violations(pinned, {"bundle digest": ~F.col("p.bundle_sigil").eqNullSafe(F.col("_own"))}, "id")])
+
+
+def pilots(rows: DataFrame) -> DataFrame:
+    """Completed pilots without the runs that the protocol registers for them, in the right experiment, protocol and phase, or without an arm that is compared."""
+    spec = F.from_json("_spec", "pilot_run_ids array<string>, comparisons array<struct<experiment_id:string,arms:array<string>>>")
+    done = rows.where("type = 'experiment.pilot_completed'").select("ledger_id", "sequence", "id", F.col("p.program_id").alias("program_id"), F.col("p.protocol_id").alias("protocol_id"))
+    done = done.join(_protocols(rows), ["ledger_id", "protocol_id"], "left").withColumn("s", spec)
+    none = violations(done, {"no registered pilot": F.coalesce(F.size("s.pilot_run_ids"), F.lit(0)) <= 0}, "id")
+    runs = rows.where("type = 'run.recorded'").groupBy("ledger_id", F.col("id").alias("run_id")).agg(F.min_by(F.struct("sequence", "p.program_id", "p.protocol_id", "p.experiment_id", "p.phase", "p.arm"), "sequence").alias("r"))
+    needed = done.select("ledger_id", "sequence", "id", "program_id", "protocol_id", F.explode("s.pilot_run_ids").alias("run_id")).join(runs, ["ledger_id", "run_id"], "left")
+    there = F.coalesce(F.col("r.sequence") < F.col("sequence"), F.lit(False))
+    fits = F.col("r.program_id").eqNullSafe(F.col("program_id")) & F.col("r.protocol_id").eqNullSafe(F.col("protocol_id")) & F.col("r.experiment_id").eqNullSafe(F.col("id")) & F.col("r.phase").eqNullSafe(F.lit("PILOT"))
+    gaps = violations(needed, {"pilot run missing": ~there, "pilot run of another kind": there & ~fits}, "id")
+    arms = done.select("ledger_id", "sequence", "id", F.explode("s.comparisons").alias("c")).where("c.experiment_id = id").select("ledger_id", "sequence", "id", F.explode("c.arms").alias("arm"))
+    recorded = needed.where(there).select("ledger_id", "sequence", "id", F.col("r.arm").alias("arm"))
+    left = arms.join(recorded, ["ledger_id", "sequence", "id", "arm"], "left_anti")
+    return union([none, gaps, violations(left, {"pilot arm missing": F.lit(True)}, "id")])
+
+
+def reviews(rows: DataFrame) -> DataFrame:
+    """Requests outside the bounds of their kind, and approvals, completions and acceptances by or for something else than they need."""
+    p = lambda c: F.col(f"p.{c}")
+    asked = rows.where("type = 'review.requested'")
+    outside = p("type") == "external_diff_review"
+    state = F.when(outside, WAITS).otherwise("PREPARED")
+    bounds = (
+        ~p("destination.execution").eqNullSafe(F.when(outside, "external").otherwise("local"))
+        | ~p("status").eqNullSafe(state)
+        | ~p("approval.required").eqNullSafe(outside)
+        | ~p("approval.status").eqNullSafe(F.when(outside, WAITS).otherwise("NOT_REQUIRED"))
+        | F.coalesce("p.approval.approved_by", "p.approval.approved_at", "p.approval.rationale").isNotNull()
+        | F.when(outside, (F.coalesce(p("destination.provider"), F.lit("")) == "") | F.coalesce(p("disclosure.includes_credentials"), F.lit(False))).otherwise(p("destination.provider").isNotNull())
+    )
+    first = asked.groupBy("ledger_id", "id").agg(F.min_by("p", "sequence").alias("q"))
+    later = rows.where("type in ('review.approved', 'review.completed', 'review.accepted')").join(first, ["ledger_id", "id"])
+    t, abroad = F.col("type"), F.col("q.type") == "external_diff_review"
+    human = F.coalesce(F.col("actor.actor_type") == "human", F.lit(False))
+    approved = (t == "review.approved") & (~abroad | F.coalesce(F.col("q.disclosure.includes_credentials"), F.lit(False)) | ~human | ~p("approved_by").eqNullSafe(F.col("actor.actor_id")))
+    source = lambda c: F.get_json_object("p.source", f"$.{c}")
+    elsewhere = (t == "review.completed") & (~source("execution").eqNullSafe(F.col("q.destination.execution")) | ~source("provider").eqNullSafe(F.col("q.destination.provider")))
+    out = [violations(asked, {"review outside its bounds": bounds}, "id"), violations(later, {"approval": approved, "other source": elsewhere, "accepted by no human": (t == "review.accepted") & ~human}, "id")]
+    accepted = rows.where("type = 'agent-result.accepted'").groupBy("ledger_id", F.col("id").alias("task_id")).agg(F.min_by(F.struct("sequence", "p"), "sequence").alias("a"))
+    done = later.where("type = 'review.completed'").withColumn("task_id", F.col("p.task_id")).join(accepted, ["ledger_id", "task_id"], "left")
+    # fixed names of the two capabilities that carry a review out, as endings
+    capability = F.get_json_object("a.p.capability", "$.id")
+    right = (
+        (F.col("a.sequence") < F.col("sequence")) & F.col("a.p.program_id").eqNullSafe(F.col("q.program_id")) & (F.get_json_object("a.p.result", "$.status") == "COMPLETED")
+        & capability.endswith(F.when(abroad, ".review.external").otherwise(".review.local")) & F.col("a.p.bindings.review_id").eqNullSafe(F.col("id"))
+    )
+    return union([*out, violations(done, {"no task result for the review": ~F.coalesce(right, F.lit(False))}, "id")])
+
+
+def results(rows: DataFrame) -> DataFrame:
+    """Accepted task results that pin another task, input, snapshot or contract than their event."""
+    own = rows.where("type = 'agent-result.accepted'")
+    inner = lambda c: F.get_json_object("p.result", f"$.{c}")
+    old, new = inner("schema_version").endswith("/1.0"), inner("schema_version").endswith("/1.1")
+    pins = F.when(old, inner("input_sigil").eqNullSafe(F.col("p.input_sigil"))).when(new, inner("snapshot_sigil").eqNullSafe(F.get_json_object("p.snapshot", "$.snapshot_sigil")) & inner("capability_contract_sigil").eqNullSafe(F.get_json_object("p.capability", "$.contract_sigil")))
+    return violations(own, {"result of another task": ~inner("task_id").eqNullSafe(F.col("id")), "result pins": ~F.coalesce(pins, F.lit(False))}, "id")
+
+
+def workings(rows: DataFrame) -> DataFrame:
+    """Workflow runs whose definition isn't the pinned one, and steps by hand that aren't one stage on, or in a run that advances by events."""
+    made = rows.where("type = 'working.created'")
+    pinned = violations(made.where("p.rite is not null").withColumn("_own", json_digest(F.col("p.rite"))), {"definition digest": ~F.col("p.rite_sigil").eqNullSafe(F.col("_own"))}, "id")
+    rite = F.from_json("p.rite", "schema_version string, stages array<struct<name:string>>")
+    first = made.groupBy("ledger_id", "id").agg(F.min_by(rite, "sequence").alias("w"))
+    w = Window.partitionBy("ledger_id", "id").orderBy("sequence")
+    moved = rows.where("type = 'working.advanced'").withColumn("_from", F.lag("p.to_stage").over(w)).join(first, ["ledger_id", "id"])
+    names = F.col("w.stages.name")
+    here = F.coalesce("_from", F.get(names, F.lit(0)))
+    following = F.get(names, F.array_position(names, F.col("p.from_stage")).cast("int"))
+    bad = F.coalesce(F.col("w.schema_version").endswith("/1.1"), F.lit(False)) | ~F.col("p.from_stage").eqNullSafe(here) | ~F.coalesce(following == F.col("p.to_stage"), F.lit(False))
+    return pinned.unionByName(violations(moved, {"stage": bad}, "id"))
+
+
+def decisions(rows: DataFrame) -> DataFrame:
+    """Decisions that break a gate: by the issues open at that moment and the limitations of their assessments."""
+    sealed = rows.where("type = 'decision.sealed'").select(
+        "ledger_id", "sequence", F.col("id").alias("decision_id"), "p.program_id", "p.outcome", F.coalesce("p.assessment_ids", F.array().cast("array<string>")).alias("assessment_ids"),
+        F.coalesce("p.required_actions", F.array().cast("array<string>")).alias("required_actions"), F.col("p.lineage.parent_program_id").alias("parent_program_id"), "p.unresolved_issue_ids", "p.unresolved_uncertainties",
+    )
+    issue = rows.where("type in ('issue.opened', 'issue.resolved')").groupBy("ledger_id", F.col("id").alias("issue_id"))
+    opened = F.when(F.col("type") == "issue.opened", F.col("sequence"))
+    issues = issue.agg(F.min_by("p.program_id", opened).alias("program_id"), F.min_by("p.severity", opened).alias("severity"), F.min(opened).alias("opened"), F.min(F.when(F.col("type") == "issue.resolved", F.col("sequence"))).alias("closed"))
+    told = rows.where("type = 'assessment.recorded'").groupBy("ledger_id", F.col("id").alias("assessment_id")).agg(F.min_by("p.limitations", "sequence").alias("l")).select("ledger_id", "assessment_id", F.explode("l").alias("limitation"))
+    return rules.decision_gates(sealed, issues, told)
+
+
+def closing(rows: DataFrame) -> DataFrame:
     """Programs closed at another moment than exactly EVALUATED, or without a decision."""
-    closes = events.where("type = 'program.closed'").select("ledger_id", "sequence", F.col("object_id").alias("program_id"))
-    program = F.coalesce(F.get_json_object("payload", "$.program_id"), F.col("object_id"))
-    dated = events.withColumn("_p", program).select("ledger_id", F.col("_p").alias("program_id"), F.col("sequence").alias("_s"), "type")
-    before = closes.join(dated, ["ledger_id", "program_id"]).where("_s < sequence")
-    state = F.array_position(F.lit(PROGRAM_STATES), F.try_element_at(F.create_map(*(x for k, v in REACHED.items() for x in (F.lit(k), F.lit(v)))), F.col("type")))
-    at = before.groupBy("ledger_id", "program_id", "sequence").agg(F.max(state).alias("rank"), F.count_if(F.col("type") == "decision.sealed").alias("decisions"))
-    rows = closes.join(at, ["ledger_id", "program_id", "sequence"], "left").na.fill(0, ["rank", "decisions"])
-    return violations(rows, {"closed before evaluation": F.col("rank") != PROGRAM_STATES.index("EVALUATED") + 1, "closed without decision": F.col("decisions") == 0}, "program_id")
-
-
-def status_summary(state: dict[str, DataFrame]) -> DataFrame:
-    """Per ledger: programs, and the open critical issues, sorted."""
-    n = state["programs"].groupBy("ledger_id").agg(F.count("*").alias("programs"))
+    closes = rows.where("type = 'program.closed'").select("ledger_id", "sequence", F.col("id").alias("program_id"))
+    before = closes.join(reached(rows).select("ledger_id", "program_id", F.col("sequence").alias("_s"), "type", "state"), ["ledger_id", "program_id"]).where("_s < sequence")
+    rank = F.array_position(F.lit(PROGRAM_STATES), F.col("state"))
+    at = before.groupBy("ledger_id", "program_id", "sequence").agg(F.max(rank).alias("rank"), F.count_if(F.col("type") == "decision.sealed").alias("decisions"))
+    found = closes.join(at, ["ledger_id", "program_id", "sequence"], "left").na.fill(0, ["rank", "decisions"])
+    return violations(found, {"closed before evaluation": F.col("rank") != PROGRAM_STATES.index("EVALUATED") + 1, "closed without decision": F.col("decisions") == 0}, "program_id")
+
+
+def status_summary(state: dict[str, DataFrame], rows: DataFrame | None = None) -> DataFrame:
+    """Per ledger: programs, and the open critical issues, sorted; with chained rows (ledger_id, sequence, digest) also the last digest."""
+    n = state["programs"].groupBy("ledger_id").agg(F.count("*").alias("programs"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "status")))).alias("stages"))
     issues = state["issues"].where("current_status = 'OPEN' and severity = 'CRITICAL'").groupBy("ledger_id").agg(F.array_sort(F.collect_list("id")).alias("open_critical"))
-    return n.join(issues, "ledger_id", "left").withColumn("open_critical", F.coalesce("open_critical", F.array().cast("array<string>")))
+    out = n.join(issues, "ledger_id", "left").withColumn("open_critical", F.coalesce("open_critical", F.array().cast("array<string>")))
+    if rows is None:
+        return out
+    return out.join(rows.groupBy("ledger_id").agg(F.max_by("digest", "sequence").alias("last_digest")), "ledger_id", "left")
+
+
+# Fixed: how ids of each collection begin.
+PREFIXES = {
+    "programs": "RP-", "evidence": "EV-", "claims": "CL-", "hypotheses": "HY-", "protocols": "PT-", "review_requests": "RV-", "task_results": "TK-", "workings": "WK-", "experiments": "EX-", "runs": "RUN-",
+    "result_bundles": "RB-", "assessments": "AS-", "reproductions": "RR-", "decisions": "DE-", "artifacts": "AR-", "issues": "IS-", "deviations": "DV-",
+}
 
 
-def typed(column: Column, prefix: str) -> Column:
-    """Whether an id is of a kind, by its prefix."""
-    return column.startswith(prefix + "-")
+def typed(column: Column, collection: str) -> Column:
+    """Whether an id is of a collection, by its prefix."""
+    return column.startswith(PREFIXES[collection])

@@ -107,58 +107,157 @@ def events_of(spark, rows):
     return spark.createDataFrame([("L", i + 1, f"CE-{i + 1}", t, o, f"t{i}", json.dumps(p)) for i, (t, o, p) in enumerate(rows)], "ledger_id string, sequence long, event_id string, type string, object_id string, occurred_at string, payload string")
 
 
+def events_with_actors(spark, rows):
+    kind = {"review.approved": "human", "review.accepted": "human"}
+    out = [("L", i + 1, f"CE-{i + 1}", t, o, f"t{i}", (p.pop("_actor", "ann"), p.pop("_kind", kind.get(t, "tool"))), json.dumps(p)) for i, (t, o, p) in enumerate((t, o, dict(p)) for t, o, p in rows)]
+    return spark.createDataFrame(out, "ledger_id string, sequence long, event_id string, type string, object_id string, occurred_at string, actor struct<actor_id:string,actor_type:string>, payload string")
+
+
+P, WAITS = {"program_id": "RP-1"}, "WAITING_FOR_DISCLOSURE_AUTHORIZATION"
+EXP = P | {"protocol_id": "PT-1", "hypothesis_id": "HY-1", "question": "q", "working_id": "WK-1"}
+RITE = {"schema_version": "rite/1.0", "stages": [{"name": "a"}, {"name": "b"}, {"name": "c"}]}
+SPEC = {"pilot_run_ids": ["RUN-P", "RUN-Q"], "comparisons": [{"experiment_id": "EX-1", "arms": ["c", "t"]}]}
+OPEN_REVIEW = {"type": "local_review", "destination": {"execution": "local", "provider": None}, "status": "PREPARED", "disclosure": {"includes_credentials": False}, "approval": {"required": False, "status": "NOT_REQUIRED", "approved_by": None, "approved_at": None, "rationale": None}}
+FAR_REVIEW = {"type": "external_diff_review", "destination": {"execution": "external", "provider": "x"}, "status": WAITS, "disclosure": {"includes_credentials": False}, "approval": {"required": True, "status": WAITS, "approved_by": None, "approved_at": None, "rationale": None}}
+
+
+def accepted(task, capability, review):
+    return ("agent-result.accepted", task, P | {"capability": {"id": capability, "contract_sigil": "k"}, "snapshot": {"snapshot_sigil": "s"}, "bindings": {"review_id": review}, "result": {"schema_version": "agent-result/1.1", "task_id": task, "snapshot_sigil": "s", "capability_contract_sigil": "k", "status": "COMPLETED"}})
+
+
+def run_of(name, arm, phase="PILOT"):
+    return ("run.recorded", name, EXP | {"experiment_id": "EX-1", "status": "COMPLETED", "phase": phase, "arm": arm, "metrics": {"m": 1.0}, "analysis_disposition": {"included": True}})
+
+
 def study():
-    p = {"program_id": "RP-1"}
-    e = p | {"protocol_id": "PT-1", "hypothesis_id": "HY-1", "question": "q"}
+    """A sound study: every kind of event, in an order that breaks no rule."""
+    bundle = P | {"protocol_id": "PT-1"}
+    decide = lambda i, outcome, **more: ("decision.sealed", i, P | {"outcome": outcome, "assessment_ids": ["AS-1"], "unresolved_issue_ids": [], "unresolved_uncertainties": ["l"]} | more)
     return [
         ("program.created", "RP-1", {"slug": "a", "title": "t", "problem": "x"}),
-        ("evidence.recorded", "EV-1", p | {"source": "s", "observation": "o"}),
-        ("evidence.source_resolved", "EV-1", p), ("evidence.content_inspected", "EV-1", p),
-        ("claim.created", "CL-1", p | {"type": "x", "statement": "s"}),
-        ("hypothesis.created", "HY-1", p | {"claim_ids": ["CL-1"], "statement": "s", "prediction": "p"}),
-        ("research_question.sealed", "RP-1", p | {"statement": "s"}),
-        ("protocol.drafted", "PT-1", p | {"title": "t", "hypothesis_ids": ["HY-1"], "study_mode": "confirmatory"}),
-        ("protocol.sealed", "PT-1", p),
-        ("protocol.drafted", "PT-2", p | {"title": "t", "hypothesis_ids": ["HY-1"]}),
-        ("experiment.planned", "EX-1", e), ("experiment.implemented", "EX-1", e), ("experiment.pilot_started", "EX-1", e), ("experiment.pilot_completed", "EX-1", e), ("experiment.formal_started", "EX-1", e),
-        ("run.recorded", "RUN-1", e | {"experiment_id": "EX-1", "status": "COMPLETED", "phase": "FORMAL", "metrics": {"m": 1.0}}),
-        ("analysis.computed", "RB-1", p | {"protocol_id": "PT-1", "bundle": {}}),
-        ("deviation.recorded", "DV-1", p | {"protocol_id": "PT-1", "kind": "k", "affected_object_ids": ["RUN-1"]}),
-        ("issue.opened", "IS-1", p | {"subject_ids": ["RUN-1"], "severity": "CRITICAL", "title": "t", "description": "d"}),
-        ("assessment.recorded", "AS-1", p | {"protocol_id": "PT-1", "result_bundle_id": "RB-1", "summary": "s", "limitations": ["l"], "claim_findings": [{"id": "CL-1", "status": "SUPPORTED"}], "hypothesis_findings": []}),
-        ("evidence.recorded", "EV-2", p | {"source": "late", "observation": "o"}),
+        ("evidence.recorded", "EV-1", P | {"source": {"uri": "u", "sigil": "s"}, "observation": "o"}),
+        ("evidence.source_resolved", "EV-1", P), ("evidence.content_inspected", "EV-1", P),
+        ("claim.created", "CL-1", P | {"type": "empirical", "statement": "s", "evidence_relations": [{"evidence_id": "EV-1", "relation": "SUPPORTS"}]}),
+        ("claim.created", "CL-2", P | {"type": "empirical", "statement": "s"}),
+        ("claim_relation.proposed", "CL-2", P | {"evidence_id": "EV-1", "relation": "LIMITS"}), ("claim_relation.verified", "CL-2", P | {"evidence_id": "EV-1"}),
+        ("hypothesis.created", "HY-1", P | {"claim_ids": ["CL-1"], "statement": "s", "prediction": "p"}),
+        ("hypothesis.created", "HY-2", P | {"claim_ids": ["CL-1"], "statement": "s", "prediction": "p"}),
+        ("research_question.sealed", "RP-1", P | {"statement": "s"}),
+        ("protocol.drafted", "PT-1", P | {"title": "t", "hypothesis_ids": ["HY-1"], "study_mode": "confirmatory", "analysis_spec": SPEC}),
+        ("protocol.sealed", "PT-1", P),
+        ("protocol.drafted", "PT-2", P | {"title": "t", "hypothesis_ids": ["HY-1"]}),
+        ("working.created", "WK-1", P | {"protocol_id": "PT-1", "rite_id": "r", "rite": RITE, "rite_sigil": sealed(RITE)}),
+        ("working.advanced", "WK-1", P | {"from_stage": "a", "to_stage": "b"}),
+        ("experiment.planned", "EX-1", EXP), ("experiment.implemented", "EX-1", EXP), ("experiment.pilot_started", "EX-1", EXP), run_of("RUN-P", "c"), run_of("RUN-Q", "t"),
+        ("experiment.pilot_completed", "EX-1", EXP), ("experiment.formal_started", "EX-1", EXP), run_of("RUN-1", "c", "FORMAL"),
+        ("analysis.computed", "RB-1", {"bundle": bundle, "bundle_sigil": sealed(bundle)}),
+        ("deviation.recorded", "DV-1", P | {"protocol_id": "PT-1", "kind": "PLANNED", "affected_object_ids": ["RUN-1"]}),
+        ("assessment.recorded", "AS-1", P | {"protocol_id": "PT-1", "result_bundle_id": "RB-1", "study_mode": "confirmatory", "summary": "s", "limitations": ["l"], "claim_findings": [{"claim_id": "CL-1", "status": "SUPPORTED"}], "hypothesis_findings": [{"hypothesis_id": "HY-1", "status": "SUPPORTED"}]}),
+        ("assessment.recorded", "AS-2", P | {"protocol_id": "PT-1", "result_bundle_id": "RB-1", "summary": "s", "limitations": ["l"], "claim_findings": [], "hypothesis_findings": []}),
+        ("artifact.registered", "AR-1", P | {"kind": "table", "producer_id": "RB-1", "input_ids": ["RUN-1"]}),
+        ("reproduction.assessed", "RR-1", P | {"evidence_id": "EV-1", "run_ids": ["RUN-1"], "result_bundle_id": "RB-1", "artifact_ids": ["AR-1"], "assessment_id": "AS-1", "status": "REPRODUCED"}),
+        decide("DE-1", "CONTINUE"), decide("DE-2", "REPAIR", required_actions=["do"]), decide("DE-3", "PIVOT", lineage={"parent_program_id": "RP-1", "reason": "r"}), decide("DE-4", "STOP"), decide("DE-5", "INSUFFICIENT_EVIDENCE"), decide("DE-6", "REVIEW_REQUIRED", assessment_ids=["AS-1", "AS-2"]),
+        ("issue.opened", "IS-1", P | {"subject_ids": ["RUN-1"], "severity": "CRITICAL", "title": "t", "description": "d"}),
+        ("issue.opened", "IS-2", P | {"subject_ids": ["RUN-1"], "severity": "LOW", "title": "t", "description": "d"}), ("issue.resolved", "IS-2", P | {"resolution": "r"}),
+        ("evidence.recorded", "EV-2", P | {"source": {"uri": "late", "sigil": "s"}, "observation": "o"}),
+        ("review.requested", "RV-1", P | OPEN_REVIEW), accepted("TK-1", "x.review.local", "RV-1"), ("review.completed", "RV-1", P | {"task_id": "TK-1", "source": {"execution": "local", "provider": None}}), ("review.accepted", "RV-1", P),
+        ("review.requested", "RV-2", P | FAR_REVIEW), ("review.approved", "RV-2", P | {"approved_by": "ann"}), accepted("TK-2", "x.review.external", "RV-2"), ("review.completed", "RV-2", P | {"task_id": "TK-2", "source": {"execution": "external", "provider": "x"}}),
     ]
 
 
 def test_state_tables(spark):
-    events = events_of(spark, study()).repartition(3)
+    events = events_with_actors(spark, study()).repartition(3)
     t = state.tables(events)
     (program,) = t["programs"].collect()
-    assert program.status == "EVALUATED" and program.children[0] == "EV-1" and program.children[-1] == "EV-2"  # late evidence lowers nothing
+    assert program.status == "EVALUATED" and program.children[0] == "EV-1" and program.question_sealed_at  # late evidence lowers nothing
     assert {r.id: (r.resolved, r.inspected) for r in t["evidence"].collect()} == {"EV-1": (True, True), "EV-2": (False, False)}
     assert {r.id: (r.current_status, r.deviations) for r in t["protocols"].collect()} == {"PT-1": ("FROZEN", ["DV-1"]), "PT-2": ("DRAFT", None)}
     (x,) = t["experiments"].collect()
     assert x.current_status == "FORMAL_RUNNING" and len(x.history) == 5
-    assert t["claims"].first().status == "SUPPORTED" and t["issues"].first().current_status == "OPEN"
-    assert state.status_summary(t).first().open_critical == ["IS-1"]
-    assert state.audit(events).count() == 0
-
-
-def test_rules_across_objects(spark):
-    rows = study()
-    p, other = {"program_id": "RP-1"}, {"program_id": "RP-2"}
-    n = len(rows)
-    rows += [
-        ("program.created", "RP-2", {"slug": "b", "title": "t", "problem": "x"}),
-        ("hypothesis.created", "HY-2", p | {"claim_ids": ["CL-9"]}),  # unknown
-        ("hypothesis.created", "HY-1", p | {"claim_ids": ["CL-1"]}),  # twice
-        ("assessment.recorded", "AS-2", other | {"protocol_id": "PT-1", "result_bundle_id": "RB-1"}),  # of another program
-        ("experiment.completed", "EX-1", p), ("experiment.cancelled", "EX-1", p),  # the second is refused
-        ("evidence.content_inspected", "EV-2", p), ("evidence.verified", "EV-1", p | {"verification": {"source_resolved": True}}),
-        ("program.closed", "RP-1", p), ("something.else", "X", {}),
+    assert {r.id: (r.status, [(x.evidence_id, x.relation, x.status) for x in r.relations]) for r in t["claims"].collect()} == {"CL-1": ("SUPPORTED", [("EV-1", "SUPPORTS", "PROPOSED")]), "CL-2": ("PROPOSED", [("EV-1", "LIMITS", "VERIFIED")])}
+    assert {r.id: r.status for r in t["hypotheses"].collect()} == {"HY-1": "SUPPORTED", "HY-2": "PROPOSED"}
+    assert {r.id: r.current_status for r in t["issues"].collect()} == {"IS-1": "OPEN", "IS-2": "RESOLVED"}
+    assert {r.id: r.current_status for r in t["review_requests"].collect()} == {"RV-1": "ACCEPTED", "RV-2": "COMPLETED"}
+    summary = state.status_summary(t, spark.createDataFrame([("L", 1, "x"), ("L", 2, "y")], "ledger_id string, sequence long, digest string")).first()
+    assert summary.open_critical == ["IS-1"] and summary.last_digest == "y" and summary.stages == {"RP-1": "EVALUATED"}
+    assert state.audit(events).collect() == []
+    until = [r for r in study()[:17]]
+    assert {r.id: r.status for r in state.tables(events_with_actors(spark, until))["hypotheses"].collect()} == {"HY-1": "ACTIVE", "HY-2": "PROPOSED"}
+
+
+def test_every_rule_across_objects_has_its_breach(spark):
+    """Each broken event stands alone at the end of the sound study."""
+    other = {"program_id": "RP-2"}
+    bad_pilot = EXP | {"protocol_id": "PT-3"}
+    decide = lambda **more: ("decision.sealed", "DE-9", P | {"outcome": "STOP", "assessment_ids": ["AS-1"]} | more)
+    cases = [
+        ("unknown reference", [("hypothesis.created", "HY-9", P | {"claim_ids": ["CL-9"]})]),
+        ("unknown reference", [("evidence.verified", "EV-9", P | {"verification": {}})]),
+        ("unknown reference", [("assessment.recorded", "AS-9", P | {"protocol_id": "PT-1", "result_bundle_id": "RB-1", "claim_findings": [{"claim_id": "CL-9", "status": "x"}]})]),
+        ("duplicate id", [("hypothesis.created", "HY-1", P | {"claim_ids": ["CL-1"]})]),
+        ("duplicate slug", [("program.created", "RP-3", {"slug": "a"})]),
+        ("repeated element", [("hypothesis.created", "HY-9", P | {"claim_ids": ["CL-1", "CL-1"]})]),
+        ("reference to another program", [("program.created", "RP-2", {"slug": "b"}), ("hypothesis.created", "HY-9", other | {"claim_ids": ["CL-1"]})]),
+        ("transition", [("experiment.pilot_started", "EX-1", EXP)]),
+        ("transition", [("review.approved", "RV-2", P | {"approved_by": "ann"})]),
+        ("other lineage", [("experiment.completed", "EX-1", EXP | {"working_id": "WK-2"})]),
+        ("other lineage", [("issue.resolved", "IS-1", other)]),
+        ("experiment of the old kind", [("experiment.created", "EX-8", EXP), ("experiment.implemented", "EX-8", EXP)]),
+        ("inspected early or twice", [("evidence.content_inspected", "EV-2", P)]),
+        ("flag lowered", [("evidence.verified", "EV-1", P | {"verification": {"source_resolved": True}})]),
+        ("evidence not inspected", [("claim.created", "CL-9", P | {"evidence_relations": [{"evidence_id": "EV-2", "relation": "LIMITS"}]})]),
+        ("relation proposed twice", [("claim_relation.proposed", "CL-1", P | {"evidence_id": "EV-1", "relation": "LIMITS"})]),
+        ("relation not proposed", [("evidence.source_resolved", "EV-2", P), ("evidence.content_inspected", "EV-2", P), ("claim_relation.verified", "CL-1", P | {"evidence_id": "EV-2"})]),
+        ("relation verified twice", [("claim_relation.verified", "CL-2", P | {"evidence_id": "EV-1"})]),
+        ("question sealed twice", [("research_question.sealed", "RP-1", P)]),
+        ("protocol not frozen", [("deviation.recorded", "DV-9", P | {"protocol_id": "PT-2", "affected_object_ids": []})]),
+        ("protocol not frozen", [("working.created", "WK-9", P | {"protocol_id": "PT-2", "rite": RITE, "rite_sigil": sealed(RITE)})]),
+        ("hypothesis not of the protocol", [("experiment.planned", "EX-9", EXP | {"hypothesis_id": "HY-2"})]),
+        ("confirmatory without hypothesis", [("protocol.drafted", "PT-9", P | {"study_mode": "confirmatory"})]),
+        ("confirmatory without finding", [("assessment.recorded", "AS-9", P | {"protocol_id": "PT-1", "result_bundle_id": "RB-1", "study_mode": "confirmatory"})]),
+        ("included run not completed", [("run.recorded", "RUN-9", EXP | {"experiment_id": "EX-1", "status": "FAILED", "analysis_disposition": {"included": True}})]),
+        ("bundle digest", [("analysis.computed", "RB-9", {"bundle": P | {"protocol_id": "PT-1"}, "bundle_sigil": "sha256:0"})]),
+        ("no registered pilot", [("protocol.drafted", "PT-3", P | {"hypothesis_ids": ["HY-1"]}), ("protocol.sealed", "PT-3", P), ("experiment.planned", "EX-9", bad_pilot), ("experiment.implemented", "EX-9", bad_pilot), ("experiment.pilot_started", "EX-9", bad_pilot), ("experiment.pilot_completed", "EX-9", bad_pilot)]),
+        ("review outside its bounds", [("review.requested", "RV-9", P | FAR_REVIEW | {"disclosure": {"includes_credentials": True}})]),
+        ("review outside its bounds", [("review.requested", "RV-9", P | OPEN_REVIEW | {"destination": {"execution": "local", "provider": "x"}})]),
+        ("approval", [("review.requested", "RV-9", P | FAR_REVIEW), ("review.approved", "RV-9", P | {"approved_by": "bob"})]),
+        ("accepted by no human", [("review.accepted", "RV-2", P | {"_kind": "tool"})]),
+        ("no task result for the review", [("review.requested", "RV-9", P | OPEN_REVIEW), ("review.completed", "RV-9", P | {"task_id": "TK-1", "source": {"execution": "local", "provider": None}})]),
+        ("other source", [("review.requested", "RV-9", P | OPEN_REVIEW), accepted("TK-9", "x.review.local", "RV-9"), ("review.completed", "RV-9", P | {"task_id": "TK-9", "source": {"execution": "external", "provider": "x"}})]),
+        ("result pins", [("agent-result.accepted", "TK-9", P | {"capability": {"contract_sigil": "k"}, "snapshot": {"snapshot_sigil": "z"}, "result": {"schema_version": "agent-result/1.1", "task_id": "TK-9", "snapshot_sigil": "s", "capability_contract_sigil": "k"}})]),
+        ("result of another task", [("agent-result.accepted", "TK-9", P | {"input_sigil": "i", "result": {"schema_version": "agent-result/1.0", "task_id": "TK-8", "input_sigil": "i"}})]),
+        ("definition digest", [("working.created", "WK-9", P | {"protocol_id": "PT-1", "rite": RITE, "rite_sigil": "sha256:0"})]),
+        ("stage", [("working.advanced", "WK-1", P | {"from_stage": "a", "to_stage": "b"})]),
+        ("CONTINUE with an open critical issue", [decide(outcome="CONTINUE")]),
+        ("REPAIR without actions", [decide(outcome="REPAIR")]),
+        ("PIVOT without its own parent", [decide(outcome="PIVOT", lineage={"parent_program_id": "RP-2"})]),
+        ("REVIEW_REQUIRED without two assessments", [decide(outcome="REVIEW_REQUIRED")]),
+        ("open issues differ", [decide(unresolved_issue_ids=[])]),
+        ("uncertainties differ", [decide(unresolved_uncertainties=["x", "l"])]),
+        ("closed before evaluation", [("program.created", "RP-3", {"slug": "c"}), ("program.closed", "RP-3", {}), ]),
+        ("unknown type", [("something.else", "X", {})]),
     ]
-    found = {(r.sequence - n, r.rule) for r in state.audit(events_of(spark, rows)).collect()}
-    assert found == {(2, "unknown reference"), (3, "duplicate id"), (4, "reference to another program"), (6, "transition"), (7, "inspected early or twice"), (8, "flag lowered"), (9, "closed without decision"), (10, "unknown type")}
+    base, n = study(), len(study())
+    frames = []
+    for i, (_, more) in enumerate(cases):
+        frames += [(f"{i}", *r[1:]) for r in events_with_actors(spark, base + more).collect()]
+    events = spark.createDataFrame(frames, "ledger_id string, sequence long, event_id string, type string, object_id string, occurred_at string, actor struct<actor_id:string,actor_type:string>, payload string").repartition(4).cache()
+    found = {}
+    for r in state.audit(events).collect():
+        assert r.sequence > n, r
+        found.setdefault(int(r.ledger_id), set()).add(r.rule)
+    extra = {"closed without decision"}
+    for i, (rule, _) in enumerate(cases):
+        assert rule in found.get(i, set()) and len(found[i] - {rule} - extra) == 0, (rule, found.get(i))
+
+
+def test_pilots_need_their_runs(spark):
+    def with_runs(*runs):
+        head = study()[:19]
+        return head + list(runs) + [("experiment.pilot_completed", "EX-1", EXP)]
+
+    for runs, want in (((run_of("RUN-P", "c"),), {"pilot run missing", "pilot arm missing"}), ((run_of("RUN-P", "c"), run_of("RUN-Q", "t", "FORMAL")), {"pilot run of another kind"}), ((run_of("RUN-P", "c"), run_of("RUN-Q", "c")), {"pilot arm missing"})):
+        assert {r.rule for r in state.audit(events_with_actors(spark, with_runs(*runs))).collect()} == want
 
 
 def test_gates(spark):
