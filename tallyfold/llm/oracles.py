@@ -34,17 +34,17 @@ from d left join n using (doc_id) join r on r.node = d.doc_id group by d.doc_id,
 
 OP6 = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
-x as (select doc_id, i, substr(h, 2 * i + 1, 100) k from d, lateral (select unnest(range(0, length(h) // 2 - 49)) i)),
+c as (select doc_id, 500 * n o, substr(h, 1000 * n + 1, 1098) s from d, lateral (select unnest(range(0, (length(h) // 2 + 499) // 500)) n)),
+x as (select doc_id, o + j i, substr(s, 2 * j + 1, 100) k from c, lateral (select unnest(range(0, least(500, length(s) // 2 - 49))) j)),
 f as (select k, min(doc_id) m from x group by 1),
-g as (select doc_id, i, i - lag(i, 1, i - 100) over (partition by doc_id order by i) step from x join f using (k) where f.m < doc_id),
-c as (select distinct doc_id, j from g, lateral (select unnest(range(case when step < 50 then i + 50 - step else i end, i + 50)) j)),
-r as (select doc_id, count(*) n from c group by 1),
-o as (select a.doc_id, count(*) n from c a left join c b on b.doc_id = a.doc_id and b.j = a.j - 1 where b.j is null group by 1),
-k as (select d.doc_id, string_agg(substr(h, 2 * p + 1, 2), '' order by p) s from d, lateral (select unnest(range(0, length(h) // 2)) p)
-      where d.doc_id in (select doc_id from r) and not exists (select 1 from c where c.doc_id = d.doc_id and c.j = p) group by 1)
-select d.doc_id, length(h) // 2 n_bytes, coalesce(r.n, 0) n_removed, coalesce(o.n, 0) n_spans,
-       sha256(unhex(case when r.n is null then h else coalesce(k.s, '') end)) kept_sha256
-from d left join r using (doc_id) left join o using (doc_id) left join k using (doc_id)
+g as (select doc_id, i, i > 50 + lag(i, 1, -100) over (partition by doc_id order by i) apart from x join f using (k) where f.m < doc_id),
+r as (select doc_id, i, sum(apart::int) over (partition by doc_id order by i) run from g),
+s as (select doc_id, run, min(i) a, max(i) + 50 b from r group by 1, 2),
+t as (select *, lag(b, 1, 0) over (partition by doc_id order by a) p from s),
+k as (select doc_id, sum(b - a)::bigint n, count(*) o, max(b) e, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) kept from t join d using (doc_id) group by 1)
+select d.doc_id, length(h) // 2 n_bytes, coalesce(k.n, 0) n_removed, coalesce(k.o, 0) n_spans,
+       sha256(unhex(case when k.n is null then h else kept || substr(h, 2 * e + 1) end)) kept_sha256
+from d left join k using (doc_id)
 """
 
 OP9 = f"""

@@ -2,20 +2,28 @@
 
 Units are the bytes or the words of a text, a window is L units in a row, and
 anchors are chosen places such that two equal windows always hold an anchor at
-the same offset.  Four rounds ask for the least document per key:
-
-1. seeds: the units behind each anchor; keeps anchors whose seed is in two places;
-2. reaches: everything a window over the anchor may touch, extended both ways;
-   equal reaches settle all their windows at once, seeds with different reaches
-   are mixed;
-3. short keys of the windows of mixed seeds; keeps those that are in two places;
-4. what is left, window by window.
-
-A round shuffles packed, sorted keys that each part of the documents has
-combined beforehand, so a key shared by a third of all rows costs one entry per
-part.  Parts and key ranges are proportional to the shuffle partitions; inside
-a part, documents are worked through in slices of bounded size.  What a round
-found is a table in the shared folder, and its shuffle files go with its job.
+the same offset.  The units behind an anchor that every window over it holds are
+its seed; those that some window over it holds are its reach.
+
+1. Seeds.  Parts of the documents send packed seed hashes to buckets and learn
+   which ones are anywhere else: an anchor whose seed is in one place only has
+   no equal window.  This only leaves anchors out; it decides nothing.
+2. Reaches.  Each part sends its distinct reaches, as plain units, to the range
+   of the anchors' order that their seed falls into.  A range is sorted by
+   triples (three at a time, ties named and sorted again with the next triple),
+   to the right and to the left of the seed; neighbours in these orders are
+   compared unit by unit, which tells how far matches extend both ways.  The
+   windows that start some units before an anchor are then told apart by
+   (units before, name of the units behind), and the least document of each
+   kind is found.
+3. What the ranges found comes back as a few bits for each reach.
+
+Everything a part sends is distinct within the part, so a passage in a third of
+all rows costs one entry for each part.  There are as many parts and buckets as
+shuffle partitions, and a row for each part and bucket that have something in
+common, as many as the blocks of any shuffle.  Inside a part, documents are
+worked through in slices of bounded size.  A seed's different surroundings meet
+in one range: about `L + behind` units for each that differs.
 """
 
 from __future__ import annotations
@@ -24,63 +32,68 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.text import MUL, U, discard, mix, parallelism, powers, slices, written
+from tallyfold.llm.text import MUL, U, mix, parallelism, powers, shuffle_files_cleaned, slices, trimmed, written
 
-SLICE_BYTES = 1 << 20
-_SUB = 28  # bits of a key within its bucket, where a few chance hits do no harm
+SLICE_BYTES = 1 << 18
+_SUB = 28  # bits of a seed's hash within its bucket, where a few chance hits do no harm
 _LOW = (1 << _SUB) - 1
 _STEP = 0xFFFF
-_PACKED = "bucket int, part int, keys binary, ends binary, docs binary"
-_BACK = "part int, kind int, bucket int, keys binary, docs binary"
-_SEED, _REACH, _MIXED, _SHORT, _WINDOW = range(5)
-_FAR = np.iinfo(np.int64).max
+_SEEDS = "bucket int, part int, keys binary, twice binary"
+_KNOWN = "part int, bucket int, keys binary"
+_REACHES = "bucket int, part int, n int, units binary, shape binary, docs binary, places binary"
+_MARKS = "part int, bucket int, keys binary, bits binary"
+KEY_BYTES = 24  # of a seed, that ranges are cut by
 
 
 class Units:
     """A slice of documents as units, in order of doc_id.
 
-    values: a 64-bit value for each unit; first, last: unit range of each
-    document; anchor: the anchors' places, ascending; behind: units that a
-    window may hold before its anchor.
+    raw: the units as they are compared, bytes or 64-bit numbers; values: a
+    64-bit value for each, for hashes; first, last: unit range of each document.
     """
 
-    def __init__(self, values: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
+    def __init__(self, raw: np.ndarray, values: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
         up, self.down = powers(len(values) + 1)
         self.sums = np.zeros(len(values) + 1, U)
         np.cumsum(values * up[: len(values)], out=self.sums[1:])
-        self.n, self.first, self.last, self.length = len(values), first, last, length
+        self.raw, self.first, self.last, self.length = raw, first, last, length
 
-    def hash(self, at: np.ndarray, n: int) -> np.ndarray:
+    def hash(self, at: np.ndarray, n: int | np.ndarray) -> np.ndarray:
         """Hash of the n units from each of these places."""
         return mix((self.sums[at + n] - self.sums[at]) * self.down[at])
 
     def hashes(self, n: int) -> np.ndarray:
         """The same from every place that has n units."""
-        k = max(0, self.n - n + 1)
+        k = max(0, len(self.sums) - n)
         return mix((self.sums[n : n + k] - self.sums[:k]) * self.down[:k])
 
     def anchored(self, anchor: np.ndarray, seed: np.ndarray, behind: int) -> Units:
+        """anchor: ascending places; seed: the hash of each one's seed; behind: units that a window may hold before its anchor."""
         size = np.searchsorted(anchor, self.last) - np.searchsorted(anchor, self.first)
         doc = np.repeat(np.arange(len(self.first)), size)
-        lo = np.maximum(anchor - behind, self.first[doc])
-        hi = np.minimum(anchor, self.last[doc] - self.length)
-        ok = np.flatnonzero(lo <= hi)
-        self.anchor, self.seed, self.doc, self.lo, self.hi, self.behind = anchor[ok], seed[ok], doc[ok], lo[ok], hi[ok], behind
+        left = np.minimum(anchor - self.first[doc], behind)
+        right = np.minimum(self.last[doc] - anchor - (self.length - behind), behind)
+        ok = np.flatnonzero(left + right >= behind)
+        self.anchor, self.seed, self.doc, self.left, self.right, self.behind = anchor[ok], seed[ok], doc[ok], left[ok], right[ok], behind
         return self
 
-    def spread(self, which: np.ndarray) -> np.ndarray:
-        """Places where the windows over these anchors start."""
-        d = np.bincount(self.lo[which], minlength=self.n + 2)
-        d -= np.bincount(self.hi[which] + 1, minlength=self.n + 2)
-        return np.cumsum(d)[: self.n] > 0
-
-    def reach(self) -> np.ndarray:
-        """Hash of all that windows over each anchor touch, and of where the anchor is in it."""
-        shape = (self.anchor - self.lo) * (self.behind + 1) + (self.hi - self.anchor + self.behind)
-        return mix(self.hash(self.lo, self.length) * MUL[0] + self.hash(self.hi, self.length) * MUL[1] + (shape.astype(U) + self.seed) * MUL[2])
+    def keep(self, which: np.ndarray) -> None:
+        """Only these anchors stay; their reaches (units out of the text are 0) and hashes of those are made, and what else they need goes."""
+        behind, length = self.behind, self.length
+        anchor, left, right = self.anchor[which], self.left[which], self.right[which]
+        self.reach_hash = mix(self.hash(anchor - left, left + (length - behind) + right) + (left * (behind + 1) + right).astype(U) * MUL[1])
+        wide = np.concatenate([np.zeros(behind, self.raw.dtype), self.raw, np.zeros(length, self.raw.dtype)])
+        self.reach = np.lib.stride_tricks.sliding_window_view(wide, behind + length)[anchor]
+        cut = np.flatnonzero((left < behind) | (right < behind))
+        column = np.arange(behind + length)
+        self.reach[cut] *= (column >= behind - left[cut, None]) & (column < length + right[cut, None])
+        self.place = (anchor - self.first[self.doc[which]]).astype(np.int32)
+        self.anchor, self.doc, self.left, self.right = anchor.astype(np.int32), self.doc[which].astype(np.int32), left.astype(np.uint8), right.astype(np.uint8)
+        del self.sums, self.down, self.seed
 
 
 Reader = Callable[[pa.Table], Units]
@@ -108,12 +121,16 @@ def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> U(16)) * U(buckets) >> U(48 - _SUB)).astype(np.int64)
 
 
-def _doc_bytes(ids: np.ndarray) -> bytes:
-    return (ids.astype(np.uint32) if len(ids) and 0 <= ids.min() and ids.max() < 2**32 else ids.astype(np.int64)).tobytes()
+def _squeezed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _unsqueezed(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
-def _doc_ids(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, np.uint32 if len(blob) == 4 * n else np.int64).astype(np.int64)
+def _ranges(n: int) -> Iterator[tuple[int, int]]:
+    return ((a, min(n, a + (1 << 16))) for a in range(0, n, 1 << 16))
 
 
 def _table(schema: str, **columns) -> pa.Table:
@@ -121,30 +138,11 @@ def _table(schema: str, **columns) -> pa.Table:
     return pa.table({n: pa.array(columns.get(n, []), kinds[k]) for n, k in (x.split() for x in schema.split(", "))})
 
 
-def _sent(part: int, codes: np.ndarray, buckets: int, keys: Callable[[slice], bytes], ends=None, docs=None) -> pa.Table:
-    """A row for each bucket that has entries; the entries are in the order of their codes."""
-    at = np.searchsorted(codes >> _SUB, np.arange(buckets + 1))
-    has = np.flatnonzero(at[1:] > at[:-1])
-    parts = [slice(at[b], at[b + 1]) for b in has]
-    blank = [b""] * len(parts)
-    return _table(_PACKED, bucket=has, part=[part] * len(parts), keys=[keys(s) for s in parts], ends=[ends(s) for s in parts] if ends else blank, docs=[docs(s) for s in parts] if docs else blank)
-
-
-def _first(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and where each is first."""
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    return s[new], order[new]
-
-
 class Among:
     """Membership in a set of integers: a table of a few bits of the key first, then the sorted keys."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray | None = None):
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], None if values is None else values[order]
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
         self.bits = U(64 - max(8, min(24, int(8 * len(keys) + 1).bit_length())))
         self.table = np.zeros(1 << (64 - int(self.bits)), bool)
         self.table[self._slot(self.keys)] = True
@@ -152,242 +150,308 @@ class Among:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(U) * MUL[7]) >> self.bits
 
-    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the keys are in the set, and where in it."""
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys are in the set."""
         at = np.flatnonzero(self.table[self._slot(keys)])
         if not len(at):
-            return at, at
+            return at
         own = keys[at]
         found = np.searchsorted(self.keys, own)
         found[found == len(self.keys)] = 0
-        ok = self.keys[found] == own
-        return at[ok], found[ok]
-
-
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """Places of the keys that are there twice or more, ascending."""
-    bits = U(64 - max(8, min(23, int(4 * len(keys) + 1).bit_length())))
-    slot = (keys.astype(U) * MUL[8]) >> bits
-    last = np.zeros(1 << (64 - int(bits)), np.int32)
-    place = np.arange(len(keys), dtype=np.int32)
-    last[slot] = place
-    met = np.zeros(len(last), bool)
-    met[slot[last[slot] != place]] = True
-    at = np.flatnonzero(met[slot])  # those that share a slot, then those that share a key
-    s = np.sort(keys[at])
-    twice = Among(np.unique(s[1:][s[1:] == s[:-1]]))
-    return at[twice.places(keys[at])[0]]
-
-
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, where groups begin in it, and each entry's group."""
-    order = np.argsort(keys, kind="stable")
+        return at[self.keys[found] == own]
+
+
+def triples_sorted(words: list[np.ndarray]) -> np.ndarray:
+    """Order of rows by their words, first word first.
+
+    Triples of words are sorted and named by rank; rows that share a name are
+    sorted again by it and the next triple, and so on while names are shared.
+    """
+    order = np.lexsort(words[:3][::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([w[order[1:]] != w[order[:-1]] for w in words[:3]], axis=0)
+    for t in range(3, len(words), 3):
+        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+        if not len(tied):
+            break
+        name, at = np.cumsum(new)[tied], order[tied]
+        more = [w[at] for w in words[t : t + 3]]
+        within = np.lexsort([*more[::-1], name])
+        order[tied] = at[within]
+        apart = np.any([w[within[1:]] != w[within[:-1]] for w in more], axis=0) | (name[1:] != name[:-1])
+        new[tied[1:]] = apart
+    return order
+
+
+def as_words(units: np.ndarray) -> list[np.ndarray]:
+    """Columns of 64-bit numbers in the order of the units; eight bytes make one."""
+    if units.dtype != np.uint8:
+        return list(units.T)
+    wide = np.zeros((len(units), -(-units.shape[1] // 8) * 8), np.uint8)
+    wide[:, : units.shape[1]] = units
+    return list(wide.view(">u8").astype(U).T)
+
+
+def _common(units: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many leading units each row in this order has in common with the one before it; none for the first."""
+    out = np.zeros(len(order), np.int64)
+    for a, b in _ranges(len(order) - 1):
+        differs = units[order[a + 1 : b + 1]] != units[order[a:b]]
+        out[a + 1 : b + 1] = np.where(differs.any(1), differs.argmax(1), units.shape[1])
+    return out
+
+
+def _least(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each key, the least value of that key."""
+    order = np.argsort(keys)
     s = keys[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    group = np.empty(len(s), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return order, np.flatnonzero(new), group
+    start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    out = np.empty(len(keys), values.dtype)
+    out[order] = np.repeat(np.minimum.reduceat(values[order], start), np.diff(np.append(start, len(s))))
+    return out
 
 
-def _read_rows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Keys, ends (or nothing) and documents of a bucket's rows, and each row's entries."""
-    ends = rows["ends"].to_pylist()
-    hashes = [np.frombuffer(x, U) for x in ends]
-    size = np.array([len(x) for x in hashes])
-    ids = np.concatenate([_doc_ids(x, n) for x, n in zip(rows["docs"].to_pylist(), size, strict=True)])
-    low = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["keys"].to_pylist()])
-    return low, np.concatenate(hashes), ids, np.split(np.arange(size.sum()), np.cumsum(size)[:-1])
+def compared(reach: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray, behind: int) -> np.ndarray:
+    """For each reach, bit d says that the window d units before its anchor is also in a reach of less rank.
+
+    left, right: how many units before the anchor and behind the seed are in
+    the text; `behind` units make a window.
+    """
+    bits = np.zeros(len(reach), U)
+    if len(reach) < 2:
+        return bits
+    seed = reach.shape[1] - 2 * behind
+    ahead = reach[:, behind:]
+    order = triples_sorted(as_words(ahead))
+    common = _common(ahead, order)
+    shared = np.append(common[1:] >= seed, False) | (common >= seed)  # a neighbour has the same seed
+    order, common = order[shared], common[shared]
+    if not len(order):
+        return bits
+    ahead_name = lambda k: np.cumsum(common < seed + k)  # noqa: E731  in this order: equal names, equal seed and k units behind it
+    seed_name = ahead_name(0)
+    reach, left, right, rank = reach[order], left[order], right[order], rank[order]
+    before = np.ascontiguousarray(reach[:, :behind][:, ::-1])
+    back = triples_sorted([seed_name.astype(U), *as_words(before)])
+    common_back = _common(before, back)
+    new_seed = np.append(True, seed_name[back][1:] != seed_name[back][:-1])
+
+    def before_name(k: int) -> np.ndarray:
+        out = np.empty(len(back), np.int64)
+        out[back] = np.cumsum(new_seed | (common_back < k))
+        return out
+
+    # reaches that are all the same are one; seeds of one reach are done with all their windows at once
+    n = len(order) + 1
+    whole = (before_name(behind) * n + ahead_name(behind)) * (behind + 1) ** 2 + left * (behind + 1) + right
+    _, head, one = np.unique(whole, return_index=True, return_inverse=True)
+    least = np.full(len(head), np.iinfo(np.int64).max)
+    np.minimum.at(least, one, rank)
+    kinds = np.bincount(seed_name[head], minlength=n + 1)
+    several = kinds[seed_name[head]] > 1
+    at = head[several]
+    place = np.full(len(head), -1)
+    place[several] = np.arange(len(at))
+    found = np.zeros(len(order), U)
+    for d in range(behind + 1):
+        first = least.copy()
+        inside = np.flatnonzero((left[at] >= d) & (right[at] >= behind - d))
+        if len(inside):
+            key = before_name(d)[at[inside]] * n + ahead_name(behind - d)[at[inside]]
+            first[np.flatnonzero(several)[inside]] = _least(key, least[several][inside])
+        fits = (left >= d) & (right >= behind - d)
+        found |= (fits & (first[one] < rank)).astype(U) << U(d)
+    bits[order] = found
+    return bits
+
+
+def even_keys(buckets: int) -> np.ndarray:
+    """Ends of ranges for keys that begin with a 64-bit hash."""
+    ends = np.zeros((max(0, buckets - 1), KEY_BYTES // 8), ">u8")
+    ends[:, 0] = [(i << 64) // buckets for i in range(1, buckets)]
+    return ends.view(f"S{KEY_BYTES}").ravel()
+
+
+class Part:
+    """The anchors of a part whose seed is elsewhere too, and their distinct reaches, by ranges of their keys."""
+
+    def __init__(self, found: list[tuple[Units, np.ndarray]], ends: np.ndarray, key: Callable[[np.ndarray], np.ndarray]):
+        """found: slices after keep(), with their documents' ids; ends: where the ranges of keys end."""
+        self.slices = [(u, ids) for u, ids in found if len(u.anchor)]
+        if not self.slices:
+            self.edge = np.zeros(len(ends) + 2, np.int64)
+            return
+        join = lambda f: np.concatenate([f(u, ids) for u, ids in self.slices])
+        hashed, self.left, self.right, self.place, reach = (join(lambda u, _, n=n: getattr(u, n)) for n in ("reach_hash", "left", "right", "place", "reach"))
+        self.doc = join(lambda u, ids: ids[u.doc])
+        for u, _ in self.slices:
+            del u.reach, u.reach_hash
+        order = np.lexsort((self.place, self.doc, hashed))  # the earliest occurrence first
+        new = np.append(True, hashed[order][1:] != hashed[order][:-1])
+        first = lambda: order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        head = first()
+        if any((reach[order[a:b]] != reach[head[a:b]]).any() for a, b in _ranges(len(order))) or (self.left[order] != self.left[head]).any() or (self.right[order] != self.right[head]).any():  # two reaches of one hash
+            words = [self.left.astype(U), self.right.astype(U), *as_words(reach)]
+            order = np.lexsort((self.place, self.doc, *words[::-1]))
+            new = np.append(True, np.any([w[order][1:] != w[order][:-1] for w in words], axis=0))
+            head = first()
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        heads = order[new]
+        by_text = np.argsort(heads)
+        bucket = np.concatenate([np.searchsorted(ends, key(reach[heads[by_text[a:b]]]), "right") for a, b in _ranges(len(heads))]).astype(np.int32)
+        by_range = by_text[np.argsort(bucket, kind="stable")]
+        self.head = heads[by_range]
+        self.edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=len(ends) + 1))])
+        place = np.empty(len(heads), np.int64)
+        place[by_range] = np.arange(len(heads))
+        self.which = place[kind]  # each anchor's place among the heads
+        self.reach = reach
+
+    def sent(self, part: int, within: bool) -> pa.Table:
+        """A row for each range that the part has a reach in."""
+        has = np.flatnonzero(np.diff(self.edge))
+        heads = [self.head[self.edge[b] : self.edge[b + 1]] for b in has]
+        shape = lambda h: np.stack([self.left[h], self.right[h]], 1)
+        columns = {"units": [_squeezed(self.reach[h]) for h in heads], "shape": [_squeezed(shape(h)) for h in heads], "docs": [_squeezed(self.doc[h]) for h in heads], "places": [_squeezed(self.place[h] if within else self.place[:0]) for h in heads]}
+        return _table(_REACHES, bucket=has, part=[part] * len(has), n=[len(h) for h in heads], **columns)
+
+    def starts(self, back: pa.Table, within: bool) -> Iterator[tuple[Units, np.ndarray]]:
+        """Slices with the places that start an earlier window; back: the ranges' answers."""
+        if not self.slices:
+            return
+        bits = np.zeros(len(self.head), U)
+        for bucket, keys, found in zip(back["bucket"].to_pylist(), back["keys"].to_pylist(), back["bits"].to_pylist(), strict=True):
+            bits[self.edge[bucket] + unpack(keys)] = np.frombuffer(found, U)
+        u = self.slices[0][0]
+        every = np.zeros(len(self.left), U)
+        for d in range(u.behind + 1):
+            every |= ((self.left >= d) & (self.right >= u.behind - d)).astype(U) << U(d)
+        head = self.head[self.which]
+        later = self.doc > self.doc[head]
+        if within:
+            later |= (self.doc == self.doc[head]) & (self.place > self.place[head])
+        own = np.where(later, every, bits[self.which])
+        at = 0
+        for u, _ in self.slices:
+            mine = own[at : at + len(u.anchor)]
+            at += len(u.anchor)
+            yield u, np.concatenate([u.anchor[(mine >> U(d) & U(1)).astype(bool)] - d for d in range(u.behind + 1)])
 
 
 class Search:
     """The rounds for one reader of slices; docs has doc_id and what the reader needs."""
 
-    def __init__(self, docs: DataFrame, read: Reader, within: bool):
-        """within: a window also counts as earlier at a smaller place of the same document."""
+    def __init__(self, docs: DataFrame, read: Reader, key: Callable[[np.ndarray], np.ndarray], within: bool, ends: Callable[[int], np.ndarray] = even_keys):
+        """key: KEY_BYTES for each of some reaches, equal for equal seeds; ends: ends of that many ranges
+        of keys; within: a window also counts as earlier at a smaller place of the same doc_id."""
         self.spark = docs.sparkSession
         self.p = parallelism(self.spark)
-        self.buckets = min(2 * self.p, 1 << 15)
-        self.read, self.within = read, within
-        self.docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(2 * self.p)).cast("int")).repartition(self.p, "part")
+        self.read, self.key, self.within, self.ends = read, key, within, ends(self.p)
+        # by the text too, so that many rows of one id, or none, are many parts
+        self.docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.p)).cast("int")).repartition(self.p, "part")
 
-    def _round(self, send, merge, back: DataFrame | None) -> DataFrame:
-        """One shuffle of the parts' keys to their buckets; what each part gets back, as a written table."""
-        parts = self.docs.groupBy("part")
-        sent = parts.applyInArrow(send, _PACKED) if back is None else parts.cogroup(back.repartition(self.p, "part").groupBy("part")).applyInArrow(send, _PACKED)
-        setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(setting, "false")
-        self.spark.conf.set(setting, "true")  # the job's shuffle files go when its table is written
-        try:
-            return written(sent.repartition(self.p, "bucket").groupBy("bucket").applyInArrow(merge, _BACK))
-        finally:
-            self.spark.conf.set(setting, before)
+    def _round(self, sent: DataFrame, merge, schema: str) -> DataFrame:
+        """One shuffle of the parts' rows to their buckets; what each part gets back, as a written table."""
+        with shuffle_files_cleaned(self.spark):  # the job's shuffle files go when its table is written
+            return written(sent.repartition(self.p, "bucket").groupBy("bucket").applyInArrow(merge, schema))
 
     def windows(self, finish: Callable[[Units, pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
         """finish gets a slice's units and documents and, for each place, whether a window that starts there is earlier too."""
-        read, buckets, within = self.read, self.buckets, self.within
+        read, key_of, within, buckets, ends = self.read, self.key, self.within, self.p, self.ends
 
-        def sliced(docs: pa.Table) -> Iterator[tuple[Units, pa.Table, np.ndarray]]:
+        def sliced(docs: pa.Table) -> Iterator[tuple[Units, pa.Table]]:
             docs = docs.drop_columns("part").sort_by("doc_id").combine_chunks()
             for batch in docs.to_batches():
                 for part in slices(batch, "text", SLICE_BYTES):
                     table = pa.Table.from_batches([part])
-                    yield read(table), table, table["doc_id"].to_numpy()
-
-        def pieces(back: pa.Table, kind: int) -> list[tuple[int, bytes, bytes]]:
-            kinds = back["kind"].to_numpy()
-            own = back.filter(pa.array(kinds == kind))
-            return list(zip(own["bucket"].to_pylist(), own["keys"].to_pylist(), own["docs"].to_pylist(), strict=True))
-
-        def known_codes(back: pa.Table, kind: int) -> np.ndarray:
-            return np.concatenate([np.zeros(0, np.int64), *(unpack(k) + (b << _SUB) for b, k, _ in pieces(back, kind))])
-
-        def known_docs(back: pa.Table, kind: int) -> tuple[Among, np.ndarray]:
-            got = pieces(back, kind)
-            keys = np.concatenate([np.zeros(0, U), *(np.frombuffer(k, U) for _, k, _ in got)])
-            ids = np.concatenate([np.zeros(0, np.int64), *(_doc_ids(d, len(k) // 8) for _, k, d in got)])
-            among = Among(keys, ids)
-            return among, among.values
+                    yield read(table), table
 
         def seeds(key, docs):
-            found = [np.unique(_codes(units.seed, buckets)) for units, _, _ in sliced(docs)]
-            codes = np.unique(np.concatenate(found))
-            return _sent(key[0].as_py(), codes, buckets, lambda s: pack(codes[s] & _LOW))
-
-        def shared(kind):
-            def merge(key, rows):
-                keys = [unpack(blob) for blob in rows["keys"].to_pylist()]
-                every = np.sort(np.concatenate(keys).astype(np.uint32))
-                twice = Among(np.unique(every[1:][every[1:] == every[:-1]]).astype(np.int64))
-                out = [pack(k[twice.places(k)[0]]) for k in keys]
-                keep = [i for i, x in enumerate(out) if x]
-                parts = rows["part"].to_pylist()
-                return _table(_BACK, part=[parts[i] for i in keep], kind=[kind] * len(keep), bucket=[key[0].as_py()] * len(keep), keys=[out[i] for i in keep], docs=[b""] * len(keep))
-
-            return merge
-
-        def kept_codes(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
-            """Places of the codes that another part has, or that are here twice."""
-            keep = np.zeros(len(codes), bool)
-            keep[_repeated(codes)] = True
-            keep[Among(known).places(codes)[0]] = True
-            return np.flatnonzero(keep)
+            codes = np.sort(np.concatenate([_codes(units.seed, buckets) for units, _ in sliced(docs)]))
+            new = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
+            twice = ~np.append(new[1:], True)[: len(codes)][new]
+            codes = codes[new]
+            edge = np.searchsorted(codes >> _SUB, np.arange(buckets + 1))
+            has = np.flatnonzero(np.diff(edge))
+            own = [slice(edge[b], edge[b + 1]) for b in has]
+            return _table(_SEEDS, bucket=has, part=[key[0].as_py()] * len(has), keys=[pack(codes[s] & _LOW) for s in own], twice=[pack(np.flatnonzero(twice[s])) for s in own])
+
+        def shared(key, rows):
+            """The seeds of each part that are in another one too, or there twice."""
+            keys = [unpack(blob) for blob in rows["keys"].to_pylist()]
+            every = np.sort(np.concatenate(keys).astype(np.uint32))
+            again = np.concatenate([k[unpack(x)] for k, x in zip(keys, rows["twice"].to_pylist(), strict=True)])
+            known = Among(np.concatenate([every[1:][every[1:] == every[:-1]].astype(np.int64), again]))
+            out = [pack(k[known.places(k)]) for k in keys]
+            keep = [i for i, x in enumerate(out) if x]
+            parts = rows["part"].to_pylist()
+            return _table(_KNOWN, part=[parts[i] for i in keep], bucket=[key[0].as_py()] * len(keep), keys=[out[i] for i in keep])
+
+        def part_of(docs: pa.Table, back: pa.Table) -> tuple[Part, list[tuple[Units, pa.Table]]]:
+            known = Among(np.concatenate([np.zeros(0, np.int64), *(unpack(k) + (b << _SUB) for b, k in zip(back["bucket"].to_pylist(), back["keys"].to_pylist(), strict=True))]))
+            found = []
+            for units, table in sliced(docs):
+                units.keep(known.places(_codes(units.seed, buckets)))
+                found.append((units, table))
+            return Part([(u, t["doc_id"].to_numpy()) for u, t in found], ends, key_of), found
 
         def reaches(key, docs, back):
-            if not docs.num_rows:
-                return _table(_PACKED)
-            found = [(_codes(u.seed, buckets), u.reach(), ids[u.doc]) for u, _, ids in sliced(docs)]
-            codes, reach, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-            keep = kept_codes(codes, known_codes(back, _SEED))
-            reach, at = _first(reach[keep])
-            codes, ids = codes[keep][at], ids[keep][at]
-            order = np.argsort(codes, kind="stable")
-            codes, reach, ids = codes[order], reach[order], ids[order]
-            low = (codes & _LOW).astype(np.uint32)
-            return _sent(key[0].as_py(), codes, buckets, lambda s: low[s].tobytes(), lambda s: reach[s].tobytes(), lambda s: _doc_bytes(ids[s]))
-
-        def settle(key, rows):
-            """Reaches that another part has in a smaller document, with the least one; and codes of mixed seeds."""
-            low, reach, ids, entries = _read_rows(rows)
-            order, at, group = _grouped(reach)
-            least = np.minimum.reduceat(ids[order], at)[group]
-            heads = np.sort(low[order[at]])  # one entry of each distinct reach
-            blurred = np.zeros(len(low), bool)
-            blurred[Among(np.unique(heads[1:][heads[1:] == heads[:-1]])).places(low)[0]] = True
-            out = {n: [] for n in ("part", "kind", "bucket", "keys", "docs")}
-            for part, to in zip(rows["part"].to_pylist(), entries, strict=True):
-                e = to[least[to] < ids[to]]
-                out["part"] += [part] * 2
-                out["kind"] += [_REACH, _MIXED]
-                out["bucket"] += [key[0].as_py()] * 2
-                out["keys"] += [reach[e].tobytes(), pack(np.unique(low[to[blurred[to]]]))]
-                out["docs"] += [_doc_bytes(least[e]), b""]
-            return _table(_BACK, **out)
-
-        def earlier_here(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
-            """Whether a key is in the part before: at an earlier place, or only if in a smaller document."""
-            out = np.zeros(len(keys), bool)
-            at = _repeated(keys)
-            order, start, group = _grouped(keys[at])
-            first = at[order[start]][group] if len(at) else at
-            out[at] = (first < at) if within else own[first] < own[at]
-            return out
-
-        def marked(docs: pa.Table, back: pa.Table) -> list[tuple[Units, pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
-            """Slices with, for each place, whether it starts an earlier window so far; the places that wait; and their hashes and documents."""
-            parts = list(sliced(docs))
-            reach = np.concatenate([u.reach() for u, _, _ in parts])
-            own = np.concatenate([ids[u.doc] for u, _, ids in parts])
-            earlier = earlier_here(reach, own)
-            known, least = known_docs(back, _REACH)
-            at, where = known.places(reach)
-            earlier[at] |= least[where] < own[at]
-            mixed = Among(known_codes(back, _MIXED))
-            out, done_so_far = [], 0
-            for units, table, ids in parts:
-                n = len(units.anchor)
-                done = units.spread(np.flatnonzero(earlier[done_so_far : done_so_far + n]))
-                waits = np.flatnonzero(units.spread(mixed.places(_codes(units.seed, buckets))[0]) & ~done)
-                out.append((units, table, done, waits, ids[np.searchsorted(units.first, waits, "right") - 1]))
-                done_so_far += n
-            return out
-
-        def waiting(slices_: list) -> tuple[np.ndarray, np.ndarray]:
-            return np.concatenate([u.hash(w, u.length) for u, _, _, w, _ in slices_]), np.concatenate([own for *_, own in slices_])
-
-        def shorts(key, docs, back):
-            if not docs.num_rows:
-                return _table(_PACKED)
-            hashes, _ = waiting(marked(docs, back))
-            codes = np.unique(_codes(hashes, buckets))
-            return _sent(key[0].as_py(), codes, buckets, lambda s: pack(codes[s] & _LOW))
-
-        def singles(key, docs, back):
-            if not docs.num_rows:
-                return _table(_PACKED)
-            hashes, ids = waiting(marked(docs, back))
-            keep = kept_codes(_codes(hashes, buckets), known_codes(back, _SHORT))
-            hashes, at = _first(hashes[keep])
-            ids, codes = ids[keep][at], _codes(hashes, buckets)
-            return _sent(key[0].as_py(), codes, buckets, lambda s: b"", lambda s: hashes[s].tobytes(), lambda s: _doc_bytes(ids[s]))
-
-        def least_of(key, rows):
-            """Windows that another part has in a smaller document, with the least one."""
-            _, hashes, ids, entries = _read_rows(rows)
-            order, at, group = _grouped(hashes)
-            least = np.minimum.reduceat(ids[order], at)[group]
-            send = [e[least[e] < ids[e]] for e in entries]
-            n = len(send)
-            return _table(_BACK, part=rows["part"].to_pylist(), kind=[_WINDOW] * n, bucket=[key[0].as_py()] * n, keys=[hashes[e].tobytes() for e in send], docs=[_doc_bytes(least[e]) for e in send])
+            return trimmed(part_of(docs, back)[0].sent(key[0].as_py(), within) if docs.num_rows else _table(_REACHES))
+
+        def ranked(key, rows):
+            """What each part's reaches of one range share with an earlier document."""
+            n = rows["n"].to_pylist()
+            read_all = lambda c, kind: np.concatenate([_unsqueezed(x, kind) for x in rows[c].to_pylist()])
+            units = [_unsqueezed(x, np.uint8) for x in rows["units"].to_pylist()]
+            wide = sum(len(x) for x in units) // sum(n)
+            reach = np.concatenate(units).reshape(-1, wide)
+            if not as_bytes:
+                reach = reach.view(U)
+            shape = read_all("shape", np.uint8).reshape(-1, 2).astype(np.int64)
+            docs = read_all("docs", np.int64)
+            rank = docs
+            if within:
+                places = read_all("places", np.int32)
+                order = np.lexsort((places, docs))
+                step = np.append(False, (docs[order][1:] != docs[order][:-1]) | (places[order][1:] != places[order][:-1]))
+                rank = np.empty(len(docs), np.int64)
+                rank[order] = np.cumsum(step)
+            bits = compared(reach, shape[:, 0], shape[:, 1], rank, behind)
+            out = {c: [] for c in ("part", "bucket", "keys", "bits")}
+            for part, own in zip(rows["part"].to_pylist(), np.split(bits, np.cumsum(n)[:-1]), strict=True):
+                if own.any():
+                    hit = np.flatnonzero(own)
+                    for c, x in (("part", part), ("bucket", key[0].as_py()), ("keys", pack(hit)), ("bits", own[hit].tobytes())):
+                        out[c].append(x)
+            return trimmed(_table(_MARKS, **out))
 
         def finished(key, docs, back):
             if not docs.num_rows:
                 return empty_out
-            parts = marked(docs, back)
-            hashes, own = waiting(parts)
-            hit = earlier_here(hashes, own)
-            known, least = known_docs(back, _WINDOW)
-            at, where = known.places(hashes)
-            hit[at] |= least[where] < own[at]
-            out, n = [], 0
-            for units, table, done, waits, _ in parts:
-                done[waits[hit[n : n + len(waits)]]] = True
-                n += len(waits)
-                out.append(finish(units, table, done))
-            return pa.concat_tables(out)
+            seen, marks = (back.filter(pa.array(back["marks"].to_numpy(zero_copy_only=False) == m)) for m in (False, True))
+            part, found = part_of(docs, seen)
+            at = {id(u): places for u, places in part.starts(marks, within)}
+            out = []
+            for u, table in found:
+                done = np.zeros(len(u.raw), bool)
+                if id(u) in at:
+                    done[at[id(u)]] = True
+                out.append(finish(u, table, done))
+            return trimmed(pa.concat_tables(out))
 
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import _parse_datatype_string
 
         empty_out = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
-        first = self._round(seeds, shared(_SEED), None)
-        second = self._round(reaches, settle, first)
-        discard(first)
-        third = self._round(shorts, shared(_SHORT), second)
-        fourth = self._round(singles, least_of, second.union(third))
-        discard(third)
-        back = second.union(fourth).repartition(self.p, "part").groupBy("part")
-        return self.docs.groupBy("part").cogroup(back).applyInArrow(finished, schema)
+        probe = read(pa.table({"doc_id": pa.array([], pa.int64()), "real_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}))
+        behind, as_bytes = probe.behind, probe.raw.dtype == np.uint8
+        parts = self.docs.groupBy("part")
+        with_back = lambda back: parts.cogroup(back.repartition(self.p, "part").groupBy("part"))
+        known = self._round(parts.applyInArrow(seeds, _SEEDS), shared, _KNOWN)
+        marks = self._round(with_back(known).applyInArrow(reaches, _REACHES), ranked, _MARKS)
+        both = known.select("*", F.lit(None).cast("binary").alias("bits"), F.lit(False).alias("marks")).union(marks.select("*", F.lit(True).alias("marks")))
+        return with_back(both).applyInArrow(finished, schema)
 
 
 def covered(done: np.ndarray, length: int) -> np.ndarray:

@@ -1,4 +1,10 @@
-"""Substring dedup over words: seed and extend on winnowed anchors."""
+"""Substring dedup over words by seed and extend.
+
+Winnowed anchors join documents in ranges of their seeds; there, matches are
+extended both ways by comparing neighbours in the order of the words behind and
+before the seed (see repeats.Search), and windows inside a maximal repeat of
+`length` words or more are marked.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.repeats import Search, Units, covered
-from tallyfold.llm.text import PLAIN, Texts, U
+from tallyfold.llm.repeats import KEY_BYTES, Search, Units, covered
+from tallyfold.llm.text import PLAIN, Texts, U, combine
 
 
 def rolling(x: np.ndarray, n: int, pick=np.minimum) -> np.ndarray:
@@ -46,16 +52,17 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
 
     Returns doc_id, n_words, removed (spans of word places [from, to)), kept (the
     other words joined by one blank).  Null and empty texts have no words.
-    Repeated rows of one doc_id are taken as rows of one document id: none is
-    earlier than the other unless `length` words repeat within a row before it.
-    Rows of null doc_id count as the smallest id.  An empty table gives none.
+    Rows that repeat a doc_id are compared by the place in their text alone, so
+    the same words at the same place of both stay in both.  Rows of null doc_id
+    count as one smallest id.  An empty table gives none.  Words are compared as
+    64-bit hashes.
     """
     span = length // 2 + 1
     seed = length - span + 1
 
     def read(table: pa.Table) -> Units:
         words = Texts(table["text"]).words(PLAIN, fold=False)
-        units = Units(words.hash, words.first, words.last, length)
+        units = Units(words.hash, words.hash, words.first, words.last, length)
         seeds = units.hashes(seed)
         at = winnowed(seeds, words.first, words.last, span, length)
         return units.anchored(at, seeds[at], length - seed)
@@ -76,8 +83,14 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
             kept.append(" ".join(w for w, g in zip(split(text), own.tolist(), strict=True) if not g))
         return pa.table({"doc_id": table["real_id"], "n_words": pa.array(units.last - units.first, pa.int64()), "removed": pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), "kept": pa.array(kept, pa.string())})
 
+    def key(reach: np.ndarray) -> np.ndarray:
+        """A hash of each anchor's seed, which spreads common first words."""
+        out = np.zeros((len(reach), KEY_BYTES // 8), ">u8")
+        out[:, 0] = combine(*(reach[:, length - seed + j].copy() for j in range(seed)))
+        return out.view(f"S{KEY_BYTES}").ravel()
+
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").alias("real_id"), "text")
-    return Search(rows, read, within=True).windows(finish, "doc_id long, n_words long, removed array<struct<from:long,to:long>>, kept string")
+    return Search(rows, read, key, within=True).windows(finish, "doc_id long, n_words long, removed array<struct<from:long,to:long>>, kept string")
 
 
 _SPACE = str.maketrans({c: " " for c in "\t\n\v\f\r"})

@@ -1,4 +1,12 @@
-"""Suffix-array dedup over bytes: difference-cover samples, grouped by hashes of their prefixes instead of sorted."""
+"""Suffix-array dedup over bytes by a difference cover: sampled suffixes are sorted, the others merged by them, neighbours compared.
+
+The cover's places are the anchors of repeats.Search: suffixes at sampled places
+are sorted in ranges by triples of eight bytes, whose names are recursed on
+while they tie; a suffix that starts some bytes before a sample is ordered by
+those bytes and the sample's name; equal neighbours of `length` bytes are told
+by the prefixes that neighbours have in common.  Order beyond `length` bytes
+isn't needed and isn't made.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.repeats import Search, Units, covered
+from tallyfold.llm.repeats import KEY_BYTES, Search, Units, covered
 from tallyfold.llm.text import _BYTE, Texts
 
 #: A perfect difference set: every difference modulo 21 is that of two members.
@@ -18,11 +26,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """Marks bytes covered by a `length`-byte string that also starts in a document with a smaller doc_id.
 
     Sampled suffixes are those at places that a difference cover of the text
-    selects.  No suffix array is built: hash grouping stands in for sorting
-    triples, recursing on their ranks, merging the other suffixes and comparing
-    neighbours.  Any two equal strings of `length` bytes have a sampled place at
-    one common offset, so strings are found by hashes of the bytes around it and
-    compared by a hash of all `length` bytes.
+    selects: any two equal strings of `length` bytes have a sampled place at one
+    common offset.  Equality is that of bytes.
 
     docs: doc_id (long) and text, taken as UTF-8; null counts as empty.  Strings
     do not cross documents.  Judged on the input, not on what is left.
@@ -43,12 +48,11 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         block = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         at = ((np.repeat(texts.start, blocks) + block * PERIOD)[:, None] + COVER).ravel()
         at = at[at < np.repeat(texts.start + size, blocks * len(COVER))]
-        units = Units(_BYTE[texts.data], texts.start, texts.end, length)
-        units.data = texts.data
+        units = Units(texts.data, _BYTE[texts.data], texts.start, texts.end, length)
         return units.anchored(at, units.hash(at, seed), length - seed)
 
     def finish(units: Units, table: pa.Table, done: np.ndarray) -> pa.Table:
-        data, gone = units.data, covered(done, length)
+        data, gone = units.raw, covered(done, length)
         total = np.concatenate([[0], np.cumsum(gone)])
         spans, kept = [], []
         for f, t in zip(units.first.tolist(), units.last.tolist(), strict=True):
@@ -62,5 +66,18 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             kept.append(data[f:t][~own].tobytes())
         return pa.table({"doc_id": table["real_id"], "n_bytes": pa.array(units.last - units.first, pa.int64()), "removed": pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
+    def key(reach: np.ndarray) -> np.ndarray:
+        """The first triple behind each anchor."""
+        at = length - seed
+        return np.ascontiguousarray(reach[:, at : at + KEY_BYTES]).view(f"S{KEY_BYTES}").ravel()
+
+    def ends(ranges: int) -> np.ndarray:
+        """Ends of ranges of triples, from at most 32 texts for each range: those of least hash, at a place that depends on the text."""
+        raw = F.encode("text", "utf-8")
+        at = F.pmod(F.xxhash64("text"), F.octet_length("text") - KEY_BYTES + 1).cast("int") + 1
+        some = docs.where(F.octet_length("text") >= KEY_BYTES).select(F.xxhash64("doc_id", "text").alias("h"), F.substring(raw, at, F.lit(KEY_BYTES)).alias("piece"))
+        found = np.sort(np.array([bytes(r["piece"]) for r in some.orderBy("h").limit(32 * ranges).collect()], f"S{KEY_BYTES}"))
+        return found[np.arange(1, ranges) * len(found) // ranges] if len(found) else np.zeros(max(0, ranges - 1), f"S{KEY_BYTES}")
+
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").alias("real_id"), "text")
-    return Search(rows, read, within=False).windows(finish, "doc_id long, n_bytes long, removed array<struct<from:long,to:long>>, kept binary")
+    return Search(rows, read, key, within=False, ends=ends).windows(finish, "doc_id long, n_bytes long, removed array<struct<from:long,to:long>>, kept binary")

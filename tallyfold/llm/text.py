@@ -167,6 +167,19 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed(result=None):
+    """Gives memory that this Python worker no longer uses back to the machine; returns its argument."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # where the C library has it
+        libc.malloc_trim(0)
+    return result
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _cleaning = {"lock": threading.Lock(), "users": 0, "before": "false"}
 
