@@ -66,22 +66,28 @@ def bytes_digest(content: Column) -> Column:
     return F.concat(F.lit(PREFIX), F.sha2(content, 256))
 
 
+def json_digests(raw: Column, forms: dict[str, tuple[tuple[str, ...], str | None]]) -> Column:
+    """A struct of digests of one JSON text, by name: each of the text without some members, or of its member; one pass for all."""
+    names = list(forms)
+
+    @F.pandas_udf("array<string>")
+    def batch(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [canonical(t, without, at) for without, at in forms.values()])
+
+    return F.transform(F.array(batch(raw)), lambda c: F.struct(*(text_digest(F.get(c, F.lit(i))).alias(n) for i, n in enumerate(names))))[0]
+
+
 def running_digest(rows: Column, start: str = "") -> Column:
     """Digest after the last of an array of strings: each step hashes the digest so far and the next string."""
     return F.aggregate(rows, F.lit(start), lambda a, x: F.sha2(F.encode(F.concat(a, x), "utf-8"), 256))
 
 
-def running_digests(rows: Column, start: str = "") -> Column:
-    """The digest after each of an array of strings, as an array."""
-    return F.aggregate(
-        rows,
-        F.array().cast("array<string>"),
-        lambda a, x: F.concat(a, F.array(F.sha2(F.encode(F.concat(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(start)), x), "utf-8"), 256))),
-    )
-
-
 def draw(seed: Column, counter: Column, n: Column) -> Column:
-    """Index from 0 below n: SHA-256 of "seed:counter" as a 256-bit number, modulo n (n below 2**31)."""
+    """Index from 0 below n: SHA-256 of "seed:counter" as a 256-bit number, modulo n (n below 2**31).
+
+    A number beyond the last multiple of n would be drawn again for an exactly
+    even choice; its chance is below n / 2**256, and it isn't.
+    """
     digest = F.sha2(F.encode(F.concat(seed.cast("string"), F.lit(":"), counter.cast("string")), "utf-8"), 256)
 
     def folded(text: Column) -> Column:
@@ -93,5 +99,11 @@ def draw(seed: Column, counter: Column, n: Column) -> Column:
     return F.get(F.transform(F.array(digest), folded), F.lit(0))  # a bound variable, so that the digest is computed once
 
 
+def list_digest(*parts: Column) -> Column:
+    """SHA-256 of the canonical JSON list of some texts, in hexadecimal digits."""
+    return F.sha2(F.encode(canonical_json(F.to_json(F.array(*parts))), "utf-8"), 256)
+
+
 def deterministic_id(prefix: str, *parts: Column) -> Column:
-    return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(F.encode(F.concat_ws("\n", *parts), "utf-8"), 256), 1, 32)))
+    """prefix and the digest, in upper case, of the canonical JSON list of the parts."""
+    return F.concat(F.lit(prefix), F.upper(list_digest(*parts)))

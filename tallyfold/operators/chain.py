@@ -7,12 +7,17 @@ ledger is checked in parallel; only building a chain is sequential in a ledger.
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallyfold.functions.digest import json_digest, running_digests
+from tallyfold.functions.digest import PREFIX, canonical, json_digest, json_digests
 
 
 def violations(rows: DataFrame, rules: dict[str, Column], object_id: str = "event_id") -> DataFrame:
@@ -43,7 +48,7 @@ def broken_links(rows: DataFrame, previous: str = "previous", digest: str = "dig
 def audit_events(events: DataFrame) -> DataFrame:
     """All chain rules on parsed events: sequence, digests of body and receipt, links, and what the receipt repeats."""
     r = F.col("receipt")
-    rows = events.withColumn("_body", json_digest(F.col("raw"), ("event_body_sigil", "receipt"))).withColumn("_receipt", json_digest(F.col("raw"), ("receipt_sigil",), at="receipt"))
+    rows = events.withColumn("_own", json_digests(F.col("raw"), {"body": (("event_body_sigil", "receipt"), None), "receipt": (("receipt_sigil",), "receipt")})).withColumn("_body", F.col("_own.body")).withColumn("_receipt", F.col("_own.receipt"))
     local = violations(
         rows,
         {
@@ -98,18 +103,100 @@ def accept_tails(rows: DataFrame, anchors: DataFrame, found: DataFrame | None =
     return anchors.join(last, "ledger_id", "left").select("ledger_id", F.coalesce("_n", "event_count").alias("event_count"), F.coalesce("_d", "terminal_receipt_sigil").alias("terminal_receipt_sigil"))
 
 
+def _folded(rows: DataFrame, order: list[str], step, columns: dict) -> DataFrame:
+    """rows with columns that follow from one row to the next, in order within a ledger.
+
+    step(state, number, row) gives the new state and the columns' values; a
+    ledger's rows come one after the other in one task, which holds a batch and
+    the state, not the ledger.
+    """
+    schema = StructType([*rows.schema.fields, *(StructField(n, t) for n, t in columns.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ledger, number, state = object(), 0, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["ledger_id"] != ledger:
+                    ledger, number, state = row["ledger_id"], 0, None
+                number += 1
+                state, values = step(state, number, row)
+                out.append(values)
+            added = [pa.array([v[i] for v in out], pa.int64() if isinstance(t, LongType) else pa.string()) for i, t in enumerate(columns.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *columns])
+
+    return rows.repartition("ledger_id").sortWithinPartitions("ledger_id", *order).mapInArrow(run, schema)
+
+
 def build_chain(rows: DataFrame, order: list[str], body: Column) -> DataFrame:
-    """Numbers a ledger's rows and chains them: sequence, body digest, previous, digest.
+    """Numbers a ledger's rows and chains them: body_digest, sequence, previous, digest.
 
     A digest hashes the one before and the body digest.  The fold is sequential
-    within a ledger by its nature, so a ledger's (sequence, body digest) pairs
-    stand in one array; ledgers are parallel.  Other columns are joined back.
+    within a ledger by its nature, and linear; ledgers are parallel.
+    """
+
+    def step(previous, number, row):
+        digest = hashlib.sha256(((previous or "") + row["body_digest"]).encode()).hexdigest()
+        return digest, (number, previous, digest)
+
+    own = rows.withColumn("body_digest", F.sha2(F.encode(body, "utf-8"), 256))
+    return _folded(own, order, step, {"sequence": LongType(), "previous": StringType(), "digest": StringType()})
+
+
+# Fixed texts of the record formats.
+EVENT_SCHEMA, RECEIPT_SCHEMA = "chronicle-event/1.1", "receipt/1.1"
+
+
+def seal_events(events: DataFrame, order: list[str]) -> DataFrame:
+    """raw (the event's line, canonical JSON), sequence, previous and digest (its receipt's) of events in order.
+
+    events: ledger_id, event_id, type, object_id, occurred_at, actor and payload
+    (JSON texts), receipt_id.  Body and receipt digests are those of canonical
+    JSON; a receipt and a body name the receipt before.
+    """
+    digest = lambda x: PREFIX + hashlib.sha256(canonical(json.dumps(x)).encode()).hexdigest()
+
+    def step(previous, number, row):
+        event = {"schema_version": EVENT_SCHEMA, "sequence": number, "previous_receipt_sigil": previous} | {k: row[k] for k in ("event_id", "type", "object_id", "occurred_at")} | {k: json.loads(row[k]) for k in ("actor", "payload")}
+        body = digest(event)
+        receipt = {"schema_version": RECEIPT_SCHEMA, "receipt_id": row["receipt_id"], "event_id": row["event_id"], "event_body_sigil": body, "previous_receipt_sigil": previous, "accepted_at": row["occurred_at"]}
+        seal = digest(receipt)
+        line = canonical(json.dumps(event | {"event_body_sigil": body, "receipt": receipt | {"receipt_sigil": seal}}))
+        return seal, (number, previous, seal, line)
+
+    return _folded(events, order, step, {"sequence": LongType(), "previous": StringType(), "digest": StringType(), "raw": StringType()})
+
+
+def audit_old(events: DataFrame) -> DataFrame:
+    """All chain rules on events of the old format (see parse_old): members, digest of the event without its receipt, links, and what the receipt repeats."""
+    r = F.col("receipt")
+    own = events.withColumn("_own", json_digest(F.col("raw"), ("receipt",)))
+    local = violations(
+        own,
+        {
+            "unknown or missing field": ~F.col("fields_ok"),
+            "digest": ~r["sigil"].eqNullSafe(F.col("_own")),
+            "receipt event": ~r["event_id"].eqNullSafe(F.col("event_id")),
+            "receipt time": ~r["accepted_at"].eqNullSafe(F.col("occurred_at")),
+            "receipt link": ~r["previous_sigil"].eqNullSafe(F.col("previous_sigil")),
+        },
+    )
+    flat = events.select("ledger_id", "sequence", F.col("previous_sigil").alias("previous"), r["sigil"].alias("digest"), "event_id")
+    links = broken_links(flat).join(flat.select("ledger_id", "sequence", F.col("event_id").alias("object_id")), ["ledger_id", "sequence"]).select("ledger_id", "sequence", "object_id", "rule")
+    return local.unionByName(links)
+
+
+def convert_old(events: DataFrame, actor: str) -> DataFrame:
+    """Sound ledgers of the old format as lines of the new one (see seal_events); actor: JSON text of whoever converts.
+
+    Ledgers that break a chain rule are left out; audit_old() names them.  The
+    objects' states follow from types, ids, times and payloads, which stay;
+    unchanged() shows it on the state tables.
     """
-    numbered = rows.withColumn("sequence", F.row_number().over(Window.partitionBy("ledger_id").orderBy(*order)).cast("long")).withColumn("body_digest", F.sha2(F.encode(body, "utf-8"), 256))
-    bodies = numbered.groupBy("ledger_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "body_digest"))).alias("b"))
-    chained = bodies.select("ledger_id", F.posexplode(running_digests(F.transform("b", lambda x: x["body_digest"]))).alias("at", "digest")).select("ledger_id", (F.col("at") + 1).cast("long").alias("sequence"), "digest")
-    before = chained.select("ledger_id", (F.col("sequence") + 1).alias("sequence"), F.col("digest").alias("previous"))
-    return numbered.join(chained, ["ledger_id", "sequence"]).join(before, ["ledger_id", "sequence"], "left")
+    bad = audit_old(events).select("ledger_id").distinct()
+    rows = events.join(bad, "ledger_id", "left_anti").withColumnRenamed("sequence", "line")
+    rows = rows.select("ledger_id", "line", "event_id", "type", "object_id", "occurred_at", F.lit(actor).alias("actor"), "payload", F.col("receipt.receipt_id").alias("receipt_id"))
+    return seal_events(rows, ["line"])
 
 
 def wrong_digests(rows: DataFrame, body: Column) -> DataFrame:

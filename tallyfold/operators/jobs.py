@@ -7,10 +7,10 @@ expected_revision.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.functions.digest import deterministic_id
+from tallyfold.functions.digest import PREFIX, deterministic_id, list_digest
 from tallyfold.operators.chain import union, violations
 
 # Fixed values of the journal: its states that end a job.
@@ -26,8 +26,8 @@ def _steps(journal: DataFrame) -> DataFrame:
 
 def states(journal: DataFrame) -> DataFrame:
     """Per job: state, revision, and the terminal row if it has one."""
-    end = F.when(F.col("event_type") == "job.terminal", F.struct("sequence", "event_id", "reason"))
-    return _steps(journal).groupBy("ledger_id", "job_id").agg(F.max_by("to", "sequence").alias("state"), F.count("*").alias("revision"), F.max(end).alias("_end")).select("ledger_id", "job_id", "state", "revision", F.col("_end.event_id").alias("terminal_event_id"), F.col("_end.reason").alias("terminal_reason"))
+    end = F.when(F.col("event_type") == "job.terminal", F.struct("sequence", "event_id", "event_digest", "reason"))
+    return _steps(journal).groupBy("ledger_id", "job_id").agg(F.max_by("to", "sequence").alias("state"), F.count("*").alias("revision"), F.max(end).alias("_end")).select("ledger_id", "job_id", "state", "revision", F.col("_end.event_id").alias("terminal_event_id"), F.col("_end.event_digest").alias("terminal_event_digest"), F.col("_end.reason").alias("terminal_reason"))
 
 
 def broken_rules(journal: DataFrame) -> DataFrame:
@@ -71,9 +71,19 @@ def repeated_keys(journal: DataFrame) -> DataFrame:
     return violations(again, {"key used twice": F.col("request").eqNullSafe(F.col("_f.request")), "key conflict": ~F.col("request").eqNullSafe(F.col("_f.request"))}, "event_id")
 
 
-def outcomes(journal: DataFrame) -> DataFrame:
-    """Ended jobs, with an id that follows from ledger, job and last event."""
-    return states(journal).where(F.col("state").isin(TERMINAL)).withColumn("outcome_id", deterministic_id("OUT-", F.col("ledger_id").cast("string"), F.col("job_id").cast("string"), F.col("terminal_event_id").cast("string")))
+# Fixed texts that ids of jobs are made with.
+_KEY, _JOB = "execution-start-idempotency-key/1.0", "execution-job-id/1.0"
+
+
+def job_id(task_id: Column, key: Column) -> Column:
+    """The id that a task's job has for an idempotency key."""
+    return deterministic_id("JB-", F.lit(_JOB), task_id, F.concat(F.lit(PREFIX), list_digest(F.lit(_KEY), key)))
+
+
+def outcomes(journal: DataFrame, schema: str) -> DataFrame:
+    """Ended jobs, with an id that follows from the outcome's schema text, the job and the digest of its last event."""
+    ended = states(journal).where(F.col("state").isin(TERMINAL))
+    return ended.withColumn("outcome_id", deterministic_id("OJ-", F.lit(schema), F.col("job_id").cast("string"), F.col("terminal_event_digest").cast("string")))
 
 
 def observed(rows: DataFrame, after: int, through: int, limit: int) -> DataFrame:

@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.functions.digest import json_digest
+
 
 def edges(tables: dict[str, tuple[DataFrame, str, dict[str, str]]]) -> DataFrame:
     """ledger_id, src, dst, kind from the id columns of records.
@@ -28,26 +30,28 @@ def closure(links: DataFrame, start: DataFrame, up: bool = False) -> DataFrame:
     """ledger_id, root, node, depth: all that the start ids (ledger_id, id) lead to; with up, all that leads to them.
 
     One join with the edges for each step, on the nodes that are new, until
-    there are none; each step is cut to files, so a lost executor repeats one
-    step alone.
+    there are none.  The edges are cut to files once and each step's new nodes
+    once, so a lost executor repeats one step alone and nothing is written twice.
     """
-    step = links.select("ledger_id", F.col("dst" if up else "src").alias("node"), F.col("src" if up else "dst").alias("next")).distinct()
-    frontier = start.select("ledger_id", F.col("id").alias("root"), F.col("id").alias("node")).distinct().withColumn("depth", F.lit(0))
-    seen = frontier = kept(frontier)
+    step = kept(links.select("ledger_id", F.col("dst" if up else "src").alias("node"), F.col("src" if up else "dst").alias("next")).distinct())
+    frontier = kept(start.select("ledger_id", F.col("id").alias("root"), F.col("id").alias("node")).distinct().withColumn("depth", F.lit(0)))
+    seen = frontier
     for depth in count(1):
-        new = frontier.join(step, ["ledger_id", "node"]).select("ledger_id", "root", F.col("next").alias("node")).distinct().join(seen, ["ledger_id", "root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = kept(new)
+        new = frontier.join(step, ["ledger_id", "node"]).select("ledger_id", "root", F.col("next").alias("node")).distinct().join(seen, ["ledger_id", "root", "node"], "left_anti")
+        frontier = kept(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
-        seen = kept(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df cut to files in the session's checkpoint folder (a local one only where none is set)."""
+    """df cut to files in the session's shared checkpoint folder; on one machine, as in tests, a local one where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -56,35 +60,39 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """ledger_id, id, root: the end of each chain of parents (ledger_id, id, parent; null parent ends it), by pointer doubling."""
-    now = kept(parents.select("ledger_id", "id", F.coalesce("parent", "id").alias("root")))
-    while True:
-        up = now.select("ledger_id", F.col("id").alias("root"), F.col("root").alias("_up"))
-        step = kept(now.join(up, ["ledger_id", "root"], "left").select("ledger_id", "id", F.coalesce("_up", "root").alias("root"), (F.coalesce(F.col("_up"), F.col("root")) != F.col("root")).alias("_moved")))
-        moved = not step.where("_moved").isEmpty()
-        now = step.drop("_moved")
-        if not moved:
-            return now
+    """ledger_id, id, root: the end of each chain of parents (ledger_id, id, parent; null parent ends it); null on a cycle or before one.
+
+    Pointer doubling: each round doubles how far an id sees, so the rounds are
+    bounded by the logarithm of the rows, and what hasn't ended by then is on a
+    cycle.  Ids that see their end take no further part, so a root that most
+    chains share is no join key again.
+    """
+    own = parents.select("ledger_id", "id", "parent")
+    known = own.select("ledger_id", F.col("id").alias("parent"), F.lit(True).alias("_known"))
+    outer = F.col("parent").isNull() | F.col("_known").isNull()  # a parent that isn't a row ends the chain, too
+    now = kept(own.join(known, ["ledger_id", "parent"], "left").select("ledger_id", "id", F.coalesce("parent", "id").alias("root"), outer.alias("done")))
+    ended = now.where("done")
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        waiting = now.where("not done")
+        if waiting.isEmpty():
+            break
+        up = ended.unionByName(waiting).select("ledger_id", F.col("id").alias("root"), F.col("root").alias("_up"), F.col("done").alias("_end"))
+        now = kept(waiting.drop("done").join(up, ["ledger_id", "root"]).select("ledger_id", "id", F.col("_up").alias("root"), F.col("_end").alias("done")))
+        ended = ended.unionByName(now.where("done"))
+    lost = now.where("not done").select("ledger_id", "id", F.lit(None).cast(now.schema["root"].dataType).alias("root"))
+    return ended.select("ledger_id", "id", "root").unionByName(lost)
 
 
 def references(events: DataFrame) -> DataFrame:
     """ledger_id, sequence, value: every string value at any depth of the payload (JSON text), and the event's own object.
 
-    Built once for all look-ups; each round opens one level of what is still nested, until nothing is.
+    Built once for all look-ups, in one pass: the payload's compact JSON is cut
+    into its strings, of which those before a colon are keys.
     """
-    own = events.select("ledger_id", "sequence", F.col("object_id").alias("value"))
-    level = kept(events.select("ledger_id", "sequence", F.try_parse_json("payload").cast("string").alias("j")).where("j is not null"))
-    found = [own]
-    while True:
-        level.createOrReplaceTempView("_open_payloads")
-        parts = kept(level.sparkSession.sql("select ledger_id, sequence, to_json(value) as j, schema_of_variant(value) as t from _open_payloads, lateral variant_explode(parse_json(j))"))
-        found.append(parts.where("t = 'STRING'").select("ledger_id", "sequence", F.from_json(F.concat(F.lit('{"v":'), F.col("j"), F.lit("}")), "v string")["v"].alias("value")))
-        level = parts.where("t like 'OBJECT%' or t like 'ARRAY%'").select("ledger_id", "sequence", "j")
-        if level.isEmpty():
-            break
-    from tallyfold.operators.chain import union
-
-    return union(found).where("value is not null").distinct()
+    strings = F.regexp_extract_all(F.try_parse_json("payload").cast("string"), F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?'), F.lit(0))
+    values = F.from_json(F.concat(F.lit("["), F.array_join(F.filter(strings, lambda x: ~x.endswith(":")), ","), F.lit("]")), "array<string>")
+    own = F.array("object_id")
+    return events.select("ledger_id", "sequence", F.explode(F.array_distinct(F.concat(own, F.coalesce(values, F.array().cast("array<string>"))))).alias("value")).where("value is not null").distinct()
 
 
 def trace(refs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -102,5 +110,17 @@ def freshness(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 def foreign_heads(snapshots: DataFrame, rows: DataFrame) -> DataFrame:
     """Snapshots (ledger_id, snapshot_id, head) whose head isn't a digest of the ledger; none is the head of an empty one."""
-    heads = rows.select("ledger_id", F.col("digest").alias("head"))
+    heads = rows.select("ledger_id", F.col("digest").alias("head")).distinct()
     return snapshots.where("head is not null").join(heads, ["ledger_id", "head"], "left_anti")
+
+
+def inventory(objects: DataFrame) -> DataFrame:
+    """ledger_id, program_id, object_type, object_id, digest: what each program has, with digests of the records (body: JSON text), in order of type and id."""
+    rows = objects.select("ledger_id", "program_id", "object_type", "object_id", json_digest(F.col("body")).alias("digest"))
+    return rows.orderBy("ledger_id", "program_id", "object_type", "object_id")
+
+
+def inventories(objects: DataFrame) -> DataFrame:
+    """ledger_id, program_id, objects: the sorted inventory of each program as one array, and a digest of the whole."""
+    own = inventory(objects).groupBy("ledger_id", "program_id").agg(F.array_sort(F.collect_list(F.struct("object_type", "object_id", "digest"))).alias("objects"))
+    return own.withColumn("inventory_digest", json_digest(F.to_json(F.struct("objects"))))

@@ -32,10 +32,13 @@ def repeated_elements(array: Column) -> Column:
 
 
 def bad_transitions(rows: DataFrame, allowed: DataFrame, by: list[str], state: str, order: list[str], start: str | None = None) -> DataFrame:
-    """Rows whose step from the state before isn't allowed (source, target); the first comes from `start`, or is free."""
+    """Rows whose step from the state before isn't allowed (source, target); the first comes from `start`, or is free.
+
+    allowed is joined as Spark's sizes tell; a table of transitions is small.
+    """
     before = F.lag(state).over(Window.partitionBy(*by).orderBy(*order))
     steps = rows.withColumn("source", F.coalesce(before, F.lit(start)) if start is not None else before)
-    ok = F.broadcast(allowed.select("source", F.col("target").alias(state)))  # a fixed table of transitions
+    ok = allowed.select("source", F.col("target").alias(state))
     return steps.where("source is not null").join(ok, ["source", state], "left_anti")
 
 
@@ -56,9 +59,22 @@ def highest_status(rows: DataFrame, by: list[str], status: str, ranks: list[str]
     return rows.groupBy(*by).agg(F.max(rank).alias("rank")).select(*by, F.col("rank").cast("int").alias("rank"), F.when(F.col("rank") > 0, F.try_element_at(F.lit(ranks), F.col("rank").cast("int"))).alias("status"))
 
 
-def open_at(moments: DataFrame, intervals: DataFrame, by: list[str]) -> DataFrame:
-    """Per moment (by, moment_id, at), the intervals (by, interval_id, opened, closed) that were open, sorted; none gives an empty array."""
-    met = moments.join(intervals, by).where("opened < at and (closed is null or closed > at)")
+def open_at(moments: DataFrame, intervals: DataFrame, by: list[str], bins: int = 64) -> DataFrame:
+    """Per moment (by, moment_id, at), the intervals (by, interval_id, opened, closed) that were open, sorted; none gives an empty array.
+
+    Each key's time from its first to its last moment is cut into bins, and an
+    interval meets the moments of the bins that it touches; what meets for
+    nothing lies in the bins where an interval begins or ends.
+    """
+    kind = dict(moments.dtypes)["at"]
+    number = lambda c: F.unix_date(c) if kind == "date" else F.col(c).cast("double")
+    spans = moments.groupBy(*by).agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
+    wide = number("_hi") - number("_lo")
+    place = lambda x: F.when(wide > 0, F.least(F.greatest(F.floor((x - number("_lo")) * bins / wide), F.lit(0)), F.lit(bins - 1))).otherwise(0).cast("int")
+    dated = moments.join(spans, by).withColumn("_bin", place(number("at"))).drop("_lo", "_hi")
+    touching = intervals.join(spans, by).where("opened < _hi and (closed is null or closed > _lo)")
+    touching = touching.withColumn("_bin", F.explode(F.sequence(place(number("opened")), F.greatest(place(number("opened")), place(F.coalesce(number("closed"), number("_hi"))))))).drop("_lo", "_hi")
+    met = dated.join(touching, [*by, "_bin"]).where("opened < at and (closed is null or closed > at)")
     lists = met.groupBy("moment_id").agg(F.array_sort(F.collect_list("interval_id")).alias("open_ids"))
     return moments.join(lists, "moment_id", "left").withColumn("open_ids", F.coalesce("open_ids", F.array().cast(lists.schema["open_ids"].dataType)))
 
@@ -95,10 +111,16 @@ def decision_gates(decisions: DataFrame, issues: DataFrame, limitations: DataFra
     )
 
 
-def verdicts(capsules: DataFrame, contracts: DataFrame, approvals: DataFrame) -> DataFrame:
+# Fixed form of a task's id.
+TASK_ID = "^TK-[A-Z0-9]+$"
+
+
+def verdicts(capsules: DataFrame, contracts: DataFrame, approvals: DataFrame, hosts: list[str] | None = None, task_pattern: str | None = TASK_ID) -> DataFrame:
     """Verdict per task capsule: REJECTED, WAITING_FOR_APPROVAL or PASS, with the first reason that holds.
 
-    capsules: ledger_id, task_id, capability_id, contract_version,
+    hosts: those that a capsule may name, and task_pattern, which its id fits;
+    null: anything does.
+    capsules: ledger_id, task_id, host (where hosts are given), capability_id, contract_version,
     contract_digest, expected_outputs, tools, network, seconds, digest,
     digest_ok; contracts: capability_id, version, digest, outputs,
     allowed_tools, allows_network, max_seconds, needs_approval; approvals:
@@ -113,8 +135,12 @@ def verdicts(capsules: DataFrame, contracts: DataFrame, approvals: DataFrame) ->
     contract_same = F.col("t.contract_version").eqNullSafe(F.col("c.version")) & F.col("t.contract_digest").eqNullSafe(F.col("c.digest")) & F.col("t.expected_outputs").eqNullSafe(F.col("c.outputs"))
     extra = F.size(F.array_except("t.tools", "c.allowed_tools")) > 0
     approved = F.col("a._approved").isNotNull()
+    named = F.lit(True) if task_pattern is None else F.coalesce(F.col("t.task_id").cast("string").rlike(task_pattern), F.lit(False))
+    if hosts is not None:
+        named = named & F.coalesce(F.col("t.host").isin(hosts), F.lit(False))
     reason = (
-        F.when(~F.coalesce(F.col("t.digest_ok"), F.lit(False)), "digest")
+        F.when(~named, "identifiers")
+        .when(~F.coalesce(F.col("t.digest_ok"), F.lit(False)), "digest")
         .when(~contract_same, "contract")
         .when(F.coalesce(extra, F.lit(False)), "tools")
         .when(F.coalesce(F.col("t.seconds") < 1, F.lit(True)), "no time")

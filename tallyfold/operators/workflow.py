@@ -5,30 +5,99 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators import lineage, state
+
+# Fixed: events that can end a stage, and the kind of object each is about.
+ENDS = {
+    "artifact.registered": "artifact", "experiment.pilot_completed": "experiment", "run.recorded": "run",
+    "analysis.computed": "result-bundle", "assessment.recorded": "assessment", "decision.sealed": "decision",
+}
+
+
+def stage_rules(definitions: DataFrame) -> DataFrame:
+    """rite_id, stage_no, event_type, kind, phase, status from definitions (rite_id, stages): what each stage but the last is left by."""
+    contract = F.col("s.exit_contract")
+    rows = definitions.select("rite_id", F.posexplode("stages").alias("stage_no", "s")).where("s.exit_contract is not null")
+    return rows.select("rite_id", "stage_no", *(contract[c].alias(c) for c in ("event_type", "kind", "phase", "status")))
+
+
+def runs_of_events(events: DataFrame) -> DataFrame:
+    """ledger_id, sequence, working_id, type, kind, phase, status: the one workflow run that each stage-ending event belongs to.
+
+    An artifact belongs to the run that made it, or to that of the experiment
+    that made it; an experiment, and a run of one, to the experiment's; a bundle
+    to that of all experiments that it compares, an assessment to its bundle's,
+    a decision to that of all its assessments.  Events without one, with
+    several, or with a gap on the way have no row, as have those whose program
+    or protocol isn't the run's.
+    """
+    rows = state.parsed(events)
+    first = lambda t, *c: rows.where(F.col("type") == t).groupBy("ledger_id", "id").agg(*(F.min_by(F.col(f"p.{x}"), "sequence").alias(x) for x in c))
+    key = lambda df, name: df.withColumnRenamed("id", name)
+    experiments = first("experiment.planned", "working_id", "protocol_id")
+    workings = first("working.created", "program_id", "protocol_id")
+    ends = rows.where(F.col("type").isin(list(ENDS))).select("ledger_id", "sequence", "id", "type", "p")
+    by = ["ledger_id", "sequence"]
+    # what each event stands on: experiments, or workflow runs themselves
+    compared = F.from_json("bundle", "comparisons array<struct<experiment_id:string>>")["comparisons"]["experiment_id"]
+    bundles = key(first("analysis.computed", "bundle", "protocol_id"), "bundle_id").select("ledger_id", "bundle_id", F.col("protocol_id").alias("bundle_protocol"), compared.alias("compared"))
+    assessments = key(first("assessment.recorded", "result_bundle_id", "protocol_id"), "assessment_id").withColumnRenamed("result_bundle_id", "bundle_id").withColumnRenamed("protocol_id", "assessed_protocol")
+    none = F.array().cast("array<string>")
+    of = F.col("type")
+    alone = ends.where(of.isin("artifact.registered", "experiment.pilot_completed", "run.recorded"))
+    producer = F.when(of == "artifact.registered", F.col("p.producer_id")).when(of == "run.recorded", F.col("p.experiment_id")).otherwise(F.col("id"))
+    through = alone.select(*by, producer.alias("id")).join(experiments.select("ledger_id", "id", "working_id"), ["ledger_id", "id"], "left")
+    direct = key(workings.select("ledger_id", "id"), "made_by").withColumn("_run", F.lit(True))
+    single = through.join(direct, (through["ledger_id"] == direct["ledger_id"]) & (through["id"] == direct["made_by"]), "left").select(through["ledger_id"], "sequence", F.when(F.col("_run"), F.col("id")).otherwise(F.col("working_id")).alias("working_id"), F.lit(False).alias("gap"))
+    single = single.where("working_id is not null")
+    computed = ends.where(of == "analysis.computed").select(*by, F.col("id").alias("bundle_id"))
+    assessed = ends.where(of == "assessment.recorded").select(*by, F.col("p.result_bundle_id").alias("bundle_id"))
+    decided = ends.where(of == "decision.sealed").select(*by, F.explode("p.assessment_ids").alias("assessment_id")).join(assessments, ["ledger_id", "assessment_id"], "left")
+    stands = computed.unionByName(assessed).unionByName(decided.select(*by, "bundle_id")).join(bundles, ["ledger_id", "bundle_id"], "left")
+    stands = stands.select(*by, F.explode(F.when(F.size(F.coalesce("compared", none)) > 0, F.col("compared")).otherwise(F.array(F.lit(None).cast("string")))).alias("id"))
+    several = stands.join(experiments.select("ledger_id", "id", "working_id"), ["ledger_id", "id"], "left").select(*by, "working_id", F.col("working_id").isNull().alias("gap"))
+    target = single.unionByName(several).groupBy(*by).agg(F.min("working_id").alias("working_id"), F.max("working_id").alias("_other"), F.bool_or("gap").alias("gap")).where("not gap and working_id = _other").select(*by, "working_id")
+    # the protocols that an event may count for
+    made = rows.where(of == "artifact.registered").groupBy("ledger_id", "id").agg(F.min_by("p.producer_id", "sequence").alias("parent"))
+    own_protocol = [rows.where("type = 'protocol.drafted'").select("ledger_id", "id", F.col("id").alias("protocol_id")).distinct(), workings.select("ledger_id", "id", "protocol_id"), experiments.select("ledger_id", "id", "protocol_id"), first("run.recorded", "protocol_id"), bundles.select("ledger_id", F.col("bundle_id").alias("id"), F.col("bundle_protocol").alias("protocol_id")), assessments.select("ledger_id", F.col("assessment_id").alias("id"), F.col("assessed_protocol").alias("protocol_id"))]
+    from tallyfold.operators.chain import union
+
+    protocol_of = union(own_protocol)
+    inferred = lineage.roots(made).join(protocol_of.withColumnRenamed("id", "root"), ["ledger_id", "root"]).select("ledger_id", "id", "protocol_id")
+    plain = ends.where("p.protocol_id is not null").select(*by, F.col("p.protocol_id").alias("protocol_id"))
+    artifacts = ends.where(of == "artifact.registered").select(*by, "id").join(inferred, ["ledger_id", "id"]).select(*by, "protocol_id")
+    allowed = union([plain, artifacts, decided.select(*by, F.col("assessed_protocol").alias("protocol_id"))]).where("protocol_id is not null").distinct()
+    found = ends.join(target, by).join(key(workings, "working_id").select("ledger_id", "working_id", F.col("program_id").alias("_program"), "protocol_id"), ["ledger_id", "working_id"])
+    planned = rows.where("type = 'experiment.planned'").groupBy("ledger_id", "id").agg(F.min_by("p.program_id", "sequence").alias("_planned"))
+    found = found.join(planned, ["ledger_id", "id"], "left").where(F.coalesce("_planned", "p.program_id") == F.col("_program"))
+    return found.join(allowed, [*by, "protocol_id"], "left_semi").select("ledger_id", "sequence", "working_id", "type", "p.kind", "p.phase", "p.status")
+
 
 def progress(events: DataFrame, runs: DataFrame, rules: DataFrame) -> DataFrame:
     """Per workflow run: stages left, in order, with the event that left each.
 
     runs: ledger_id, working_id, rite_id; rules: rite_id, stage_no (from 0),
     event_type, kind, phase, status (null: any); events: ledger_id, sequence,
-    working_id (the one run that its lineage leads to), type, kind, phase,
+    working_id (the one run that its lineage leads to, see runs_of_events()), type, kind, phase,
     status.  Stage k is left by the first matching event later than the one that
     left stage k - 1; earlier matches are not remembered.
     """
     match = lambda c: F.col(f"r.{c}").isNull() | F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}"))
     rows = events.alias("e").join(runs.alias("w"), (F.col("e.ledger_id") == F.col("w.ledger_id")) & (F.col("e.working_id") == F.col("w.working_id")))
-    rows = rows.join(F.broadcast(rules).alias("r"), (F.col("r.rite_id") == F.col("w.rite_id")) & (F.col("r.event_type") == F.col("e.type")) & match("kind") & match("phase") & match("status"))
+    rows = rows.join(rules.alias("r"), (F.col("r.rite_id") == F.col("w.rite_id")) & (F.col("r.event_type") == F.col("e.type")) & match("kind") & match("phase") & match("status"))
     found = rows.groupBy("w.ledger_id", "w.working_id").agg(F.array_sort(F.collect_list(F.struct(F.col("e.sequence").alias("sequence"), F.col("r.stage_no").alias("stage_no")))).alias("c"))
     step = lambda a, x: F.when((x["stage_no"] == F.size(a)) & (F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) < x["sequence"]), F.concat(a, F.array(x["sequence"]))).otherwise(a)
     left = found.select("ledger_id", "working_id", F.aggregate("c", F.array().cast("array<long>"), step).alias("left_at"))
     out = runs.join(left, ["ledger_id", "working_id"], "left").withColumn("left_at", F.coalesce("left_at", F.array().cast("array<long>")))
     last = rules.groupBy("rite_id").agg(F.count("*").alias("stages"))
-    return out.join(F.broadcast(last), "rite_id", "left").select("ledger_id", "working_id", "rite_id", "left_at", F.size("left_at").alias("stage_no"), F.when(F.size("left_at") >= F.col("stages"), "COMPLETED").otherwise("ACTIVE").alias("status"))
+    return out.join(last, "rite_id", "left").select("ledger_id", "working_id", "rite_id", "left_at", F.size("left_at").alias("stage_no"), F.when(F.size("left_at") >= F.col("stages"), "COMPLETED").otherwise("ACTIVE").alias("status"))
 
 
 # Fixed order of advice: the first line whose condition holds is the answer.
 ADVICE = [
-    ("resolve critical issues", "open_critical > 0"),
+    ("create or select a program", "program_id is null"),
+    ("select an existing program", "not known"),
+    ("resolve critical issues", "size(open_critical) > 0"),
     ("record evidence", "evidence = 0"),
     ("seal the question", "not has_question"),
     ("draft a protocol", "protocols = 0"),
@@ -41,8 +110,34 @@ ADVICE = [
 
 
 def next_actions(programs: DataFrame) -> DataFrame:
-    """Advice for each program from its counts: open_critical, evidence, has_question, protocols, draft_protocols, experiments, bundles, assessments, decisions."""
+    """Advice for each program, with the sorted ids of the issues where it is to resolve those.
+
+    programs: program_id (null: none is selected), known, open_critical (ids),
+    evidence, has_question, protocols, draft_protocols, experiments, bundles,
+    assessments, decisions (counts).
+    """
     out = F.lit(None).cast("string")
     for text, condition in reversed(ADVICE):
         out = F.when(F.expr(condition), text).otherwise(out)
-    return programs.withColumn("next_action", F.coalesce(out, F.lit("continue from open issues and the last decision")))
+    out = F.coalesce(out, F.lit("continue from open issues and the last decision"))
+    return programs.withColumn("next_action", F.when(out == "resolve critical issues", F.concat(out, F.lit(": "), F.array_join(F.array_sort("open_critical"), ", "))).otherwise(out))
+
+
+def program_counts(events: DataFrame, selected: DataFrame) -> DataFrame:
+    """What next_actions() asks for, of selected programs (ledger_id, program_id; null, or unknown ones, too)."""
+    rows = state.parsed(events)
+    objects = state.every_object(rows).where("collection <> 'programs'")
+    n = lambda c: F.count_if(F.col("collection") == c)
+    steps = state.transitions(rows)
+    draft = steps.groupBy("ledger_id", "collection", "id").agg(F.max_by("state", "sequence").alias("state"))
+    open_ = rows.where("type = 'issue.opened' and p.severity = 'CRITICAL'").select("ledger_id", "id", F.col("p.program_id").alias("program_id")).join(draft.where("collection = 'issues' and state = 'OPEN'").select("ledger_id", "id"), ["ledger_id", "id"])
+    critical = open_.groupBy("ledger_id", "program_id").agg(F.array_sort(F.collect_set("id")).alias("open_critical"))
+    drafts = objects.where("collection = 'protocols'").join(draft.where("collection = 'protocols' and state = 'DRAFT'").select("ledger_id", "id"), ["ledger_id", "id"]).groupBy("ledger_id", "program_id").agg(F.count("*").alias("draft_protocols"))
+    counts = objects.groupBy("ledger_id", "program_id").agg(n("evidence").alias("evidence"), n("protocols").alias("protocols"), n("experiments").alias("experiments"), n("result_bundles").alias("bundles"), n("assessments").alias("assessments"), n("decisions").alias("decisions"))
+    made = rows.where("type = 'program.created'").select("ledger_id", F.col("id").alias("program_id")).distinct().withColumn("known", F.lit(True))
+    asked = rows.where("type = 'research_question.sealed'").select("ledger_id", F.col("id").alias("program_id")).distinct().withColumn("has_question", F.lit(True))
+    out = selected.select("ledger_id", "program_id").distinct()
+    for part in (made, asked, counts, drafts, critical):
+        out = out.join(part, ["ledger_id", "program_id"], "left")
+    out = out.na.fill(0, ["evidence", "protocols", "experiments", "bundles", "assessments", "decisions", "draft_protocols"]).na.fill(False, ["known", "has_question"])
+    return out.withColumn("open_critical", F.coalesce("open_critical", F.array().cast("array<string>")))

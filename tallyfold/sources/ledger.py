@@ -12,7 +12,8 @@ RECEIPT = "schema_version string, receipt_id string, event_id string, event_body
 EVENT = f"sequence long, event_id string, type string, object_id string, occurred_at string, previous_receipt_sigil string, {ACTOR}, payload string, event_body_sigil string, receipt struct<{RECEIPT.replace(' string', ':string')}>"
 # Fixed values of the record formats: the members of an event and of one of the old format.
 FIELDS = ["schema_version", "sequence", "event_id", "type", "object_id", "occurred_at", "previous_receipt_sigil", "actor", "payload", "event_body_sigil", "receipt"]
-OLD_FIELDS = ["schema_version", "event_id", "type", "object_id", "occurred_at", "payload", "receipt"]
+OLD_FIELDS = ["schema_version", "event_id", "type", "object_id", "occurred_at", "previous_sigil", "payload", "receipt"]
+OLD_RECEIPT = ["receipt_id", "event_id", "sigil", "previous_sigil", "accepted_at"]
 
 
 def ledger_of(path: Column) -> Column:
@@ -45,11 +46,27 @@ def unknown_fields(raw: Column, known: list[str]) -> Column:
 
 
 def parse_old(lines: DataFrame) -> DataFrame:
-    """Events of the old format in the columns of the new: no sequence, actor or body digest; fields_ok says if its members are the known ones."""
-    schema = "event_id string, type string, object_id string, occurred_at string, payload string, receipt struct<receipt_id:string,event_id:string,event_sigil:string,previous_sigil:string,accepted_at:string,sigil:string>"
-    rows = lines.select("ledger_id", F.from_json("raw", schema).alias("e"), "raw")
-    same = (F.size(unknown_fields(F.col("raw"), OLD_FIELDS)) == 0) & (F.size(F.array_except(F.lit(OLD_FIELDS), F.json_object_keys("raw"))) == 0)
-    return rows.select("ledger_id", "e.event_id", "e.type", "e.object_id", "e.occurred_at", "e.payload", F.col("e.receipt.previous_sigil").alias("previous_receipt_sigil"), F.col("e.receipt.sigil").alias("receipt_sigil"), same.alias("fields_ok"), "raw")
+    """Events of the old format (lines: ledger_id, line, raw): their fields, line as sequence, receipt, and fields_ok, which says if the members are exactly the known ones."""
+    schema = "event_id string, type string, object_id string, occurred_at string, previous_sigil string, payload string, receipt struct<receipt_id:string,event_id:string,sigil:string,previous_sigil:string,accepted_at:string>"
+    rows = lines.select("ledger_id", F.col("line").cast("long").alias("sequence"), F.from_json("raw", schema).alias("e"), "raw")
+    exactly = lambda text, known: F.coalesce(F.array_sort(F.json_object_keys(text)) == F.lit(sorted(known)), F.lit(False))
+    same = exactly(F.col("raw"), OLD_FIELDS) & exactly(F.get_json_object("raw", "$.receipt"), OLD_RECEIPT)
+    return rows.select("ledger_id", "sequence", "e.*", same.alias("fields_ok"), "raw")
+
+
+# Record fields of the collections that are read as files of their own.
+COLLECTIONS = {
+    "snapshots": "snapshot_id string, program_id string, head struct<receipt_sigil:string>, objects array<struct<object_id:string,object_type:string,object_sigil:string>>, snapshot_sigil string",
+    "capsules": "task_id string, host string, program_id string, objective string, capability struct<id:string,contract_version:string,contract_sigil:string>, snapshot struct<snapshot_id:string,snapshot_sigil:string>, expected_outputs array<struct<schema:string>>, circle struct<tools:array<string>,time_budget_seconds:long,network:boolean>, bindings struct<review_id:string>, capsule_sigil string",
+    "contracts": "id string, contract_version string, expected_outputs array<struct<schema:string>>, allowed_tools array<string>, network boolean, max_time_seconds long, requires_approval boolean",
+    "definitions": "rite_id string, schema_version string, description string, stages array<struct<name:string,exit_contract:struct<event_type:string,object_type:string,kind:string,phase:string,status:string>>>",
+}
+
+
+def read_collection(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Records of a collection, one JSON file each, with raw for their digests and ledger_id of the folder two above the file."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("raw"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+/[^/]+$", 1).alias("ledger_id"))
+    return rows.select("ledger_id", F.from_json("raw", COLLECTIONS[name]).alias("r"), "raw").select("ledger_id", "r.*", "raw")
 
 
 def read_anchors(spark: SparkSession, path: str) -> DataFrame:
@@ -78,5 +95,11 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_bundles(bundles: DataFrame, path: str, form: str = "json") -> None:
-    """A folder for each ledger and protocol."""
-    bundles.write.mode("overwrite").partitionBy("ledger_id", "protocol_id").format(form).save(path)
+    """A folder for each ledger and bundle (its bundle_id where it has one, else its protocol); only folders that are written anew are replaced."""
+    by = ["ledger_id", "bundle_id" if "bundle_id" in bundles.columns else "protocol_id"]
+    bundles.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(form).save(path)
+
+
+def write_ledger(lines: DataFrame, path: str) -> None:
+    """A folder of lines, in order, for each ledger (ledger_id, sequence, raw); one ledger's lines are written by one task."""
+    lines.repartition("ledger_id").sortWithinPartitions("ledger_id", "sequence").select("ledger_id", F.col("raw").alias("value")).write.mode("overwrite").partitionBy("ledger_id").text(path)

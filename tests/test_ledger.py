@@ -281,8 +281,13 @@ def test_jobs(spark):
     journal = spark.createDataFrame(rows, "ledger_id string, sequence long, event_id string, event_type string, event_digest string, job_id string, task_id string, key string, request string, state string, reason string, expected_revision long")
     assert {(r.sequence, r.rule) for r in jobs.broken_rules(journal).collect()} == {(7, "key conflict"), (9, "other revision"), (10, "cancelled job ended otherwise"), (11, "unknown job"), (12, "epoch")}
     assert {r.job_id: (r.state, r.revision) for r in jobs.states(journal).where("job_id in ('a', 'b')").collect()} == {"a": ("CANCELLED", 4), "b": ("SUBMITTED", 1)}
-    assert {r.job_id for r in jobs.outcomes(journal).collect()} == {"a", "b2"}
+    assert {r.job_id for r in jobs.outcomes(journal, "outcome/1").collect()} == {"a", "b2"}
     assert [r.sequence for r in jobs.observed(journal, 2, 9, 3).collect()] == [3, 4, 5]
+    want = "OJ-" + hashlib.sha256(canonical(["outcome/1", "a", "d"]).encode()).hexdigest().upper()
+    assert jobs.outcomes(journal, "outcome/1").where("job_id = 'a'").first().outcome_id == want
+    key = sealed(["execution-start-idempotency-key/1.0", "é1"])
+    (r,) = spark.createDataFrame([("TK-1", "é1")], "t string, k string").select(jobs.job_id(F.col("t"), F.col("k")).alias("j")).collect()
+    assert r.j == "JB-" + hashlib.sha256(canonical(["execution-job-id/1.0", "TK-1", key]).encode()).hexdigest().upper()
 
 
 def test_workflow(spark):
@@ -300,9 +305,19 @@ def test_lineage_and_trace(spark):
     assert {(r.node, r.depth) for r in lineage.closure(links, start).collect()} == {("b", 0), ("c", 1), ("d", 2), ("a", 3)}
     parents = spark.createDataFrame([("L", i, i - 1 if i else None) for i in range(20)], "ledger_id string, id int, parent int")
     assert {r.root for r in lineage.roots(parents).collect()} == {0}
+    rings = [(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (6, 5), (7, 7), (8, 9), (10, None), (11, 10), (12, 11)]  # 9 isn't there
+    loops = spark.createDataFrame([("L", a, b) for a, b in rings], "ledger_id string, id int, parent int")
+    assert {r.id: r.root for r in lineage.roots(loops).collect()} == {1: None, 2: None, 3: None, 4: None, 5: None, 6: None, 7: None, 8: 9, 10: 10, 11: 10, 12: 10}
     events = events_of(spark, [("t", "A", {"k": ["x", {"deep": {"er": "B"}}]}), ("t", "B", {"B": "key only"}), ("t", "C", {"n": 1})])
     ids = spark.createDataFrame([("L", "B"), ("L", "x"), ("L", "none")], "ledger_id string, id string")
     assert {(r.id, r.sequence) for r in lineage.trace(lineage.references(events), ids).collect()} == {("B", 1), ("B", 2), ("x", 1)}
+    odd = events_of(spark, [("t", "A", {"k: x": 'say "x": \\', "": ["", None, 1, True, {"n": "é\n:"}]}), ("t", "B", {})])
+    assert {(r.sequence, r.value) for r in lineage.references(odd).collect()} == {(1, "A"), (1, 'say "x": \\'), (1, ""), (1, "é\n:"), (2, "B")}
+    bodies = spark.createDataFrame([("L", "P", "t", "2", '{"b": 1, "a": 2}'), ("L", "P", "t", "1", "{}"), ("L", "P", "s", "9", "{}")], "ledger_id string, program_id string, object_type string, object_id string, body string")
+    assert [(r.object_type, r.object_id, r.digest) for r in lineage.inventory(bodies).collect()] == [("s", "9", sealed({})), ("t", "1", sealed({})), ("t", "2", sealed({"a": 2, "b": 1}))]
+    assert [o.object_id for o in lineage.inventories(bodies).first().objects] == ["9", "1", "2"]
+    heads = spark.createDataFrame([("L", "s1", "x"), ("L", "s2", "gone"), ("L", "s3", None)], "ledger_id string, snapshot_id string, head string")
+    assert [r.snapshot_id for r in lineage.foreign_heads(heads, spark.createDataFrame([("L", "x"), ("L", "x")], "ledger_id string, digest string")).collect()] == ["s2"]
     inventory = lambda rows: spark.createDataFrame(rows, "ledger_id string, object_type string, object_id string, digest string")
     changed = lineage.freshness(inventory([("L", "t", "1", "a"), ("L", "t", "2", "a")]), inventory([("L", "t", "2", "b"), ("L", "t", "3", "a")]))
     assert {(r.object_id, r.change) for r in changed.collect()} == {("1", "REMOVED"), ("2", "CHANGED"), ("3", "ADDED")}
@@ -344,3 +359,165 @@ def test_blobs_and_reads(spark, tmp_path):
     assert [r.id for r in reads.page(t, "id", 2, after="x3").collect()] == ["x4", "x5"] and reads.search(t, ["name"], "RING").count() == 5
     report = reads.health(t, {"a": spark.createDataFrame([("L", "r")], "ledger_id string, rule string"), "b": spark.createDataFrame([], "ledger_id string, rule string")})
     assert {(r.check, r.n, r.result) for r in report.collect()} == {("a", 1, "FAIL"), ("b", 0, "PASS"), ("all", 1, "FAIL")}
+
+
+def old_lines(n):
+    out, previous = [], None
+    for i in range(1, n + 1):
+        at = f"2024-01-01T00:00:{i:02d}+00:00"
+        event = {"schema_version": "y", "event_id": f"CE-{i}", "type": "program.created", "object_id": f"RP-{i}", "occurred_at": at, "previous_sigil": previous, "payload": {"slug": f"s{i}", "é": [i]}}
+        seal = sealed(event)
+        out.append(event | {"receipt": {"receipt_id": f"RC-{i}", "event_id": f"CE-{i}", "sigil": seal, "previous_sigil": previous, "accepted_at": at}})
+        previous = seal
+    return out
+
+
+def test_old_ledgers_are_checked_and_converted(spark):
+    bad = old_lines(3)
+    bad[1]["payload"]["x"] = 1
+    more = [x | {"more": 1} for x in old_lines(1)]
+    lines = [(name, i + 1, json.dumps(x)) for name, rows in (("good", old_lines(4)), ("bad", bad), ("more", more)) for i, x in enumerate(rows)]
+    old = ledger.parse_old(spark.createDataFrame(lines, "ledger_id string, line int, raw string").repartition(3))
+    found = {(r.ledger_id, r.sequence, r.rule) for r in chain.audit_old(old).collect()}
+    assert found == {("bad", 2, "digest"), ("more", 1, "unknown or missing field"), ("more", 1, "digest")}
+    actor = {"actor_id": "m", "actor_type": "tool", "host": "h", "authenticated_by": "s"}
+    new = ledger.parse(chain.convert_old(old, json.dumps(actor)).select("ledger_id", "raw"))
+    rows = new.orderBy("sequence").collect()
+    assert [r.event_id for r in rows] == ["CE-1", "CE-2", "CE-3", "CE-4"] and {r.ledger_id for r in rows} == {"good"} and chain.audit_events(new).count() == 0
+    before, previous = old_lines(4), None
+    for r, x in zip(rows, before, strict=True):
+        event = {"schema_version": "chronicle-event/1.1", "event_id": x["event_id"], "sequence": r.sequence, "type": x["type"], "object_id": x["object_id"], "occurred_at": x["occurred_at"], "previous_receipt_sigil": previous, "actor": actor, "payload": x["payload"]}
+        receipt = {"schema_version": "receipt/1.1", "receipt_id": x["receipt"]["receipt_id"], "event_id": x["event_id"], "event_body_sigil": sealed(event), "previous_receipt_sigil": previous, "accepted_at": x["occurred_at"]}
+        assert r.event_body_sigil == sealed(event) and r.receipt.receipt_sigil == sealed(receipt)
+        previous = sealed(receipt)
+    kept = old.where("ledger_id = 'good'").withColumn("payload", F.col("payload"))
+    t = lambda events: state.tables(events.select("ledger_id", "sequence", "event_id", "type", "object_id", "occurred_at", "payload"))["programs"].select("ledger_id", "id", "slug", "status")
+    assert chain.unchanged(t(kept), t(new)).count() == 0
+
+
+def test_a_written_ledger_reads_back(spark, tmp_path):
+    events = spark.createDataFrame([(name, i, f"CE-{i}", "t", "o", "2024-01-01T00:00:00Z", "{}", '{"k": 1}', f"RC-{i}") for name in ("a", "b") for i in range(5)], "ledger_id string, n int, event_id string, type string, object_id string, occurred_at string, actor string, payload string, receipt_id string")
+    ledger.write_ledger(chain.seal_events(events, ["n"]), str(tmp_path / "out"))
+    for name in ("a", "b"):
+        back = ledger.parse(ledger.read_lines(spark, str(tmp_path / "out" / f"ledger_id={name}")).withColumn("ledger_id", F.lit(name)))
+        assert back.count() == 5 and chain.audit_events(back).count() == 0
+
+
+def test_events_find_their_workflow_run(spark):
+    def compared(*experiments):
+        return {"bundle": P | {"protocol_id": "PT-1", "comparisons": [{"experiment_id": e} for e in experiments]}}
+
+    exp = lambda w, **more: P | {"protocol_id": "PT-1", "hypothesis_id": None, "question": "q", "working_id": w} | more
+    assess = lambda i, b: ("assessment.recorded", i, P | {"protocol_id": "PT-1", "result_bundle_id": b})
+    rows = [
+        ("program.created", "RP-1", {"slug": "a"}), ("protocol.drafted", "PT-1", P), ("protocol.drafted", "PT-2", P),
+        ("working.created", "WK-1", P | {"protocol_id": "PT-1"}), ("working.created", "WK-2", P | {"protocol_id": "PT-1"}), ("working.created", "WK-3", P | {"protocol_id": "PT-2"}),
+        ("experiment.planned", "EX-1", exp("WK-1")), ("experiment.planned", "EX-2", exp("WK-2")), ("experiment.planned", "EX-3", exp(None)), ("experiment.planned", "EX-4", exp("WK-3")),
+        ("artifact.registered", "AR-1", P | {"kind": "implementation", "producer_id": "WK-1", "input_ids": []}),  # 11
+        ("artifact.registered", "AR-2", P | {"kind": "plot", "producer_id": "EX-2", "input_ids": []}),
+        ("artifact.registered", "AR-3", P | {"kind": "plot", "producer_id": "AR-1", "input_ids": []}),  # made by an artifact: no run
+        ("run.recorded", "RUN-1", exp(None, experiment_id="EX-1", phase="PILOT", status="COMPLETED")),
+        ("run.recorded", "RUN-2", exp(None, experiment_id="EX-3")),
+        ("run.recorded", "RUN-3", exp(None, experiment_id="EX-4")),  # the run's protocol is another
+        ("experiment.pilot_completed", "EX-1", exp("WK-1")),  # 17
+        ("analysis.computed", "RB-1", compared("EX-1")), ("analysis.computed", "RB-2", compared("EX-1", "EX-2")), ("analysis.computed", "RB-3", compared("EX-1", "EX-3")), ("analysis.computed", "RB-4", compared()),
+        assess("AS-1", "RB-1"), assess("AS-2", "RB-2"),  # 22, 23
+        ("decision.sealed", "DE-1", P | {"assessment_ids": ["AS-1"]}), ("decision.sealed", "DE-2", P | {"assessment_ids": ["AS-1", "AS-2"]}), ("decision.sealed", "DE-3", P | {"assessment_ids": ["AS-1", "AS-9"]}),
+    ]
+    got = {r.sequence: (r.working_id, r.kind, r.phase, r.status) for r in workflow.runs_of_events(events_of(spark, rows)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {11: "WK-1", 12: "WK-2", 14: "WK-1", 17: "WK-1", 18: "WK-1", 22: "WK-1", 24: "WK-1"}
+    assert got[11][1] == "implementation" and got[14][2:] == ("PILOT", "COMPLETED")
+    definitions = spark.createDataFrame([("R", [("A", ("artifact.registered", "artifact", "implementation", None, None)), ("B", None)])], "rite_id string, stages array<struct<name:string,exit_contract:struct<event_type:string,object_type:string,kind:string,phase:string,status:string>>>")
+    assert [tuple(r) for r in workflow.stage_rules(definitions).collect()] == [("R", 0, "artifact.registered", "implementation", None, None)]
+    runs = spark.createDataFrame([("L", w, "R") for w in ("WK-1", "WK-2")], "ledger_id string, working_id string, rite_id string")
+    left = {r.working_id: (r.left_at, r.status) for r in workflow.progress(workflow.runs_of_events(events_of(spark, rows)), runs, workflow.stage_rules(definitions)).collect()}
+    assert left == {"WK-1": ([11], "COMPLETED"), "WK-2": ([], "ACTIVE")}
+
+
+def test_next_actions(spark):
+    rows = study()
+    moments = {"RP-1": "resolve critical issues: IS-1", "RP-9": "select an existing program", None: "create or select a program"}
+    selected = spark.createDataFrame([("L", p) for p in moments], "ledger_id string, program_id string")
+    now = lambda rows: {r.program_id: r.next_action for r in workflow.next_actions(workflow.program_counts(events_with_actors(spark, rows), selected)).collect()}
+    assert now(rows) == moments
+    for n, want in ((1, "record evidence"), (8, "seal the question"), (11, "draft a protocol"), (12, "seal the protocol"), (13, "start an experiment"), (24, "seal the protocol")):
+        assert now(rows[:n])["RP-1"] == want
+    alone = [r for r in rows if r[1] != "PT-2" and not r[1].startswith("IS-")]
+    cut = [i for i, r in enumerate(alone) if r[0] in ("analysis.computed", "assessment.recorded", "decision.sealed")]
+    for n, want in ((cut[0], "record runs and analyse"), (cut[1], "assess the result"), (cut[3], "decide"), (len(alone), "continue from open issues and the last decision")):
+        assert now(alone[:n])["RP-1"] == want
+
+
+def test_more_reads(spark):
+    every = spark.createDataFrame([("L", "P", "runs", "R2"), ("L", "P", "runs", "R1"), ("L", "P", "programs", "P")], "ledger_id string, program_id string, collection string, object_id string")
+    assert {(r.collection, tuple(r.ids)) for r in reads.of_programs(every).collect()} == {("runs", ("R1", "R2")), ("programs", ("P",))}
+    t = state.tables(events_with_actors(spark, study()))
+    both = {r.id: (r.request.type, r.artifact and r.artifact.task_id) for r in reads.reviews(t["review_requests"], t["review_artifacts"]).collect()}
+    assert both == {"RV-1": ("local_review", "TK-1"), "RV-2": ("external_diff_review", "TK-2")}
+    events = spark.createDataFrame([("L", 1, "CE-1", "RC-1", "d1"), ("L", 2, "CE-2", "RC-2", "d2")], "ledger_id string, sequence long, event_id string, receipt_id string, digest string")
+    objects = spark.createDataFrame([("L", 1, "X", '{"b":1}'), ("L", 0, "X", '{"a":1}'), ("L", 0, "CE-1", "{}")], "ledger_id string, rank int, object_id string, body string")
+    ids = spark.createDataFrame([("L", i) for i in ("RC-2", "CE-1", "X", "none")], "ledger_id string, id string")
+    assert {r.id: (r.source, r.digest) for r in reads.digest_of(ids, events, objects).collect()} == {"RC-2": ("receipt", "d2"), "CE-1": ("receipt", "d1"), "X": ("object", sealed({"a": 1})), "none": (None, None)}
+    assert [r.ordinal_id for r in reads.ordinal_ids(events, "RB-", ["sequence"]).orderBy("sequence").collect()] == ["RB-001", "RB-002"]
+    bundle = lambda *rows: spark.createDataFrame([("L", *r) for r in rows], "ledger_id string, id string, digest string")
+    exports = reads.exports_audit(bundle(("a", "1"), ("b", "1"), ("c", "1")), bundle(("a", "1"), ("b", "2"), ("d", "1")), ["ledger_id", "id"])
+    assert {(r.id, r.result) for r in exports.collect()} == {("a", "OK"), ("b", "MISMATCH"), ("c", "MISSING"), ("d", "EXTRA")}
+    outputs = spark.createDataFrame([("L", "TK-1", "a", "1"), ("L", "TK-1", "b", "1"), ("L", "TK-1", "c", "1"), ("L", "TK-1", "d", "1")], "ledger_id string, task_id string, path string, digest string")
+    files = spark.createDataFrame([("a", "1", '{"task_id":"TK-1"}'), ("b", "2", '{"task_id":"TK-1"}'), ("d", "1", '{"task_id":"TK-2"}')], "path string, digest string, content string")
+    audit = reads.outputs_audit(outputs, files)
+    assert {(r.path, r.result) for r in audit.collect()} == {("a", "OK"), ("b", "MISMATCH"), ("c", "MISSING"), ("d", "OTHER TASK")}
+    none = spark.createDataFrame([], "ledger_id string, rule string")
+    report = reads.health(events.select("ledger_id"), reads.data_checks(none, none, none, none, audit, reads.content_audit(outputs.select("ledger_id", "path", "digest").where("path = 'a'"), files), exports))
+    assert {(r.check, r.n, r.result) for r in report.collect()} == {("chain", 0, "PASS"), ("state", 0, "PASS"), ("snapshots", 0, "PASS"), ("capsules", 0, "PASS"), ("outputs", 3, "FAIL"), ("artifacts", 0, "PASS"), ("exports", 3, "FAIL"), ("all", 6, "FAIL")}
+
+
+def test_verdicts_name_the_first_reason(spark):
+    schema = "ledger_id string, task_id string, host string, capability_id string, contract_version string, contract_digest string, expected_outputs array<string>, tools array<string>, network boolean, seconds long, digest string, digest_ok boolean"
+    row = lambda t, host="h", ok=True: ("L", t, host, "c", "1", "k", ["o"], [], False, 5, "d", ok)
+    contracts = spark.createDataFrame([("c", "1", "k", ["o"], [], False, 9, False)], "capability_id string, version string, digest string, outputs array<string>, allowed_tools array<string>, allows_network boolean, max_seconds long, needs_approval boolean")
+    capsules = spark.createDataFrame([row("TK-1"), row("tk-1", ok=False), row("TK-2", host="x"), row("TK-3", ok=False)], schema)
+    got = {r.task_id: (r.verdict, r.reason) for r in rules.verdicts(capsules, contracts, capsules.where("false"), hosts=["h"]).collect()}
+    assert got == {"TK-1": ("PASS", None), "tk-1": ("REJECTED", "identifiers"), "TK-2": ("REJECTED", "identifiers"), "TK-3": ("REJECTED", "digest")}
+
+
+def test_acceptance_of_results(spark):
+    out = "array<struct<schema:string,path:string,digest:string>>"
+    results = spark.createDataFrame([("L", i, t, "s", c, "COMPLETED", o) for i, (t, c, o) in enumerate([("ok", "k", [("a", "p", "1")]), ("none", "k", []), ("other", "z", [("a", "p", "2")]), ("gone", "k", [("a", "q", "1")]), ("who", "k", [("a", "p", "1")])])], f"ledger_id string, sequence int, task_id string, snapshot string, contract_digest string, status string, outputs {out}")
+    capsules = spark.createDataFrame([("L", t, "s", "k", ["a"]) for t in ("ok", "none", "other", "gone")], "ledger_id string, task_id string, snapshot string, contract_digest string, expected_outputs array<string>")
+    passed = capsules.select("ledger_id", "task_id", F.lit("PASS").alias("verdict"))
+    fresh = spark.createDataFrame([("L", "s", True)], "ledger_id string, snapshot string, fresh boolean")
+    files = spark.createDataFrame([("p", "1")], "path string, digest string")
+    got = {}
+    for r in rules.acceptance(results, capsules, passed, fresh, files).collect():
+        got.setdefault(r.object_id, set()).add(r.rule)
+    assert got == {"none": {"no outputs", "other outputs"}, "other": {"other contract", "output differs"}, "gone": {"output missing"}, "who": {"unknown task", "other snapshot", "other contract", "policy", "other outputs"}}
+
+
+def test_record_contracts(spark):
+    def broken(change):
+        rows = [(t, o, p | change.get(o, {})) for t, o, p in study()]
+        return {(r.id, r.rule) for r in K.every_breach(state.tables(events_with_actors(spark, rows))).collect()}
+
+    whole = {
+        "RP-1": {"problem": "x"}, "EV-1": {"source": {"uri": "u", "sigil": "sha256:" + "0" * 64}}, "EV-2": {"source": {"uri": "u", "sigil": "sha256:" + "0" * 64}}, "PT-1": {"analysis_plan": "p", "study_mode": "confirmatory"}, "PT-2": {"analysis_plan": "p"}, "WK-1": {"rite_id": "r@1"},
+        "DV-1": {"impact": "MINOR", "summary": "s", "rationale": "r"}, "AR-1": {"location": {"uri": "u", "sigil": "sha256:" + "0" * 64}}, "RV-1": {"target": {"repository": "r"}, "scope": {"checks": ["c"]}, "reviewer": "x"}, "RV-2": {"target": {"repository": "r"}, "scope": {"checks": ["c"]}},
+    } | {f"DE-{i}": {"rationale": "r"} for i in range(1, 7)}
+    fine = {x for x in broken(whole) if x[1] not in ("result: no recommendation", "capsule_sigil: pattern")}
+    assert fine == set()
+    for field, values, rule, own in (("severity", K.SEVERITIES, "severity: not one of its values", "IS-1"), ("outcome", K.OUTCOMES, "outcome: not one of its values", "DE-4"), ("impact", K.IMPACTS, "impact: not one of its values", "DV-1"), ("type", K.CLAIM_TYPES, "type: not one of its values", "CL-1"), ("status", K.REPRODUCTIONS, "status: not one of its values", "RR-1")):
+        assert (own, rule) in broken(whole | {own: whole.get(own, {}) | {field: values[-1] + "X"}})
+    bad = broken(whole | {"RP-1": {"slug": "Not a slug", "problem": "x"}, "EV-2": {"source": {"uri": "", "sigil": "s"}}, "AS-1": {"claim_findings": [{"claim_id": "CL-1", "status": "PROPOSED"}]}, "AR-1": {"location": {"uri": "u", "sigil": "x"}}})
+    assert {("RP-1", "slug: pattern"), ("EV-2", "source: no reference to content"), ("AS-1", "claim_findings.status: not one of its values"), ("AR-1", "location: digest")} <= bad
+    ids = spark.createDataFrame([("RP-A_1",), ("rp-1",), ("RP-",), ("XX-1",)], "id string")
+    assert {r.id for r in K.breaches(ids, [K.identifier("id", "RP-")], ["id"]).collect()} == {"rp-1", "RP-", "XX-1"}
+    entry = spark.createDataFrame([("a", True, None, []), ("b", True, " ", [("", "x")]), ("c", False, None, [("u", "sha256:" + "0" * 64)])], "run_id string, needs_arm boolean, arm string, artifacts array<struct<uri:string,sigil:string>>")
+    assert {(r.run_id, r.rule) for r in K.breaches(entry, K.run_entry_rules(), ["run_id"]).collect()} == {("a", "arm: missing"), ("b", "arm: too short"), ("b", "artifacts: no reference to content")}
+    spec = spark.createDataFrame([("L", "P", "c"), ("L", "P", "c"), ("L", "P", "d")], "ledger_id string, protocol_id string, comparison_id string")
+    assert [r.comparison_id for r in K.repeated_comparisons(spec).collect()] == ["c"]
+
+
+def test_output_contracts(spark):
+    ok = {"queries": ["q"], "sources": [{"uri": "u", "title": "t"}], "screened_count": 3, "candidate_evidence": [], "unresolved_queries": [], "limitations": []}
+    rows = [(1, "evidence_discovery", ok), (2, "evidence_discovery", ok | {"queries": [], "x": 1, "screened_count": -1, "sources": [{"uri": ""}]}), (3, "nope", {}), (4, "code_inspection", [1]), (5, "code_inspection", {"inspected_files": ["a", 1], "findings": ["a", ""], "tests_considered": []}), (6, "experiment_execution", {"experiment_id": "EX-1", "commands": ["c"], "run_ids": ["RUN-1", "RUN-1"], "status": "LOST", "failures": []})]
+    got = {(r.k, r.field, r.rule) for r in K.output_breaches(spark.createDataFrame([(k, s, json.dumps(d)) for k, s, d in rows], "k int, shape string, data string"), ["k"]).collect()}
+    assert got == {(2, "queries", "wrong value"), (2, "screened_count", "wrong value"), (2, "sources.title", "missing"), (2, "sources.uri", "wrong value"), (2, "x", "unknown field"), (3, "", "not an object of a known shape"), (4, "", "not an object of a known shape"), (5, "findings", "wrong value"), (5, "inspected_files", "wrong value"), (5, "residual_risks", "missing"), (6, "run_ids", "wrong value"), (6, "status", "wrong value")}
