@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.text import parallelism
+from tallyfold.llm.text import parallelism, trimmed, unused
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
@@ -38,76 +38,105 @@ def boundaries(text: str, pattern: str, final: bool) -> list[int]:
     return at if final else at[:-2]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """Adds a binary column `out`: token ids as little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, decoded: str | None = None) -> DataFrame:
+    """Adds a binary column `out`: token ids as little-endian unsigned 32-bit integers; and one named `decoded`, if given: what decode() makes of them, in the same pass.
 
     path: a file of base64 tokens with their ranks, there on each machine;
     pattern: what splits a text into pre-tokens, none longer in what it looks at
-    than the text that follows.  No special tokens.  docs keeps its columns; one
-    named `out` is replaced.  Null and empty texts have no ids.  Texts of more
-    than `chunk` characters become overlapping chunks in rows of their own;
-    two neighbours are cut at the first boundary that both have in their
-    overlap, and joined where they have none.  Repeated long texts are encoded
-    once.  An empty table gives none.
+    than the text that follows.  No special tokens.  docs keeps its columns,
+    whatever their names; those named `out` or `decoded` are replaced.  Null and empty texts
+    have no ids.  Texts of more than `chunk` characters become overlapping
+    chunks in rows of their own; two neighbours are cut at the first boundary
+    that both have in their overlap, and joined where they have none.  Repeated
+    long texts are encoded once.  An empty table gives none.
     """
     spark = docs.sparkSession
     p = parallelism(spark)
-    docs = docs.drop(out)
+    outs = [out] if decoded is None else [out, decoded]
+    docs = docs.drop(*outs)
     whole = F.coalesce(F.col(text), F.lit(""))
 
-    def encoded(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    def with_ids(part: pa.RecordBatch, keep: list[str], ids: list[bytes], names: list[str]) -> pa.RecordBatch:
+        found = [ids] if len(names) == 1 else [ids, raw_bytes(encoding(path, pattern), ids)]
+        return pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), *(pa.array(x, pa.binary()) for x in found)], [*keep, *names])
+
+    def encoded(batches: Iterator[pa.RecordBatch], column: str, keep: list[str], names: list[str]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
                 ids = [enc.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if t else b"" for t in part[column].to_pylist()]
-                keep = [n for n in part.schema.names if n != "_piece"]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(ids, pa.binary())], [*keep, out])
-
-    from pyspark.sql.types import BinaryType, StructField, StructType
+                yield with_ids(part, keep, ids, names)
+            trimmed()
 
-    schema = StructType([*docs.schema.fields, StructField(out, BinaryType())])
-    short = docs.where(F.length(whole) <= chunk).mapInArrow(lambda b: encoded(b, text), schema)
-    longs = docs.where(F.length(whole) > chunk)
-    texts = longs.select(F.sha2(F.encode(text, "utf-8"), 256).alias("_key"), F.col(text).alias("_text")).repartition(p, "_key").dropDuplicates(["_key"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Overlapping chunks of each text, one pass over it."""
+        for batch in batches:
+            for key, t in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                for first in range(0, len(t), 64 * chunk):
+                    at = list(range(first, min(len(t), first + 64 * chunk), chunk))
+                    columns = [[key] * len(at), at, [t[a : a + chunk + overlap] for a in at], [a + chunk + overlap >= len(t) for a in at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.bool_()), strict=True)], ["key", "at", "chunk", "final"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
             heads, tails = [], []
-            for r in rows:
-                at = boundaries(r["_chunk"], pattern, r["_final"])
-                heads.append([r["_at"] + x for x in at if 0 < x < overlap])
-                tails.append([r["_at"] + x for x in at if chunk < x])
-            yield pa.RecordBatch.from_arrays([batch["_key"], batch["_at"], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], ["_key", "_at", "_head", "_tail"])
-
-    chunks = texts.select("_key", F.explode(F.sequence(F.lit(0), F.length("_text") - 1, F.lit(chunk))).alias("_at"), "_text").select("_key", "_at", F.substring("_text", F.col("_at") + 1, F.lit(chunk + overlap)).alias("_chunk"), (F.col("_at") + chunk + overlap >= F.length("_text")).alias("_final"))
-    marks = chunks.repartition(p, "_key", "_at").mapInArrow(split, "_key string, _at int, _head array<int>, _tail array<int>")
-    after = F.lead("_head").over(Window.partitionBy("_key").orderBy("_at"))
-    cuts = marks.select("_key", F.array_min(F.array_intersect("_tail", after)).alias("_cut")).groupBy("_key").agg(F.array_sort(F.collect_set("_cut")).alias("_cuts"))
-    bounds = F.concat(F.array(F.lit(0)), F.col("_cuts"))
-    pieces = texts.join(cuts, "_key").select("_key", F.posexplode(F.arrays_zip(bounds.alias("a"), F.concat(F.col("_cuts"), F.array(F.length("_text"))).alias("b"))).alias("_no", "_at"), "_text")
-    pieces = pieces.select("_key", "_no", F.substring("_text", F.col("_at.a") + 1, F.col("_at.b") - F.col("_at.a")).alias("_piece"))
-    ids = pieces.repartition(p, "_key", "_no").mapInArrow(lambda b: encoded(b, "_piece"), StructType([pieces.schema["_key"], pieces.schema["_no"], StructField(out, BinaryType())]))
-    joined = ids.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_no", out))).alias("_parts"))
-    joined = joined.select("_key", F.aggregate("_parts", F.lit(b""), lambda a, x: F.concat(a, x[out])).alias(out))
-    long = longs.withColumn("_key", F.sha2(F.encode(text, "utf-8"), 256)).join(joined, "_key").select(*docs.columns, out)
+            for at, t, final in zip(batch["at"].to_pylist(), batch["chunk"].to_pylist(), batch["final"].to_pylist(), strict=True):
+                found = boundaries(t, pattern, final)
+                heads.append([at + x for x in found if 0 < x < overlap])
+                tails.append([at + x for x in found if chunk < x])
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["at"], batch["chunk"], pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], ["key", "at", "chunk", "head", "tail"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole_ids = [b"".join(x["ids"] for x in parts) for parts in batch["parts"].to_pylist()]
+            yield with_ids(batch, ["key"], whole_ids, ["ids"] if decoded is None else ["ids", "bytes"])
+
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    names = docs.columns
+    schema = StructType([*docs.schema.fields, *(StructField(n, BinaryType()) for n in outs)])
+    short = docs.where(F.length(whole) <= chunk).mapInArrow(lambda b: encoded(b, text, names, outs), schema)
+    longs = docs.where(F.length(whole) > chunk)
+    texts = longs.select(F.sha2(F.encode(text, "utf-8"), 256).alias("key"), F.col(text).alias("text")).repartition(p, "key").dropDuplicates(["key"])
+    chunks = texts.mapInArrow(cut, "key string, at int, chunk string, final boolean")
+    marks = chunks.repartition(p, "key", "at").mapInArrow(split, "key string, at int, chunk string, head array<int>, tail array<int>")
+    of = Window.partitionBy("key").orderBy("at")
+    # from the cut with the chunk before, or the chunk's own start, up to the cut with the next one, or its start
+    marks = marks.withColumn("to", F.array_min(F.array_intersect("tail", F.lead("head").over(of)))).withColumn("from", F.lag("to").over(of))
+    more = F.lead("at").over(of).isNotNull()
+    marks = marks.withColumn("no", F.sum(F.when(F.col("from").isNotNull(), 1).otherwise(0)).over(of)).withColumn("more", more)
+    start = F.coalesce(F.col("from"), F.col("at")) - F.col("at")
+    end = F.coalesce(F.col("to") - F.col("at"), F.when(F.col("more"), F.lit(chunk)).otherwise(F.lit(chunk + overlap)))
+    pieces = marks.select("key", "no", "at", F.substring(F.col("chunk"), start + 1, end - start).alias("s"))
+    pieces = pieces.groupBy("key", "no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), "").alias("piece"))
+    ids = pieces.repartition(p, "key", "no").mapInArrow(lambda b: encoded(b, "piece", ["key", "no"], ["ids"]), "key string, no long, ids binary")
+    parts = ids.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
+    key, *found = unused([*docs.columns, *outs], "_key", *(f"_{n}" for n in outs))
+    of_key = parts.mapInArrow(joined, "key string, ids binary" + (", bytes binary" if decoded is not None else "")).toDF(key, *found)
+    long = longs.withColumn(key, F.sha2(F.encode(text, "utf-8"), 256)).join(of_key, key).select(*(F.col(f"`{c}`") for c in names), *(F.col(f).alias(n) for f, n in zip(found, outs, strict=True)))
     return short.union(long)
 
 
+def raw_bytes(enc, ids: list[bytes]) -> list[bytes]:
+    """The tokens' bytes of each list of ids, one after the other."""
+    import numpy as np
+
+    return [enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) if x else b"" for x in ids]
+
+
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """Adds a binary column `out`: the raw bytes of the ids' tokens, one after the other; null ids give none."""
     rows = rows.drop(out)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         enc = encoding(path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                raw = [enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) if x else b"" for x in part[ids].to_pylist()]
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                raw = raw_bytes(enc, part[ids].to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*part.schema.names, out])
+            trimmed()
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 
