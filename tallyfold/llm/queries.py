@@ -39,8 +39,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(_docs(spark, sf_dir).select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN)
-    both = bpe.decode(ids.select("doc_id", "ids"), VOCABULARY, public_tokenizers.PATTERN)
+    both = bpe.encode(_docs(spark, sf_dir).select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN, decoded="bytes")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
@@ -55,9 +54,15 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    found = langid.identify(docs, langid.train(docs), declared=F.col("lang"), host=F.col("source"))
-    return found.select("doc_id", F.col("lang").alias("declared"), "language.lang", F.round("language.posterior", 9).alias("posterior"), "language.kept")
+    """Documents (their source as host) and pages (declared language, address suffix and host); fitted on documents' labels, which are no evidence."""
+    docs = _docs(spark, sf_dir)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    none = F.lit(None).cast("string")
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("declared"), none.alias("suffix"), F.col("source").alias("host"))
+    url, html = F.col("url"), F.col("html")
+    rows = rows.union(pages.select(F.lit(None).cast("long"), F.col("page_id").cast("long"), langid.page_text(html), langid.markup_language(html), langid.suffix_of(url), langid.host_of(url)))
+    found = langid.identify(rows, langid.train(docs), declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"))
+    return found.select("doc_id", "page_id", "language.lang", F.round("language.posterior", 9).alias("posterior"), "language.kept")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
