@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.text import ALNUM, Texts, slices
+from tallyfold.llm.text import ALNUM, Texts, slices, trimmed
 
 #: Phrase texts searched at once; more are searched in further passes over each shard's rows.
 BLOCK_BYTES = 16 << 20
@@ -234,6 +234,7 @@ def mark(docs: DataFrame, items: DataFrame, length: int = 10, text: str = "text"
                     columns = [part.column(n) for n in part.schema.names if n != out]
                     names = [n for n in part.schema.names if n != out]
                     yield pa.RecordBatch.from_arrays([*columns, hits], [*names, out])
+                trimmed()
 
         frame = frame.mapInArrow(passed, schema)
     return frame
