@@ -25,29 +25,45 @@ def with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(docs, langid.train(docs), declared=F.col("lang"), host=F.col("source"))
+    """Documents whose text fits its most likely language; fitted on a bounded sample of labelled rows, the source is the host.
+
+    The label is no evidence.  Null, empty and letterless texts go, as does
+    everything where no row has a label.  Repeated rows share one decision; null
+    sources say nothing; an empty table stays empty; other columns pass through.
+    """
+    found = langid.identify(docs, langid.train(docs), host=F.col("source"))
     return found.where("language.kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one, exactly or nearly.
+
+    Null texts stay null, documents without lines left stay as empty ones, rows
+    of null doc_id stay whole, and rows of one doc_id count as one document.
+    """
     return with_text(linededup.remove_lines(docs), "lines.kept", docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each group of near duplicates.
+
+    Null, empty and blank texts and rows of null doc_id all stay; repeated rows
+    of one doc_id stay or go together.
+    """
     gone = neardup.link(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that occurrences of benchmark phrases cover; all rows stay, null texts stay null."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return with_text(decontam.mark(docs, items), "hit.clean", docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, public_tokenizers.PATTERN)
-    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)
-    both = bpe.decode(ids.select("doc_id", "lang", "source", "ids", digest.alias("digest")), VOCABULARY, public_tokenizers.PATTERN)
-    same = F.col("digest") == F.sha2("bytes", 256)
+    """doc_id, lang, source, n_tokens, ids, round_trip (the ids decode to the text) of each row; null and empty texts have no tokens."""
+    both = bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, public_tokenizers.PATTERN, decoded="bytes")
+    same = F.encode(F.coalesce("text", F.lit("")), "utf-8") == F.col("bytes")
     return both.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
