@@ -20,6 +20,8 @@ from tallyfold.operators.lineage import kept
 KEY = ["ledger_id", "protocol_id", "comparison_id"]
 #: Values of a comparison that the bootstrap holds in one array; more go by rows and a shuffle.
 ARRAY_LIMIT = 100_000
+#: Samples that share one copy of those arrays.
+SAMPLE_BLOCK = 64
 FINISHED = "COMPLETED"
 
 
@@ -128,7 +130,10 @@ def bootstrap(values: DataFrame, comparisons: DataFrame, array_limit: int = ARRA
 
 def _array_means(rows: DataFrame, size: DataFrame) -> DataFrame:
     arrays = rows.join(size.select(*KEY), KEY).groupBy(*KEY).agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("o", "value")))), lambda x: x["value"]).alias(s) for s in "dtc"))
-    drawn = size.join(arrays, KEY).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("samples") - 1))).repartition(*KEY, "b")
+    # the arrays go to blocks of samples, not to each sample
+    blocks = size.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("samples") - 1) / SAMPLE_BLOCK)))).join(arrays, KEY).repartition(*KEY, "block")
+    first = F.col("block") * SAMPLE_BLOCK
+    drawn = blocks.withColumn("b", F.explode(F.sequence(first, F.least(first + SAMPLE_BLOCK, F.col("samples")) - 1)))
 
     def mean(side: str, base: Column, n: Column) -> Column:
         picks = F.sequence(F.lit(0).cast("long"), n - 1)
@@ -162,7 +167,12 @@ def compare(runs: DataFrame, comparisons: DataFrame, intervals: bool = True) ->
     """
     registered = comparisons.withColumn("effective", effective_level(F.col("level"), F.col("policy"), F.count("*").over(Window.partitionBy("ledger_id", "protocol_id"))))
     values = observations(runs, registered)
-    rows = registered.join(_arms(values), KEY, "left").join(_paired(values.join(registered.where("pairing = 'paired'").select(*KEY), KEY)), KEY, "left")
+    rows = registered.join(_arms(values), KEY, "left")
+    pairing = registered.where("pairing = 'paired'").select(*KEY)
+    if pairing.isEmpty():  # no second pass over the runs
+        rows = rows.select("*", F.lit(0).cast("long").alias("n_d"), *(F.lit(None).cast("double").alias(c) for c in ("mean_d", "sd_d")), F.lit(0).cast("long").alias("bad_pairs"))
+    else:
+        rows = rows.join(_paired(values.join(pairing, KEY)), KEY, "left")
     rows = kept(rows.na.fill(0, ["n_t", "n_c", "n_d", "bad_values", "bad_pairs"]))  # a row for each comparison
     paired = F.col("pairing") == "paired"
     problem = F.when((F.col("n_t") == 0) | (F.col("n_c") == 0), "an arm has no runs that count").when(F.col("bad_values") > 0, "a value is missing or not finite").when(paired & (F.col("bad_pairs") > 0), "arms don't have the same unique seeds")

@@ -58,10 +58,33 @@ def compare_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.select(*keep).withColumn("df", F.round("df", 4)))
 
 
-@query()
+# Student's t from the normal quantile by its expansion in 1 / df, which is exact to 1e-9 at these degrees of freedom.
+_T = "(z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3) + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / (92160 * df**4))"
+
+
+@query(
+    f"""with r as (select l_linestatus e, l_returnflag a, count(*) n, avg(l_extendedprice) m, var_samp(l_extendedprice) / count(*) v from lineitem group by 1, 2),
+c as (select * from (values ('F-A', 'F', 'A'), ('F-N', 'F', 'N'), ('O-A', 'O', 'A'), ('O-N', 'O', 'N')) x(comparison_id, e, arm)),
+j as (select comparison_id, t.m - k.m estimate, sqrt(t.v + k.v) se, (t.v + k.v) ** 2 / (t.v ** 2 / (t.n - 1) + k.v ** 2 / (k.n - 1)) df, 2.497705474412296::double z
+      from c join r t on t.e = c.e and t.a = c.arm join r k on k.e = c.e and k.a = 'R')
+select comparison_id, round(estimate, 4) estimate, round(1 - 0.05::double / 4, 6) effective_level, round(df, 3) df, round(estimate - {_T} * se, 4) lower, round(estimate + {_T} * se, 4) upper, 'student_t' unc_method from j"""
+)
 def compare_unpaired_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compare.compare(views.line_runs(spark, sf_dir), views.registered(spark, _UNPAIRED))
-    return _rounded(out.select("comparison_id", "estimate", "effective_level", "df", "lower", "upper", "unc_method"))
+    four = [F.round(c, 4).alias(c) for c in ("estimate", "lower", "upper")]
+    return out.select("comparison_id", four[0], F.round("effective_level", 6).alias("effective_level"), F.round("df", 3).alias("df"), *four[1:], "unc_method")
+
+
+@query(
+    f"""with v as (select user_id, event_type, avg(value) v from events group by 1, 2),
+d as (select t.event_type c, t.v - k.v d from v t join v k on k.user_id = t.user_id and k.event_type = 'view' where t.event_type in ('click', 'purchase', 'error')),
+j as (select c, avg(d) estimate, stddev_samp(d) / sqrt(count(*)) se, count(*) - 1 df, 1.959963984540054::double z from d group by 1)
+select c as comparison_id, round(estimate, 4) estimate, round(estimate - {_T} * se, 4) lower, round(estimate + {_T} * se, 4) upper from j where df > 30"""
+)
+def compare_paired_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of paired differences; those of few pairs are held against printed tables in the tests."""
+    out = compare.compare(views.event_runs(spark, sf_dir), views.registered(spark, _PAIRED)).where("problem is null and df > 30")
+    return out.select("comparison_id", *(F.round(c, 4).alias(c) for c in ("estimate", "lower", "upper")))
 
 
 _PAIRED = [(f"{t}", "E", "view", t, "value", "paired", "student_t", None, None, "none", None) for t in ("click", "purchase", "error")]
@@ -237,13 +260,16 @@ _TURNS = [("user", "assistant"), ("assistant", "user"), ("system", "user")]
 
 
 @query(
-    """with t as (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) p from conversations)
+    """with r as (select conv_id, turn, case when (conv_id * 7 + turn) % 11 = 3 then 'system' else role end as role from conversations),
+t as (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) p from r)
 select conv_id as ledger_id, turn as sequence, coalesce(p, 'user') as source, role from t
 where p is not null and (p, role) not in (('user', 'assistant'), ('assistant', 'user'), ('system', 'user'))"""
 )
 def bad_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in which some turns are made the system's."""
     allowed = spark.createDataFrame(_TURNS, "source string, target string")
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ledger_id"), F.col("turn").alias("sequence"), "role")
+    role = F.when((F.col("conv_id") * 7 + F.col("turn")) % 11 == 3, "system").otherwise(F.col("role"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ledger_id"), F.col("turn").alias("sequence"), role.alias("role"))
     return rules.bad_transitions(rows, allowed, ["ledger_id"], "role", ["sequence"]).select("ledger_id", "sequence", "source", "role")
 
 
@@ -334,14 +360,14 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with d as (select o_orderkey id, o_custkey p, o_orderdate t from orders where o_orderkey % 10 = 0),
+    """with d as (select o_orderkey id, o_custkey p, o_orderdate t from orders),
 i as (select o_orderkey id, o_custkey p, o_orderdate a, case when o_orderkey % 3 <> 0 then o_orderdate + interval 400 day end b from orders)
 select d.id as moment_id, count(i.id) n_open, sha256(coalesce(string_agg(i.id, ',' order by i.id), '')) open_digest
 from d left join i on i.p = d.p and i.a < d.t and (i.b is null or i.b > d.t) group by 1"""
 )
 def open_at_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    moments = orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("moment_id"), F.col("o_custkey").alias("program_id"), F.col("o_orderdate").alias("at"))
+    moments = orders.select(F.col("o_orderkey").alias("moment_id"), F.col("o_custkey").alias("program_id"), F.col("o_orderdate").alias("at"))
     spans = orders.select(F.col("o_orderkey").alias("interval_id"), F.col("o_custkey").alias("program_id"), F.col("o_orderdate").alias("opened"), F.expr("case when o_orderkey % 3 <> 0 then o_orderdate + interval 400 days end").alias("closed"))
     out = rules.open_at(moments, spans, ["program_id"])
     return out.select("moment_id", F.size("open_ids").cast("long").alias("n_open"), F.sha2(F.array_join(F.transform("open_ids", lambda x: x.cast("string")), ","), 256).alias("open_digest"))
@@ -439,24 +465,24 @@ def trace_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with t as (select c_custkey k, (c_custkey % 7)::varchar cap, c_custkey % 13 <> 0 ok, case when c_custkey % 5 = 0 then ['read', 'net'] else ['read'] end tools,
+    """with t as (select c_custkey k, case when c_custkey % 17 = 0 then 'tk-' else 'TK-' end || c_custkey task, c_custkey % 19 <> 0 host, (c_custkey % 7)::varchar cap, c_custkey % 13 <> 0 ok, case when c_custkey % 5 = 0 then ['read', 'net'] else ['read'] end tools,
   c_custkey % 11 = 0 net, (c_custkey % 40 - 2)::bigint s, c_custkey % 3 = 0 appr from customer),
 c as (select i::varchar cap, i <> 6 tok, case when i < 4 then ['read', 'net'] else ['read'] end allowed, i in (1, 2) anet, 30 mx, i in (2, 3) need from range(7) r(i)),
-v as (select k, case when not ok then 'digest' when not tok then 'contract' when len(list_filter(tools, lambda x: not list_contains(allowed, x))) > 0 then 'tools'
+v as (select k, task, case when k % 17 = 0 or not host then 'identifiers' when not ok then 'digest' when not tok then 'contract' when len(list_filter(tools, lambda x: not list_contains(allowed, x))) > 0 then 'tools'
   when s < 1 then 'no time' when s > mx then 'too much time' when net and not anet then 'network' when need and not appr then 'approval needed'
   when need and k % 6 = 0 then 'approval differs' end reason from t join c using (cap))
-select k as task_id, case when reason is null then 'PASS' when reason = 'approval needed' then 'WAITING_FOR_APPROVAL' else 'REJECTED' end verdict, reason from v"""
+select task as task_id, case when reason is null then 'PASS' when reason = 'approval needed' then 'WAITING_FOR_APPROVAL' else 'REJECTED' end verdict, reason from v"""
 )
 def policy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     arr = lambda *x: F.array(*(F.lit(v) for v in x))
     capsules = table(spark, sf_dir, "customer").select(
-        F.lit("L").alias("ledger_id"), k.alias("task_id"), (k % 7).cast("string").alias("capability_id"), F.lit("1").alias("contract_version"), F.concat(F.lit("d"), (k % 7).cast("string")).alias("contract_digest"), arr("note").alias("expected_outputs"),
+        F.lit("L").alias("ledger_id"), k.alias("k"), F.concat(F.when(k % 17 == 0, "tk-").otherwise("TK-"), k.cast("string")).alias("task_id"), F.when(k % 19 == 0, "x").otherwise("h").alias("host"), (k % 7).cast("string").alias("capability_id"), F.lit("1").alias("contract_version"), F.concat(F.lit("d"), (k % 7).cast("string")).alias("contract_digest"), arr("note").alias("expected_outputs"),
         F.when(k % 5 == 0, arr("read", "net")).otherwise(arr("read")).alias("tools"), (k % 11 == 0).alias("network"), (k % 40 - 2).alias("seconds"), F.sha2(k.cast("string"), 256).alias("digest"), (k % 13 != 0).alias("digest_ok"),
     )
     contracts = spark.createDataFrame([(str(i), "1", f"d{i}" if i != 6 else "new", ["note"], ["read", "net"] if i < 4 else ["read"], i in (1, 2), 30, i in (2, 3)) for i in range(7)], "capability_id string, version string, digest string, outputs array<string>, allowed_tools array<string>, allows_network boolean, max_seconds long, needs_approval boolean")
-    approvals = capsules.where("task_id % 3 = 0").select("ledger_id", "task_id", "capability_id", "contract_digest", F.when(F.col("task_id") % 6 == 0, F.lit("other")).otherwise(F.col("digest")).alias("digest"), "tools", "network", "seconds")
-    return rules.verdicts(capsules, contracts, approvals).select("task_id", "verdict", "reason")
+    approvals = capsules.where("k % 3 = 0").select("ledger_id", "task_id", "capability_id", "contract_digest", F.when(F.col("k") % 6 == 0, F.lit("other")).otherwise(F.col("digest")).alias("digest"), "tools", "network", "seconds")
+    return rules.verdicts(capsules, contracts, approvals, hosts=["h"]).select("task_id", "verdict", "reason")
 
 
 @query("select p_partkey, p_name from part order by p_partkey limit 50 offset 100")
@@ -481,13 +507,13 @@ def definition_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with o as (select 'orders' c, 0 r, o_orderkey id from orders union all select 'customer', 1, c_custkey from customer union all select 'part', 2, p_partkey from part)
-select id::varchar object_id, arg_min(c, r) collection from o where id % 9 = 0 group by 1"""
+select id::varchar object_id, arg_min(c, r) collection from o group by 1"""
 )
 def object_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids in orders, customers and parts: the first collection that has one."""
     with_ledger = lambda n, c: table(spark, sf_dir, n).select(F.lit("L").alias("ledger_id"), F.col(c))
     every = reads.objects({"orders": (with_ledger("orders", "o_orderkey"), "o_orderkey"), "customer": (with_ledger("customer", "c_custkey"), "c_custkey"), "part": (with_ledger("part", "p_partkey"), "p_partkey")})
-    ids = every.where("cast(object_id as long) % 9 = 0").select("ledger_id", "object_id").distinct()
+    ids = every.select("ledger_id", "object_id").distinct()
     return reads.look_up(every, ids).select("object_id", "collection")
 
 
@@ -552,17 +578,23 @@ def workflow_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with c as (select c_custkey k, count(o_orderkey) n, count(*) filter (o_orderstatus = 'O') o, count(*) filter (o_orderstatus = 'F') f, count(*) filter (o_orderpriority = '1-URGENT' and o_orderstatus = 'P') u
-from customer left join orders on o_custkey = c_custkey group by 1)
-select k as program_id, case when u > 0 then 'resolve critical issues' when n = 0 then 'record evidence' when k % 2 = 0 then 'seal the question' when o = 0 then 'draft a protocol'
- when o > 5 then 'seal the protocol' when f = 0 then 'start an experiment' else 'record runs and analyse' end next_action from c"""
+    """with c as (select c_custkey k, count(o_orderkey) n, count(*) filter (o_orderstatus = 'O') o, count(*) filter (o_orderstatus = 'F') f,
+  string_agg(o_orderkey, ', ' order by o_orderkey::varchar) filter (o_orderpriority = '1-URGENT' and o_orderstatus = 'P') u, count(*) filter (o_orderpriority = '2-HIGH') b,
+  count(*) filter (o_orderpriority = '3-MEDIUM') a, count(*) filter (o_orderpriority = '5-LOW') d from customer left join orders on o_custkey = c_custkey group by 1)
+select k, case when k % 29 = 0 then 'create or select a program' when k % 23 = 0 then 'select an existing program' when u is not null then 'resolve critical issues: ' || u
+ when n = 0 then 'record evidence' when k % 2 = 0 then 'seal the question' when o = 0 then 'draft a protocol' when o > 5 then 'seal the protocol' when f = 0 then 'start an experiment'
+ when b = 0 then 'record runs and analyse' when a = 0 then 'assess the result' when d = 0 then 'decide' else 'continue from open issues and the last decision' end next_action from c"""
 )
 def next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
     n = lambda c: F.count_if(F.expr(c))
-    counts = joined.groupBy(F.col("c_custkey").alias("program_id")).agg(n("o_orderkey is not null").alias("evidence"), n("o_orderstatus = 'O'").alias("protocols"), n("o_orderstatus = 'F'").alias("experiments"), n("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").alias("open_critical"))
-    rows = counts.select("*", (F.col("program_id") % 2 != 0).alias("has_question"), F.when(F.col("protocols") > 5, 1).otherwise(0).alias("draft_protocols"), *(F.lit(0).alias(c) for c in ("bundles", "assessments", "decisions")))
-    return workflow.next_actions(rows).select("program_id", "next_action")
+    urgent = F.when(F.expr("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'"), F.col("o_orderkey").cast("string"))
+    counts = joined.groupBy(F.col("c_custkey").alias("k")).agg(
+        n("o_orderkey is not null").alias("evidence"), n("o_orderstatus = 'O'").alias("protocols"), n("o_orderstatus = 'F'").alias("experiments"), F.collect_list(urgent).alias("open_critical"),
+        n("o_orderpriority = '2-HIGH'").alias("bundles"), n("o_orderpriority = '3-MEDIUM'").alias("assessments"), n("o_orderpriority = '5-LOW'").alias("decisions"),
+    )
+    rows = counts.select("*", F.when(F.col("k") % 29 != 0, F.col("k")).alias("program_id"), (F.col("k") % 23 != 0).alias("known"), (F.col("k") % 2 != 0).alias("has_question"), F.when(F.col("protocols") > 5, 1).otherwise(0).alias("draft_protocols"))
+    return workflow.next_actions(rows).select("k", "next_action")
 
 
 @query(
@@ -613,7 +645,8 @@ def program_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with o as (select c_nationkey::varchar l, o_orderkey k, o_orderstatus s, row_number() over (partition by c_nationkey, o_orderstatus order by o_orderkey) n from customer join orders on o_custkey = c_custkey where o_orderkey % 60 = 7)
 select l as ledger_id, k + 10000000 as sequence, 'duplicate id' as rule from o where n > 1
-union all select c_nationkey::varchar, o_orderkey + 10000000, 'unknown reference' from customer join orders on o_custkey = c_custkey where o_orderkey % 40 = 0"""
+union all select c_nationkey::varchar, o_orderkey + 10000000, 'unknown reference' from customer join orders on o_custkey = c_custkey where o_orderkey % 40 = 0
+union all select l, k, 'duplicate slug' from (select c_nationkey::varchar l, c_custkey k, row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) n from customer) where n > 1"""
 )
 def state_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What breaks a rule across objects in the study ledgers."""
@@ -658,13 +691,13 @@ def pair_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with n as (select c_custkey k, p from customer, (values ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM')) v(p) where c_custkey % 3 = 0)
+    """with n as (select c_custkey k, p from customer, (values ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM')) v(p))
 select k::varchar as experiment_id, p as need from n where not exists (select 1 from orders where o_custkey = k and o_orderpriority = p)"""
 )
 def pilot_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required arms that no recorded pilot run has."""
     key = F.col("c_custkey").cast("string").alias("experiment_id")
-    experiments = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.lit("L").alias("ledger_id"), key)
+    experiments = table(spark, sf_dir, "customer").select(F.lit("L").alias("ledger_id"), key)
     required = experiments.withColumn("need", F.explode(F.array(*(F.lit(p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM")))))
     recorded = table(spark, sf_dir, "orders").select(F.lit("L").alias("ledger_id"), F.col("o_custkey").cast("string").alias("experiment_id"), F.col("o_orderpriority").alias("need"))
     return rules.pilot_gaps(experiments, required, recorded).select("experiment_id", "need")
@@ -677,11 +710,11 @@ def sole_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with f as (select o_orderkey q, l_linenumber i, l_partkey id, l_returnflag s from lineitem join orders on o_orderkey = l_orderkey where l_linenumber <= 3 and o_orderkey % 2 = 0)
+    """with f as (select o_orderkey q, l_linenumber i, l_partkey id, l_returnflag s from lineitem)
 select p_partkey as id, coalesce(arg_max(s, (q, i, s)), 'PROPOSED') status from part left join f on f.id = p_partkey group by 1"""
 )
 def last_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with the status of the last finding on each."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3 and l_orderkey % 2 = 0").select(F.lit("L").alias("ledger_id"), F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("sequence"), F.struct("l_linenumber", "l_returnflag").alias("position"), F.col("l_returnflag").alias("status"))
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("L").alias("ledger_id"), F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("sequence"), F.struct("l_linenumber", "l_returnflag").alias("position"), F.col("l_returnflag").alias("status"))
     objects = table(spark, sf_dir, "part").select(F.lit("L").alias("ledger_id"), F.col("p_partkey").alias("id"), F.lit("PROPOSED").alias("status"))
     return rules.last_findings(rows, objects).select("id", "status")

@@ -4,6 +4,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tallyfold.plans import records  # noqa: F401  adds its queries
 from tallyfold.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
