@@ -67,7 +67,7 @@ def open_at(moments: DataFrame, intervals: DataFrame, by: list[str], bins: int =
     nothing lies in the bins where an interval begins or ends.
     """
     kind = dict(moments.dtypes)["at"]
-    number = lambda c: F.unix_date(c) if kind == "date" else F.col(c).cast("double")
+    number = lambda c: F.unix_date(c) if kind == "date" else (c if isinstance(c, Column) else F.col(c)).cast("timestamp" if kind.startswith("timestamp") else "double").cast("double")
     spans = moments.groupBy(*by).agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
     wide = number("_hi") - number("_lo")
     place = lambda x: F.when(wide > 0, F.least(F.greatest(F.floor((x - number("_lo")) * bins / wide), F.lit(0)), F.lit(bins - 1))).otherwise(0).cast("int")

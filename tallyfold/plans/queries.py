@@ -710,7 +710,7 @@ def sole_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with f as (select o_orderkey q, l_linenumber i, l_partkey id, l_returnflag s from lineitem)
+    """with f as (select l_orderkey q, l_linenumber i, l_partkey id, l_returnflag s from lineitem)
 select p_partkey as id, coalesce(arg_max(s, (q, i, s)), 'PROPOSED') status from part left join f on f.id = p_partkey group by 1"""
 )
 def last_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
