@@ -36,3 +36,13 @@ def test_live_status(spark, tmp_path):
     q = tail.live_status(stream, ["program_id"], "s", ["A", "B"]).writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.sql("select * from live").collect()} == {("p", 2), ("q", 1)}
+
+
+def test_live_jobs(spark, tmp_path):
+    rows = [("L", 1, "job.submitted", "a", None), ("L", 2, "job.queued", "a", None), ("L", 3, "job.terminal", "a", "FAILED"), ("L", 4, "job.submitted", "b", None), ("L", 5, "job.cancellation_observed", "a", None)]
+    journal = spark.createDataFrame(rows, "ledger_id string, sequence long, event_type string, job_id string, state string")
+    journal.write.parquet(f"{tmp_path}/j")
+    stream = spark.readStream.schema(journal.schema).parquet(f"{tmp_path}/j")
+    q = tail.live_jobs(stream).writeStream.format("memory").queryName("jobs").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {tuple(r) for r in spark.sql("select job_id, state, revision from jobs").collect()} == {("a", "FAILED", 3), ("b", "SUBMITTED", 1)}
