@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.text import ALNUM, Texts, slices, trimmed
+from tallyfold.llm.text import ALNUM, Texts, discard, slices, trimmed, written
 
 #: Phrase texts searched at once; more are searched in further passes over each shard's rows.
 BLOCK_BYTES = 16 << 20
@@ -139,21 +139,33 @@ class Phrases:
 
     def __init__(self, ids: list[str], texts: list[str | None], length: int):
         words = Texts(pa.array(texts, pa.string())).words(ALNUM, fold=True)
-        self.vocabulary = np.unique(words.hash)
-        symbol = np.searchsorted(self.vocabulary, words.hash) + 2
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, a, b in zip(ids, words.first.tolist(), words.last.tolist(), strict=True):
-            m = min(length, b - a)
-            for i in range(a, b - m + 1) if m else ():
-                found.setdefault(tuple(symbol[i : i + m].tolist()), set()).add(item)
-        self.items = [sorted(x) for x in found.values()]
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for m in {len(x) for x in found}:
-            which = [i for i, x in enumerate(found) if len(x) == m]
-            rows = list(found)
-            self.by_length[m] = np.array(which), np.array([rows[i] for i in which], np.int64)
+        hashes = np.sort(words.hash)
+        self.vocabulary = hashes[np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]]
+        symbol = np.searchsorted(self.vocabulary, words.hash).astype(np.int32) + 2
+        n = words.last - words.first
+        self.ids, self.by_length, self.count = np.array(ids, object), {}, 0
+        phrase, item = [], []
+        for m in sorted({min(length, x) for x in n.tolist() if x}):
+            own = np.flatnonzero(n == m if m < length else n >= m)
+            windows = n[own] - m + 1
+            of = np.repeat(own, windows)
+            at = words.first[of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+            rows = symbol[at[:, None] + np.arange(m)]
+            order = np.lexsort(rows.T[::-1])
+            new = np.append(True, (rows[order[1:]] != rows[order[:-1]]).any(1))
+            which = np.cumsum(new) - 1 + self.count
+            self.by_length[m] = np.arange(self.count, which[-1] + 1), rows[order[new]].astype(np.int64)
+            phrase.append(which)
+            item.append(of[order])
+            self.count = int(which[-1]) + 1
+        phrase, item = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (phrase, item))
+        self.holders = item[np.lexsort((item, phrase))]
+        self.edge = np.concatenate([[0], np.cumsum(np.bincount(phrase, minlength=self.count))])
         self.shortest = min(self.by_length, default=0)
 
+    def items_of(self, phrase: int) -> set[str]:
+        return set(self.ids[self.holders[self.edge[phrase] : self.edge[phrase + 1]]])
+
     def occurrences(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrase, first word, words) of each occurrence in a shard's words; first: where its texts begin."""
         none = np.zeros(0, np.int64)
@@ -210,9 +222,10 @@ def mark(docs: DataFrame, items: DataFrame, length: int = 10, text: str = "text"
     replaced.  Null text has no words and stays null in clean.  Items without
     id, text or words match nothing; repeated items count once.  Without items
     or documents the result has no spans or no rows.  The items are read in
-    blocks of about BLOCK_BYTES of text, so their number isn't bounded.
+    blocks of about BLOCK_BYTES of text, so their number isn't bounded; each
+    block is a pass over the documents, which are written in between.
     """
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text")).where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
@@ -236,7 +249,11 @@ def mark(docs: DataFrame, items: DataFrame, length: int = 10, text: str = "text"
                     yield pa.RecordBatch.from_arrays([*columns, hits], [*names, out])
                 trimmed()
 
-        frame = frame.mapInArrow(passed, schema)
+        done, frame = frame, frame.mapInArrow(passed, schema)
+        if b < blocks - 1:
+            frame = written(frame)  # else the passes would all run at once in each task
+            if b:
+                discard(done)
     return frame
 
 
@@ -260,7 +277,7 @@ def _mark(part: pa.RecordBatch, text: str, out: str, phrases: Phrases, kind: pa.
     for d, a, b in {(d, a, b) for d, a, b in zip(doc.tolist(), (at - first).tolist(), (at - first + size).tolist(), strict=True)}:
         spans[d].append((a, b))
     for d, w in set(zip(doc.tolist(), which.tolist(), strict=True)):
-        items[d].update(phrases.items[w])
+        items[d] |= phrases.items_of(w)
     for i, own in enumerate(spans):
         if own:
             spans[i] = own = _merge(own)
