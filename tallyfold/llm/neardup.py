@@ -9,21 +9,23 @@ the remaining candidates are read again and their sets compared in full.
 Copies are one node from the start.  Candidates come in two passes: first the
 edges of a spanning forest of the most similar sketches in each block, whose
 confirmed links give components; then, where such a forest still holds several
-components, all documents of different ones against each other on whole sets,
-so that no link that could join two is left unchecked.
+components, the sketches of all documents of different ones against each other,
+and those that are near on whole sets, so that no link that could join two is
+left unchecked.  Sets are sets of 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.text import MUL, PLAIN, Texts, U, checkpoint, combine, mix, parallelism, slices, written
+from tallyfold.llm.text import MUL, PLAIN, Texts, U, combine, mix, parallelism, slices, trimmed, written
 
 ROWS = 4  # samples of a band
 MISSED = 1e-7  # chance that a link at the threshold shares no band
@@ -31,6 +33,7 @@ SKETCH_BITS = 512
 SLACK_SIGMA = 6.5  # a sketch rejects only what is further from the threshold
 BLOCK = 512  # documents that are compared at once
 PURE = 128  # documents of a component that get blocks of their own
+HUB = 256  # pairs of one document that are compared in one group
 _FILTER_BITS = 1 << 25
 
 
@@ -53,7 +56,8 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(w.first.tolist(), w.last.tolist(), strict=True):
         if b - a >= words:
-            out.append(np.unique(h[a : b - words + 1]))
+            s = np.sort(h[a : b - words + 1])  # np.unique hashes, which takes longer
+            out.append(s[np.append(True, s[1:] != s[:-1])])
         elif b > a:
             out.append(mix(np.array([sum(int(x) * int(m) for x, m in zip(w.hash[a:b], MUL[20:], strict=False)) % 2**64], U)))
         else:
@@ -105,6 +109,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 ends[1:] = np.cumsum(np.where(size > 0, bands, 0))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(size, pa.int64()), pa.array(d[0]), pa.array(d[1]), lists, pa.array(sketch, pa.binary())], ["doc_id", "n", "d1", "d2", "bands", "sketch"])
+            trimmed()
 
     return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch binary")
 
@@ -191,7 +196,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     """The pairs whose whole shingle sets meet the threshold; pairs is a written table, read a few times."""
     p = parallelism(docs.sparkSession)
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).alias("salts"))  # a hub's text goes to as many groups as its pairs fill
+    salted = written(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")))
     members = salted.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
     hubs = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     rows = hubs.union(members).withColumn("g", F.pmod(F.xxhash64("a", "salt"), F.lit(16 * p)).cast("int")).select("g", "a", "salt", "b", "text")
@@ -215,22 +221,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                         meet = len(np.intersect1d(x, h, assume_unique=True))
                         if meet and 100 * meet >= percent * (len(x) + len(h) - meet):
                             found.append((a, other))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        return trimmed(pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())}))
 
     return rows.repartition(p, "g").groupBy("g").applyInArrow(compare, "a long, b long")
 
 
-def across(tried: DataFrame, comps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def across(tried: DataFrame, comps: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b as components) between the components of each family, a family being what the tried pairs hang together.
 
     Families of one component are done.  In the others, components of many
     documents fill blocks of their own and the rest share blocks; each pair of
-    blocks that isn't of one component is compared in full, all sets at once, as
-    products of their incidence matrices.  A task gives one row for each pair of
-    components that it joins, not for each pair of documents.
+    blocks that isn't of one component is compared by sketches (rep, sketch), and
+    the documents that are near one of another component are compared in full,
+    as products of their incidence matrices.  A task gives one row for each pair
+    of components that it joins, not for each pair of documents.
     """
     spark = docs.sparkSession
-    p = parallelism(spark)
+    p, most = parallelism(spark), most_flips(percent)
     families = components(tried).withColumnRenamed("node", "rep").withColumnRenamed("comp", "family")
     members = families.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = members.groupBy("family").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("family")
@@ -242,23 +249,41 @@ def across(tried: DataFrame, comps: DataFrame, docs: DataFrame, words: int, perc
     of = F.when(big, F.pmod(F.xxhash64("rep"), F.ceil(F.col("s") / BLOCK))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("rest") / BLOCK)))
     blocked = members.join(written(sizes), ["family", "comp"]).join(rest, "family").select("rep", "comp", "family", F.when(big, F.col("comp")).alias("pure"), of.alias("no"))
     blocked = blocked.withColumn("block", F.xxhash64("family", F.coalesce("pure", F.lit(-1)), F.col("pure").isNull(), "no"))
-    blocked = written(blocked)
+    blocked = written(blocked.join(sketches, "rep"))
     blocks = written(blocked.select("family", "pure", "block").distinct())
     x, y = blocks.alias("x"), blocks.alias("y")
     met = x.join(y, F.col("x.family") == F.col("y.family")).where("x.block <= y.block and not (x.pure <=> y.pure and x.pure is not null)")
     met = met.select(F.col("x.block").alias("lo"), F.col("y.block").alias("hi"))
     sides = written(met.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block")))
-    rows = sides.join(blocked.select("block", "rep", "comp"), "block").select("lo", "hi", "rep", "comp")
-    texts = texts_of(blocked.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep")
-    rows = rows.join(texts, "rep").withColumn("g", F.pmod(F.xxhash64("lo", "hi"), F.lit(64 * p)).cast("int")).select("g", "lo", "hi", "comp", "text")
+    rows = sides.join(blocked.select("block", "rep", "comp", "sketch"), "block").select("lo", "hi", "rep", "comp", "sketch")
 
-    def compare(key, table):
+    def in_pairs(table: pa.Table) -> Iterator[pa.Table]:
         table = table.sort_by([("lo", "ascending"), ("hi", "ascending")]).combine_chunks()
-        lo, hi, comp = (table[c].to_numpy() for c in ("lo", "hi", "comp"))
+        lo, hi = (table[c].to_numpy() for c in ("lo", "hi"))
         edge = np.flatnonzero(np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))) if len(lo) else []
-        found = [np.zeros((0, 2), np.int64)]
         for a, b in zip(edge, [*edge[1:], len(lo)], strict=True):
-            own = table.slice(a, b - a)
+            yield table.slice(a, b - a)
+
+    def near(key, table):
+        """Documents of each pair of blocks that are near one of another component, by sketch."""
+        out = []
+        for own in in_pairs(table):
+            sketch = np.frombuffer(b"".join(own["sketch"].to_pylist()), U).reshape(-1, SKETCH_BITS // 64)
+            comp = own["comp"].to_numpy()
+            hit = np.zeros(len(comp), bool)
+            for i in range(len(comp)):
+                hit[i] = ((_flips(sketch, i) <= most) & (comp != comp[i])).any()
+            out.append(own.filter(pa.array(hit)).select(["lo", "hi", "rep", "comp"]))
+        return trimmed(pa.concat_tables(out))
+
+    grouped = rows.withColumn("g", F.pmod(F.xxhash64("lo", "hi"), F.lit(64 * p)).cast("int"))
+    close = written(grouped.repartition(p, "g").groupBy("g").applyInArrow(near, "lo long, hi long, rep long, comp long"))
+    texts = texts_of(close.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep")
+    full = close.join(texts, "rep").withColumn("g", F.pmod(F.xxhash64("lo", "hi"), F.lit(64 * p)).cast("int")).select("g", "lo", "hi", "comp", "text")
+
+    def compare(key, table):
+        found = [np.zeros((0, 2), np.int64)]
+        for own in in_pairs(table):
             sets = [s for batch in own.to_batches() for part in slices(batch, "text", 2 << 20) for s in shingle_sets(part["text"], words)]
             size = np.array([len(s) for s in sets])
             ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -271,29 +296,44 @@ def across(tried: DataFrame, comps: DataFrame, docs: DataFrame, words: int, perc
                 part = np.zeros((len(sets), 4096), np.float32)
                 part[row[u:v], ids[u:v] - start] = 1
                 meet += part @ part.T
-            c = comp[a:b]
+            c = own["comp"].to_numpy()
             linked = (meet > 0) & (100 * meet >= percent * (size[:, None] + size[None, :] - meet)) & (c[:, None] < c[None, :])
             i, j = np.nonzero(linked)
             found.append(np.unique(np.stack([c[i], c[j]], 1), axis=0))
         both = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+        return trimmed(pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())}))
 
-    return rows.repartition(p, "g").groupBy("g").applyInArrow(compare, "a long, b long")
+    return full.repartition(p, "g").groupBy("g").applyInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (least node reachable) of the edges a, b, by label spreading and pointer jumping; labels are cut to files each round."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("x")).select("node", F.least("node", "x").alias("comp")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("x"))
-        step = labels.join(near, "node").select("node", F.least("comp", "x").alias("y"), F.col("comp").alias("old"))
-        jump = step.select(F.col("node").alias("y"), F.col("y").alias("z"))
-        labels = checkpoint(step.join(jump, "y", "left").select("node", F.least("y", F.coalesce("z", "y")).alias("comp"), "old"))
-        moved = labels.where("comp <> old").limit(1).count()
-        labels = labels.select("node", "comp")
-        if not moved:
-            return labels
+    """node, comp (least node reachable) of the edges a, b, by contraction.
+
+    In each round every label takes the label that comes first among its
+    neighbours and itself, or that one's choice, and edges between labels that
+    are still apart stay, once each.  The order is that of the ids in the first
+    two rounds, which end what hangs on one document, and in every other one from
+    then on; between, it is another hash each time, so that long chains are
+    halved.  What a round leaves is a written table.  A label of many nodes is
+    one join key; only its rows of two numbers meet there, and adaptive
+    execution splits them.
+    """
+    links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))
+    for turn in count():
+        if links.isEmpty():
+            break
+        rank = lambda c: F.xxhash64(F.lit(turn), F.col(c)) if turn and turn % 2 == 0 else F.col(c)  # noqa: B023, E731
+        near = links.select("a", "b").union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min(F.struct(rank("b").alias("r"), "b")).alias("n"))
+        up = written(near.select("node", F.when(F.col("n.r") < rank("node"), F.col("n.b")).otherwise(F.col("node")).alias("y")))
+        jump = up.select(F.col("node").alias("y"), F.col("y").alias("to"))
+        up = written(up.join(jump, "y").select("node", "to"))
+        labels = written(labels.join(up.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        for end in ("a", "b"):
+            links = links.join(up.withColumnRenamed("node", end), end).withColumn(end, F.col("to")).drop("to")
+        links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    least = written(labels.groupBy("comp").agg(F.min("node").alias("least")))
+    return written(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -321,7 +361,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     tried = written(candidates(members, most))
     links = written(confirmed(tried, docs, words, percent))
     comps = components(links)
-    more = written(across(tried, comps, docs, words, percent))
+    more = written(across(tried, comps, own.select(F.col("doc_id").alias("rep"), "sketch"), docs, words, percent))
     final = components(links.union(more)) if more.limit(1).count() else comps
     reps = nodes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("component"))
     out = sig.drop("bands", "sketch").join(reps, ["d1", "d2", "n"], "left")

@@ -236,21 +236,3 @@ def likely_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     table = wanted.groupBy(F.floor(place / 64).cast("int").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     hit = rows.withColumn("_word", F.floor(place / 64).cast("int")).join(F.broadcast(written(table)), "_word")
     return hit.where(F.call_function("getbit", F.col("_bits"), F.pmod(place, F.lit(64)).cast("int")) == 1).drop("_word", "_bits")
-
-
-def looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """rows left-joined with table on key, which is unique in table; keys of many rows are no shuffle key.
-
-    A key of more rows than a 4p-th of all, p being the shuffle partitions, gets
-    its row of table from a broadcast of fewer than 4p rows; the others are
-    shuffled.
-    """
-    p, columns = 4 * parallelism(rows.sparkSession), [c for c in table.columns if c != key]
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(counts.where(F.col("_n") > counts.agg(F.sum("_n") / p).scalar()).select(key))
-    often = F.broadcast(table.join(hot, key, "left_semi").select(key, F.struct(*columns).alias("_often")))
-    first = rows.join(often, key, "left").withColumn("_salt", F.when(F.col("_often").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(64 * p))).cast("long"))
-    rest = table.select(F.col(key).alias("_k"), F.lit(0).cast("long").alias("_s"), F.struct(*columns).alias("_rest"))
-    both = first.join(rest, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
-    found = F.coalesce("_often", "_rest")
-    return both.select(*rows.columns, *(found[c].alias(c) for c in columns))

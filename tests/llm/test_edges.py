@@ -13,7 +13,7 @@ import brute
 
 import corpus_pipeline
 from tallyfold.llm import bpe, decontam, fingerprint, langid, linededup, queries, sharding, substrdedup, suffixdedup
-from tallyfold.llm.text import looked_up, unused
+from tallyfold.llm.text import unused
 
 WORDS = ["the", "of", "and", "été", "mañana", "größe", "x1", "to", "in", "a"]
 
@@ -162,13 +162,6 @@ def test_marks_beside_odd_columns(spark):
     assert sorted((r.doc_id, r.spans, str(r.hit.clean)) for r in got if r.text) == [(1, 5, "one ")] * 2 and next(r.hit.n_words for r in got if not r.text) == 0
 
 
-def test_lookups_of_hot_keys(spark):
-    rows = spark.createDataFrame([(i, 1 if i % 2 else i, None) for i in range(400)], "i int, k int, z string")
-    table = spark.createDataFrame([(k, f"v{k}") for k in range(0, 400, 4)] + [(1, "one")], "k int, v string")
-    got = {r.i: r.v for r in looked_up(rows, "k", table).collect()}
-    assert got == {i: "one" if i % 2 else (f"v{i}" if i % 4 == 0 else None) for i in range(400)}
-
-
 @pytest.mark.parametrize("odd", [False, True])
 def test_pipeline_of_odd_tables(spark, tmp_path, odd):
     columns = "doc_id long, text string, lang string, source string, n_chars long"
