@@ -79,6 +79,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited form, and whether they and the next text's are the same.
 
+    Texts of one hash are compared byte by byte; an edited text, which exists
+    only on the way, is compared with the others of its hash by digest.
+
     Edited: the last floor(n/2) code points give way to the first as many (or
     all) of the next row's text, in descending doc_id.  Likeness is 1.0 for
     equal fingerprints with equal canonical bytes, else 0.0.
@@ -94,5 +97,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     # the shared hashes' texts once more, byte by byte
     again = docs.select(canonical(text_or_empty("text")).alias("canon"))
     collided = written(collisions(likely_in(again.select("canon", wide_hash(F.col("canon")).alias("fp")), "fp", several)))
+    every = rows.select("fp", F.col("cd").alias("canon")).union(rows.select("efp", "ed"))
+    collided = written(collided.union(collisions(every)).distinct())
     rows = told_apart(told_apart(rows, "fp", "cd", collided), "efp", "ed", collided)
     return rows.select("doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), "near_edited", "near_next")
