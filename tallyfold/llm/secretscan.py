@@ -27,7 +27,8 @@ FEATURES = ("length", "digits", "uppers", "symbols", "letter_digit", "case_chang
 _NAMES = "(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
 _EXAMPLE = "(?i)(test|example|sample|fixture|doc|mock)"
 _VALUE = rf"""([^"'\s]{{{LEAST_VALUE},}})"""
-_INLINE = rf"""{_NAMES}[\w.-]*["']?[=:]+["']?{_VALUE}"""
+# A run of name characters is read once, from its start: the first name in it, then the rest of the run.
+_INLINE = rf"""(?<![\w.-])(?>[\w.-]*?{_NAMES})[\w.-]*+["']?[=:]+["']?{_VALUE}"""
 _AFTER = rf"""^["']?{_VALUE}"""
 
 
@@ -38,8 +39,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     w = lambda i: F.coalesce(F.get("w", i), F.lit(""))
 
     def parts(x: Column, i: Column) -> Column:
-        behind_name = w(i - 1).rlike("[=:]$") & (w(i - 1).rlike(_NAMES) | w(i - 2).rlike(_NAMES)) | w(i - 2).rlike(f"{_NAMES}.*[=:]$")
-        value = F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract(x, _INLINE, 1), F.lit("")), F.when(behind_name, F.regexp_extract(x, _AFTER, 1)), F.lit("")), r"[;,.)\]}]+$", "")
+        behind_name = w(i - 1).rlike("[=:]$") & (w(i - 1).rlike(_NAMES) | w(i - 2).rlike(_NAMES)) | w(i - 2).rlike(_NAMES) & w(i - 2).rlike("[=:]$")
+        value = F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract(x, _INLINE, 1), F.lit("")), F.when(behind_name, F.regexp_extract(x, _AFTER, 1)), F.lit("")), r"(?<![;,.)\]}])[;,.)\]}]+$", "")
         return F.array_distinct(F.concat(F.regexp_extract_all(x, F.lit(CANDIDATE), F.lit(0)), F.when(F.length(value) >= LEAST_VALUE, F.array(value)).otherwise(F.array().cast("array<string>"))))
 
     found = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"), parts(x, i).alias("p"))), lambda s: F.size(s["p"]) > 0)
@@ -92,7 +93,7 @@ def features(found: DataFrame, docs: DataFrame) -> DataFrame:
         "assigned": (F.col("before").rlike("[=:]$") | F.col("word").rlike("[:=][\"']?[^\"']")).cast("double"),
         "quoted": F.col("word").rlike("[\"']").cast("double"),
         "named": (F.col("before").rlike(_NAMES) | F.col("before2").rlike(_NAMES) | F.col("word").rlike(_NAMES)).cast("double"),
-        "linked": F.col("word").rlike("(?i)[a-z]+://|sha[0-9]*[:-]|^www[.]").cast("double"),
+        "linked": F.col("word").rlike("(?i)[a-z]://|sha[0-9]*[:-]|^www[.]").cast("double"),
         "before_known": F.col("before_is"),
         "next_known": F.col("behind_is"),
     }

@@ -319,6 +319,7 @@ def test_secrets_edge_cases(spark):
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     rows = [(i, t, s) for i, t, s in corpus()]
     rows += [(900, None, "x"), (901, "", None), (902, f'say token = "{key}" now', None), (902, f'say token = "{key}" now', None), (903, f"see commit {key} for that", "src"), (904, "the password: hunter2!x9 is old", "src"), (905, "a password and a token, no value", "src"), (906, f"{'x' * 300_000} token = \"{key}\"", "src")]
+    rows += [(907, "token" * 60_000, "src"), (908, f"token='{';' * 200_000}x{'=' * 200_000}", "src")]  # a name again and again, a long tail: one pass each
     frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, source string, path int, secret int, candidate int")
     got = secretscan.scan(frame, F.col("source")).collect()
     by = defaultdict(list)
@@ -327,6 +328,7 @@ def test_secrets_edge_cases(spark):
     assert [r.candidate for r in by[902]] == [key] * 2 and all(r.secret for r in by[902]) and len({r.probability for r in by[902]}) == 1
     assert [(r.candidate, r.secret) for r in by[903]] == [(key, False)] and [r.candidate for r in by[904]] == ["hunter2!x9"] and 905 not in by
     assert [len(r.candidate) for r in sorted(by[906], key=lambda r: r.nth)] == [300_000, 40] and not {900, 901} & set(by)
+    assert [len(r.candidate) for r in by[907]] == [300_000] and {len(r.candidate) for r in by[908]} == {200_001, 400_001}
     assert secretscan.scan(frame.where("false"), F.col("source")).count() == 0
     one = secretscan.scan(spark.createDataFrame([(1, 'password="Abc123Abc123Abc123Abc1"', "")], "doc_id long, text string, source string"), F.col("source")).collect()
     assert [(r.candidate, r.probability, r.secret) for r in one] == [("Abc123Abc123Abc123Abc1", 1.0, True)]  # nothing to learn from: the rule decides
