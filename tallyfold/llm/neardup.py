@@ -319,20 +319,25 @@ def components(edges: DataFrame) -> DataFrame:
     execution splits them.
     """
     links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))
+    ups: list[DataFrame] = []
     for turn in count():
         if links.isEmpty():
             break
         rank = lambda c: F.xxhash64(F.lit(turn), F.col(c)) if turn and turn % 2 == 0 else F.col(c)  # noqa: B023, E731
         near = links.select("a", "b").union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min(F.struct(rank("b").alias("r"), "b")).alias("n"))
-        up = written(near.select("node", F.when(F.col("n.r") < rank("node"), F.col("n.b")).otherwise(F.col("node")).alias("y")))
-        jump = up.select(F.col("node").alias("y"), F.col("y").alias("to"))
-        up = written(up.join(jump, "y").select("node", "to"))
-        labels = written(labels.join(up.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        up = near.select("node", F.when(F.col("n.r") < rank("node"), F.col("n.b")).otherwise(F.col("node")).alias("y"))
+        up = written(up.join(up.select(F.col("node").alias("y"), F.col("y").alias("to")), "y").select("node", "to"))
+        ups.append(up)
         for end in ("a", "b"):
             links = links.join(up.withColumnRenamed("node", end), end).withColumn(end, F.col("to")).drop("to")
         links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    least = written(labels.groupBy("comp").agg(F.min("node").alias("least")))
+    if not ups:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    labels = ups[0].select("node", F.col("to").alias("comp"))
+    for up in ups[1:]:  # each is about half of the one before, or less
+        labels = labels.join(up.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    labels = written(labels)
+    least = labels.groupBy("comp").agg(F.min("node").alias("least"))
     return written(labels.join(least, "comp").select("node", F.col("least").alias("comp")))
 
 

@@ -59,4 +59,39 @@ select d.doc_id, len(w) n_words, coalesce(r.n, 0) n_removed, sha256(coalesce(k.s
 from d left join r using (doc_id) left join k using (doc_id)
 """
 
-ORACLES = {"op1_benchmark_decontamination": OP1, "op2_minhash_near_dedup": OP2, "op6_suffix_array_dedup": OP6, "op9_substring_dedup": OP9}
+OP11 = """
+with recursive v as (select vec_id, row_number() over () r, case when len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                            and len(list_filter(embedding, lambda x: x <> 0)) > 0 then embedding::double[] end e from embeddings),
+u as (select vec_id, r, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) e from v where e is not null),
+l as (select a.r a, b.r b, a.vec_id x, b.vec_id y from u a join u b on a.r <> b.r and len(a.e) = len(b.e) and list_inner_product(a.e, b.e) >= 0.9),
+n as (select a, count(distinct y) n from l where x <> y group by 1),
+c(r, seen) as (select r, vec_id from v union select l.a, c.seen from c join l on l.b = c.r)
+select v.vec_id, coalesce(any_value(n.n), 0) n_links, min(c.seen) component_id, min(c.seen) = v.vec_id kept
+from v left join n on n.a = v.r join c on c.r = v.r group by v.r, v.vec_id
+"""
+
+
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Vector codes: a book of entries for each round, all in whole numbers (doubles hold the products exactly)."""
+    own = f"c[q * len(c) // {parts} + 1:(q + 1) * len(c) // {parts}]"
+    sql = f"""
+with v as materialized (select row_number() over (order by vec_id) r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) c from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select r, vec_id, label, q, {own} s from v, range({parts}) t(q)),
+b0 as materialized (select q, r - 1 e, s t from s where r <= {entries})"""
+    for k in range(rounds + 1):
+        sql += f""",
+a{k} as materialized (select r, any_value(vec_id) vec_id, any_value(label) label, q, any_value(s) s, arg_min(e, (d, e)) e, min(d) d
+    from (select r, vec_id, label, s.q, s, e, list_inner_product(s, s) - 2 * list_inner_product(s, t) + list_inner_product(t, t) d from s join b{k} b on b.q = s.q) group by r, q)"""
+        if k < rounds:
+            sql += f""",
+m{k} as (select q, e, list(m order by i) t from (select q, e, i, floor(sum(s[i]) / count(*)) m from a{k}, lateral (select unnest(range(1, len(s) + 1)) i) group by 1, 2, 3) group by 1, 2),
+b{k + 1} as materialized (select b.q, b.e, coalesce(m.t, b.t) t from b{k} b left join m{k} m on m.q = b.q and m.e = b.e)"""
+    return sql + f""",
+h as (select sha256(string_agg(x::bigint::varchar, ',' order by q, e, i)) h from (select q, e, i, t[i] x from b{rounds}, lateral (select unnest(range(1, len(t) + 1)) i))),
+f as (select vec_id, label, string_agg(printf('%02x', e), '' order by q) code, sum(d)::bigint error from a{rounds} group by r, vec_id, label)
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, h codebooks_sha256 from f, h
+"""
+
+
+ORACLES = {"op1_benchmark_decontamination": OP1, "op2_minhash_near_dedup": OP2, "op6_suffix_array_dedup": OP6, "op9_substring_dedup": OP9, "op11_embedding_near_dedup": OP11, "op13_vector_codes": _codes()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontam, fingerprint, langid, linededup, neardup, secretscan, sharding, substrdedup, suffixdedup
+from tallyfold.llm import bpe, decontam, fingerprint, langid, linededup, neardup, secretscan, sharding, substrdedup, suffixdedup, veccodes, vecgraph
 from tallyfold.llm.oracles import ORACLES
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -79,6 +79,18 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(_docs(spark, sf_dir))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecgraph.link(_vectors(spark, sf_dir), cosine=0.9)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.encode(_vectors(spark, sf_dir), parts=4, rounds=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_benchmark_decontamination,
@@ -91,6 +103,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_secret_scan,
         op9_substring_dedup,
         op10_document_fingerprints,
+        op11_embedding_near_dedup,
+        op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 

@@ -110,7 +110,9 @@ def planted(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> DataFrame:
     path.  No feature takes part in the choice.
     """
     h = F.xxhash64("doc_id", "text")
-    some = docs.where("text is not null").select("doc_id", "text", h.alias("h")).orderBy("h").limit(documents)
+    rows = docs.where("text is not null").select("doc_id", "text", h.alias("h"))
+    least = rows.select("h").orderBy("h").limit(documents).distinct()  # hashes alone meet in one task
+    some = rows.join(F.broadcast(least), "h").dropDuplicates(["h"])
     plain = F.filter(F.split("text", r"\s+"), lambda x: (F.length(x) > 0) & ~x.rlike(f"{CANDIDATE}|{_NAMES}"))
     rows = some.select("doc_id", "h", F.slice(plain, 1, 30).alias("w"), F.sha2(F.concat_ws("/", F.col("h").cast("string"), F.lit("planted")), 256).alias("hex"))
     rows = rows.where("size(w) > 5").withColumn("b", F.base64(F.unhex("hex"))).withColumn("kind", F.pmod("h", F.lit(14)).cast("int"))
