@@ -71,6 +71,20 @@ from v left join n on n.a = v.r join c on c.r = v.r group by v.r, v.vec_id
 """
 
 
+OP12 = f"""
+with d as (select doc_id, regexp_extract_all({_FOLD.format("text")}, '{_ALNUM}') w from documents where text is not null),
+s as (select count(*) docs, sum(len(w))::bigint words from d where len(w) > 0),
+b as (select distinct item_id, unnest(regexp_extract_all({_FOLD.format("text")}, '{_ALNUM}')) t from benchmark where item_id is not null and text is not null),
+x as (select row_number() over () r, doc_id, len(w) n, w from d),
+p as (select r, any_value(doc_id) doc_id, any_value(n) n, t, count(*) tf from (select r, doc_id, n, unnest(w) t from x) where t in (select t from b) group by r, t),
+w as (select t, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint w from (select t, count(*) df from p group by t), s),
+c as (select item_id, r, any_value(doc_id) doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::bigint score
+      from b join p using (t) join w using (t), s where doc_id is not null group by 1, 2),
+k as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int rank, doc_id, score from c where score > 0)
+select * from k where rank <= 10
+"""
+
+
 def _codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
     """Vector codes: a book of entries for each round, all in whole numbers (doubles hold the products exactly)."""
     own = f"c[q * len(c) // {parts} + 1:(q + 1) * len(c) // {parts}]"
@@ -94,4 +108,4 @@ select vec_id, code, error, sum(error) over (partition by label)::bigint label_e
 """
 
 
-ORACLES = {"op1_benchmark_decontamination": OP1, "op2_minhash_near_dedup": OP2, "op6_suffix_array_dedup": OP6, "op9_substring_dedup": OP9, "op11_embedding_near_dedup": OP11, "op13_vector_codes": _codes()}
+ORACLES = {"op1_benchmark_decontamination": OP1, "op2_minhash_near_dedup": OP2, "op6_suffix_array_dedup": OP6, "op9_substring_dedup": OP9, "op11_embedding_near_dedup": OP11, "op12_ranked_search": OP12, "op13_vector_codes": _codes()}

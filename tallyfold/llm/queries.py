@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontam, fingerprint, langid, linededup, neardup, secretscan, sharding, substrdedup, suffixdedup, veccodes, vecgraph
+from tallyfold.llm import bpe, decontam, fingerprint, langid, linededup, neardup, ranked, secretscan, sharding, substrdedup, suffixdedup, veccodes, vecgraph
 from tallyfold.llm.oracles import ORACLES
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -87,6 +87,11 @@ def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecgraph.link(_vectors(spark, sf_dir), cosine=0.9)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranked.search(_docs(spark, sf_dir), items, k=10)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return veccodes.encode(_vectors(spark, sf_dir), parts=4, rounds=4)
 
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_substring_dedup,
         op10_document_fingerprints,
         op11_embedding_near_dedup,
+        op12_ranked_search,
         op13_vector_codes,
     )
     return {f.__name__: f for f in found}
