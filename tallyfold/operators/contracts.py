@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIGEST = "^sha256:[a-f0-9]{64}$"
-SLUG = "^[a-z0-9]+(?:-[a-z0-9]+)*$"
-IDENTIFIER = "^[A-Z][A-Z0-9_]*-[A-Z0-9][A-Z0-9_-]*$"
-_RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)$"
+# \z, not $, which also holds before a line feed at the end.
+DIGEST = r"^sha256:[a-f0-9]{64}\z"
+SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*\z"
+IDENTIFIER = r"^[A-Z][A-Z0-9_]*-[A-Z0-9][A-Z0-9_-]*\z"
+_RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)\z"
 
 
 @dataclass(frozen=True)

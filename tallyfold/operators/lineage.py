@@ -109,9 +109,9 @@ def freshness(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def foreign_heads(snapshots: DataFrame, rows: DataFrame) -> DataFrame:
-    """Snapshots (ledger_id, snapshot_id, head) whose head isn't a digest of the ledger; none is the head of an empty one."""
+    """Snapshots (ledger_id, snapshot_id, head) whose head isn't a digest of the ledger; no head is none, too."""
     heads = rows.select("ledger_id", F.col("digest").alias("head")).distinct()
-    return snapshots.where("head is not null").join(heads, ["ledger_id", "head"], "left_anti")
+    return snapshots.join(heads, ["ledger_id", "head"], "left_anti")
 
 
 def inventory(objects: DataFrame) -> DataFrame:

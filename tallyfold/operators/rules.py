@@ -112,7 +112,7 @@ def decision_gates(decisions: DataFrame, issues: DataFrame, limitations: DataFra
 
 
 # Fixed form of a task's id.
-TASK_ID = "^TK-[A-Z0-9]+$"
+TASK_ID = r"^TK-[A-Z0-9]+\z"
 
 
 def verdicts(capsules: DataFrame, contracts: DataFrame, approvals: DataFrame, hosts: list[str] | None = None, task_pattern: str | None = TASK_ID) -> DataFrame:
@@ -167,31 +167,3 @@ def last_findings(findings: DataFrame, objects: DataFrame) -> DataFrame:
     """objects (ledger_id, id, status) with the status of the last finding (sequence, position) on each."""
     last = findings.groupBy("ledger_id", "id").agg(F.max_by("status", F.struct("sequence", "position")).alias("_last"))
     return objects.join(last, ["ledger_id", "id"], "left").withColumn("status", F.coalesce("_last", "status")).drop("_last")
-
-
-def acceptance(results: DataFrame, capsules: DataFrame, found_verdicts: DataFrame, fresh: DataFrame, files: DataFrame) -> DataFrame:
-    """Violations of accepted results: results (ledger_id, sequence, task_id, snapshot, contract_digest, status, outputs
-    ARRAY<STRUCT<schema,path,digest>>) against capsules (ledger_id, task_id, snapshot, contract_digest, expected_outputs),
-    verdicts, fresh (ledger_id, snapshot, fresh) and files (path, digest)."""
-    from tallyfold.operators.chain import union, violations
-
-    key = ["ledger_id", "task_id"]
-    c = capsules.select(*key, F.col("snapshot").alias("_s"), F.col("contract_digest").alias("_c"), F.col("expected_outputs").alias("_o"), F.lit(True).alias("_task"))
-    rows = results.join(c, key, "left").join(found_verdicts.select(*key, "verdict"), key, "left").join(fresh, ["ledger_id", "snapshot"], "left")
-    schemas = F.array_sort(F.transform("outputs", lambda o: o["schema"]))
-    own = violations(
-        rows,
-        {
-            "unknown task": F.col("_task").isNull(),
-            "other snapshot": ~F.col("snapshot").eqNullSafe(F.col("_s")),
-            "other contract": ~F.col("contract_digest").eqNullSafe(F.col("_c")),
-            "policy": ~F.coalesce(F.col("verdict") == "PASS", F.lit(False)),
-            "stale snapshot": ~F.coalesce(F.col("fresh"), F.lit(False)),
-            "no outputs": (F.col("status") == "COMPLETED") & (F.size("outputs") == 0),
-            "other outputs": (F.col("status") == "COMPLETED") & ~schemas.eqNullSafe(F.array_sort("_o")),
-        },
-        "task_id",
-    )
-    outs = results.select("ledger_id", "sequence", "task_id", F.explode("outputs").alias("o")).select("ledger_id", "sequence", "task_id", F.col("o.path").alias("path"), F.col("o.digest").alias("want"))
-    held = outs.join(files.select("path", F.col("digest").alias("have")), "path", "left")
-    return union([own, violations(held, {"output missing": F.col("have").isNull(), "output differs": F.col("have") != F.col("want")}, "task_id")])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.digest import json_digest
-from tallyfold.operators import chain, compare, jobs, lineage, reads, rules, state, workflow
+from tallyfold.operators import acceptance, chain, compare, jobs, lineage, reads, rules, state, workflow
 from tallyfold.operators import contracts as k
 from tallyfold.plans import views
 from tallyfold.plans.queries import query
@@ -162,10 +162,10 @@ def program_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with e as (select user_id, event_id from events) select user_id as ledger_id, 'S-' || event_id as snapshot_id from e where event_id % 13 = 0"""
+    """with e as (select user_id, event_id from events) select user_id as ledger_id, 'S-' || event_id as snapshot_id from e where event_id % 13 = 0 or event_id % 17 = 0"""
 )
 def foreign_snapshot_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots at each event, of which some name a digest that their ledger doesn't have."""
+    """Snapshots at each event, of which some name a digest that their ledger doesn't have, or none."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("ledger_id"), "event_id", F.sha2(_text("event_id"), 256).alias("digest"))
     heads = rows.select("ledger_id", F.concat(F.lit("S-"), _text("event_id")).alias("snapshot_id"), F.when(F.col("event_id") % 13 == 0, "elsewhere").when(F.col("event_id") % 17 != 0, F.col("digest")).alias("head"))
     return lineage.foreign_heads(heads, rows).select("ledger_id", "snapshot_id")
@@ -363,7 +363,7 @@ def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """with o as (select o_orderkey i, o_custkey c, o_orderstatus s, o_custkey % 7 = 0 other, o_orderkey % 11 = 0 missing, o_orderkey % 13 = 0 edited from orders)
 select i as sequence, 'other contract' as rule from o where other union all select i, 'policy' from o where c % 5 = 0 union all select i, 'stale snapshot' from o where c % 3 = 0
 union all select i, 'output missing' from o where missing and i % 17 <> 0 union all select i, 'output differs' from o where edited and not missing and i % 17 <> 0
-union all select i, 'no outputs' from o where i % 17 = 0 union all select i, 'other outputs' from o where i % 17 = 0"""
+union all select i, 'no outputs' from o where i % 17 = 0"""
 )
 def result_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as accepted task results, held against capsules, verdicts, snapshots and files."""
@@ -375,7 +375,48 @@ def result_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = o.select(*key, F.when(c % 5 == 0, "REJECTED").otherwise("PASS").alias("verdict"))
     fresh = o.select(F.lit("L").alias("ledger_id"), (c % 3).cast("string").alias("snapshot")).distinct().withColumn("fresh", F.col("snapshot") != "0")
     files = o.where("o_orderkey % 11 <> 0").select(_text("o_orderkey").alias("path"), F.when(i % 13 == 0, "e").otherwise("d").alias("digest"))
-    return rules.acceptance(results, capsules, verdicts, fresh, files).select("sequence", "rule")
+    return acceptance.acceptance(results, capsules, verdicts, fresh, files).select("sequence", "rule")
+
+
+@query(
+    """with o as (select o_orderkey i, o_custkey c, o_orderstatus s, case when o_orderpriority = '1-URGENT' then 'x.review.local' when o_orderpriority = '2-HIGH' then 'x.review.external' when o_orderpriority = '3-MEDIUM' then 'x.review.accept' else 'x.plan' end k,
+    case when o_orderstatus = 'O' then 'PREPARED' when o_orderstatus = 'P' then 'APPROVED' else 'COMPLETED' end step from orders),
+p as (select o.*, lag(step) over (partition by c order by i) state, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'external_diff_review' else 'local_review' end kind, c_acctbal > 0 fresh from o left join customer on c_custkey = c),
+l as (select l_orderkey i, l_linenumber n, l_shipmode sch, l_partkey part, l_returnflag d from lineitem), e as (select distinct i, sch from l where n <= 3),
+f as (select part, min(d) d, min(i) i, min(sch) sch from l group by 1), u as (select p.i, p.k, l.n, l.sch, l.part, l.d, f.d have, f.i owner, f.sch has from p join l using (i) join f using (part))
+select i as sequence, 'stale snapshot' as rule from p where not coalesce(fresh, false)
+union all select p.i, 'unexpected output' from p where exists (select 1 from l where l.i = p.i and not exists (select 1 from e where e.i = l.i and e.sch = l.sch))
+union all select i, 'no outputs' from p where s = 'F' and not exists (select 1 from l where l.i = p.i)
+union all select i, 'other host' from p where s <> 'F'
+union all select i, 'unknown review' from p where k <> 'x.plan' and state is null
+union all select i, 'review not ready' from p where state is not null and not (k = 'x.plan' or (k = 'x.review.local' and kind = 'local_review' and state = 'PREPARED') or (k = 'x.review.external' and kind = 'external_diff_review' and state = 'APPROVED') or (k = 'x.review.accept' and state = 'COMPLETED'))
+union all select i, rule from (select distinct i, unnest([case when d <> have then 'output differs' end, case when owner <> i then 'output of another task' end, case when k <> 'x.plan' then 'output of another review' end, case when sch <> has then 'output of another schema' end]) rule from u) where rule is not null"""
+)
+def accepted_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as accepted task results and their lines as outputs: held against the first three lines' schemas, against the file that a part's first order wrote, and against the state in which the customer's order before left the review."""
+    o, i, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    task = F.concat(F.lit("TK-"), _text("o_orderkey"))
+    capability = F.create_map(*(F.lit(x) for x in ("1-URGENT", "x.review.local", "2-HIGH", "x.review.external", "3-MEDIUM", "x.review.accept")))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_shipmode").alias("schema"), F.concat_ws("/", F.lit("part"), _text("l_partkey")).alias("path"), F.col("l_returnflag").alias("digest"))
+    outs = lines.groupBy("o_orderkey").agg(F.collect_list(F.struct("schema", "path", "digest")).alias("outputs"), F.array_compact(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("schema")))).alias("expected_outputs"))
+    rows = o.join(outs, "o_orderkey", "left").join(table(spark, sf_dir, "customer"), c == F.col("c_custkey"), "left")
+    key = [F.lit("L").alias("ledger_id"), task.alias("task_id")]
+    none = F.array().cast("array<struct<schema:string,path:string,digest:string>>")
+    done = F.col("o_orderstatus") == "F"
+    results = rows.select(*key, i.alias("sequence"), c.cast("string").alias("snapshot"), F.lit("k").alias("contract_digest"), F.when(done, "COMPLETED").otherwise("FAILED").alias("status"), F.coalesce("outputs", none).alias("outputs"), F.col("o_orderstatus").alias("provenance_host"))
+    review = F.concat(F.lit("RV-"), c.cast("string"))
+    own = F.coalesce(F.try_element_at(capability, F.col("o_orderpriority")), F.lit("x.plan"))
+    capsules = rows.select(*key, c.cast("string").alias("snapshot"), F.lit("k").alias("contract_digest"), F.coalesce("expected_outputs", F.array().cast("array<string>")).alias("expected_outputs"), F.lit("F").alias("host"), own.alias("capability_id"), review.alias("review_id"))
+    verdicts = o.select(*key, F.lit("PASS").alias("verdict"))
+    fresh = table(spark, sf_dir, "customer").select(F.lit("L").alias("ledger_id"), _text("c_custkey").alias("snapshot"), (F.col("c_acctbal") > 0).alias("fresh"))
+    first = lines.groupBy("path").agg(F.min("digest").alias("digest"), F.min("o_orderkey").alias("owner"), F.min("schema").alias("schema"))
+    document = F.to_json(F.struct(F.col("schema").alias("schema_version"), F.concat(F.lit("TK-"), _text("owner")).alias("task_id"), F.struct(F.lit("RV-none").alias("review_id")).alias("data")))
+    files = first.select("path", "digest", document.alias("content"))
+    kind = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "external_diff_review").otherwise("local_review")
+    step = F.when(F.col("o_orderstatus") == "O", "PREPARED").when(F.col("o_orderstatus") == "P", "APPROVED").otherwise("COMPLETED")
+    reviews = rows.select(F.lit("L").alias("ledger_id"), review.alias("review_id"), kind.alias("kind"), i.alias("sequence"), step.alias("state"))
+    out = acceptance.acceptance(results, capsules, verdicts, fresh, files, reviews)
+    return out.select("sequence", "rule").distinct()
 
 
 @query(

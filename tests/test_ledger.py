@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions import digest as D
-from tallyfold.operators import chain, jobs, lineage, reads, rules, state, workflow
+from tallyfold.operators import acceptance, chain, jobs, lineage, reads, rules, state, workflow
 from tallyfold.operators import contracts as K
 from tallyfold.sources import ledger
 
@@ -317,7 +317,7 @@ def test_lineage_and_trace(spark):
     assert [(r.object_type, r.object_id, r.digest) for r in lineage.inventory(bodies).collect()] == [("s", "9", sealed({})), ("t", "1", sealed({})), ("t", "2", sealed({"a": 2, "b": 1}))]
     assert [o.object_id for o in lineage.inventories(bodies).first().objects] == ["9", "1", "2"]
     heads = spark.createDataFrame([("L", "s1", "x"), ("L", "s2", "gone"), ("L", "s3", None)], "ledger_id string, snapshot_id string, head string")
-    assert [r.snapshot_id for r in lineage.foreign_heads(heads, spark.createDataFrame([("L", "x"), ("L", "x")], "ledger_id string, digest string")).collect()] == ["s2"]
+    assert {r.snapshot_id for r in lineage.foreign_heads(heads, spark.createDataFrame([("L", "x"), ("L", "x")], "ledger_id string, digest string")).collect()} == {"s2", "s3"}
     inventory = lambda rows: spark.createDataFrame(rows, "ledger_id string, object_type string, object_id string, digest string")
     changed = lineage.freshness(inventory([("L", "t", "1", "a"), ("L", "t", "2", "a")]), inventory([("L", "t", "2", "b"), ("L", "t", "3", "a")]))
     assert {(r.object_id, r.change) for r in changed.collect()} == {("1", "REMOVED"), ("2", "CHANGED"), ("3", "ADDED")}
@@ -482,15 +482,51 @@ def test_verdicts_name_the_first_reason(spark):
 
 def test_acceptance_of_results(spark):
     out = "array<struct<schema:string,path:string,digest:string>>"
-    results = spark.createDataFrame([("L", i, t, "s", c, "COMPLETED", o) for i, (t, c, o) in enumerate([("ok", "k", [("a", "p", "1")]), ("none", "k", []), ("other", "z", [("a", "p", "2")]), ("gone", "k", [("a", "q", "1")]), ("who", "k", [("a", "p", "1")])])], f"ledger_id string, sequence int, task_id string, snapshot string, contract_digest string, status string, outputs {out}")
-    capsules = spark.createDataFrame([("L", t, "s", "k", ["a"]) for t in ("ok", "none", "other", "gone")], "ledger_id string, task_id string, snapshot string, contract_digest string, expected_outputs array<string>")
+    cases = {
+        "TK-OK": ("k", "COMPLETED", [("a", "p", "1")]), "TK-TWO": ("k", "COMPLETED", [("a", "p", "1"), ("a", "./p/../p", "1")]), "TK-NONE": ("k", "COMPLETED", []), "TK-OTHER": ("z", "COMPLETED", [("a", "p", "2")]), "TK-GONE": ("k", "COMPLETED", [("a", "q", "1")]),
+        "TK-WHO": ("k", "COMPLETED", [("a", "p", "1")]), "TK-FAILED": ("k", "FAILED", [("b", "p", "1")]), "TK-IDLE": ("k", "FAILED", []), "TK-OUT": ("k", "FAILED", [("a", "/p", "1"), ("a", "x/../../p", "1")]),
+    }
+    results = spark.createDataFrame([("L", i, t, "s", c, st, o) for i, (t, (c, st, o)) in enumerate(cases.items())], f"ledger_id string, sequence int, task_id string, snapshot string, contract_digest string, status string, outputs {out}")
+    capsules = spark.createDataFrame([("L", t, "s", "k", ["a", "c"]) for t in cases if t != "TK-WHO"], "ledger_id string, task_id string, snapshot string, contract_digest string, expected_outputs array<string>")
     passed = capsules.select("ledger_id", "task_id", F.lit("PASS").alias("verdict"))
     fresh = spark.createDataFrame([("L", "s", True)], "ledger_id string, snapshot string, fresh boolean")
-    files = spark.createDataFrame([("p", "1")], "path string, digest string")
-    got = {}
-    for r in rules.acceptance(results, capsules, passed, fresh, files).collect():
-        got.setdefault(r.object_id, set()).add(r.rule)
-    assert got == {"none": {"no outputs", "other outputs"}, "other": {"other contract", "output differs"}, "gone": {"output missing"}, "who": {"unknown task", "other snapshot", "other contract", "policy", "other outputs"}}
+    files = spark.createDataFrame([("p", "1"), ("./p/../p", "1"), ("/p", "1"), ("x/../../p", "1")], "path string, digest string")
+    told = lambda rows: {(r.object_id, r.rule) for r in rows.collect()}
+    want = {("TK-NONE", "no outputs"), ("TK-OTHER", "other contract"), ("TK-OTHER", "output differs"), ("TK-GONE", "output missing"), ("TK-FAILED", "unexpected output"), ("TK-OUT", "absolute path"), ("TK-OUT", "path leaves the project")}
+    want |= {("TK-WHO", x) for x in ("unknown task", "other snapshot", "other contract", "policy", "unexpected output")}
+    assert told(acceptance.acceptance(results, capsules, passed, fresh, files)) == want
+
+
+def test_acceptance_of_what_reviews_and_files_say(spark):
+    shape = "ledger_id string, task_id string, snapshot string, contract_digest string, expected_outputs array<string>, host string, program_id string, snapshot_program string, capability_id string, current_contract string, review_id string"
+    tasks = {
+        "TK-A": ("a", "b.review.local", "RV-1", "h"), "TK-B": ("a", "b.review.external", "RV-2", "h"), "TK-C": ("a", "b.review.accept", "RV-1", "h"), "TK-D": ("a", "b.review.local", None, "h"), "TK-E": ("a", "b.review.local", "RV-9", "h"),
+        "TK-F": ("a", "b.review.local", "RV-2", "h"), "TK-G": ("evidence-verification-result/1.0", "b.verify", None, "other"), "TK-H": ("evidence-verification-result/1.0", "b.verify", None, None),
+    }
+    capsules = spark.createDataFrame([("L", t, "s", "k", [x[0]], "h", "RP-1", "RP-2" if t == "TK-H" else "RP-1", x[1], "k2" if t == "TK-G" else "k", x[2]) for t, x in tasks.items()], shape)
+    results = spark.createDataFrame([("L", 10 + i, t, "s", "k", "COMPLETED", [(x[0], t, "1")], x[3]) for i, (t, x) in enumerate(tasks.items())], "ledger_id string, sequence int, task_id string, snapshot string, contract_digest string, status string, outputs array<struct<schema:string,path:string,digest:string>>, provenance_host string")
+    document = lambda t, **data: json.dumps({"schema_version": tasks[t][0], "task_id": t, "data": data})
+    good = {"evidence_id": "EV-1", "source_resolved": True, "content_inspected": False, "verification_notes": "n", "limitations": []}
+    content = {t: document(t, review_id=x[2]) for t, x in tasks.items()} | {"TK-G": document("TK-G", **good), "TK-H": document("TK-H", **good | {"evidence_id": "CL-1"}), "TK-C": document("TK-A", review_id="RV-2"), "TK-E": "[1]", "TK-F": "{no json"}
+    files = spark.createDataFrame([(t, "1", c) for t, c in content.items()], "path string, digest string, content string")
+    reviews = spark.createDataFrame(
+        [("L", "RV-1", "local_review", 1, "PREPARED"), ("L", "RV-1", "local_review", 11, "COMPLETED"), ("L", "RV-2", "external_diff_review", 2, "WAITS"), ("L", "RV-2", "external_diff_review", 11, "APPROVED"), ("L", "RV-9", "local_review", 99, "PREPARED")],
+        "ledger_id string, review_id string, kind string, sequence int, state string",
+    )
+    passed = capsules.select("ledger_id", "task_id", F.lit("PASS").alias("verdict"))
+    fresh = spark.createDataFrame([("L", "s", True)], "ledger_id string, snapshot string, fresh boolean")
+    got = {(r.object_id, r.rule) for r in acceptance.acceptance(results, capsules, passed, fresh, files, reviews).collect()}
+    # TK-B at 11: its approval is at 11, so it doesn't stand before it; TK-C at 12 sees the completion
+    assert got == {
+        ("TK-B", "review not ready"), ("TK-C", "output of another task"), ("TK-C", "output of another review"), ("TK-D", "no review bound"), ("TK-E", "unknown review"), ("TK-E", "output no object"), ("TK-F", "review not ready"), ("TK-F", "output no object"),
+        ("TK-G", "other host"), ("TK-G", "contract changed"), ("TK-H", "other program"), ("TK-H", "output contract"),
+    }
+
+
+def test_patterns_hold_to_the_end(spark):
+    rows = spark.createDataFrame([("a-b", "2024-01-01T00:00:00Z", "RP-1", "sha256:" + "0" * 64), ("a-b\n", "2024-01-01T00:00:00Z\n", "RP-1\n", "sha256:" + "0" * 64 + "\n")], "slug string, at string, id string, sigil string")
+    broken = [(r.slug, r.rule) for r in K.breaches(rows, [K.pattern("slug", K.SLUG), K.timestamp("at"), K.identifier("id", "RP-"), K.pattern("sigil", K.DIGEST)], ["slug"]).collect()]
+    assert sorted(broken) == [("a-b\n", x) for x in ("at: not a time with zone", "id: no identifier", "sigil: pattern", "slug: pattern")]
 
 
 def test_record_contracts(spark):
