@@ -26,11 +26,11 @@ from tallyfold.llm.text import _FOLDED, ALNUM, Texts, discard, slices, trimmed,
 #: Bytes of the items' terms that are looked for at once; more are looked for in further passes.
 BLOCK_BYTES = 16 << 20
 #: Postings of one index.
-SHARD_POSTINGS = 4 << 20
+SHARD_POSTINGS = 1 << 20
 #: Documents of a block, more or less, and blocks of a list at most.
 BLOCK, BLOCKS = 32, 64
-#: Numbers in one list's maxima.
-_MAXIMA = 1 << 22
+#: Bytes of the maxima that an index holds; then it starts afresh.
+_HELD = 48 << 20
 SAMPLE = 64
 _SIGNS = 16
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -83,7 +83,7 @@ def forward(docs: DataFrame, vocabulary) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 doc, term, n = v.find(Texts(part["text"]))
                 key, tf = np.unique(doc * max(1, len(v)) + term, return_counts=True)
                 ends = np.searchsorted(key, np.arange(len(n) + 1) * max(1, len(v))).astype(np.int32)
@@ -122,16 +122,17 @@ class Index:
         self.first = np.cumsum(size) - size
         doc = np.repeat(np.arange(len(ids)), size)
         order = np.argsort(terms, kind="stable")
-        self.posted = doc[order]
+        self.posted = doc[order].astype(np.int32)
         self.list = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(weight)))])
         self.best = np.zeros(len(weight), np.int64)
         np.maximum.at(self.best, terms, worth)
         signs = np.random.default_rng(8).choice(np.array([-1, 1], np.float32), (len(weight), _SIGNS))
         self.sketch = np.zeros((len(ids), _SIGNS), np.float32)
-        for a in range(0, len(terms), 1 << 18):
-            b = slice(a, a + (1 << 18))
+        for a in range(0, len(terms), 1 << 16):
+            b = slice(a, a + (1 << 16))
             np.add.at(self.sketch, doc[b], signs[terms[b]] * (weight[terms[b]] * worth[b]).astype(np.float32)[:, None])
-        self.blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.held = 0
 
     def places(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The postings of these documents, and where each document's begin."""
@@ -139,26 +140,34 @@ class Index:
         begin = np.cumsum(n) - n
         return np.repeat(self.first[docs] - begin, n) + np.arange(int(n.sum())), begin
 
-    def blocked(self, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Documents of a term by block, the ends of the blocks, and each block's maxima of all terms."""
+    def blocked(self, term: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Documents of a term by block, the ends of the blocks, the terms that they hold, and each block's maxima of these."""
         if term not in self.blocks:
             docs = self.posted[self.list[term] : self.list[term + 1]]
-            width = len(self.list) - 1
-            k = max(1, min(BLOCKS, math.ceil(len(docs) / BLOCK), _MAXIMA // width))
+            k = max(1, min(BLOCKS, math.ceil(len(docs) / BLOCK)))
             label = np.zeros(len(docs), np.int64)
             if k > 1:
                 middle = self.sketch[docs[np.linspace(0, len(docs) - 1, k).astype(int)]].T
                 middle = middle / np.maximum(np.linalg.norm(middle, axis=0), 1e-9)
-                for a in range(0, len(docs), 1 << 16):
-                    label[a : a + (1 << 16)] = (self.sketch[docs[a : a + (1 << 16)]] @ middle).argmax(1)
+                for a in range(0, len(docs), 1 << 14):
+                    label[a : a + (1 << 14)] = (self.sketch[docs[a : a + (1 << 14)]] @ middle).argmax(1)
             order = np.argsort(label, kind="stable")
             docs, label = docs[order], label[order]
-            maxima = np.zeros((k, width), np.int64)
-            for a in range(0, len(docs), 1 << 14):
-                some = docs[a : a + (1 << 14)]
+            held = np.zeros(len(self.list) - 1, bool)
+            for a in range(0, len(docs), 1 << 12):
+                held[self.terms[self.places(docs[a : a + (1 << 12)])[0]]] = True
+            columns = np.flatnonzero(held)
+            number = np.cumsum(held) - 1
+            maxima = np.zeros((k, len(columns)), np.int32)
+            for a in range(0, len(docs), 1 << 12):
+                some = docs[a : a + (1 << 12)]
                 at, _ = self.places(some)
-                np.maximum.at(maxima, (np.repeat(label[a : a + (1 << 14)], self.size[some]), self.terms[at]), self.worth[at])
-            self.blocks[term] = docs, np.searchsorted(label, np.arange(k), "right"), maxima
+                np.maximum.at(maxima, (np.repeat(label[a : a + (1 << 12)], self.size[some]), number[self.terms[at]]), self.worth[at])
+            if self.held > _HELD:
+                self.blocks.clear()
+                self.held = 0
+            self.held += maxima.nbytes + docs.nbytes
+            self.blocks[term] = docs, np.searchsorted(label, np.arange(k), "right"), columns, maxima
         return self.blocks[term]
 
     def top(self, terms: np.ndarray, weight: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +184,9 @@ class Index:
         for term, bound in zip(terms.tolist(), rest.tolist(), strict=True):
             if bound < least:
                 break
-            listed, ends, maxima = self.blocked(term)
-            bounds = maxima[:, terms] @ weight[terms]
+            listed, ends, columns, maxima = self.blocked(term)
+            there = terms[np.isin(terms, columns)]
+            bounds = maxima[:, np.searchsorted(columns, there)].astype(np.int64) @ weight[there]
             for b in np.argsort(-bounds, kind="stable").tolist():
                 if bounds[b] < least:
                     break
@@ -206,8 +216,12 @@ def best(rows: DataFrame, shared, k: int, kind: str) -> DataFrame:
             n = table["n"].to_numpy()
             m = 10 + (90 * n * n_docs) // n_words
             size = np.diff(table["terms"].chunk(0).offsets.to_numpy())
-            terms, tf = (table[c].chunk(0).flatten().to_numpy().astype(np.int64) for c in ("terms", "tf"))
-            worth = (1_000_000_000 * tf) // (1000 * tf + 8 * np.repeat(m, size))
+            terms, tf = (table[c].chunk(0).flatten().to_numpy() for c in ("terms", "tf"))
+            worth = np.empty(len(tf), np.int32)  # at most 10**6
+            heavy = np.repeat(8 * m, size)
+            for a in range(0, len(tf), 1 << 16):
+                some = tf[a : a + (1 << 16)].astype(np.int64)
+                worth[a : a + (1 << 16)] = (1_000_000_000 * some) // (1000 * some + heavy[a : a + (1 << 16)])
             index = Index(table["doc_id"].to_numpy(), size, terms, worth, weight)
             found = [(i, *index.top(t, weight, k, int(least[i]))) for i, t in enumerate(lists)]
             item = np.repeat([i for i, _, _ in found], [len(d) for _, d, _ in found]).astype(np.int64)
