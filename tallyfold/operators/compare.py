@@ -10,6 +10,8 @@ uncertainty (student_t, bootstrap, unavailable), level, seed, samples, policy
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,10 @@ def included(runs: DataFrame) -> DataFrame:
 
 
 def exclusions(runs: DataFrame) -> DataFrame:
-    """Runs that don't count, with reason and policy; an empty one is replaced by the run's status."""
-    default = F.concat(F.lit("Run status is "), F.col("status"))
-    told = lambda c: F.coalesce(F.nullif(F.col(f"disposition.{c}"), F.lit("")), default).alias(c)
-    return runs.where(~counts()).select("ledger_id", "protocol_id", "run_id", "status", told("reason"), told("policy_reference"))
+    """Runs that don't count, with reason and policy; for empty ones the run's status and its protocol's plan stand in."""
+    told = lambda c, default: F.coalesce(F.nullif(F.col(f"disposition.{c}"), F.lit("")), default).alias(c)
+    reason = told("reason", F.concat(F.lit("Run status is "), F.col("status")))
+    return runs.where(~counts()).select("ledger_id", "protocol_id", "run_id", "status", reason, told("policy_reference", F.concat("protocol_id", F.lit("#analysis-plan"))))
 
 
 def normalized(old: DataFrame) -> DataFrame:
@@ -174,6 +176,17 @@ def compare(runs: DataFrame, comparisons: DataFrame, intervals: bool = True) ->
     else:
         rows = rows.join(_paired(values.join(pairing, KEY)), KEY, "left")
     rows = kept(rows.na.fill(0, ["n_t", "n_c", "n_d", "bad_values", "bad_pairs"]))  # a row for each comparison
+    return concluded(rows, intervals, lambda wanted: bootstrap(values, wanted))
+
+
+def concluded(rows: DataFrame, intervals: bool = True, drawn: Callable[[DataFrame], DataFrame] | None = None, keys: list[str] = KEY) -> DataFrame:
+    """compare()'s results from what is known of each comparison's values.
+
+    rows: the registered comparison with its effective level, and n, mean, sd,
+    var, min, max of both sides (n_t, n_c, ...), n_d, mean_d and sd_d of the
+    differences, bad_values and bad_pairs.  drawn: bootstrap intervals of the
+    comparisons that want them; without, these stay null.
+    """
     paired = F.col("pairing") == "paired"
     problem = F.when((F.col("n_t") == 0) | (F.col("n_c") == 0), "an arm has no runs that count").when(F.col("bad_values") > 0, "a value is missing or not finite").when(paired & (F.col("bad_pairs") > 0), "arms don't have the same unique seeds")
     rows = rows.withColumn("problem", problem)
@@ -205,16 +218,16 @@ def compare(runs: DataFrame, comparisons: DataFrame, intervals: bool = True) ->
         # one row per comparison reaches the solver
         rows = rows.withColumn("margin", F.when(F.col("se") > 0, t_critical(F.col("effective_level"), F.col("df")) * F.col("se")).when(F.col("se") == 0, 0.0))
         wanted = rows.where("unc_method = 'bootstrap'").withColumn("effective", F.col("effective_level"))
-        if wanted.isEmpty():
+        if drawn is None or wanted.isEmpty():
             rows = rows.withColumn("lower", F.lit(None).cast("double")).withColumn("upper", F.lit(None).cast("double"))
         else:
-            rows = rows.join(bootstrap(values, wanted), KEY, "left")
+            rows = rows.join(drawn(wanted), KEY, "left")
         rows = rows.withColumn("lower", F.coalesce(F.col("estimate") - F.col("margin"), F.col("lower"))).withColumn("upper", F.coalesce(F.col("estimate") + F.col("margin"), F.col("upper")))
     else:
         rows = rows.withColumn("lower", F.lit(None).cast("double")).withColumn("upper", F.lit(None).cast("double"))
     exceeds = F.when(F.col("threshold").isNotNull(), F.abs("estimate") >= F.col("threshold"))
     side = [F.col(f"{x}_{s}") for s in "tc" for x in ("n", "mean", "sd", "min", "max")]
-    return rows.select(*KEY, "position", "experiment_id", "metric", F.col("arms")[1].alias("treatment_arm"), F.col("arms")[0].alias("control_arm"), "pairing", *side, "n_d", "sd_d", "estimate", "std_method", "std_reason", "std_estimate", "unc_method", "unc_reason", F.col("level").alias("requested_level"), "effective_level", "se", "df", "lower", "upper", "seed", "samples", "threshold", exceeds.alias("exceeds"), "problem")
+    return rows.select(*keys, "position", "experiment_id", "metric", F.col("arms")[1].alias("treatment_arm"), F.col("arms")[0].alias("control_arm"), "pairing", *side, "n_d", "sd_d", "estimate", "std_method", "std_reason", "std_estimate", "unc_method", "unc_reason", F.col("level").alias("requested_level"), "effective_level", "se", "df", "lower", "upper", "seed", "samples", "threshold", exceeds.alias("exceeds"), "problem")
 
 
 def inventory(runs: DataFrame, expected: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from tallyfold.functions.digest import json_digest
 from tallyfold.operators import rules
 from tallyfold.operators.chain import union, violations
 from tallyfold.operators.lineage import kept
+from tallyfold.operators.recompute import analyses
 
 # Fixed values of the ledger: object kinds by the event that creates one, with payload fields.
 _CLAIM_FINDING, _HYPOTHESIS_FINDING = "array<struct<claim_id:string,status:string>>", "array<struct<hypothesis_id:string,status:string>>"
@@ -245,7 +246,7 @@ def audit(events: DataFrame) -> DataFrame:
     rows = kept(parsed(events))
     objects = every_object(rows)
     return union([
-        references(rows, objects), steps(rows), evidence(rows), claims(rows), studies(rows), pilots(rows), reviews(rows), results(rows), workings(rows), decisions(rows), closing(rows),
+        references(rows, objects), steps(rows), evidence(rows), claims(rows), studies(rows), pilots(rows), reviews(rows), results(rows), workings(rows), decisions(rows), closing(rows), analyses(events, rows),
     ]).distinct()
 
 

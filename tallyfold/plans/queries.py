@@ -148,7 +148,7 @@ def run_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {_STATUS}
 select p as protocol_id, id as run_id, st as status, coalesce(nullif(case when k = 0 then 'zero' when k = 10 then '' end, ''), 'Run status is ' || st) reason,
-       'Run status is ' || st as policy_reference from s where not inc"""
+       p || '#analysis-plan' as policy_reference from s where not inc"""
 )
 def run_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.exclusions(views.status_runs(spark, sf_dir)).drop("ledger_id")

@@ -121,6 +121,10 @@ OPEN_REVIEW = {"type": "local_review", "destination": {"execution": "local", "pr
 FAR_REVIEW = {"type": "external_diff_review", "destination": {"execution": "external", "provider": "x"}, "status": WAITS, "disclosure": {"includes_credentials": False}, "approval": {"required": True, "status": WAITS, "approved_by": None, "approved_at": None, "rationale": None}}
 
 
+_RUNS = ["RUN-1", "RUN-P", "RUN-Q"]
+BUNDLE = P | {"schema_version": "result-bundle/1.0", "bundle_id": "RB-1", "protocol_id": "PT-1", "runs": [{"run_id": r} for r in _RUNS], "included_run_ids": _RUNS, "excluded_run_ids": [], "metrics": {"m": {"n": 3, "mean": 1.0, "sample_stddev": 0.0, "ci95_lower": 1.0, "ci95_upper": 1.0}}}
+
+
 def accepted(task, capability, review):
     return ("agent-result.accepted", task, P | {"capability": {"id": capability, "contract_sigil": "k"}, "snapshot": {"snapshot_sigil": "s"}, "bindings": {"review_id": review}, "result": {"schema_version": "agent-result/1.1", "task_id": task, "snapshot_sigil": "s", "capability_contract_sigil": "k", "status": "COMPLETED"}})
 
@@ -131,7 +135,7 @@ def run_of(name, arm, phase="PILOT"):
 
 def study():
     """A sound study: every kind of event, in an order that breaks no rule."""
-    bundle = P | {"protocol_id": "PT-1"}
+    bundle = BUNDLE
     decide = lambda i, outcome, **more: ("decision.sealed", i, P | {"outcome": outcome, "assessment_ids": ["AS-1"], "unresolved_issue_ids": [], "unresolved_uncertainties": ["l"]} | more)
     return [
         ("program.created", "RP-1", {"slug": "a", "title": "t", "problem": "x"}),
@@ -216,7 +220,7 @@ def test_every_rule_across_objects_has_its_breach(spark):
         ("confirmatory without hypothesis", [("protocol.drafted", "PT-9", P | {"study_mode": "confirmatory"})]),
         ("confirmatory without finding", [("assessment.recorded", "AS-9", P | {"protocol_id": "PT-1", "result_bundle_id": "RB-1", "study_mode": "confirmatory"})]),
         ("included run not completed", [("run.recorded", "RUN-9", EXP | {"experiment_id": "EX-1", "status": "FAILED", "analysis_disposition": {"included": True}})]),
-        ("bundle digest", [("analysis.computed", "RB-9", {"bundle": P | {"protocol_id": "PT-1"}, "bundle_sigil": "sha256:0"})]),
+        ("bundle digest", [("analysis.computed", "RB-9", {"bundle": BUNDLE, "bundle_sigil": "sha256:0"})]),
         ("no registered pilot", [("protocol.drafted", "PT-3", P | {"hypothesis_ids": ["HY-1"]}), ("protocol.sealed", "PT-3", P), ("experiment.planned", "EX-9", bad_pilot), ("experiment.implemented", "EX-9", bad_pilot), ("experiment.pilot_started", "EX-9", bad_pilot), ("experiment.pilot_completed", "EX-9", bad_pilot)]),
         ("review outside its bounds", [("review.requested", "RV-9", P | FAR_REVIEW | {"disclosure": {"includes_credentials": True}})]),
         ("review outside its bounds", [("review.requested", "RV-9", P | OPEN_REVIEW | {"destination": {"execution": "local", "provider": "x"}})]),
@@ -226,6 +230,9 @@ def test_every_rule_across_objects_has_its_breach(spark):
         ("other source", [("review.requested", "RV-9", P | OPEN_REVIEW), accepted("TK-9", "x.review.local", "RV-9"), ("review.completed", "RV-9", P | {"task_id": "TK-9", "source": {"execution": "external", "provider": "x"}})]),
         ("result pins", [("agent-result.accepted", "TK-9", P | {"capability": {"contract_sigil": "k"}, "snapshot": {"snapshot_sigil": "z"}, "result": {"schema_version": "agent-result/1.1", "task_id": "TK-9", "snapshot_sigil": "s", "capability_contract_sigil": "k"}})]),
         ("result of another task", [("agent-result.accepted", "TK-9", P | {"input_sigil": "i", "result": {"schema_version": "agent-result/1.0", "task_id": "TK-8", "input_sigil": "i"}})]),
+        ("bundle: metrics", [("analysis.computed", "RB-9", {"bundle": BUNDLE | {"metrics": {"m": BUNDLE["metrics"]["m"] | {"mean": 1.5}}}})]),
+        ("bundle: included runs", [("analysis.computed", "RB-9", {"bundle": BUNDLE | {"included_run_ids": ["RUN-P", "RUN-1", "RUN-Q"]}})]),
+        ("bundle: all runs", [run_of("RUN-9", "c", "FORMAL"), ("analysis.computed", "RB-9", {"bundle": BUNDLE | {"included_run_ids": [*_RUNS[:1], "RUN-9", *_RUNS[1:]], "metrics": {"m": BUNDLE["metrics"]["m"] | {"n": 4}}}})]),
         ("definition digest", [("working.created", "WK-9", P | {"protocol_id": "PT-1", "rite": RITE, "rite_sigil": "sha256:0"})]),
         ("stage", [("working.advanced", "WK-1", P | {"from_stage": "a", "to_stage": "b"})]),
         ("CONTINUE with an open critical issue", [decide(outcome="CONTINUE")]),
