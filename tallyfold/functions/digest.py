@@ -82,6 +82,20 @@ def running_digest(rows: Column, start: str = "") -> Column:
     return F.aggregate(rows, F.lit(start), lambda a, x: F.sha2(F.encode(F.concat(a, x), "utf-8"), 256))
 
 
+SUM = "decimal(38,0)"
+
+
+def id_hash(seed: int, c: Column) -> Column:
+    """A 64-bit hash as a number whose sums don't overflow."""
+    return F.xxhash64(F.lit(seed), c).cast("decimal(20,0)")
+
+
+def id_sums(ids: Column) -> Column:
+    """n, a, b of an array of texts: its length and two sums of hashes, which tell multisets apart whatever their order and merge by adding."""
+    total = lambda seed: F.aggregate(ids, F.lit(0).cast(SUM), lambda s, x: (s + id_hash(seed, x)).cast(SUM))
+    return F.struct(F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n"), F.coalesce(total(1), F.lit(0)).cast(SUM).alias("a"), F.coalesce(total(2), F.lit(0)).cast(SUM).alias("b"))
+
+
 def draw(seed: Column, counter: Column, n: Column) -> Column:
     """Index from 0 below n: SHA-256 of "seed:counter" as a 256-bit number, modulo n (n below 2**31).
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.functions.digest import SUM, id_hash, id_sums
 from tallyfold.operators import compare
 from tallyfold.operators.chain import union, violations
 from tallyfold.operators.lineage import kept
@@ -35,18 +36,6 @@ ANALYSIS = (
     "comparisons array<struct<comparison_id:string,experiment_id:string,arms:array<string>,metric:string,pairing:string,uncertainty_method:string,confidence_level:double,bootstrap_seed:long,bootstrap_samples:long>>, "
     "multiple_comparison_policy string, practical_significance_thresholds map<string,double>, expected_run_ids array<string>"
 )
-_SUM = "decimal(38,0)"
-
-
-def _hash(seed: int, c: Column) -> Column:
-    return F.xxhash64(F.lit(seed), c).cast("decimal(20,0)")
-
-
-def id_sums(ids: Column) -> Column:
-    """n, a, b of an array of texts: its length and two sums of hashes."""
-    total = lambda seed: F.aggregate(ids, F.lit(0).cast(_SUM), lambda s, x: (s + _hash(seed, x)).cast(_SUM))
-    return F.struct(F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n"), F.coalesce(total(1), F.lit(0)).cast(_SUM).alias("a"), F.coalesce(total(2), F.lit(0)).cast(_SUM).alias("b"))
-
 
 def dated(runs: DataFrame, bundles: DataFrame) -> DataFrame:
     """runs with as_of, the sequence of their protocol's first bundle after them; those that no bundle follows go."""
@@ -200,15 +189,15 @@ def inventories(recorded: DataFrame, runs: DataFrame, expected: DataFrame, sorte
     kinds = {"all": F.lit(True), "included": counts, "excluded": ~counts, "failed": failed}
     sums = []
     for k, c in kinds.items():
-        sums += [F.count_if(c).alias(f"n_{k}"), F.sum(F.when(c, _hash(1, F.col("run_id")))).alias(f"a_{k}"), F.sum(F.when(c, _hash(2, F.col("run_id")))).alias(f"b_{k}")]
+        sums += [F.count_if(c).alias(f"n_{k}"), F.sum(F.when(c, id_hash(1, F.col("run_id")))).alias(f"a_{k}"), F.sum(F.when(c, id_hash(2, F.col("run_id")))).alias(f"b_{k}")]
     parts = runs.groupBy(*BY, "as_of").agg(*sums)
     wanted = expected.select(*BY, "run_id").distinct()
     seen = wanted.join(runs.groupBy(*BY, "run_id").agg(F.min("as_of").alias("as_of")), [*BY, "run_id"])
-    found = seen.groupBy(*BY, "as_of").agg(F.count("*").alias("n_seen"), F.sum(_hash(1, F.col("run_id"))).alias("a_seen"), F.sum(_hash(2, F.col("run_id"))).alias("b_seen"))
-    whole = wanted.groupBy(*BY).agg(F.count("*").alias("n_want"), F.sum(_hash(1, F.col("run_id"))).alias("a_want"), F.sum(_hash(2, F.col("run_id"))).alias("b_want"))
+    found = seen.groupBy(*BY, "as_of").agg(F.count("*").alias("n_seen"), F.sum(id_hash(1, F.col("run_id"))).alias("a_seen"), F.sum(id_hash(2, F.col("run_id"))).alias("b_seen"))
+    whole = wanted.groupBy(*BY).agg(F.count("*").alias("n_want"), F.sum(id_hash(1, F.col("run_id"))).alias("a_want"), F.sum(id_hash(2, F.col("run_id"))).alias("b_want"))
     up = Window.partitionBy(*BY).orderBy("as_of").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = recorded.select(*BY, F.col("sequence").cast("long").alias("as_of")).distinct().join(parts, [*BY, "as_of"], "left").join(found, [*BY, "as_of"], "left")
-    to = lambda c: F.coalesce(c, F.lit(0)).cast(_SUM)
+    to = lambda c: F.coalesce(c, F.lit(0)).cast(SUM)
     rows = rows.select(*BY, "as_of", *(F.sum(to(F.col(f"{x}_{k}"))).over(up).alias(f"{x}_{k}") for k in (*kinds, "seen") for x in "nab")).join(whole, BY, "left")
     rows = rows.select("*", *((to(F.col(f"{x}_want")) - F.col(f"{x}_seen")).alias(f"{x}_missing") for x in "nab"))
     both = recorded.withColumn("as_of", F.col("sequence").cast("long")).join(rows, [*BY, "as_of"])

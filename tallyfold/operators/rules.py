@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold.functions.digest import id_hash, id_sums
+from tallyfold.operators.lineage import kept
+from tallyfold.operators.ordered import running
+
 
 def unknown_references(uses: DataFrame, objects: DataFrame) -> DataFrame:
     """Uses (ledger_id, sequence, ref) of an object that isn't there before; objects: ledger_id, id, sequence of its creation."""
@@ -59,24 +63,67 @@ def highest_status(rows: DataFrame, by: list[str], status: str, ranks: list[str]
     return rows.groupBy(*by).agg(F.max(rank).alias("rank")).select(*by, F.col("rank").cast("int").alias("rank"), F.when(F.col("rank") > 0, F.try_element_at(F.lit(ranks), F.col("rank").cast("int"))).alias("status"))
 
 
-def open_at(moments: DataFrame, intervals: DataFrame, by: list[str], bins: int = 64) -> DataFrame:
+#: Moments of a key beyond which its intervals are joined by rank.
+MANY_MOMENTS = 1024
+#: Moments of such a key that lie in one bin.
+BIN = 64
+
+
+def _valid(intervals: DataFrame) -> DataFrame:
+    return intervals.where("opened is not null and (closed is null or closed > opened)")
+
+
+def _endpoints(moments: DataFrame, intervals: DataFrame, by: list[str], of_moment: dict[str, Column], of_interval: dict[str, Column]) -> DataFrame:
+    """by, at, turn, and the named values of moments (turn 1), openings (2) and closings (0): what comes at one time is in this order, so an interval is open strictly between its ends."""
+    names = list(of_moment)
+    rows = moments.select(*by, "at", F.lit(1).alias("turn"), *(c.alias(n) for n, c in of_moment.items()))
+    for turn, column in ((2, "opened"), (0, "closed")):
+        rows = rows.unionByName(intervals.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("at"), F.lit(turn).alias("turn"), *(of_interval[n].alias(n) for n in names)))
+    return rows
+
+
+def open_sums(moments: DataFrame, intervals: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """moment_id and, by name, the sum of a value of the intervals (by, opened, closed, ...) that are open at each moment (by, moment_id, at).
+
+    Sums run along the time of each key, to which an opening adds and from which
+    a closing takes away, so the work doesn't grow with how many are open.
+    """
+    spans = _valid(intervals)
+    names = list(values)
+    rows = spans.select(*by, F.col("opened").alias("at"), F.lit(2).alias("turn"), F.lit(None).cast(moments.schema["moment_id"].dataType).alias("moment_id"), *(c.alias(n) for n, c in values.items()))
+    rows = rows.unionByName(spans.where("closed is not null").select(*by, F.col("closed").alias("at"), F.lit(0).alias("turn"), F.lit(None).cast(moments.schema["moment_id"].dataType).alias("moment_id"), *((-c).alias(n) for n, c in values.items())))
+    rows = rows.unionByName(moments.select(*by, "at", F.lit(1).alias("turn"), "moment_id", *(F.lit(0).cast(rows.schema[n].dataType).alias(n) for n in names)))
+    found = running(rows, by, ["at", "turn"], {f"_{n}": F.col(n) for n in names})
+    return found.where("turn = 1").select("moment_id", *(F.col(f"_{n}").alias(n) for n in names))
+
+
+def open_at(moments: DataFrame, intervals: DataFrame, by: list[str], many: int = MANY_MOMENTS) -> DataFrame:
     """Per moment (by, moment_id, at), the intervals (by, interval_id, opened, closed) that were open, sorted; none gives an empty array.
 
-    Each key's time from its first to its last moment is cut into bins, and an
-    interval meets the moments of the bins that it touches; what meets for
-    nothing lies in the bins where an interval begins or ends.
+    A key of up to `many` moments is joined as it is.  In a larger one moments
+    are numbered by time, and an interval is known by the numbers between its
+    ends: it meets the bins of BIN numbers that it covers, so the work follows
+    the result, whatever the lengths.
     """
-    kind = dict(moments.dtypes)["at"]
-    number = lambda c: F.unix_date(c) if kind == "date" else (c if isinstance(c, Column) else F.col(c)).cast("timestamp" if kind.startswith("timestamp") else "double").cast("double")
-    spans = moments.groupBy(*by).agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
-    wide = number("_hi") - number("_lo")
-    place = lambda x: F.when(wide > 0, F.least(F.greatest(F.floor((x - number("_lo")) * bins / wide), F.lit(0)), F.lit(bins - 1))).otherwise(0).cast("int")
-    dated = moments.join(spans, by).withColumn("_bin", place(number("at"))).drop("_lo", "_hi")
-    touching = intervals.join(spans, by).where("opened < _hi and (closed is null or closed > _lo)")
-    touching = touching.withColumn("_bin", F.explode(F.sequence(place(number("opened")), F.greatest(place(number("opened")), place(F.coalesce(number("closed"), number("_hi"))))))).drop("_lo", "_hi")
-    met = dated.join(touching, [*by, "_bin"]).where("opened < at and (closed is null or closed > at)")
-    lists = met.groupBy("moment_id").agg(F.array_sort(F.collect_list("interval_id")).alias("open_ids"))
-    return moments.join(lists, "moment_id", "left").withColumn("open_ids", F.coalesce("open_ids", F.array().cast(lists.schema["open_ids"].dataType)))
+    spans = _valid(intervals)
+    hot = kept(moments.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > many).select(*by))
+    few, short = moments, spans
+    lists = []
+    if not hot.isEmpty():
+        few, short = moments.join(hot, by, "left_anti"), spans.join(hot, by, "left_anti")
+        large, long = moments.join(hot, by, "left_semi"), spans.join(hot, by, "left_semi")
+        none = F.lit(None)
+        ends = _endpoints(large, long, by, {"moment_id": F.col("moment_id"), "interval_id": none.cast(spans.schema["interval_id"].dataType)}, {"moment_id": none.cast(moments.schema["moment_id"].dataType), "interval_id": F.col("interval_id")})
+        ranked = kept(running(ends, by, ["at", "turn"], {"rank": (F.col("turn") == 1).cast("long")}))
+        numbered = ranked.where("turn = 1").select(*by, "moment_id", (F.col("rank") - 1).alias("rank")).withColumn("bin", F.floor(F.col("rank") / BIN))
+        total = ranked.groupBy(*by).agg(F.max("rank").alias("_all"))
+        cover = ranked.where("turn <> 1").groupBy(*by, "interval_id").agg(F.max(F.when(F.col("turn") == 2, F.col("rank"))).alias("lo"), F.max(F.when(F.col("turn") == 0, F.col("rank"))).alias("hi"))
+        cover = cover.join(total, by).select(*by, "interval_id", "lo", F.coalesce("hi", "_all").alias("hi")).where("lo < hi")
+        cover = cover.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor((F.col("hi") - 1) / BIN))))
+        lists.append(numbered.join(cover, [*by, "bin"]).where("rank >= lo and rank < hi").groupBy("moment_id").agg(F.array_sort(F.collect_list("interval_id")).alias("open_ids")))
+    lists.append(few.join(short, by).where("opened < at and (closed is null or closed > at)").groupBy("moment_id").agg(F.array_sort(F.collect_list("interval_id")).alias("open_ids")))
+    found = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+    return moments.join(found, "moment_id", "left").withColumn("open_ids", F.coalesce("open_ids", F.array().cast(found.schema["open_ids"].dataType)))
 
 
 def decision_gates(decisions: DataFrame, issues: DataFrame, limitations: DataFrame) -> DataFrame:
@@ -86,14 +133,18 @@ def decision_gates(decisions: DataFrame, issues: DataFrame, limitations: DataFra
     assessment_ids, required_actions, parent_program_id, unresolved_issue_ids,
     unresolved_uncertainties; issues: ledger_id, program_id, issue_id, severity,
     opened, closed (sequences); limitations: ledger_id, assessment_id, limitation.
+    What is open at a decision is counted, and its ids are compared with the
+    recorded ones as sorted lists of one number and sums of hashes.
     """
     from tallyfold.operators.chain import violations
 
     own = decisions.withColumn("moment_id", F.struct("ledger_id", "decision_id")).withColumn("at", F.col("sequence"))
     by = ["ledger_id", "program_id"]
-    spans = issues.select(*by, F.col("issue_id").alias("interval_id"), "opened", "closed")
-    critical = open_at(own, spans.join(issues.where("severity = 'CRITICAL'").select(*by, F.col("issue_id").alias("interval_id")), [*by, "interval_id"], "left_semi"), by).select("moment_id", F.size("open_ids").alias("critical"))
-    rows = open_at(own, spans, by).join(critical, "moment_id")
+    critical = (F.col("severity") == "CRITICAL").cast("long")
+    sums = {"open_n": F.lit(1).cast("long"), "critical": F.coalesce(critical, F.lit(0)), "open_a": id_hash(1, F.col("issue_id")), "open_b": id_hash(2, F.col("issue_id"))}
+    rows = own.join(open_sums(own, issues, by, sums), "moment_id", "left").na.fill(0, ["open_n", "critical"])
+    recorded = id_sums(F.col("unresolved_issue_ids"))
+    as_open = (recorded["n"] == F.col("open_n")) & (recorded["a"] == F.coalesce(F.col("open_a"), F.lit(0))) & (recorded["b"] == F.coalesce(F.col("open_b"), F.lit(0))) & (F.array_sort("unresolved_issue_ids") == F.col("unresolved_issue_ids"))
     told = own.select("ledger_id", "moment_id", F.explode("assessment_ids").alias("assessment_id")).join(limitations, ["ledger_id", "assessment_id"]).groupBy("moment_id").agg(F.array_sort(F.collect_set("limitation")).alias("told"))
     rows = rows.join(told, "moment_id", "left").withColumn("told", F.coalesce("told", F.array().cast("array<string>")))
     o = F.col("outcome")
@@ -104,7 +155,7 @@ def decision_gates(decisions: DataFrame, issues: DataFrame, limitations: DataFra
             "REPAIR without actions": (o == "REPAIR") & (F.size("required_actions") == 0),
             "PIVOT without its own parent": (o == "PIVOT") & ~F.col("parent_program_id").eqNullSafe(F.col("program_id")),
             "REVIEW_REQUIRED without two assessments": (o == "REVIEW_REQUIRED") & (F.size("assessment_ids") < 2),
-            "open issues differ": F.col("unresolved_issue_ids") != F.col("open_ids"),
+            "open issues differ": F.col("unresolved_issue_ids").isNotNull() & ~as_open,
             "uncertainties differ": F.col("unresolved_uncertainties") != F.col("told"),
         },
         "decision_id",

@@ -31,7 +31,11 @@ def runs_of_events(events: DataFrame) -> DataFrame:
     several, or with a gap on the way have no row, as have those whose program
     or protocol isn't the run's.
     """
-    rows = state.parsed(events)
+    # read once, cut to what the lineage needs; a dozen branches read that
+    fields = ("program_id", "protocol_id", "producer_id", "experiment_id", "working_id", "result_bundle_id", "assessment_ids", "kind", "phase", "status")
+    compared = F.from_json("p.bundle", "comparisons array<struct<experiment_id:string>>")["comparisons"]["experiment_id"]
+    needed = [*ENDS, "experiment.planned", "working.created", "protocol.drafted"]
+    rows = lineage.kept(state.parsed(events).where(F.col("type").isin(needed)).select("ledger_id", "sequence", "id", "type", F.struct(*(F.col(f"p.{c}").alias(c) for c in fields), compared.alias("compared")).alias("p")))
     first = lambda t, *c: rows.where(F.col("type") == t).groupBy("ledger_id", "id").agg(*(F.min_by(F.col(f"p.{x}"), "sequence").alias(x) for x in c))
     key = lambda df, name: df.withColumnRenamed("id", name)
     experiments = first("experiment.planned", "working_id", "protocol_id")
@@ -39,8 +43,7 @@ def runs_of_events(events: DataFrame) -> DataFrame:
     ends = rows.where(F.col("type").isin(list(ENDS))).select("ledger_id", "sequence", "id", "type", "p")
     by = ["ledger_id", "sequence"]
     # what each event stands on: experiments, or workflow runs themselves
-    compared = F.from_json("bundle", "comparisons array<struct<experiment_id:string>>")["comparisons"]["experiment_id"]
-    bundles = key(first("analysis.computed", "bundle", "protocol_id"), "bundle_id").select("ledger_id", "bundle_id", F.col("protocol_id").alias("bundle_protocol"), compared.alias("compared"))
+    bundles = key(first("analysis.computed", "compared", "protocol_id"), "bundle_id").select("ledger_id", "bundle_id", F.col("protocol_id").alias("bundle_protocol"), "compared")
     assessments = key(first("assessment.recorded", "result_bundle_id", "protocol_id"), "assessment_id").withColumnRenamed("result_bundle_id", "bundle_id").withColumnRenamed("protocol_id", "assessed_protocol")
     none = F.array().cast("array<string>")
     of = F.col("type")
@@ -85,10 +88,16 @@ def progress(events: DataFrame, runs: DataFrame, rules: DataFrame) -> DataFrame:
     match = lambda c: F.col(f"r.{c}").isNull() | F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}"))
     rows = events.alias("e").join(runs.alias("w"), (F.col("e.ledger_id") == F.col("w.ledger_id")) & (F.col("e.working_id") == F.col("w.working_id")))
     rows = rows.join(rules.alias("r"), (F.col("r.rite_id") == F.col("w.rite_id")) & (F.col("r.event_type") == F.col("e.type")) & match("kind") & match("phase") & match("status"))
-    found = rows.groupBy("w.ledger_id", "w.working_id").agg(F.array_sort(F.collect_list(F.struct(F.col("e.sequence").alias("sequence"), F.col("r.stage_no").alias("stage_no")))).alias("c"))
-    step = lambda a, x: F.when((x["stage_no"] == F.size(a)) & (F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) < x["sequence"]), F.concat(a, F.array(x["sequence"]))).otherwise(a)
-    left = found.select("ledger_id", "working_id", F.aggregate("c", F.array().cast("array<long>"), step).alias("left_at"))
-    out = runs.join(left, ["ledger_id", "working_id"], "left").withColumn("left_at", F.coalesce("left_at", F.array().cast("array<long>")))
+    key = ["ledger_id", "working_id"]
+    matches = lineage.kept(rows.select("w.ledger_id", "w.working_id", "r.stage_no", "e.sequence"))
+    stages = (rules.agg(F.max("stage_no")).first()[0] if not rules.isEmpty() else -1) + 1  # of a definition
+    at, left = runs.select(*key, "rite_id"), []
+    for k in range(stages):  # the next match after the last step: a minimum, merged before it is shuffled
+        own = matches.where(F.col("stage_no") == k).select(*key, "sequence")
+        after = F.col("sequence") > (F.col(left[-1]) if left else F.lit(-1))
+        at = at.join(own, key, "left").groupBy(*key, "rite_id", *left).agg(F.min(F.when(after, F.col("sequence"))).alias(f"left_{k}"))
+        left.append(f"left_{k}")
+    out = at.withColumn("left_at", F.array_compact(F.array(*left)) if left else F.array().cast("array<long>"))
     last = rules.groupBy("rite_id").agg(F.count("*").alias("stages"))
     return out.join(last, "rite_id", "left").select("ledger_id", "working_id", "rite_id", "left_at", F.size("left_at").alias("stage_no"), F.when(F.size("left_at") >= F.col("stages"), "COMPLETED").otherwise("ACTIVE").alias("status"))
 

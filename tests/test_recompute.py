@@ -9,7 +9,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from tallyfold.functions import student
-from tallyfold.operators import ordered, recompute, state
+from tallyfold.operators import ordered, recompute, rules, state
 
 COMPARISONS = [
     {"comparison_id": "u", "experiment_id": "EX-1", "arms": ["c", "t"], "metric": "m", "pairing": "unpaired", "uncertainty_method": "student_t", "confidence_level": 0.9},
@@ -153,3 +153,17 @@ def test_order_across_ranges(spark):
     assert {(r.k, r.i): r.s for r in ordered.running(frame, ["k"], ["i"], {"s": F.col("v")}).collect()} == total
     assert {(r.k, r.i): r.x for r in ordered.carried(frame, ["k"], ["i"], {"x": F.col("v")}).collect()} == last
     assert {(r.k, r.i): r.x for r in ordered.carried(frame, ["k"], ["i"], {"x": F.col("v")}, back=True).collect()} == following
+
+
+def test_intervals_open_at_moments(spark):
+    rng = random.Random(4)
+    key = lambda: "hot" if rng.random() < 0.7 else rng.choice("ab")
+    moments = [(f"m{i:03d}", key(), rng.randint(0, 60)) for i in range(300)]
+    spans = [(f"i{i:03d}", key(), a := rng.randint(-5, 62), rng.choice([None, a - 1, a, a + 1, a + rng.randint(1, 50)]), rng.randint(1, 9)) for i in range(300)]
+    m, s = spark.createDataFrame(moments, "moment_id string, k string, at int"), spark.createDataFrame(spans, "interval_id string, k string, opened int, closed int, v long")
+    want = {i: sorted(x for x, q, a, b, _ in spans if q == k and a < t and (b is None or b > t)) for i, k, t in moments}
+    for many in (10**6, 20):
+        assert {r.moment_id: r.open_ids for r in rules.open_at(m, s, ["k"], many).collect()} == want
+    size = {x: v for x, *_, v in spans}
+    got = rules.open_sums(m, s, ["k"], {"n": F.lit(1).cast("long"), "v": F.col("v")}).collect()
+    assert {r.moment_id: (r.n, r.v) for r in got} == {i: (len(x), sum(size[y] for y in x)) for i, x in want.items()}
