@@ -30,7 +30,7 @@ SHARD_POSTINGS = 1 << 20
 #: Documents of a block, more or less, and blocks of a list at most.
 BLOCK, BLOCKS = 32, 64
 #: Bytes of the maxima that an index holds; then it starts afresh.
-_HELD = 48 << 20
+_HELD = 128 << 20
 SAMPLE = 64
 _SIGNS = 16
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -158,11 +158,12 @@ class Index:
                 held[self.terms[self.places(docs[a : a + (1 << 12)])[0]]] = True
             columns = np.flatnonzero(held)
             number = np.cumsum(held) - 1
-            maxima = np.zeros((k, len(columns)), np.int32)
+            maxima = np.zeros(k * len(columns), np.int32)
             for a in range(0, len(docs), 1 << 12):
                 some = docs[a : a + (1 << 12)]
                 at, _ = self.places(some)
-                np.maximum.at(maxima, (np.repeat(label[a : a + (1 << 12)], self.size[some]), number[self.terms[at]]), self.worth[at])
+                np.maximum.at(maxima, np.repeat(label[a : a + (1 << 12)] * len(columns), self.size[some]) + number[self.terms[at]], self.worth[at])
+            maxima = maxima.reshape(k, -1)
             if self.held > _HELD:
                 self.blocks.clear()
                 self.held = 0
@@ -187,17 +188,21 @@ class Index:
             listed, ends, columns, maxima = self.blocked(term)
             there = terms[np.isin(terms, columns)]
             bounds = maxima[:, np.searchsorted(columns, there)].astype(np.int64) @ weight[there]
-            for b in np.argsort(-bounds, kind="stable").tolist():
-                if bounds[b] < least:
-                    break
-                some = listed[ends[b - 1] if b else 0 : ends[b]]
+            order, at, step = np.argsort(-bounds, kind="stable"), 0, 1
+            while at < len(order) and bounds[order[at]] >= least:  # more blocks at once each time
+                next_ = order[at : at + step]
+                next_ = next_[bounds[next_] >= least]
+                at, step = at + step, 2 * step
+                some = np.concatenate([listed[ends[b - 1] if b else 0 : ends[b]] for b in next_.tolist()])
                 some = some[~seen[some]]
                 if not len(some):
                     continue
                 seen[some] = True
-                at, begin = self.places(some)
-                docs = np.concatenate([docs, some])
-                scores = np.concatenate([scores, np.add.reduceat(own[self.terms[at]] * self.worth[at], begin)])
+                found = []
+                for a in range(0, len(some), 1 << 12):
+                    post, begin = self.places(some[a : a + (1 << 12)])
+                    found.append(np.add.reduceat(own[self.terms[post]] * self.worth[post], begin))
+                docs, scores = np.concatenate([docs, some]), np.concatenate([scores, *found])
                 keep = np.lexsort((self.ids[docs], -scores))[:k]
                 docs, scores = docs[keep], scores[keep]
                 if len(docs) == k:
