@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 DIGEST = r"^sha256:[a-f0-9]{64}\z"
 SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*\z"
 IDENTIFIER = r"^[A-Z][A-Z0-9_]*-[A-Z0-9][A-Z0-9_-]*\z"
-_RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)\z"
+RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)\z"
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ def between(column: str, least=None, most=None, open_ends: bool = False) -> Rule
 def timestamp(column: str) -> Rule:
     """RFC 3339 with a zone."""
     c = F.col(column)
-    return Rule(f"{column}: not a time with zone", c.isNotNull() & ~(c.rlike(_RFC3339) & F.try_to_timestamp(c).isNotNull()))
+    return Rule(f"{column}: not a time with zone", c.isNotNull() & ~(c.rlike(RFC3339) & F.try_to_timestamp(c).isNotNull()))
 
 
 def finite(column: str) -> Rule:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.digest import json_digest
-from tallyfold.operators import acceptance, chain, compare, jobs, lineage, reads, rules, state, workflow
+from tallyfold.operators import acceptance, chain, compare, jobs, lineage, paths, reads, recompute, rules, state, workflow
 from tallyfold.operators import contracts as k
 from tallyfold.plans import views
 from tallyfold.plans.queries import query
@@ -382,7 +382,7 @@ def result_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """with o as (select o_orderkey i, o_custkey c, o_orderstatus s, case when o_orderpriority = '1-URGENT' then 'x.review.local' when o_orderpriority = '2-HIGH' then 'x.review.external' when o_orderpriority = '3-MEDIUM' then 'x.review.accept' else 'x.plan' end k,
     case when o_orderstatus = 'O' then 'PREPARED' when o_orderstatus = 'P' then 'APPROVED' else 'COMPLETED' end step from orders),
 p as (select o.*, lag(step) over (partition by c order by i) state, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'external_diff_review' else 'local_review' end kind, c_acctbal > 0 fresh from o left join customer on c_custkey = c),
-l as (select l_orderkey i, l_linenumber n, l_shipmode sch, l_partkey part, l_returnflag d from lineitem), e as (select distinct i, sch from l where n <= 3),
+l as (select l_orderkey i, l_linenumber n, l_linestatus sch, l_partkey part, l_returnflag d from lineitem), e as (select distinct i, sch from l where n <= 3),
 f as (select part, min(d) d, min(i) i, min(sch) sch from l group by 1), u as (select p.i, p.k, l.n, l.sch, l.part, l.d, f.d have, f.i owner, f.sch has from p join l using (i) join f using (part))
 select i as sequence, 'stale snapshot' as rule from p where not coalesce(fresh, false)
 union all select p.i, 'unexpected output' from p where exists (select 1 from l where l.i = p.i and not exists (select 1 from e where e.i = l.i and e.sch = l.sch))
@@ -397,7 +397,7 @@ def accepted_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, i, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
     task = F.concat(F.lit("TK-"), _text("o_orderkey"))
     capability = F.create_map(*(F.lit(x) for x in ("1-URGENT", "x.review.local", "2-HIGH", "x.review.external", "3-MEDIUM", "x.review.accept")))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_shipmode").alias("schema"), F.concat_ws("/", F.lit("part"), _text("l_partkey")).alias("path"), F.col("l_returnflag").alias("digest"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_linestatus").alias("schema"), F.concat_ws("/", F.lit("part"), _text("l_partkey")).alias("path"), F.col("l_returnflag").alias("digest"))
     outs = lines.groupBy("o_orderkey").agg(F.collect_list(F.struct("schema", "path", "digest")).alias("outputs"), F.array_compact(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("schema")))).alias("expected_outputs"))
     rows = o.join(outs, "o_orderkey", "left").join(table(spark, sf_dir, "customer"), c == F.col("c_custkey"), "left")
     key = [F.lit("L").alias("ledger_id"), task.alias("task_id")]
@@ -500,3 +500,74 @@ def record_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
     both = rows.select(F.col("o_orderkey").alias("k"), json_digest(_json(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))).alias("a"), json_digest(_json(F.lit("F").alias("s"), F.col("o_orderkey").alias("k"))).alias("b"))
     return both.select("k", (F.col("a") == F.col("b")).alias("same"))
+
+
+@query(
+    """with r as (select 'PT-' || l_linenumber p, l_returnflag a, l_orderkey * 2 s, l_extendedprice x from lineitem),
+b as (select o_orderkey * 2 + 1 s from orders where o_totalprice > 495000), g as (select 'PT-' || unnest(range(1, 8)) p),
+m as (select g.p, b.s, count(x) filter (a = 'A') nt, count(x) filter (a = 'R') nk, avg(x) filter (a = 'A') mt, avg(x) filter (a = 'R') mk, var_samp(x) filter (a = 'A') vt, var_samp(x) filter (a = 'R') vk, max(x) filter (a = 'A') top
+      from g cross join b left join r on r.p = g.p and r.s < b.s group by 1, 2)
+select p as protocol_id, s as sequence, nt as n_t, nk as n_c, round(case when nt > 0 and nk > 0 then mt - mk end, 4) as estimate, round(case when nt > 0 and nk > 0 then top end, 2) as max_t,
+       case when nt > 1 and nk > 1 then round((vt / nt + vk / nk) * (vt / nt + vk / nk) / ((vt / nt) * (vt / nt) / (nt - 1) + (vk / nk) * (vk / nk) / (nk - 1)), 3) end as df, nt = 0 or nk = 0 as unfit from m"""
+)
+def rebuilt_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as runs of a protocol for each line number, in order; the comparison of two return flags as of each large order, all from one pass over the lines."""
+    by = {"ledger_id": F.lit("L"), "program_id": F.lit("RP-1")}
+    some = table(spark, sf_dir, "lineitem")
+    runs = some.select(
+        *(c.alias(n) for n, c in by.items()), F.concat(F.lit("PT-"), _text("l_linenumber")).alias("protocol_id"), (F.col("l_orderkey") * 2).cast("long").alias("sequence"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("run_id"), F.lit("E").alias("experiment_id"), F.col("l_returnflag").alias("arm"),
+        F.lit("FORMAL").alias("phase"), F.lit("COMPLETED").alias("status"), F.struct(F.lit(True).alias("included"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("policy_reference")).alias("disposition"), F.lit(None).cast("long").alias("seed"), F.create_map(F.lit("price"), "l_extendedprice").alias("metrics"),
+    )
+    protocols = some.select(F.concat(F.lit("PT-"), _text("l_linenumber")).alias("protocol_id")).distinct()
+    moments = table(spark, sf_dir, "orders").where("o_totalprice > 495000").select((F.col("o_orderkey") * 2 + 1).cast("long").alias("sequence"))
+    numbers = F.explode(F.array(*(F.lit(f"PT-{i}") for i in range(1, 8))))
+    bundles = moments.select(*(c.alias(n) for n, c in by.items()), numbers.alias("protocol_id"), "sequence")
+    spec = protocols.select(
+        *(c.alias(n) for n, c in by.items()), "protocol_id", F.lit("c").alias("comparison_id"), F.lit(0).alias("position"), F.lit("E").alias("experiment_id"), F.array(F.lit("R"), F.lit("A")).alias("arms"), F.lit("price").alias("metric"), F.lit("unpaired").alias("pairing"), F.lit("student_t").alias("uncertainty"),
+        F.lit(0.95).alias("level"), F.lit(None).cast("long").alias("seed"), F.lit(None).cast("long").alias("samples"), F.lit("none").alias("policy"), F.lit(None).cast("double").alias("threshold"),
+    )
+    out = recompute.results_at(recompute.dated(runs, bundles), bundles, spec)
+    fine = F.col("problem").isNull()
+    return out.select("protocol_id", F.col("as_of").alias("sequence"), "n_t", "n_c", F.round("estimate", 4).alias("estimate"), F.round(F.when(fine, F.col("max_t")), 2).alias("max_t"), F.round("df", 3).alias("df"), (~fine).alias("unfit"))
+
+
+#: Contracts of three kinds of documents; that of a line stands inside an order's.
+_SCHEMAS = {
+    "order": {
+        "type": "object", "additionalProperties": False, "required": ["id", "customer", "lines"],
+        "properties": {
+            "id": {"type": "integer"}, "customer": {"type": "object", "additionalProperties": False, "required": ["id"], "properties": {"id": {"type": "integer"}, "segment": {"enum": ["AUTOMOBILE", "BUILDING", "HOUSEHOLD"]}}},
+            "lines": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"type": "object", "additionalProperties": False, "required": ["flag"], "properties": {"flag": {"enum": ["A", "R"]}, "quantity": {"type": "number", "maximum": 45}, "part": {"type": "integer"}}}},
+        },
+    },
+    "customer": {"type": "object", "required": ["name", "balance"], "properties": {"name": {"type": "string", "pattern": "[02468]$"}, "balance": {"type": "number", "exclusiveMinimum": 0}, "nation": {"type": "string", "minLength": 7}}},
+    "part": {"type": "object", "additionalProperties": {"type": "string", "maxLength": 10}, "properties": {"size": {"type": "integer", "minimum": 10, "exclusiveMaximum": 40}}},
+}
+
+
+@query(
+    """with l as (select l_orderkey k, l_linenumber n, l_returnflag f, l_quantity q, l_partkey p, l_discount > 0.05 d, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) - 1 i from lineitem),
+o as (select o_orderkey k, c_mktsegment m from orders left join customer on c_custkey = o_custkey), c as (select c_custkey k, c_name, c_acctbal b, n_name from customer join nation on n_nationkey = c_nationkey), p as (select p_partkey k, p_brand, p_type, p_size s from part)
+select 'order' as kind, k, '$.customer.segment' as at, 'not one of its values' as rule from o where m not in ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD')
+union all select 'order', k, '$.lines', 'too few' from o where not exists (select 1 from l where l.k = o.k)
+union all select 'order', k, '$.lines', 'repeated element' from l group by k having count(*) > count(distinct (f, q, p, d))
+union all select 'order', k, '$.lines[' || i || '].flag', 'not one of its values' from l where f not in ('A', 'R')
+union all select 'order', k, '$.lines[' || i || '].quantity', 'out of bounds' from l where q > 45
+union all select 'order', k, '$.lines[' || i || '].discount', 'unknown field' from l where d
+union all select 'customer', k, '$.name', 'pattern' from c where not regexp_matches(c_name, '[02468]$') union all select 'customer', k, '$.balance', 'out of bounds' from c where b <= 0
+union all select 'customer', k, '$.nation', 'too short' from c where length(n_name) < 7
+union all select 'part', k, '$.brand', 'too long' from p where length(p_brand) > 10 union all select 'part', k, '$.type', 'too long' from p where length(p_type) > 10 union all select 'part', k, '$.size', 'out of bounds' from p where s < 10 or s >= 40"""
+)
+def document_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines, customers and parts as nested documents; each place that breaks the contract of its kind."""
+    line = F.struct(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.col("l_partkey").alias("part"), F.when(F.col("l_discount") > 0.05, True).alias("discount"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", line.alias("x")))), lambda s: s["x"]).alias("lines"))
+    customer = table(spark, sf_dir, "customer")
+    orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    none = F.array().cast(lines.schema["lines"].dataType)
+    order = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("id"), F.col("c_mktsegment").alias("segment")).alias("customer"), F.coalesce("lines", none).alias("lines")))
+    nations = customer.join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    documents = orders.select(F.lit("order").alias("kind"), F.col("o_orderkey").cast("long").alias("k"), order.alias("raw"))
+    documents = documents.union(nations.select(F.lit("customer"), F.col("c_custkey").cast("long"), F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("n_name").alias("nation")))))
+    documents = documents.union(table(spark, sf_dir, "part").select(F.lit("part"), F.col("p_partkey").cast("long"), F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size")))))
+    return paths.document_breaches(documents, paths.Schemas(_SCHEMAS).contract(spark), ["k"]).select("kind", "k", "at", "rule")
