@@ -44,6 +44,13 @@ def canonical(text: str | None, without: tuple[str, ...] = (), at: str | None =
         return None
 
 
+def json_digest_of(value) -> str:
+    """Digest of a small value on the driver, as json_digest() gives it for its text."""
+    import hashlib
+
+    return PREFIX + hashlib.sha256(canonical(json.dumps(value)).encode()).hexdigest()
+
+
 def canonical_json(raw: Column, without: tuple[str, ...] = (), at: str | None = None) -> Column:
     """Canonical form of JSON text by Arrow batches; null where the text isn't strict JSON or lacks the member."""
 

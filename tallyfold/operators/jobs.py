@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.functions.digest import PREFIX, deterministic_id, list_digest
+from tallyfold.functions.digest import PREFIX, deterministic_id, json_digest_of, list_digest
 from tallyfold.operators.chain import union, violations
 
 # Fixed values of the journal: its states that end a job.
@@ -89,3 +89,44 @@ def outcomes(journal: DataFrame, schema: str) -> DataFrame:
 def observed(rows: DataFrame, after: int, through: int, limit: int) -> DataFrame:
     """A page of rows: later than `after`, not later than `through`, which stays fixed while the table grows."""
     return rows.where((F.col("sequence") > after) & (F.col("sequence") <= through)).orderBy("sequence").limit(limit)
+
+
+MOST_OBSERVED = 256
+# Fixed names of a cursor's members, of which its digest is made.
+CURSOR = ("job_id", "last_returned_sequence", "through_event_sigil", "through_journal_sequence")
+
+
+def cursor_digest(cursor: dict) -> str:
+    return json_digest_of({k: cursor[k] for k in CURSOR})
+
+
+def observe(journal: DataFrame, ledger_id: str, job_id: str, limit: int = MOST_OBSERVED, cursor: dict | None = None) -> tuple[DataFrame, dict | None]:
+    """A page of a job's events, and the cursor of the next one, or None where there is none.
+
+    Without a cursor the page reads up to the journal's last event; a cursor
+    holds that bound and its digest, so pages stay those of one moment while the
+    journal grows.  A cursor that was changed, is another job's, or whose bound
+    is no longer the event that it was, is refused.  Only two rows and the page
+    come to the driver.
+    """
+    if not 1 <= limit <= MOST_OBSERVED:
+        raise ValueError(f"limit must be in 1..{MOST_OBSERVED}")
+    own = journal.where(F.col("ledger_id") == ledger_id)
+    if own.where((F.col("job_id") == job_id) & (F.col("event_type") == "job.submitted")).isEmpty():
+        raise ValueError(f"unknown job: {job_id}")
+    if cursor is None:
+        last, (through, digest) = 0, own.agg(F.max(F.struct("sequence", "event_digest")).alias("e")).first()["e"]
+    else:
+        if set(cursor) != {*CURSOR, "cursor_sigil"} or cursor["cursor_sigil"] != cursor_digest(cursor) or cursor["job_id"] != job_id:
+            raise ValueError("the cursor is stale")
+        last, through, digest = cursor["last_returned_sequence"], cursor["through_journal_sequence"], cursor["through_event_sigil"]
+        bound = own.where(F.col("sequence") == through).select("event_digest").first()
+        if not 0 <= last <= through or bound is None or bound[0] != digest:
+            raise ValueError("the cursor is stale")
+    rest = observed(own.where(F.col("job_id") == job_id), last, through, limit + 1)
+    found = [r["sequence"] for r in rest.select("sequence").collect()]
+    following = None
+    if len(found) > limit:
+        following = {"job_id": job_id, "last_returned_sequence": found[limit - 1], "through_journal_sequence": through, "through_event_sigil": digest}
+        following["cursor_sigil"] = cursor_digest(following)
+    return observed(own.where(F.col("job_id") == job_id), last, found[:limit][-1] if found else last, limit), following

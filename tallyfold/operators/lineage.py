@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.digest import json_digest
@@ -44,11 +44,11 @@ def closure(links: DataFrame, start: DataFrame, up: bool = False) -> DataFrame:
         seen = seen.unionByName(frontier)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df cut to files in the session's shared checkpoint folder; on one machine, as in tests, a local one where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; on one machine, as in tests, a local one where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
@@ -56,9 +56,25 @@ def kept(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df cut to files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession) -> str:
+    """An unused path below the shared folder; it goes when the driver ends."""
+    import uuid
+
+    name = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name
+
+
 def roots(parents: DataFrame) -> DataFrame:
     """ledger_id, id, root: the end of each chain of parents (ledger_id, id, parent; null parent ends it); null on a cycle or before one.
 

@@ -71,6 +71,24 @@ def page(rows: DataFrame, key: str, limit: int = 50, offset: int = 0, after=None
     return rows.orderBy(key).offset(offset).limit(limit)
 
 
+#: Rows of a page at most.
+MOST_ROWS = 100
+
+
+def paged(rows: DataFrame, key: str, limit: int = 50, offset: int = 0) -> tuple[DataFrame, int, int | None]:
+    """A page in key order, the number of all rows, and the offset of the next page (None after the last).
+
+    limit is in 1..MOST_ROWS; an offset beyond the end is refused.
+    """
+    if not 1 <= limit <= MOST_ROWS:
+        raise ValueError(f"limit must be in 1..{MOST_ROWS}")
+    total = rows.count()
+    if not 0 <= offset <= total:
+        raise ValueError("the offset is past the end")
+    following = min(offset + limit, total)
+    return page(rows, key, limit, offset), total, following if following < total else None
+
+
 def search(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
     """Rows that have the query in one of the columns, in whatever case."""
     hits = [F.contains(F.lower(c), F.lit(query.lower())) for c in columns]

@@ -214,6 +214,25 @@ def sole_active(rows: DataFrame, by: list[str], item: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(item).alias("_item")).select(*by, F.when(F.col("n") == 1, F.col("_item")).alias(item), "n")
 
 
+def chosen_workings(wanted: DataFrame, workings: DataFrame, version: str | None = None) -> DataFrame:
+    """wanted (ledger_id, program_id, protocol_id, working_id: null for any) with chosen and problem.
+
+    workings: ledger_id, working_id, program_id, protocol_id, status and, where a
+    version is asked for, version.  Active ones of the program and protocol (and
+    version) match.  An explicit one must be among them; without, the only one is
+    chosen, none leaves it open, and several need an explicit choice.
+    """
+    by = ["ledger_id", "program_id", "protocol_id"]
+    active = workings.where((F.col("status") == "ACTIVE") & (F.lit(True) if version is None else F.col("version").eqNullSafe(F.lit(version))))
+    of = active.groupBy(*by).agg(F.count("*").alias("n"), F.min("working_id").alias("_one"))
+    own = active.select(*by, "working_id", F.lit(True).alias("_active")).distinct()
+    rows = wanted.join(of, by, "left").join(own, [*by, "working_id"], "left")
+    explicit, n = F.col("working_id").isNotNull(), F.coalesce("n", F.lit(0))
+    problem = F.when(explicit & F.col("_active").isNull(), "not active for the protocol").when(~explicit & (n > 1), "several are active")
+    chosen = F.when(problem.isNull(), F.when(explicit, F.col("working_id")).when(n == 1, F.col("_one")))
+    return rows.select(*wanted.columns, chosen.alias("chosen"), problem.alias("problem"))
+
+
 def last_findings(findings: DataFrame, objects: DataFrame) -> DataFrame:
     """objects (ledger_id, id, status) with the status of the last finding (sequence, position) on each."""
     last = findings.groupBy("ledger_id", "id").agg(F.max_by("status", F.struct("sequence", "position")).alias("_last"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.functions.digest import json_digest
+from tallyfold.functions.digest import id_hash, json_digest
 from tallyfold.operators import rules
 from tallyfold.operators.chain import union, violations
 from tallyfold.operators.lineage import kept
@@ -237,6 +237,32 @@ def reference_uses(rows: DataFrame) -> DataFrame:
     return uses.select("ledger_id", "sequence", "id", "type", "program_id", "u.ref", "u.kind").where("ref is not null")
 
 
+def record_edges(rows: DataFrame) -> DataFrame:
+    """ledger_id, src, dst, kind, sequence of every id field of every kind of record: src is the object of the event, kind the field's collection (any: of whatever kind); rows: parsed() events."""
+    made = rows.where(F.col("type").isin(list(CREATED)))
+    uses = reference_uses(made).where("ref <> id")
+    return uses.select("ledger_id", F.col("id").alias("src"), F.col("ref").alias("dst"), F.coalesce("kind", F.lit("any")).alias("kind"), "sequence").distinct()
+
+
+def state_digests(events: DataFrame) -> DataFrame:
+    """ledger_id, collection, n, a, b: number of rows of each current-state table and two sums of hashes of their JSON, whatever their order."""
+    frames = []
+    for name, rows in tables(events).items():
+        body = F.to_json(F.struct(*(c for c in sorted(rows.columns) if c not in ("ledger_id", "sequence"))))
+        frames.append(rows.groupBy("ledger_id").agg(F.count("*").alias("n"), F.sum(id_hash(1, body)).alias("a"), F.sum(id_hash(2, body)).alias("b")).select("ledger_id", F.lit(name).alias("collection"), "n", "a", "b"))
+    return union(frames)
+
+
+def state_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """ledger_id, collection, n_before, n_after of the state tables in which two sets of events differ, for the ledgers of both; none proves that the state is the same.
+
+    Tables are compared by state_digests(), so what meets is a row for each
+    ledger and table; sequences may differ, as those of a converted ledger do.
+    """
+    both = state_digests(before).select("ledger_id", "collection", F.struct("n", "a", "b").alias("x")).join(state_digests(after).select("ledger_id", "collection", F.struct("n", "a", "b").alias("y")), ["ledger_id", "collection"], "full_outer")
+    return both.where("not (x <=> y)").select("ledger_id", "collection", F.coalesce("x.n", F.lit(0)).alias("n_before"), F.coalesce("y.n", F.lit(0)).alias("n_after"))
+
+
 def audit(events: DataFrame) -> DataFrame:
     """ledger_id, sequence, object_id, rule of every event that breaks a rule across objects.
 
@@ -415,6 +441,22 @@ def reviews(rows: DataFrame) -> DataFrame:
     return union([*out, violations(done, {"no task result for the review": ~F.coalesce(right, F.lit(False))}, "id")])
 
 
+def review_lives(rows: DataFrame) -> DataFrame:
+    """A row for each review: ledger_id, id, program_id, kind, state, and when it was requested, approved, completed and accepted, by whom, by which task; seconds from request to the last step."""
+    own = rows.where(F.col("type").startswith("review."))
+    at = lambda t, c: F.min_by(c, F.when(F.col("type") == t, F.col("sequence")))
+    moved = transitions(rows).where("collection = 'review_requests'").groupBy("ledger_id", "id").agg(F.max_by("state", "sequence").alias("state"), F.count("*").alias("steps"))
+    asked = "review.requested"
+    names = {"requested": asked, "approved": "review.approved", "completed": "review.completed", "accepted": "review.accepted"}
+    lives = own.groupBy("ledger_id", "id").agg(
+        at(asked, F.col("p.program_id")).alias("program_id"), at(asked, F.col("p.type")).alias("kind"), at(asked, F.col("p.destination.provider")).alias("provider"), *(at(t, F.col("at")).alias(f"{n}_at") for n, t in names.items()),
+        at("review.approved", F.col("p.approved_by")).alias("approved_by"), at("review.accepted", F.col("actor.actor_id")).alias("accepted_by"), at("review.completed", F.col("p.task_id")).alias("task_id"),
+    )
+    last = F.coalesce("accepted_at", "completed_at", "approved_at", "requested_at")
+    seconds = F.unix_timestamp(F.try_to_timestamp(last)) - F.unix_timestamp(F.try_to_timestamp("requested_at"))
+    return lives.join(moved, ["ledger_id", "id"], "left").withColumn("seconds", seconds)
+
+
 def results(rows: DataFrame) -> DataFrame:
     """Accepted task results that pin another task, input, snapshot or contract than their event."""
     own = rows.where("type = 'agent-result.accepted'")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions.digest import json_digest
-from tallyfold.operators import acceptance, chain, compare, jobs, lineage, paths, reads, recompute, rules, state, workflow
+from tallyfold.operators import acceptance, chain, compare, conversion, jobs, lineage, paths, reads, recompute, rules, state, trace_index, workflow
 from tallyfold.operators import contracts as k
+from tallyfold.operators.lineage import kept
 from tallyfold.plans import views
 from tallyfold.plans.queries import query
 from tallyfold.plans.views import table
@@ -78,10 +79,11 @@ def converted_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
     receipt = _json(F.concat(F.lit("RC-"), _text("event_id")).alias("receipt_id"), F.concat(F.lit("CE-"), _text("event_id")).alias("event_id"), spoilt.alias("sigil"), F.col("previous").alias("previous_sigil"), F.lit("2024-01-01T00:00:00+00:00").alias("accepted_at"))
     lines = own.select("ledger_id", (F.col("q") - F.col("pair") * 2).alias("line"), F.concat(F.expr("substr(body, 1, length(body) - 1)"), F.lit(',"receipt":'), receipt, F.lit("}")).alias("raw"))
     old = ledger.parse_old(lines)
-    new = ledger.parse(chain.convert_old(old, '{"actor_id":"m","actor_type":"tool"}').select("ledger_id", "raw"))
-    sound = new.join(chain.audit_events(new).select("ledger_id").distinct(), "ledger_id", "left_anti").groupBy("ledger_id").agg(F.count("*").alias("converted"))
-    found = chain.audit_old(old).where("rule <> 'broken link' and rule <> 'receipt link'").groupBy("ledger_id").agg(F.min("rule").alias("problem"))
-    return lines.select("ledger_id").distinct().join(sound, "ledger_id", "left").join(found, "ledger_id", "left").na.fill(0, ["converted"])
+    old = kept(old)  # read by the audit and by the seals
+    done = conversion.converted(old, '{"actor_id":"m","actor_type":"tool"}')
+    sound = done["lines"].join(done["unsound"].select("ledger_id").distinct(), "ledger_id", "left_anti").groupBy("ledger_id").agg(F.count("*").alias("converted"))
+    found = done["refused"].where("rule <> 'broken link' and rule <> 'receipt link'").groupBy("ledger_id").agg(F.min("rule").alias("problem"))
+    return old.select("ledger_id").distinct().join(sound, "ledger_id", "left").join(found, "ledger_id", "left").na.fill(0, ["converted"])
 
 
 def _by_user():
@@ -571,3 +573,43 @@ def document_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = documents.union(nations.select(F.lit("customer"), F.col("c_custkey").cast("long"), F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("n_name").alias("nation")))))
     documents = documents.union(table(spark, sf_dir, "part").select(F.lit("part"), F.col("p_partkey").cast("long"), F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size")))))
     return paths.document_breaches(documents, paths.Schemas(_SCHEMAS).contract(spark), ["k"]).select("kind", "k", "at", "rule")
+
+
+@query(
+    """with o as (select o_custkey c, o_orderkey k, row_number() over (partition by o_custkey order by o_orderkey) q from orders), t as (select c, k, q, max(q) over (partition by c) n, max(k) over (partition by c) last from o)
+select 'C-' || c as ledger_id, 'programs' as collection, 1::bigint as n_before, 1::bigint as n_after from t where q = 1 and last % 5 = 0
+union all select 'C-' || c, 'hypotheses', n - 1, n - 2 from t where q = 1 and n > 1 and last % 5 = 0 and n > 2
+union all select 'C-' || c, 'hypotheses', 1, 0 from t where q = 1 and n = 2 and last % 5 = 0"""
+)
+def changed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger for each customer, an event for each order: its program, then hypotheses; where the last order's number ends in 0 or 5, the other ledger lacks that event. The state tables that differ."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("q"), F.max("o_orderkey").over(Window.partitionBy("o_custkey")).alias("last"))
+    first = F.col("q") == 1
+    claim = F.array(F.lit("CL-1"))
+    events = rows.select(
+        F.concat(F.lit("C-"), _text("o_custkey")).alias("ledger_id"), F.col("q").cast("long").alias("sequence"), F.concat(F.lit("CE-"), _text("q")).alias("event_id"), F.when(first, "program.created").otherwise("hypothesis.created").alias("type"),
+        F.when(first, "RP-1").otherwise(F.concat(F.lit("HY-"), _text("o_orderkey"))).alias("object_id"), F.lit("t").alias("occurred_at"),
+        F.when(first, _json(F.lit("s").alias("slug"), F.lit("t").alias("title"))).otherwise(_json(F.lit("RP-1").alias("program_id"), claim.alias("claim_ids"), _text("o_orderkey").alias("statement"))).alias("payload"), (F.col("o_orderkey") == F.col("last")).alias("is_last"), "last",
+    )
+    gone = F.col("is_last") & (F.col("last") % 5 == 0) & (F.col("type") == "hypothesis.created")
+    out = state.state_changes(events.drop("is_last", "last"), events.where(~gone).drop("is_last", "last"))
+    return out.select("ledger_id", "collection", "n_before", "n_after")
+
+
+@query(
+    """with o as (select o_orderkey q, 'RP-' || o_custkey p, o_orderstatus s from orders), v as (select q, p id from o union all select q, 'RUN-' || q from o union all select q, s from o)
+select id, q as sequence from v where id in ('RP-1', 'RP-2', 'RP-10', 'RUN-7', 'P')"""
+)
+def trace_index_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as events that name their program; indexed in three batches, by status, one of them twice; the events of some ids, read from their buckets."""
+    events = table(spark, sf_dir, "orders").select(
+        F.lit("L").alias("ledger_id"), F.col("o_orderkey").cast("long").alias("sequence"), F.concat(F.lit("RUN-"), _text("o_orderkey")).alias("object_id"), "o_orderstatus", _json(F.struct(F.array(F.concat(F.lit("RP-"), _text("o_custkey"))).alias("in")).alias("a"), F.col("o_orderstatus").alias("s")).alias("payload")
+    )
+    path = lineage.scratch(spark)
+    for status in ("F", "O", "P", "O"):
+        trace_index.append(events.where(F.col("o_orderstatus") == status).drop("o_orderstatus"), path, status)
+    ids = spark.createDataFrame([("L", x) for x in ("RP-1", "RP-2", "RP-10", "RUN-7", "P")], "ledger_id string, id string")
+    return trace_index.look_up(spark, path, ids).select("id", "sequence")

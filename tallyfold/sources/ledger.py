@@ -79,6 +79,22 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).select("ledger_id", F.from_json("raw", schema).alias("e"), "raw").select("ledger_id", "e.*", "raw")
 
 
+# Fixed: members of a journal event's payload, by the columns that jobs.* reads.
+JOURNAL = {
+    "job_id": "$.job_id", "task_id": "$.task_id", "key": "$.idempotency_key_sigil", "state": "$.state", "reason": "$.reason", "specification_id": "$.specification.specification_id", "specification_digest": "$.specification.specification_sigil",
+    "job_binding": "$.job_binding_sigil", "executor_id": "$.executor_instance_id", "build_digest": "$.executor_build_sigil",
+}
+
+
+def journal_columns(journal: DataFrame) -> DataFrame:
+    """A read journal in the columns of jobs.*: event_digest, and the members of the payload; request is that of a start or of a cancellation."""
+    v = F.try_parse_json("payload")
+    text = lambda path: F.try_variant_get(v, path, "string")
+    request = F.coalesce(text("$.start_request_sigil"), text("$.cancellation_request_sigil"))
+    more = [F.try_variant_get(v, "$.executor_epoch", "long").alias("epoch"), F.try_variant_get(v, "$.expected_revision", "long").alias("expected_revision")]
+    return journal.select("ledger_id", "sequence", "event_id", "event_type", "recorded_at", F.col("previous_event_sigil").alias("previous_digest"), F.col("event_sigil").alias("event_digest"), *(text(path).alias(c) for c, path in JOURNAL.items()), request.alias("request"), *more)
+
+
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     """path, length and digest of each file; the content goes no further than its task."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", bytes_digest(F.col("content")).alias("digest"))

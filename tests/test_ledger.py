@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions import digest as D
-from tallyfold.operators import acceptance, chain, jobs, lineage, reads, rules, state, workflow
+from tallyfold.operators import acceptance, chain, conversion, jobs, lineage, reads, rules, state, workflow
 from tallyfold.operators import contracts as K
 from tallyfold.sources import ledger
 
@@ -397,9 +397,11 @@ def test_old_ledgers_are_checked_and_converted(spark):
         receipt = {"schema_version": "receipt/1.1", "receipt_id": x["receipt"]["receipt_id"], "event_id": x["event_id"], "event_body_sigil": sealed(event), "previous_receipt_sigil": previous, "accepted_at": x["occurred_at"]}
         assert r.event_body_sigil == sealed(event) and r.receipt.receipt_sigil == sealed(receipt)
         previous = sealed(receipt)
-    kept = old.where("ledger_id = 'good'").withColumn("payload", F.col("payload"))
-    t = lambda events: state.tables(events.select("ledger_id", "sequence", "event_id", "type", "object_id", "occurred_at", "payload"))["programs"].select("ledger_id", "id", "slug", "status")
-    assert chain.unchanged(t(kept), t(new)).count() == 0
+    done = conversion.converted(old, json.dumps(actor))
+    assert {r.ledger_id for r in done["refused"].collect()} == {"bad", "more"} and done["unsound"].count() == 0 and done["lines"].count() == 4
+    assert conversion.state_proof(old, done["lines"]).count() == 0  # all tables, not of programs alone
+    other = old.withColumn("object_id", F.when((F.col("ledger_id") == "good") & (F.col("sequence") == 2), "RP-9").otherwise(F.col("object_id")))
+    assert {(r.ledger_id, r.collection) for r in conversion.state_proof(other, done["lines"]).collect()} == {("good", "programs")}
 
 
 def test_a_written_ledger_reads_back(spark, tmp_path):
