@@ -15,9 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.functions.digest import draw
+from tallyfold.functions.digest import SUM, draw, id_hash, id_sums, text_digest
 from tallyfold.functions.student import t_critical
 from tallyfold.operators.lineage import kept
+from tallyfold.operators.ordered import chunked
 
 KEY = ["ledger_id", "protocol_id", "comparison_id"]
 #: Values of a comparison that the bootstrap holds in one array; more go by rows and a shuffle.
@@ -254,6 +255,58 @@ def bundles(results: DataFrame, runs: DataFrame, expected: DataFrame) -> DataFra
     return own.join(inventory(runs, expected), by, "left").join(out, by, "left")
 
 
+#: Run ids in one chunk of an inventory.
+CHUNK = 10_000
+KINDS = ("all", "included", "excluded", "failed", "missing")
+
+
+def _listed(runs: DataFrame, expected: DataFrame) -> DataFrame:
+    """ledger_id, protocol_id, kind, run_id: a row for each list that a run is in, and each expected one that is missing."""
+    by = ["ledger_id", "protocol_id"]
+    of = F.array_compact(F.array(F.lit("all"), F.when(counts(), "included").otherwise("excluded"), F.when(F.col("status") == "FAILED", "failed")))
+    return runs.select(*by, F.explode(of).alias("kind"), "run_id").unionByName(missing_runs(runs, expected).select(*by, F.lit("missing").alias("kind"), "run_id").distinct())
+
+
+def inventory_chunks(runs: DataFrame, expected: DataFrame, size: int = CHUNK) -> DataFrame:
+    """ledger_id, protocol_id, kind (see KINDS), chunk, items: the sorted run ids of each list, `size` a row."""
+    return chunked(_listed(runs, expected), ["ledger_id", "protocol_id", "kind"], "run_id", size)
+
+
+def inventory_digests(runs: DataFrame, expected: DataFrame) -> DataFrame:
+    """ledger_id, protocol_id, kind, n, digest of each list of run ids: the same whatever the chunks, and without any being made.
+
+    The digest is that of the number of ids and two sums of their hashes, so it
+    is made of partial sums.
+    """
+    rows = _listed(runs, expected).groupBy("ledger_id", "protocol_id", "kind").agg(F.count("*").alias("n"), F.sum(id_hash(1, F.col("run_id"))).alias("a"), F.sum(id_hash(2, F.col("run_id"))).alias("b"))
+    return rows.select("ledger_id", "protocol_id", "kind", "n", inventory_digest(F.col("n"), F.col("a"), F.col("b")).alias("digest"))
+
+
+def inventory_digest(n: Column, a: Column, b: Column) -> Column:
+    return text_digest(F.concat_ws(":", n.cast("string"), a.cast(SUM).cast("string"), b.cast(SUM).cast("string")))
+
+
+def chunk_digests(chunks: DataFrame) -> DataFrame:
+    """inventory_digests() from chunks, however they are cut."""
+    s = id_sums(F.col("items"))
+    rows = chunks.select("ledger_id", "protocol_id", "kind", s.alias("s")).groupBy("ledger_id", "protocol_id", "kind").agg(F.sum("s.n").alias("n"), F.sum("s.a").alias("a"), F.sum("s.b").alias("b"))
+    return rows.select("ledger_id", "protocol_id", "kind", "n", inventory_digest(F.col("n"), F.col("a"), F.col("b")).alias("digest"))
+
+
+def bundle_records(results: DataFrame, runs: DataFrame, expected: DataFrame) -> DataFrame:
+    """One record per protocol: its comparisons in registered order, and of each list of runs the number, the digest and the chunks that hold it (see inventory_chunks()).
+
+    Only what is registered, comparisons and kinds of lists, is gathered in a
+    row; runs aren't, so a protocol may have any number.
+    """
+    by = ["ledger_id", "protocol_id"]
+    names = [c for c in results.columns if c not in (*by, "position")]
+    own = results.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct(*names).alias("x")))), lambda s: s["x"]).alias("comparisons"))
+    told = F.struct("n", "digest", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    lists = inventory_digests(runs, expected).groupBy(*by).agg(*(F.max(F.when(F.col("kind") == k, told)).alias(f"{k}_runs") for k in KINDS))
+    return own.join(lists, by, "left")
+
+
 def legacy_summary(runs: DataFrame) -> DataFrame:
     """Old-style means by metric with a fixed normal margin, where all runs that count report the same metrics; else problem."""
     by = ["ledger_id", "protocol_id"]

@@ -49,3 +49,9 @@ def carried(rows: DataFrame, by: list[str], order: list[str], values: dict[str,
     ends = ends.select(*by, _RANGE, *(F.last(f"_end_{n}", ignorenulls=True).over(_before(ends, by, back)).alias(f"_off_{n}") for n in names))
     own = at.select("*", *(F.last(f"_own_{n}", ignorenulls=True).over(w).alias(f"_run_{n}") for n in names))
     return own.join(ends, [*by, _RANGE]).select(*rows.columns, *(F.coalesce(f"_run_{n}", f"_off_{n}").alias(n) for n in names))
+
+
+def chunked(rows: DataFrame, by: list[str], item: str, size: int) -> DataFrame:
+    """by, chunk (from 0), items: the sorted items of each key in arrays of `size`; a key of any number of items is so many rows."""
+    numbered = running(rows.select(*by, item), by, [item], {"_n": F.lit(1).cast("long")})
+    return numbered.groupBy(*by, F.floor((F.col("_n") - 1) / size).alias("chunk")).agg(F.array_sort(F.collect_list(item)).alias("items"))

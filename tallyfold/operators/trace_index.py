@@ -40,7 +40,8 @@ def postings(events: DataFrame) -> DataFrame:
 def append(events: DataFrame, path: str, batch: str) -> None:
     """Adds the events of a batch to the index; a batch that comes again replaces itself."""
     rows = postings(events).withColumn("bucket", bucket_of(F.col("value"))).withColumn("batch", F.lit(batch))
-    rows.repartition("bucket", "block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+    # lists are cut already, so a bucket is few rows even where its values are in many events
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -435,7 +435,7 @@ select root, depth, count(distinct node) n from r group by 1, 2"""
 )
 def lineage_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = table(spark, sf_dir, "nation").select(F.lit("L").alias("ledger_id"), F.concat(F.lit("nation:"), "n_nationkey").alias("id"))
-    return lineage.closure(_edges(spark, sf_dir), start, up=True).groupBy("root", "depth").agg(F.count("*").alias("n"))
+    return lineage.reach_counts(_edges(spark, sf_dir), start, up=True).select("root", "depth", "n")
 
 
 @query(

@@ -452,9 +452,9 @@ def result_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     runs = views.line_runs(spark, sf_dir)
     results = compare.compare(runs, views.registered(spark, _UNPAIRED), intervals=False)
-    out = compare.bundles(results, runs, runs.select("ledger_id", "protocol_id", "run_id").where("false"))
+    out = compare.bundle_records(results, runs, runs.select("ledger_id", "protocol_id", "run_id").where("false"))
     total = F.aggregate("comparisons", F.lit(0.0), lambda a, c: a + c["estimate"])
-    return out.select("protocol_id", F.size("comparisons").alias("comparisons"), F.round(total, 4).alias("estimates"), F.size("all_runs").cast("long").alias("all_runs"))
+    return out.select("protocol_id", F.size("comparisons").alias("comparisons"), F.round(total, 4).alias("estimates"), F.col("all_runs.n").alias("all_runs"))
 
 
 @query(
@@ -613,3 +613,19 @@ def trace_index_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
         trace_index.append(events.where(F.col("o_orderstatus") == status).drop("o_orderstatus"), path, status)
     ids = spark.createDataFrame([("L", x) for x in ("RP-1", "RP-2", "RP-10", "RUN-7", "P")], "ledger_id string, id string")
     return trace_index.look_up(spark, path, ids).select("id", "sequence")
+
+
+@query(
+    """with s as (select user_id::varchar p, lpad(event_id::varchar, 10, '0') id, (json_extract_string(props, '$.k'))::int % 10 <> 0 inc, event_type = 'error' f from events),
+k as (select p, id, unnest(['all', case when inc and not f then 'included' else 'excluded' end, case when f then 'failed' end]) kind from s), r as (select p, kind, id, (row_number() over (partition by p, kind order by id) - 1) // 25 c from k where kind is not null)
+select p as protocol_id, kind, c::bigint as chunk, count(*) as n, min(id) as first, sha256(string_agg(id, ',' order by id)) as ids_digest, true as same from r group by 1, 2, 3"""
+)
+def inventory_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of each protocol's runs in chunks of 25 ids; whether the chunks' digest is that of the runs."""
+    runs = views.status_runs(spark, sf_dir)
+    none = runs.select("ledger_id", "protocol_id", "run_id").where("false")
+    chunks = kept(compare.inventory_chunks(runs, none, 25))
+    whole = compare.inventory_digests(runs, none).withColumnRenamed("digest", "_whole").drop("n")
+    key = ["ledger_id", "protocol_id", "kind"]
+    same = compare.chunk_digests(chunks).join(whole, key).select(*key, (F.col("digest") == F.col("_whole")).alias("same"))
+    return chunks.join(same, key).select("protocol_id", "kind", "chunk", F.size("items").cast("long").alias("n"), F.get("items", F.lit(0)).alias("first"), F.sha2(F.array_join("items", ","), 256).alias("ids_digest"), "same")

@@ -138,3 +138,54 @@ def test_states_are_proved_equal(spark):
     assert state.state_changes(sound, later).count() == 0
     other = sound.where("object_id <> 'DV-1'").unionByName(events_with_actors(spark, [("hypothesis.created", "HY-9", P | {"claim_ids": ["CL-1"], "statement": "s", "prediction": "p"})]).withColumn("sequence", F.lit(99).cast("long")))
     assert {(r.collection, r.n_before, r.n_after) for r in state.state_changes(sound, other).collect()} == {("deviations", 1, 0), ("hypotheses", 2, 3), ("programs", 1, 1), ("protocols", 2, 2)}
+
+
+def test_reach_is_counted_by_bits(spark):
+    import random
+    from collections import deque
+
+    rng = random.Random(6)
+    edges = [("L", f"n{rng.randrange(120)}", f"n{rng.randrange(120)}") for _ in range(200)] + [("M", "a", "b"), ("M", "b", "a")]
+    links = spark.createDataFrame(edges, "ledger_id string, src string, dst string")
+    start = [("L", f"n{i}") for i in range(100)] + [("M", "a"), ("L", "n1")]
+    for up in (False, True):
+        following = {}
+        for ledger_id, a, b in edges:
+            following.setdefault((ledger_id, b if up else a), set()).add(a if up else b)
+        want = {}
+        for ledger_id, root in set(start):
+            depth, todo = {root: 0}, deque([root])
+            while todo:
+                x = todo.popleft()
+                for y in following.get((ledger_id, x), ()):
+                    if y not in depth:
+                        depth[y] = depth[x] + 1
+                        todo.append(y)
+            for d in depth.values():
+                want[ledger_id, root, d] = want.get((ledger_id, root, d), 0) + 1
+        got = {(r.ledger_id, r.root, r.depth): r.n for r in lineage.reach_counts(links, spark.createDataFrame(start, "ledger_id string, id string"), up).collect()}
+        assert got == want
+
+
+def test_inventories_in_chunks(spark):
+    schema = "ledger_id string, protocol_id string, run_id string, status string, disposition struct<included:boolean,reason:string,policy_reference:string>"
+    rows = [("L", "P" if i % 5 else "Q", f"R{i:03d}", "FAILED" if i % 7 == 0 else "COMPLETED", (i % 3 > 0, None, None)) for i in range(100)]
+    runs = spark.createDataFrame(rows, schema).repartition(3)
+    expected = spark.createDataFrame([("L", "P", "R001"), ("L", "P", "GONE"), ("L", "P", "GONE")], "ledger_id string, protocol_id string, run_id string")
+    lists = {}
+    for _, p, i, status, d in rows:
+        for k in ("all", "included" if status == "COMPLETED" and d[0] else "excluded", *(["failed"] if status == "FAILED" else [])):
+            lists.setdefault((p, k), []).append(i)
+    lists["P", "missing"] = ["GONE"]
+    whole = {(r.protocol_id, r.kind): (r.n, r.digest) for r in compare.inventory_digests(runs, expected).collect()}
+    for size in (7, 1000):
+        chunks = compare.inventory_chunks(runs, expected, size).cache()
+        got = {}
+        for r in chunks.orderBy("chunk").collect():
+            assert len(r["items"]) <= size
+            got.setdefault((r.protocol_id, r.kind), []).extend(r["items"])
+        assert got == lists and {(r.protocol_id, r.kind): (r.n, r.digest) for r in compare.chunk_digests(chunks).collect()} == whole
+    assert {k: n for k, (n, _) in whole.items()} == {k: len(v) for k, v in lists.items()} and len({d for _, d in whole.values()}) == len(whole)
+    results = spark.createDataFrame([("L", "P", 0, "c", 1.0)], "ledger_id string, protocol_id string, position int, comparison_id string, estimate double")
+    (b,) = compare.bundle_records(results, runs, expected).collect()
+    assert (b.comparisons[0].estimate, b.all_runs.n, b.all_runs.chunks, b.missing_runs.n) == (1.0, 80, 1, 1) and b.all_runs.digest == whole["P", "all"][1]
