@@ -577,7 +577,7 @@ def document_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with o as (select o_custkey c, o_orderkey k, row_number() over (partition by o_custkey order by o_orderkey) q from orders), t as (select c, k, q, max(q) over (partition by c) n, max(k) over (partition by c) last from o)
-select 'C-' || c as ledger_id, 'programs' as collection, 1::bigint as n_before, 1::bigint as n_after from t where q = 1 and last % 5 = 0
+select 'C-' || c as ledger_id, 'programs' as collection, 1::bigint as n_before, 1::bigint as n_after from t where q = 1 and n > 1 and last % 5 = 0
 union all select 'C-' || c, 'hypotheses', n - 1, n - 2 from t where q = 1 and n > 1 and last % 5 = 0 and n > 2
 union all select 'C-' || c, 'hypotheses', 1, 0 from t where q = 1 and n = 2 and last % 5 = 0"""
 )
