@@ -123,6 +123,20 @@ def test_critical_values_of_printed_tables():
     assert (np.diff(student.cdf(t, np.full(81, 7.0))) > 0).all()
 
 
+def test_critical_values_for_many_degrees_of_freedom():
+    for level in (0.5, 0.9, 0.95, 0.999):
+        z = -student.NormalDist().inv_cdf((1 - level) / 2)
+        for df in (1e6, 1e9, 1e12):
+            near = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
+            assert float(student.critical(level, df)) == pytest.approx(near, abs=1e-10)
+        below, above = (float(student.critical(level, student.MANY + d)) for d in (-1e-3, 0))  # where the series takes over
+        assert above < below + 1e-11 and below == pytest.approx(above, abs=1e-8)
+    for t in (-7.0, -2.0, 0.3, 4.0):
+        below, above = (float(student.cdf(t, student.MANY + d)) for d in (-1e-3, 0))
+        assert below == pytest.approx(above, abs=1e-10)
+    assert float(student.cdf(1.959963984540054, 1e12)) == pytest.approx(0.975, abs=1e-11)
+
+
 def test_bundles_old_runs_and_recheck(spark):
     runs = spark.createDataFrame(arms([1.0, 1.2], [1.5, 1.7]), RUN)
     specs = spark.createDataFrame([spec("b", position=0), spec("a", position=1)], SPEC)
