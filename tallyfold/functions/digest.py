@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,8 +48,6 @@ def canonical(text: str | None, without: tuple[str, ...] = (), at: str | None =
 
 def json_digest_of(value) -> str:
     """Digest of a small value on the driver, as json_digest() gives it for its text."""
-    import hashlib
-
     return PREFIX + hashlib.sha256(canonical(json.dumps(value)).encode()).hexdigest()
 
 
@@ -120,6 +120,12 @@ def draw(seed: Column, counter: Column, n: Column) -> Column:
     return F.get(F.transform(F.array(digest), folded), F.lit(0))  # a bound variable, so that the digest is computed once
 
 
+def draws(seed: str, counter: int, n: int) -> np.ndarray:
+    """n indexes below n, those of draw() for so many counters from this one on."""
+    start, sha = f"{seed}:".encode(), hashlib.sha256
+    return np.array([int.from_bytes(sha(start + str(i).encode()).digest(), "big") % n for i in range(counter, counter + n)], np.int64)
+
+
 def list_digest(*parts: Column) -> Column:
     """SHA-256 of the canonical JSON list of some texts, in hexadecimal digits."""
     return F.sha2(F.encode(canonical_json(F.to_json(F.array(*parts))), "utf-8"), 256)

@@ -10,12 +10,14 @@ uncertainty (student_t, bootstrap, unavailable), level, seed, samples, policy
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.functions.digest import SUM, draw, id_hash, id_sums, text_digest
+from tallyfold.functions.digest import SUM, draw, draws, id_hash, id_sums, text_digest
 from tallyfold.functions.student import t_critical
 from tallyfold.operators.lineage import kept
 from tallyfold.operators.ordered import chunked
@@ -135,16 +137,28 @@ def _array_means(rows: DataFrame, size: DataFrame) -> DataFrame:
     arrays = rows.join(size.select(*KEY), KEY).groupBy(*KEY).agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("o", "value")))), lambda x: x["value"]).alias(s) for s in "dtc"))
     # the arrays go to blocks of samples, not to each sample
     blocks = size.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("samples") - 1) / SAMPLE_BLOCK)))).join(arrays, KEY).repartition(*KEY, "block")
-    first = F.col("block") * SAMPLE_BLOCK
-    drawn = blocks.withColumn("b", F.explode(F.sequence(first, F.least(first + SAMPLE_BLOCK, F.col("samples")) - 1)))
-
-    def mean(side: str, base: Column, n: Column) -> Column:
-        picks = F.sequence(F.lit(0).cast("long"), n - 1)
-        return F.aggregate(picks, F.lit(0.0), lambda a, i: a + F.get(F.col(side), draw(F.col("seed"), base + i, n).cast("int"))) / n
-
-    n = F.col("nt") + F.col("nc")
-    unpaired = mean("t", F.col("b") * n, F.col("nt")) - mean("c", F.col("b") * n + F.col("nt"), F.col("nc"))
-    return drawn.select(*KEY, "b", F.when(F.col("nd") > 0, mean("d", F.col("b") * F.col("nd"), F.col("nd"))).otherwise(unpaired).alias("mean"))
+    first = (F.col("block") * SAMPLE_BLOCK).cast("long")
+    asked = blocks.select(*KEY, F.col("seed").cast("string").alias("seed"), first.alias("first"), F.least(first + SAMPLE_BLOCK, F.col("samples")).cast("long").alias("last"), *"dtc")
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out_b, out = [], [], []
+            for i, (seed, lo, hi, d, t, c) in enumerate(zip(*(batch[x].to_pylist() for x in ("seed", "first", "last", *"dtc")), strict=True)):
+                sides = [np.array(x, float) for x in ([d] if d else [t, c])]
+                n = sum(map(len, sides))
+                for b in range(lo, hi):
+                    picks, found = b * n, []
+                    for side in sides:
+                        found.append(side[draws(seed, picks, len(side))].sum() / len(side))
+                        picks += len(side)
+                    at.append(i)
+                    out_b.append(b)
+                    out.append(found[0] if d else found[0] - found[1])
+            keys = [batch[k].take(pa.array(at, pa.int64())) for k in KEY]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(out_b, pa.int64()), pa.array(out, pa.float64())], [*KEY, "b", "mean"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    return asked.mapInArrow(means, ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", b long, mean double")
 
 
 def _row_means(rows: DataFrame, size: DataFrame) -> DataFrame:
