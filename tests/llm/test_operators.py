@@ -315,6 +315,15 @@ def test_secrets_of_held_out_findings(spark):
     assert {(r.doc_id, r.candidate) for r in found} >= real  # every planted secret is a candidate
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the given tables aren't here")
+def test_secrets_of_the_documents(spark):
+    """Tokens that the given documents hold, found by a pattern of their own: all are told, and hardly anything else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    real = {(r.doc_id, t) for r in docs.where("text is not null").collect() for t in re.findall(r'(?:token|secret|password) = "([^"\s]{8,})"', r.text)}
+    caught = {(r.doc_id, r.candidate) for r in secretscan.scan(docs, F.col("source")).where("secret").collect()}
+    assert len(real) > 5 and real <= caught and len(caught - real) <= 0.1 * len(caught)
+
+
 def test_secrets_edge_cases(spark):
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     rows = [(i, t, s) for i, t, s in corpus()]
