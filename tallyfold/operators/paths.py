@@ -206,22 +206,24 @@ def document_breaches(documents: DataFrame, contract: DataFrame, key: list[str])
         here = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in (rules | {"badly named field": badly_named}).items())))
         there = F.coalesce(F.transform(lacks, lambda x: F.struct(F.concat(F.col("at"), F.lit("."), x).alias("at"), F.lit("missing field").alias("rule"))), F.array().cast("array<struct<at:string,rule:string>>"))
         both = F.concat(F.transform(here, lambda r: F.struct(F.col("at").alias("at"), r.alias("rule"))), there)
-        own = ["path", "n", "at"]
         children = F.concat(
             F.coalesce(F.transform(F.map_entries("members"), lambda e: F.struct(e["key"].alias("name"), F.concat(F.col("at"), F.lit("."), e["key"]).alias("at"), e["value"].alias("v"))), F.array().cast("array<struct<name:string,at:string,v:variant>>")),
             F.coalesce(F.transform("items", lambda x, i: F.struct(F.lit(None).cast("string").alias("name"), F.concat(F.col("at"), F.lit("["), i.cast("string"), F.lit("]")).alias("at"), x.alias("v"))), F.array().cast("array<struct<name:string,at:string,v:variant>>")),
         )
-        opened = got.select(*key, "kind", *own, both.alias("broken"), children.alias("children"))
-        out.append(opened.select(*key, "kind", F.explode("broken").alias("b")).select(*key, "kind", "b.at", "b.rule"))
+        # breaches and children leave in one pass, which is cut to files
+        shape = "array<struct<name:string,at:string,v:variant,rule:string>>"
+        broken = F.transform(both, lambda b: F.struct(F.lit(None).cast("string").alias("name"), b["at"].alias("at"), F.lit(None).cast("variant").alias("v"), b["rule"].alias("rule"))).cast(shape)
+        inner = F.transform(children, lambda c: F.struct(c["name"].alias("name"), c["at"].alias("at"), c["v"].alias("v"), F.lit(None).cast("string").alias("rule"))).cast(shape)
+        opened = kept(got.select(*key, "kind", "path", F.col("n.closed").alias("_closed"), F.explode(F.concat(broken, inner)).alias("c")))
+        out.append(opened.where("c.rule is not null").select(*key, "kind", F.col("c.at").alias("at"), F.col("c.rule").alias("rule")))
         if k == depth - 1:
             break
-        below = opened.select(*key, "kind", "path", F.col("n.closed").alias("_closed"), F.explode("children").alias("c"))
+        below = opened.where("c.rule is null").select(*key, "kind", "path", "_closed", "c")
         named = F.when(F.col("c.name").isNull(), F.concat("path", F.lit(EACH))).otherwise(F.concat("path", F.lit(STEP), "c.name"))
         below = below.select(*key, "kind", "_closed", F.col("c.at").alias("at"), F.col("c.name").alias("name"), F.col("c.v").alias("v"), named.alias("_own"), F.concat("path", F.lit(ANY)).alias("_any"))
         first = below.join(relation, (F.col("kind") == F.col("_kind")) & (F.col("_own") == F.col("_path")), "left").drop("_kind", "_path").withColumnRenamed("n", "_n")
         second = first.join(relation, (F.col("kind") == F.col("_kind")) & (F.col("_any") == F.col("_path")) & F.col("_n").isNull() & F.col("name").isNotNull(), "left").drop("_kind", "_path")
         next_ = second.select(*key, "kind", "at", "name", "_closed", "v", F.when(F.col("_n").isNotNull(), F.col("_own")).otherwise(F.col("_any")).alias("path"), F.coalesce("_n", "n").alias("n"))
-        next_ = kept(next_)
         out.append(next_.where(F.col("n").isNull() & F.col("_closed") & F.col("name").isNotNull()).select(*key, "kind", "at", F.lit("unknown field").alias("rule")))
         level = next_.where(F.col("n").isNotNull()).select(*key, "kind", "at", "path", "v", "n")
         if level.isEmpty():
