@@ -566,3 +566,16 @@ def test_output_contracts(spark):
     rows = [(1, "evidence_discovery", ok), (2, "evidence_discovery", ok | {"queries": [], "x": 1, "screened_count": -1, "sources": [{"uri": ""}]}), (3, "nope", {}), (4, "code_inspection", [1]), (5, "code_inspection", {"inspected_files": ["a", 1], "findings": ["a", ""], "tests_considered": []}), (6, "experiment_execution", {"experiment_id": "EX-1", "commands": ["c"], "run_ids": ["RUN-1", "RUN-1"], "status": "LOST", "failures": []})]
     got = {(r.k, r.field, r.rule) for r in K.output_breaches(spark.createDataFrame([(k, s, json.dumps(d)) for k, s, d in rows], "k int, shape string, data string"), ["k"]).collect()}
     assert got == {(2, "queries", "wrong value"), (2, "screened_count", "wrong value"), (2, "sources.title", "missing"), (2, "sources.uri", "wrong value"), (2, "x", "unknown field"), (3, "", "not an object of a known shape"), (4, "", "not an object of a known shape"), (5, "findings", "wrong value"), (5, "inspected_files", "wrong value"), (5, "residual_risks", "missing"), (6, "run_ids", "wrong value"), (6, "status", "wrong value")}
+
+
+def test_output_contracts_meet_in_no_join(spark):
+    objects = {"experiment_proposal": {"a": 1}, "run_matrix": [{"a": 1}, {}], "controls": ["c"], "failure_criteria": ["f", None], "risks": []}
+    found = {"queries": ["q"], "sources": [{"uri": "u", "title": "t"}, {"uri": "u", "other": 1}, None], "screened_count": 1.5, "candidate_evidence": "x", "unresolved_queries": [], "limitations": []}
+    rows = [(1, "experiment_plan", json.dumps(objects)), (1, "experiment_plan", json.dumps(objects)), (2, "evidence_discovery", json.dumps(found)), (3, "source", "no JSON"), (4, "source", None), (5, None, "{}"), (6, "artifact", '{"uri":"u","sigil":"sha256:0"}')]
+    out = K.output_breaches(spark.createDataFrame(rows, "k int, shape string, data string"), ["k"])
+    none = "not an object of a known shape"
+    assert sorted(tuple(r) for r in out.collect()) == sorted([
+        (1, "failure_criteria", "wrong value"), (1, "run_matrix", "wrong value"), (2, "candidate_evidence", "wrong value"), (2, "screened_count", "wrong value"), (2, "sources.", none), (2, "sources.other", "unknown field"), (2, "sources.title", "missing"), (3, "", none), (4, "", none), (5, "", none), (6, "sigil", "wrong value"),
+    ])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "Union" not in plan  # an output's fields were sent to the driver to be joined with it
