@@ -154,3 +154,22 @@ def test_bundles_old_runs_and_recheck(spark):
     assert C.recheck(recorded, timed, specs).count() == 0
     wrong = recorded.withColumn("estimate", F.when(F.col("comparison_id") == "a", F.col("estimate") + 1).otherwise(F.col("estimate")))
     assert [r.comparison_id for r in C.recheck(wrong, timed, specs).collect()] == ["a"]
+
+
+def shuffled(spark, since):
+    """Most rows that one stage wrote for others among the stages from `since` on, and the next stage's number."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    own = [(s.stageId(), s.shuffleWriteRecords()) for s in (stages.apply(i) for i in range(stages.size()))]
+    return max((n for i, n in own if i >= since), default=0), max((i for i, _ in own), default=-1) + 1
+
+
+def test_runs_are_summed_up_before_they_are_shuffled(spark):
+    runs = arms([float(i % 7) for i in range(3000)], [float(i % 5) for i in range(2000)])
+    runs += [run("none", "t", None), ("L", "P", "E", "empty", "c", None, "COMPLETED", (True, None, None), None, {}), ("L", "P", "E", "other", "c", None, "COMPLETED", (True, None, None), None, {"x": 1.0, "m": 2.0})]
+    rows, specs = spark.createDataFrame(runs, RUN), spark.createDataFrame([spec(), spec("c2", policy="bonferroni", position=1)], SPEC)
+    _, since = shuffled(spark, 0)
+    got = C.compare(rows, specs, intervals=False).orderBy("comparison_id").collect()
+    most, _ = shuffled(spark, since)
+    assert [(r.comparison_id, r.n_t, r.n_c, r.max_t, r.problem) for r in got] == [(c, 2000, 3001, 4.0, "a value is missing or not finite") for c in ("c1", "c2")]
+    assert most < 200
