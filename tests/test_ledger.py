@@ -579,3 +579,16 @@ def test_output_contracts_meet_in_no_join(spark):
     ])
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and "Union" not in plan  # an output's fields were sent to the driver to be joined with it
+
+
+def test_roots_of_long_chains_take_few_rounds(spark):
+    n = 3000
+    rows = [(w, f"{i:05d}", f"{i - 1:05d}" if i else None) for w in "AB" for i in range(n)]
+    rows += [("A", f"r{i}", f"r{(i + 1) % 40}") for i in range(40)] + [("A", "x1", "r3"), ("B", "x1", "x2"), ("B", "x2", "gone"), ("B", "x3", "02999")]
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = {(r.ledger_id, r.id): r.root for r in lineage.roots(spark.createDataFrame(rows, "ledger_id string, id string, parent string")).collect()}
+    jobs = len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before)
+    assert len(got) == len(rows) and {got[w, f"{i:05d}"] for w in "AB" for i in range(n)} == {"00000"}
+    assert {got["A", f"r{i}"] for i in range(40)} == {None} and got["A", "x1"] is None
+    assert got["B", "x1"] == got["B", "x2"] == "gone" and got["B", "x3"] == "00000"
+    assert jobs < 45  # a chain of 3000 took 12 rounds
