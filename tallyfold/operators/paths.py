@@ -16,7 +16,6 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.operators.chain import union
 from tallyfold.operators.contracts import RFC3339
 from tallyfold.operators.lineage import kept
 
@@ -25,6 +24,8 @@ STEP = "\x1f"
 ANY, EACH = f"{STEP}*", f"{STEP}[]"
 #: Bytes of schema documents that may come to the driver, and steps that a path has at most (schemas may name themselves).
 MOST_BYTES, MOST_STEPS = 16 << 20, 16
+#: Levels that one pass opens.
+LEVELS = 6
 
 
 @dataclass
@@ -183,19 +184,24 @@ def document_breaches(documents: DataFrame, contract: DataFrame, key: list[str])
 
     at: the way to the place, as in $.lines[2].flag.  A text that isn't JSON, or
     a kind without a contract, is one breach.  Members that a contract doesn't
-    name are let be, or, where it is closed, are unknown fields.
+    name are let be, or, where it is closed, are unknown fields.  Breaches pass by
+    the levels below them, so LEVELS levels are one pass.
     """
     told = kept(contract)  # a row for each path that the schemas name
     width = F.struct(*[c for c in told.columns if c not in ("kind", "path")])
     relation = F.broadcast(told.select(F.col("kind").alias("_kind"), F.col("path").alias("_path"), width.alias("n")))
     kinds = [r[0] for r in told.select("kind").distinct().collect()]
     depth = told.agg(F.max(F.size(F.split("path", STEP)))).first()[0] or 0
+    nothing, none = F.lit(None).cast("variant"), F.lit(None).cast("string")
     start = documents.select(*key, "kind", F.lit("$").alias("at"), F.lit("$").alias("path"), F.try_parse_json("raw").alias("v"))
-    known = F.col("kind").isin(kinds)
-    out = [start.where(~F.coalesce(known, F.lit(False))).select(*key, "kind", "at", F.lit("no contract").alias("rule")), start.where(known & F.col("v").isNull()).select(*key, "kind", "at", F.lit("no JSON").alias("rule"))]
-    level = start.where(known & F.col("v").isNotNull()).join(relation, (F.col("kind") == F.col("_kind")) & (F.col("path") == F.col("_path"))).drop("_kind", "_path")
+    known = F.coalesce(F.col("kind").isin(kinds), F.lit(False))
+    joined = start.join(relation, (F.col("kind") == F.col("_kind")) & (F.col("path") == F.col("_path")), "left").drop("_kind", "_path")
+    level = joined.withColumn("rule", F.when(~known, F.lit("no contract")).when(F.col("v").isNull(), F.lit("no JSON"))).where("rule is not null or n is not null")
+    shape = "array<struct<name:string,at:string,v:variant,rule:string>>"
+    part = lambda name, at, v, rule: F.struct(name.alias("name"), at.alias("at"), v.alias("v"), rule.alias("rule"))
     for k in range(depth):
-        got = level.withColumn("text", F.to_json("v")).withColumn("kind_", _kind_of(F.col("text")))
+        open_ = F.col("rule").isNull()
+        got = level.withColumn("text", F.when(open_, F.to_json("v"))).withColumn("kind_", _kind_of(F.col("text")))
         got = got.withColumn("string", F.when(F.col("kind_") == "string", F.try_variant_get("v", "$", "string"))).withColumn("number", F.when(F.col("kind_").isin("integer", "number"), F.col("text").cast("double")))
         got = got.withColumn("items", F.when(F.col("kind_") == "array", F.try_variant_get("v", "$", "array<variant>"))).withColumn("members", F.when(F.col("kind_") == "object", F.try_variant_get("v", "$", "map<string,variant>")))
         names = F.coalesce(F.map_keys("members"), F.array().cast("array<string>"))
@@ -204,28 +210,25 @@ def document_breaches(documents: DataFrame, contract: DataFrame, key: list[str])
         odd = F.col("kind_") == "object"
         badly_named = odd & F.exists(names, lambda x: F.exists("n.names", lambda p: ~F.call_function("rlike", x, p)))
         here = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in (rules | {"badly named field": badly_named}).items())))
-        there = F.coalesce(F.transform(lacks, lambda x: F.struct(F.concat(F.col("at"), F.lit("."), x).alias("at"), F.lit("missing field").alias("rule"))), F.array().cast("array<struct<at:string,rule:string>>"))
-        both = F.concat(F.transform(here, lambda r: F.struct(F.col("at").alias("at"), r.alias("rule"))), there)
-        children = F.concat(
-            F.coalesce(F.transform(F.map_entries("members"), lambda e: F.struct(e["key"].alias("name"), F.concat(F.col("at"), F.lit("."), e["key"]).alias("at"), e["value"].alias("v"))), F.array().cast("array<struct<name:string,at:string,v:variant>>")),
-            F.coalesce(F.transform("items", lambda x, i: F.struct(F.lit(None).cast("string").alias("name"), F.concat(F.col("at"), F.lit("["), i.cast("string"), F.lit("]")).alias("at"), x.alias("v"))), F.array().cast("array<struct<name:string,at:string,v:variant>>")),
-        )
-        # breaches and children leave in one pass, which is cut to files
-        shape = "array<struct<name:string,at:string,v:variant,rule:string>>"
-        broken = F.transform(both, lambda b: F.struct(F.lit(None).cast("string").alias("name"), b["at"].alias("at"), F.lit(None).cast("variant").alias("v"), b["rule"].alias("rule"))).cast(shape)
-        inner = F.transform(children, lambda c: F.struct(c["name"].alias("name"), c["at"].alias("at"), c["v"].alias("v"), F.lit(None).cast("string").alias("rule"))).cast(shape)
-        opened = kept(got.select(*key, "kind", "path", F.col("n.closed").alias("_closed"), F.explode(F.concat(broken, inner)).alias("c")))
-        out.append(opened.where("c.rule is not null").select(*key, "kind", F.col("c.at").alias("at"), F.col("c.rule").alias("rule")))
+        empty = F.array().cast(shape)
+        parts = [F.transform(here, lambda r: part(none, F.col("at"), nothing, r)), F.transform(lacks, lambda x: part(none, F.concat(F.col("at"), F.lit("."), x), nothing, F.lit("missing field")))]
+        if k < depth - 1:
+            parts.append(F.transform(F.map_entries("members"), lambda e: part(e["key"], F.concat(F.col("at"), F.lit("."), e["key"]), e["value"], none)))
+            parts.append(F.transform("items", lambda x, i: part(none, F.concat(F.col("at"), F.lit("["), i.cast("string"), F.lit("]")), x, none)))
+        # breaches found before pass by, so that all levels are one pass
+        found = F.when(open_, F.concat(*(F.coalesce(p.cast(shape), empty) for p in parts))).otherwise(F.array(part(none, F.col("at"), nothing, F.col("rule"))).cast(shape))
+        below = got.select(*key, "kind", "path", F.col("n.closed").alias("_closed"), F.explode(found).alias("c")).select(*key, "kind", "path", "_closed", F.col("c.at").alias("at"), F.col("c.name").alias("name"), F.col("c.v").alias("v"), F.col("c.rule").alias("rule"))
         if k == depth - 1:
+            level = below
             break
-        below = opened.where("c.rule is null").select(*key, "kind", "path", "_closed", "c")
-        named = F.when(F.col("c.name").isNull(), F.concat("path", F.lit(EACH))).otherwise(F.concat("path", F.lit(STEP), "c.name"))
-        below = below.select(*key, "kind", "_closed", F.col("c.at").alias("at"), F.col("c.name").alias("name"), F.col("c.v").alias("v"), named.alias("_own"), F.concat("path", F.lit(ANY)).alias("_any"))
+        child = F.col("rule").isNull()
+        named = F.when(child, F.when(F.col("name").isNull(), F.concat("path", F.lit(EACH))).otherwise(F.concat("path", F.lit(STEP), "name")))
+        below = below.select(*key, "kind", "_closed", "at", "name", "v", "rule", named.alias("_own"), F.when(child, F.concat("path", F.lit(ANY))).alias("_any"))
         first = below.join(relation, (F.col("kind") == F.col("_kind")) & (F.col("_own") == F.col("_path")), "left").drop("_kind", "_path").withColumnRenamed("n", "_n")
         second = first.join(relation, (F.col("kind") == F.col("_kind")) & (F.col("_any") == F.col("_path")) & F.col("_n").isNull() & F.col("name").isNotNull(), "left").drop("_kind", "_path")
-        next_ = second.select(*key, "kind", "at", "name", "_closed", "v", F.when(F.col("_n").isNotNull(), F.col("_own")).otherwise(F.col("_any")).alias("path"), F.coalesce("_n", "n").alias("n"))
-        out.append(next_.where(F.col("n").isNull() & F.col("_closed") & F.col("name").isNotNull()).select(*key, "kind", "at", F.lit("unknown field").alias("rule")))
-        level = next_.where(F.col("n").isNotNull()).select(*key, "kind", "at", "path", "v", "n")
-        if level.isEmpty():
-            break
-    return union(out)
+        rule = F.coalesce("rule", F.when(F.col("_n").isNull() & F.col("n").isNull() & F.col("_closed") & F.col("name").isNotNull(), F.lit("unknown field")))
+        next_ = second.select(*key, "kind", "at", "v", F.when(F.col("_n").isNotNull(), F.col("_own")).otherwise(F.col("_any")).alias("path"), F.coalesce("_n", "n").alias("n"), rule.alias("rule"))
+        level = next_.where("rule is not null or n is not null")
+        if k % LEVELS == LEVELS - 1:
+            level = kept(level)
+    return level.where("rule is not null").select(*key, "kind", "at", "rule")

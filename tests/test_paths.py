@@ -63,3 +63,14 @@ def test_schemas_of_a_folder(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps(schema))
     read = paths.read_schemas(spark, str(tmp_path))
     assert {re.sub(paths.STEP, "/", r[1]) for r in read.rows(["common"])} == {"$"} and sorted(r[1] for r in read.rows()) == sorted(r[1] for r in paths.Schemas(SCHEMAS).rows())
+
+
+def test_all_levels_are_one_pass(spark):
+    inner = {"type": "object", "additionalProperties": False, "required": ["b"], "properties": {"b": {"type": "array", "items": {"type": "integer", "minimum": 2}}}}
+    contract = paths.Schemas({"x": {"type": "object", "additionalProperties": {"type": "string"}, "properties": {"a": inner}}}).contract(spark, ["x"])
+    rows = [(1, "x", '{"a":{"b":[1,"t",3],"c":1},"other":2}'), (2, "x", '{"a":{}}'), (3, "x", "no"), (4, "y", "{}"), (5, "x", None), (6, "x", '{"a":{"b":[]},"other":"t"}')]
+    out = paths.document_breaches(spark.createDataFrame(rows, "k int, kind string, raw string"), contract, ["k"])
+    assert sorted((r.k, r["at"], r.rule) for r in out.collect()) == [
+        (1, "$.a.b[0]", "out of bounds"), (1, "$.a.b[1]", "wrong type"), (1, "$.a.c", "unknown field"), (1, "$.other", "wrong type"), (2, "$.a.b", "missing field"), (3, "$", "no JSON"), (4, "$", "no contract"), (5, "$", "no JSON"),
+    ]
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
