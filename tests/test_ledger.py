@@ -443,6 +443,18 @@ def test_events_find_their_workflow_run(spark):
     assert left == {"WK-1": ([11], "COMPLETED"), "WK-2": ([], "ACTIVE")}
 
 
+def test_each_event_finds_its_run_by_itself(spark):
+    own = lambda p: P | {"protocol_id": p}
+    art = lambda i, by: ("artifact.registered", i, P | {"kind": "plot", "producer_id": by, "input_ids": []})
+    rows = [
+        ("working.created", "WK-1", own("PT-1")), ("working.created", "WK-2", own("PT-2")), ("experiment.planned", "EX-1", own("PT-1") | {"working_id": "WK-2"}), ("experiment.planned", "EX-2", own("PT-1") | {"working_id": "WK-2"}),
+        ("run.recorded", "EX-1", own("PT-2")), art("AR-1", "WK-1"), art("AR-2", "WK-2"), art("AR-3", "EX-1"), art("AR-4", "EX-2"),
+    ]
+    events = events_of(spark, rows).withColumn("sequence", F.when(F.col("object_id") == "AR-2", F.lit(6)).otherwise(F.col("sequence")).cast("long"))  # two events of one number
+    got = sorted((r.sequence, r.working_id) for r in workflow.runs_of_events(events).collect())
+    assert got == [(6, "WK-1"), (6, "WK-2"), (8, "WK-2")]  # AR-3: the end of its chain has the run's protocol under another record
+
+
 def test_next_actions(spark):
     rows = study()
     moments = {"RP-1": "resolve critical issues: IS-1", "RP-9": "select an existing program", None: "create or select a program"}
