@@ -544,6 +544,15 @@ def test_acceptance_of_what_reviews_and_files_say(spark):
     }
 
 
+def test_documents_are_read_before_they_meet_outputs(spark):
+    outs = spark.createDataFrame([("L", 1, "TK-1", None, None, i, "s", "p", "2") for i in range(3)], "ledger_id string, sequence int, task_id string, review_id string, capability_id string, place int, schema string, path string, digest string")
+    files = spark.createDataFrame([("p", "1", '{"schema_version":"s","task_id":"TK-2"}')], "path string, digest string, content string")
+    out = acceptance.contents(outs, files)
+    assert sorted(r.rule for r in out.collect()) == ["output differs", "output of another task"]  # of three outputs
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("json(content#") <= 2, plan  # for the rules, and for data of a known shape
+
+
 def test_patterns_hold_to_the_end(spark):
     rows = spark.createDataFrame([("a-b", "2024-01-01T00:00:00Z", "RP-1", "sha256:" + "0" * 64), ("a-b\n", "2024-01-01T00:00:00Z\n", "RP-1\n", "sha256:" + "0" * 64 + "\n")], "slug string, at string, id string, sigil string")
     broken = [(r.slug, r.rule) for r in K.breaches(rows, [K.pattern("slug", K.SLUG), K.timestamp("at"), K.identifier("id", "RP-"), K.pattern("sigil", K.DIGEST)], ["slug"]).collect()]
