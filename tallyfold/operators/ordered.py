@@ -14,15 +14,15 @@ from tallyfold.operators.lineage import kept
 
 _RANGE = "_range"
 #: Rows that a task sorts or groups.
-TASK_ROWS = 1_000_000
+TASK_ROWS = 500_000
 
 
-def parts(rows: DataFrame, size: int = TASK_ROWS) -> int:
+def parts(rows: DataFrame, size: int | None = None) -> int:
     """Into how many partitions rows are dealt, so that a task's share of them doesn't grow with the input: the session's number at least."""
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // size + 1)
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // (size or TASK_ROWS) + 1)
 
 
-def dealt(rows: DataFrame, by: list[str], size: int = TASK_ROWS) -> DataFrame:
+def dealt(rows: DataFrame, by: list[str], size: int | None = None) -> DataFrame:
     """rows, which are counted, so best a table or cut to files, dealt by key into parts(); joins and groups by the key keep that number."""
     return rows.repartition(parts(rows, size), *by)
 

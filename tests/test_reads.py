@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from test_ledger import P, events_with_actors, sealed, study
 
-from tallyfold.operators import compare, jobs, lineage, reads, rules, state, trace_index, workflow
+from tallyfold.operators import compare, jobs, lineage, ordered, reads, rules, state, trace_index, workflow
 from tallyfold.sources import ledger
 
 
@@ -189,3 +189,24 @@ def test_inventories_in_chunks(spark):
     results = spark.createDataFrame([("L", "P", 0, "c", 1.0)], "ledger_id string, protocol_id string, position int, comparison_id string, estimate double")
     (b,) = compare.bundle_records(results, runs, expected).collect()
     assert (b.comparisons[0].estimate, b.all_runs.n, b.all_runs.chunks, b.missing_runs.n) == (1.0, 80, 1, 1) and b.all_runs.digest == whole["P", "all"][1]
+
+
+def test_a_task_of_a_closure_holds_a_bounded_share_of_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_ROWS", 10)
+    seen = []
+    kept = lineage.kept
+    monkeypatch.setattr(lineage, "kept", lambda df: (lambda out: (seen.append(out.rdd.glom().map(len).collect()), out)[1])(kept(df)))
+    links = spark.range(400).select(F.lit("L").alias("ledger_id"), F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("p"), F.col("id") % 100).alias("dst"))
+    start = links.select("ledger_id", F.col("dst").alias("id")).distinct()
+    assert {(r.depth, r.n) for r in lineage.reach_counts(links, start, up=True).collect()} == {(0, 1), (1, 4)}
+    assert lineage.closure(links, start, up=True).count() == 500
+    edges = [x for x in seen if sum(x) == 400 and len(x) > 1]
+    assert edges and all(len(x) >= 41 for x in edges) and max(map(max, edges)) < 60
+
+
+def test_relations_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_ROWS", 10)
+    rows = spark.range(200).select(F.lit("L").alias("ledger_id"), F.col("id").alias("sequence"), F.lit("CE").alias("event_id"), F.when(F.col("id") < 100, "claim_relation.proposed").otherwise("claim_relation.verified").alias("type"), (F.col("id") % 100).cast("string").alias("object_id"), F.lit("t").alias("occurred_at"), F.lit('{"evidence_id":"EV-1","relation":"SUPPORTS"}').alias("payload"))
+    out = state.claim_relations(state.parsed(rows, state.RELATION_FIELDS), ordered.parts(rows))
+    assert out.rdd.getNumPartitions() == 21
+    assert {(r.evidence_id, r.relation, r.status) for r in out.collect()} == {("EV-1", "SUPPORTS", "VERIFIED")} and out.count() == 100
