@@ -90,6 +90,13 @@ def test_canonical_form(spark):
     assert r.d == int(hashlib.sha256(b"17:3").hexdigest(), 16) % 7
 
 
+def test_a_text_is_read_once_for_all_its_forms():
+    forms = [((), None), (("a",), None), ((), "b"), (("x",), "b"), ((), "none")]
+    assert D.canonicals('{"b": {"y": 1.50, "x": "é"}, "a": 1}', forms) == [canonical({"a": 1, "b": {"y": 1.5, "x": "é"}}), '{"b":{"x":"\\u00e9","y":1.5}}', '{"x":"\\u00e9","y":1.5}', '{"y":1.5}', None]
+    assert [D.canonicals(t, forms[:3]) for t in ('{"a": 1, "a": 2}', '{"a": NaN}', '{"a": 1e999}', "\ufeff{}", "{} {}", None)] == [[None] * 3] * 6
+    assert D.canonicals(" [1] ", forms[:3]) == ["[1]", None, None] and D.canonical("[1]", ("a",)) is None
+
+
 def test_recovery(spark):
     rows = chain.build_chain(spark.createDataFrame([("L", i, f"b{i}") for i in range(5)], "ledger_id string, at int, body string"), ["at"], F.col("body"))
     d = {r.sequence: r.digest for r in rows.collect()}
