@@ -21,8 +21,8 @@ from tallyfold.llm.text import ALNUM, Texts, discard, slices, trimmed, written
 
 #: Phrase texts searched at once; more are searched in further passes over each shard's rows.
 BLOCK_BYTES = 16 << 20
-#: Bytes of text in one shard's index.
-SHARD_BYTES = 4 << 20
+#: Bytes of text in one shard's index; arrays over them take some 60 bytes of memory for each.
+SHARD_BYTES = 1 << 20
 _SAMPLE = 8
 _TERMINAL, _BREAK = 0, 1
 

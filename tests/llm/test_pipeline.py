@@ -1,7 +1,11 @@
 import random
+import tracemalloc
 
 import corpus_pipeline
-from tallyfold.llm import queries
+import pyarrow as pa
+
+from tallyfold.llm import decontam, queries
+from tallyfold.llm.text import slices
 
 
 def test_stages_keep_clean_documents(spark, tmp_path):
@@ -34,3 +38,26 @@ def test_stages_keep_clean_documents(spark, tmp_path):
 def test_every_operator_has_a_query():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_rows_go_to_python_workers_by_bytes(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"{i} the of and " * 100_000, "en", "src", 0) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    spark.createDataFrame([("a", "some words")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    corpus_pipeline.benchmark(spark, docs, str(tmp_path))
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) > 2 * corpus_pipeline.BATCH_BYTES and max(r.n for r in sizes) < 2 * corpus_pipeline.BATCH_BYTES
+
+
+def test_an_index_takes_bounded_memory():
+    texts = [f"{i} the of and with that which was for from this have " * 1_000 for i in range(120)]
+    phrases = decontam.Phrases(["a"], ["the of and with that which was for from this have"], 10)
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("items", pa.list_(pa.string())), ("clean", pa.string())])
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    found = []
+    tracemalloc.start()
+    for part in slices(batch, "text", decontam.SHARD_BYTES):
+        found += decontam._mark(part, "text", "hit", phrases, kind).field("items").to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [["a"]] * 120
+    assert most < 160 << 20
