@@ -276,8 +276,9 @@ def test_rules_read_the_types_that_are_there(spark):
     assert found == {(5, "reference to another program"), (6, "unknown reference"), (6, "reference to another program"), (7, "duplicate id"), (8, "unknown type")}
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     few = events_with_actors(spark, rows[:3])
-    assert joins(state.audit(few)) <= 4
-    assert state.audit(events.where("false")).count() == 0
+    assert joins(state.audit(few)) <= 4 and joins(state.state_changes(few, few)) <= 10
+    assert {(r.collection, r.n_before, r.n_after) for r in state.state_changes(few, events).collect()} == {("programs", 2, 2), ("evidence", 1, 2), ("claims", 0, 1), ("hypotheses", 0, 2)}
+    assert state.audit(events.where("false")).count() == 0 and state.state_changes(events.where("false"), events.where("false")).count() == 0
 
 
 def test_pilots_need_their_runs(spark):
