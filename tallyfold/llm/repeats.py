@@ -20,10 +20,13 @@ its seed; those that some window over it holds are its reach.
 
 Everything a part sends is distinct within the part, so a passage in a third of
 all rows costs one entry for each part.  There are as many parts and buckets as
-shuffle partitions, and a row for each part and bucket that have something in
-common, as many as the blocks of any shuffle.  Inside a part, documents are
-worked through in slices of bounded size.  A seed's different surroundings meet
-in one range: about `L + behind` units for each that differs.
+shuffle partitions, or more so that a part holds PART_BYTES of text on average,
+and a row for each part and bucket that have something in common, as many as the
+blocks of any shuffle.  Inside a part, documents are worked through in slices of
+bounded size and reaches are cut from the text when they are looked at.  A range
+is compared by shares of SHARE_BYTES, which no seed's reaches are split over: a
+seed's different surroundings meet there, about `L + behind` units for each that
+differs.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from pyspark.sql import functions as F
 from tallyfold.llm.text import MUL, U, mix, parallelism, powers, shuffle_files_cleaned, slices, trimmed, written
 
 SLICE_BYTES = 1 << 18
+PART_BYTES = 1 << 24  # of text in a part, about
+SHARE_BYTES = 1 << 25  # of reaches that a range compares at once
 _SUB = 28  # bits of a seed's hash within its bucket, where a few chance hits do no harm
 _LOW = (1 << _SUB) - 1
 _STEP = 0xFFFF
@@ -82,15 +87,10 @@ class Units:
         return self
 
     def keep(self, which: np.ndarray) -> None:
-        """Only these anchors stay; their reaches (units out of the text are 0) and hashes of those are made, and what else they need goes."""
+        """Only these anchors stay; the hashes of their reaches are made, and what else those need goes."""
         behind, length = self.behind, self.length
         anchor, left, right = self.anchor[which], self.left[which], self.right[which]
         self.reach_hash = mix(self.hash(anchor - left, left + (length - behind) + right) + (left * (behind + 1) + right).astype(U) * MUL[1])
-        wide = np.concatenate([np.zeros(behind, self.raw.dtype), self.raw, np.zeros(length, self.raw.dtype)])
-        self.reach = np.lib.stride_tricks.sliding_window_view(wide, behind + length)[anchor]
-        cut = np.flatnonzero((left < behind) | (right < behind))
-        column = np.arange(behind + length)
-        self.reach[cut] *= (column >= behind - left[cut, None]) & (column < length + right[cut, None])
         self.place = (anchor - self.first[self.doc[which]]).astype(np.int32)
         self.anchor, self.doc, self.left, self.right = anchor.astype(np.int32), self.doc[which].astype(np.int32), left.astype(np.uint8), right.astype(np.uint8)
         del self.sums, self.down, self.seed
@@ -265,8 +265,36 @@ def compared(reach: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.nd
     return bits
 
 
-def even_keys(buckets: int) -> np.ndarray:
-    """Ends of ranges for keys that begin with a 64-bit hash."""
+def shares(blobs: list, n: list[int], kind, key: Callable[[np.ndarray], np.ndarray], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Reaches from squeezed blobs, about this many rows at a time: their places among all, and their units.
+
+    n: rows of each blob.  Reaches of one key come together, however many; the
+    blobs are read once for each share, so that only one share lies open.
+    """
+    total = sum(n)
+    opened = lambda i: _unsqueezed(blobs[i], kind).reshape(n[i], -1)
+    if total <= rows:
+        yield np.arange(total), np.concatenate([opened(i) for i in range(len(n))])
+        return
+    step = max(1, rows // 64)
+    keys, start = [], 0
+    for i, size in enumerate(n):  # every step-th row of all
+        keys.append(key(opened(i)[-start % step :: step]))
+        start += size
+    keys = np.sort(np.concatenate(keys))
+    count = -(-total // rows)
+    ends = np.unique(keys[np.arange(1, count) * len(keys) // count])
+    own = np.concatenate([np.searchsorted(ends, key(opened(i)), "right").astype(np.int32) for i in range(len(n))])
+    edge = np.cumsum([0, *n])
+    for k in range(len(ends) + 1):
+        at = np.flatnonzero(own == k)
+        if len(at):
+            cut = np.searchsorted(at, edge)
+            yield at, np.concatenate([opened(i)[at[a:b] - edge[i]] for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+
+
+def even_keys(buckets: int, size: int) -> np.ndarray:
+    """Ends of ranges for keys that begin with a 64-bit hash, however many bytes of text there are."""
     ends = np.zeros((max(0, buckets - 1), KEY_BYTES // 8), ">u8")
     ends[:, 0] = [(i << 64) // buckets for i in range(1, buckets)]
     return ends.view(f"S{KEY_BYTES}").ravel()
@@ -282,38 +310,66 @@ class Part:
             self.edge = np.zeros(len(ends) + 2, np.int64)
             return
         join = lambda f: np.concatenate([f(u, ids) for u, ids in self.slices])
-        hashed, self.left, self.right, self.place, reach = (join(lambda u, _, n=n: getattr(u, n)) for n in ("reach_hash", "left", "right", "place", "reach"))
+        hashed, self.left, self.right, self.place = (join(lambda u, _, n=n: getattr(u, n)) for n in ("reach_hash", "left", "right", "place"))
         self.doc = join(lambda u, ids: ids[u.doc])
+        some = self.slices[0][0]
+        self.behind, self.length = some.behind, some.length
+        # the units of all slices, with room for reaches beyond the ends
+        self.raw = np.concatenate([np.zeros(self.behind, some.raw.dtype), *(u.raw for u, _ in self.slices), np.zeros(self.length, some.raw.dtype)])
+        size = np.cumsum([0, *(len(u.raw) for u, _ in self.slices)])
+        self.at = np.concatenate([u.anchor + a for (u, _), a in zip(self.slices, size[:-1], strict=True)])
         for u, _ in self.slices:
-            del u.reach, u.reach_hash
+            del u.reach_hash
         order = np.lexsort((self.place, self.doc, hashed))  # the earliest occurrence first
         new = np.append(True, hashed[order][1:] != hashed[order][:-1])
+        del hashed
         first = lambda: order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        head = first()
-        if any((reach[order[a:b]] != reach[head[a:b]]).any() for a, b in _ranges(len(order))) or (self.left[order] != self.left[head]).any() or (self.right[order] != self.right[head]).any():  # two reaches of one hash
-            words = [self.left.astype(U), self.right.astype(U), *as_words(reach)]
-            order = np.lexsort((self.place, self.doc, *words[::-1]))
-            new = np.append(True, np.any([w[order][1:] != w[order][:-1] for w in words], axis=0))
-            head = first()
+        self._part_by_bytes(order, new, first())
+        head = np.empty(len(order), bool)
+        head[order] = new
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
-        heads = order[new]
-        by_text = np.argsort(heads)
-        bucket = np.concatenate([np.searchsorted(ends, key(reach[heads[by_text[a:b]]]), "right") for a, b in _ranges(len(heads))]).astype(np.int32)
-        by_range = by_text[np.argsort(bucket, kind="stable")]
+        heads = np.flatnonzero(head)  # in order of the text
+        bucket = np.concatenate([np.searchsorted(ends, key(self.reach(heads[a:b])), "right") for a, b in _ranges(len(heads))]).astype(np.int32)
+        by_range = np.argsort(bucket, kind="stable")
+        place = np.empty(len(heads), np.int64)
+        place[kind[heads[by_range]]] = np.arange(len(heads))
         self.head = heads[by_range]
         self.edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=len(ends) + 1))])
-        place = np.empty(len(heads), np.int64)
-        place[by_range] = np.arange(len(heads))
         self.which = place[kind]  # each anchor's place among the heads
-        self.reach = reach
+
+    def reach(self, which: np.ndarray) -> np.ndarray:
+        """The units of these anchors' reaches; those out of the text are 0."""
+        out = np.lib.stride_tricks.sliding_window_view(self.raw, self.behind + self.length)[self.at[which]]
+        left, right = self.left[which].astype(np.int64), self.right[which].astype(np.int64)
+        cut = np.flatnonzero((left < self.behind) | (right < self.behind))
+        column = np.arange(out.shape[1])
+        out[cut] *= (column >= self.behind - left[cut, None]) & (column < self.length + right[cut, None])
+        return out
+
+    def _part_by_bytes(self, order: np.ndarray, new: np.ndarray, head: np.ndarray) -> None:
+        """Reaches that share a hash alone are ordered by their units, in place; order: by hash, new: where one begins, head: the first of each."""
+        again = np.flatnonzero(~new)
+        differs = [np.zeros(0, np.int64)]
+        for a, b in _ranges(len(again)):
+            x, y = order[again[a:b]], head[again[a:b]]
+            differs.append(again[a:b][(self.left[x] != self.left[y]) | (self.right[x] != self.right[y]) | (self.reach(x) != self.reach(y)).any(1)])
+        if not len(differs := np.concatenate(differs)):
+            return
+        group = np.cumsum(new)
+        rows = np.flatnonzero(np.isin(group, group[differs]))
+        own = order[rows]
+        words = [group[rows].astype(U), self.left[own].astype(U), self.right[own].astype(U), *as_words(self.reach(own))]
+        within = np.lexsort((self.place[own], self.doc[own], *words[::-1]))
+        order[rows] = own[within]
+        new[rows[1:]] = np.any([w[within[1:]] != w[within[:-1]] for w in words], axis=0)
 
     def sent(self, part: int, within: bool) -> pa.Table:
         """A row for each range that the part has a reach in."""
         has = np.flatnonzero(np.diff(self.edge))
         heads = [self.head[self.edge[b] : self.edge[b + 1]] for b in has]
         shape = lambda h: np.stack([self.left[h], self.right[h]], 1)
-        columns = {"units": [_squeezed(self.reach[h]) for h in heads], "shape": [_squeezed(shape(h)) for h in heads], "docs": [_squeezed(self.doc[h]) for h in heads], "places": [_squeezed(self.place[h] if within else self.place[:0]) for h in heads]}
+        columns = {"units": [_squeezed(self.reach(h)) for h in heads], "shape": [_squeezed(shape(h)) for h in heads], "docs": [_squeezed(self.doc[h]) for h in heads], "places": [_squeezed(self.place[h] if within else self.place[:0]) for h in heads]}
         return _table(_REACHES, bucket=has, part=[part] * len(has), n=[len(h) for h in heads], **columns)
 
     def starts(self, back: pa.Table, within: bool) -> Iterator[tuple[Units, np.ndarray]]:
@@ -342,12 +398,13 @@ class Part:
 class Search:
     """The rounds for one reader of slices; docs has doc_id and what the reader needs."""
 
-    def __init__(self, docs: DataFrame, read: Reader, key: Callable[[np.ndarray], np.ndarray], within: bool, ends: Callable[[int], np.ndarray] = even_keys):
+    def __init__(self, docs: DataFrame, read: Reader, key: Callable[[np.ndarray], np.ndarray], within: bool, ends: Callable[[int, int], np.ndarray] = even_keys):
         """key: KEY_BYTES for each of some reaches, equal for equal seeds; ends: ends of that many ranges
-        of keys; within: a window also counts as earlier at a smaller place of the same doc_id."""
+        of keys, for so many bytes of text; within: a window also counts as earlier at a smaller place of the same doc_id."""
         self.spark = docs.sparkSession
-        self.p = parallelism(self.spark)
-        self.read, self.key, self.within, self.ends = read, key, within, ends(self.p)
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.p = max(parallelism(self.spark), -(-size // PART_BYTES))
+        self.read, self.key, self.within, self.ends = read, key, within, ends(self.p, size)
         # by the text too, so that many rows of one id, or none, are many parts
         self.docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.p)).cast("int")).repartition(self.p, "part")
 
@@ -403,12 +460,7 @@ class Search:
             """What each part's reaches of one range share with an earlier document."""
             n = rows["n"].to_pylist()
             read_all = lambda c, kind: np.concatenate([_unsqueezed(x, kind) for x in rows[c].to_pylist()])
-            units = [_unsqueezed(x, np.uint8) for x in rows["units"].to_pylist()]
-            wide = sum(len(x) for x in units) // sum(n)
-            reach = np.concatenate(units).reshape(-1, wide)
-            if not as_bytes:
-                reach = reach.view(U)
-            shape = read_all("shape", np.uint8).reshape(-1, 2).astype(np.int64)
+            shape = read_all("shape", np.uint8).reshape(-1, 2)
             docs = read_all("docs", np.int64)
             rank = docs
             if within:
@@ -417,7 +469,9 @@ class Search:
                 step = np.append(False, (docs[order][1:] != docs[order][:-1]) | (places[order][1:] != places[order][:-1]))
                 rank = np.empty(len(docs), np.int64)
                 rank[order] = np.cumsum(step)
-            bits = compared(reach, shape[:, 0], shape[:, 1], rank, behind)
+            bits = np.zeros(len(docs), U)
+            for at, reach in shares([x.as_buffer() for x in rows["units"]], n, unit, key_of, share):
+                bits[at] = compared(reach, shape[at, 0].astype(np.int64), shape[at, 1].astype(np.int64), rank[at], behind)
             out = {c: [] for c in ("part", "bucket", "keys", "bits")}
             for part, own in zip(rows["part"].to_pylist(), np.split(bits, np.cumsum(n)[:-1]), strict=True):
                 if own.any():
@@ -445,7 +499,8 @@ class Search:
 
         empty_out = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
         probe = read(pa.table({"doc_id": pa.array([], pa.int64()), "real_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}))
-        behind, as_bytes = probe.behind, probe.raw.dtype == np.uint8
+        behind, unit = probe.behind, probe.raw.dtype
+        share = max(1, SHARE_BYTES // ((behind + probe.length) * unit.itemsize))
         parts = self.docs.groupBy("part")
         with_back = lambda back: parts.cogroup(back.repartition(self.p, "part").groupBy("part"))
         known = self._round(parts.applyInArrow(seeds, _SEEDS), shared, _KNOWN)

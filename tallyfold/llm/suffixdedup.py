@@ -71,12 +71,14 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         at = length - seed
         return np.ascontiguousarray(reach[:, at : at + KEY_BYTES]).view(f"S{KEY_BYTES}").ravel()
 
-    def ends(ranges: int) -> np.ndarray:
-        """Ends of ranges of triples, from at most 32 texts for each range: those of least hash, at a place that depends on the text."""
-        raw = F.encode("text", "utf-8")
-        at = F.pmod(F.xxhash64("text"), F.octet_length("text") - KEY_BYTES + 1).cast("int") + 1
-        some = docs.where(F.octet_length("text") >= KEY_BYTES).select(F.xxhash64("doc_id", "text").alias("h"), F.substring(raw, at, F.lit(KEY_BYTES)).alias("piece"))
-        found = np.sort(np.array([bytes(r["piece"]) for r in some.orderBy("h").limit(32 * ranges).collect()], f"S{KEY_BYTES}"))
+    def ends(ranges: int, size: int) -> np.ndarray:
+        """Ends of ranges of triples, from some 32 places for each range: one in so many bytes of every text, the first by the text's hash."""
+        step = max(1, size // (32 * ranges))
+        raw = docs.select(F.col("text").cast("binary").alias("raw"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)).alias("first"))
+        some = raw.where(F.col("first") <= F.octet_length("raw") - KEY_BYTES)
+        places = F.sequence(F.col("first"), (F.octet_length("raw") - KEY_BYTES).cast("long"), F.lit(step).cast("long"))
+        pieces = some.select(F.explode(F.transform(places, lambda at: F.substring("raw", at.cast("int") + 1, F.lit(KEY_BYTES)))).alias("piece"))
+        found = np.sort(np.array([bytes(r["piece"]) for r in pieces.collect()], f"S{KEY_BYTES}"))
         return found[np.arange(1, ranges) * len(found) // ranges] if len(found) else np.zeros(max(0, ranges - 1), f"S{KEY_BYTES}")
 
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").alias("real_id"), "text")
